@@ -253,7 +253,7 @@ def active_exceptions(exceptions: DataFrame, requests: DataFrame) -> DataFrame:
     Tenant-wide and per-actor exceptions are two equi-joins, so the actor side never
     multiplies a tenant's rows.
     """
-    live = exceptions.filter("approved_by is not null and requested_by <> approved_by")
+    live = exceptions.filter("approved_by is not null")
     wide = live.filter("actor_id is null").select("tenant_id", "entity_class", "expires_at")
     own = live.filter("actor_id is not null").select(
         "tenant_id", "actor_id", "entity_class", "expires_at"
