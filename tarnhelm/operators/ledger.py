@@ -424,7 +424,16 @@ def leak_sweep(tables: dict[str, DataFrame], literals: DataFrame, min_length: in
     for name, df in tables.items():
         whole = F.to_json(F.struct(*[F.col(x) for x in df.columns]))
         hits = F.filter(
-            F.array(*[F.when(F.contains(whole, F.lit(w)), F.lit(w)) for w in wanted]),
+            F.array(
+                *[
+                    # The row is JSON, so the literal is looked for as JSON would write it.
+                    F.when(
+                        F.contains(whole, F.lit(json.dumps(w, ensure_ascii=False)[1:-1])),
+                        F.lit(w),
+                    )
+                    for w in wanted
+                ]
+            ),
             lambda w: w.isNotNull(),
         ) if wanted else F.array().cast("array<string>")
         parts.append(
