@@ -294,7 +294,7 @@ def new_bridge() -> dict:
     return {"tail": "", "turns": 0, "at": None}
 
 
-def bridge_step(state: dict, at: float, head: str, last: str, blocked: bool
+def bridge_step(state: dict, at: float, head: str, last: str, blocked: bool, present: bool
                 ) -> tuple[dict, list[str] | None]:
     """One prompt: join with the carried tail, remember it when it was allowed.
 
@@ -302,7 +302,7 @@ def bridge_step(state: dict, at: float, head: str, last: str, blocked: bool
     """
     if state["at"] is not None and at - state["at"] > BRIDGE_TTL:
         state = new_bridge()
-    if blocked or not head.strip():
+    if blocked or not present:
         return state, None
     classes = None
     if state["tail"]:
@@ -316,10 +316,7 @@ def bridge_step(state: dict, at: float, head: str, last: str, blocked: bool
 
 
 def bridge_inputs(prompts: DataFrame, text: str = "text") -> DataFrame:
-    """First and last 64 characters of a prompt and whether it was blocked by itself.
-
-    Leading blanks decide nothing but emptiness, so a blank prompt has a blank head.
-    """
+    """First and last 64 characters of a prompt and whether it was blocked by itself."""
     c = F.col(text)
     blocked = (
         F.col("blocked") if "blocked" in prompts.columns
@@ -327,7 +324,7 @@ def bridge_inputs(prompts: DataFrame, text: str = "text") -> DataFrame:
     )
     return prompts.select(
         "session_id", "seq", seconds(F.col("ts")).alias("at"),
-        F.when(c.rlike(r"\S"), F.left(c, F.lit(WINDOW))).otherwise("").alias("head"),
+        F.left(c, F.lit(WINDOW)).alias("head"),
         F.right(c, F.lit(WINDOW)).alias("last"),
         blocked.alias("blocked"),
         c.rlike(r"\S").alias("present"),
@@ -344,8 +341,9 @@ def _bridge_partition(batches: Iterator) -> Iterator:
             key = (r.session_id, r.segment)
             if key != group:
                 group, state = key, new_bridge()
-            head = r.head if r.head.strip() or not r.present else "x" + r.head
-            state, classes = bridge_step(state, r.at, head, r.last, bool(r.blocked))
+            state, classes = bridge_step(
+                state, r.at, r.head, r.last, bool(r.blocked), bool(r.present)
+            )
             if classes is not None:
                 out.append((r.session_id, r.seq, bool(classes), ",".join(classes)))
         yield pd.DataFrame(out, columns=["session_id", "seq", "split", "classes"])

@@ -79,8 +79,9 @@ def bridge_stream(prompts: DataFrame, text: str = "text") -> DataFrame:
         value = S.load_state(state.get[0] if state.exists else None, S.new_bridge())
         out = []
         for r in _ordered(chunks, ["at", "seq", "head", "last", "blocked", "present"]):
-            head = r.head if r.head.strip() or not r.present else "x" + r.head
-            value, classes = S.bridge_step(value, r.at, head, r.last, bool(r.blocked))
+            value, classes = S.bridge_step(
+                value, r.at, r.head, r.last, bool(r.blocked), bool(r.present)
+            )
             if classes is not None:
                 out.append((key[0], r.seq, bool(classes), ",".join(classes)))
         _finish(state, value, S.BRIDGE_TTL)
