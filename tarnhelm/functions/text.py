@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,40 +16,64 @@ WHITESPACE = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 
 MATCH_TYPE = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
+# Private-use marks put around matches; a text that holds them gets a third one instead,
+# which keeps every offset.
+_OPEN, _CLOSE, _SPARE = "\ue000", "\ue001", "\ue002"
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times.
+
+    Inside a lambda Spark does not share common subexpressions, so a value that is used
+    twice there is computed twice. A one-element transform names it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def find_all(text: Column, pattern: str, before: int = 1, after: int = 1) -> Column:
     """Every non-overlapping match with code-point offsets and bounded context.
 
-    ``split`` gives the text between matches and ``regexp_extract_all`` the matches, so
-    the running length of both is the start of each match. ``before``/``after`` are how
-    many neighbouring characters to carry along, which lets the caller drop the text.
+    One regex pass puts marks around the matches; splitting at a mark is a plain
+    character split, and the running length of the pieces gives the offsets. ``before``
+    and ``after`` are how many neighbouring characters to carry along, which lets the
+    caller drop the text.
     """
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(
-        F.lit(0).alias("pos"), F.array().cast(MATCH_TYPE).alias("out")
-    )
-
-    def step(acc, p):
-        lo = acc["pos"] + F.coalesce(F.length(p["g"]), F.lit(0))
-        hi = lo + F.length(p["m"])
+    clean = F.when(
+        F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)),
+        F.translate(text, _OPEN + _CLOSE, _SPARE + _SPARE),
+    ).otherwise(text)
+    pieces = F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
+
+    def step(acc, piece):
+        lo = acc["pos"]
+        value = F.substring_index(piece, _CLOSE, 1)
+        hi = lo + F.length(value)
         left = F.greatest(lo - F.lit(before), F.lit(0))
         hit = F.struct(
             lo.alias("start"),
             hi.alias("end"),
-            p["m"].alias("value"),
+            value.alias("value"),
             F.substring(text, left + 1, lo - left).alias("before"),
             F.substring(text, hi + 1, F.lit(after)).alias("after"),
         )
         return F.struct(
-            hi.alias("pos"), F.concat(acc["out"], F.array(hit)).cast(MATCH_TYPE).alias("out")
+            (lo + F.length(piece) - 1).alias("pos"),
+            F.concat(acc["out"], F.array(hit)).cast(MATCH_TYPE).alias("out"),
         )
 
-    # The tail gap has no match of its own; zip_with pads it with a null match.
-    return F.aggregate(
-        F.filter(pairs, lambda p: p["m"].isNotNull()), start, step, lambda acc: acc["out"]
-    )
+    def walk(ps):
+        first = F.struct(
+            F.length(F.get(ps, F.lit(0))).alias("pos"),
+            F.array().cast(MATCH_TYPE).alias("out"),
+        )
+        return F.when(
+            F.size(ps) > 1,
+            F.aggregate(
+                F.slice(ps, F.lit(2), F.size(ps) - 1), first, step, lambda acc: acc["out"]
+            ),
+        ).otherwise(F.array().cast(MATCH_TYPE))
+
+    return bind(pieces, walk)
 
 
 def not_touching(hit: Column) -> Column:
@@ -64,14 +90,16 @@ def chars(col: Column) -> Column:
 
 def entropy(col: Column) -> Column:
     """Shannon entropy in bits per character; 0 below two characters."""
-    n = F.length(col)
 
-    def term(acc, ch):
-        p = (n - F.length(F.replace(col, ch, F.lit("")))) / n
-        return acc - p * F.log2(p)
+    def measure(v):
+        def term(acc, ch):
+            p = (F.length(v) - F.length(F.replace(v, ch, F.lit("")))) / F.length(v)
+            return acc - p * F.log2(p)
+
+        total = F.aggregate(F.array_distinct(chars(v)), F.lit(0.0).cast("double"), term)
+        return F.when(F.length(v) < 2, F.lit(0.0)).otherwise(total)
 
-    total = F.aggregate(F.array_distinct(chars(col)), F.lit(0.0).cast("double"), term)
-    return F.when(n < 2, F.lit(0.0)).otherwise(total)
+    return bind(col, measure)
 
 
 def entropy_at_least(col: Column, floor: float) -> Column:

@@ -18,6 +18,7 @@ from tarnhelm.functions import checks
 from tarnhelm.functions.text import (
     NOT_AFTER_WORD,
     NOT_BEFORE_WORD,
+    bind,
     entropy_at_least,
     find_all,
     not_touching,
@@ -138,12 +139,15 @@ def credential_hits(
     """Anchored provider credentials with per-prefix length and entropy rules."""
 
     def confirm(m: Column, s: CredentialShape) -> Column:
-        body = F.regexp_replace(m["value"], s.prefix, "")
+        def body_ok(body: Column) -> Column:
+            varied = entropy_at_least(body, s.body_entropy)
+            if s.full_length is None:
+                return varied
+            return (F.length(body) >= s.full_length) | varied
+
         ok = F.lit(True)
         if s.body_entropy is not None:
-            ok = entropy_at_least(body, s.body_entropy)
-            if s.full_length is not None:
-                ok = (F.length(body) >= s.full_length) | ok
+            ok = bind(F.regexp_replace(m["value"], s.prefix, ""), body_ok)
         if s.entity_class == "AWS_ACCESS_KEY":
             ok = ok & not_touching(m)
         if s.entity_class == "JWT":
@@ -207,9 +211,11 @@ def _full(value: Column, pattern: str) -> Column:
 def _confirm_shape(only: set[str] | None) -> Callable[[Column], Column]:
     """Owner of a candidate is the first shape that matches the whole of it."""
 
+    def valid_number(digits: Column) -> Column:
+        return digits.rlike("^[2-9]") & checks.verhoeff_ok(digits)
+
     def confirm(m: Column) -> Column:
         v = m["value"]
-        digits = checks.digits_only(v)
         free = not_touching(m)
         label = F.lower(F.substring(m["before"], -48, 48))
         labelled = _mentions(label, AADHAAR_LABELS)
@@ -232,7 +238,7 @@ def _confirm_shape(only: set[str] | None) -> Callable[[Column], Column]:
             "aadhaar": F.when(
                 free,
                 F.when(
-                    F.substring(digits, 1, 1).rlike("[2-9]") & checks.verhoeff_ok(digits),
+                    bind(checks.digits_only(v), valid_number),
                     hit(m["start"], m["end"], "AADHAAR", 0.97, "aadhaar"),
                 )
                 .when(labelled, hit(m["start"], m["end"], "AADHAAR", 0.82, "aadhaar"))
@@ -348,20 +354,18 @@ TABLE_CONFIDENCE = 0.85
 
 def is_placeholder(value: Column, ignore: Sequence[str] = IGNORE_VALUES) -> Column:
     """True when a value is too short, too long, spaced, repetitive or a template."""
-    v = F.regexp_replace(strip_space(value), r"""^["']+|["']+$""", "")
-    bad = (
-        ~F.length(v).between(MIN_VALUE_LENGTH, MAX_VALUE_LENGTH)
-        | v.rlike(r"(?U)\s")
-        | ~entropy_at_least(v, MIN_VALUE_ENTROPY)
-    )
-    for pattern in ignore:
-        bad = bad | v.rlike(pattern)
-    return bad
+
+    def judge(v: Column) -> Column:
+        bad = ~F.length(v).between(MIN_VALUE_LENGTH, MAX_VALUE_LENGTH) | v.rlike(r"(?U)\s")
+        for pattern in ignore:
+            bad = bad | v.rlike(pattern)
+        return bad | ~entropy_at_least(v, MIN_VALUE_ENTROPY)
+
+    return bind(F.regexp_replace(strip_space(value), r"""^["']+|["']+$""", ""), judge)
 
 
-def _best_rule(key: Column, rules: Sequence[KeyRule]) -> Column:
+def _best_rule(probe: Column, rules: Sequence[KeyRule]) -> Column:
     """Name, class and confidence of the most confident rule for a key, or null."""
-    probe = F.translate(key, "_-", "  ")
     out = None
     for r in sorted(rules, key=lambda r: -r.confidence):
         value = F.struct(
@@ -382,15 +386,21 @@ def context_hits(
     """Values whose key says they are secret; offsets cover the value only."""
 
     def confirm(m: Column, name: str, pattern: str) -> Column:
-        value = F.regexp_extract(m["value"], pattern, 2)
-        rule = _best_rule(F.regexp_extract(m["value"], pattern, 1), key_rules)
-        begin = m["end"] - F.length(value)
-        return F.when(
-            rule.isNotNull() & ~is_placeholder(value),
-            hit(begin, begin + F.length(rstrip_space(value)), rule["entity_class"],
-                rule["confidence"], F.concat(F.lit("s1:"), rule["name"], F.lit(f":{name}")),
-                stage="S1", tier=2),
-        )
+        def with_rule(rule: Column) -> Column:
+            value = F.regexp_extract(m["value"], pattern, 2)
+            return F.when(rule.isNotNull(), bind(value, lambda v: with_value(rule, v)))
+
+        def with_value(rule: Column, value: Column) -> Column:
+            begin = m["end"] - F.length(value)
+            return F.when(
+                ~is_placeholder(value),
+                hit(begin, begin + F.length(rstrip_space(value)), rule["entity_class"],
+                    rule["confidence"], F.concat(F.lit("s1:"), rule["name"], F.lit(f":{name}")),
+                    stage="S1", tier=2),
+            )
+
+        key = F.translate(F.regexp_extract(m["value"], pattern, 1), "_-", "  ")
+        return bind(bind(key, lambda k: _best_rule(k, key_rules)), with_rule)
 
     return F.concat(
         *[_collect(find_all(text, p), _bound(confirm, n, p)) for n, p in structures]
@@ -406,7 +416,11 @@ def context_gate(text: Column) -> Column:
 def table_hits(text: Column, max_rows: int | None = None) -> Column:
     """Cells of pipe tables whose column header names a secret."""
     line = r"(?md)^[^\n]*\|[^\n]*$"
-    lines = find_all(text, line)
+    return bind(find_all(text, line), lambda lines: _table_cells(text, lines, max_rows))
+
+
+def _table_cells(text: Column, lines: Column, max_rows: int | None) -> Column:
+    """Hits of the rows below the first pipe line, which is the header."""
     header = F.element_at(lines, 1)
     sensitive = F.filter(
         F.transform(F.split(header["value"], r"\|", -1),
@@ -422,8 +436,9 @@ def table_hits(text: Column, max_rows: int | None = None) -> Column:
         )
 
     def cells(r):
-        parts = F.split(r["value"], r"\|", -1)
+        return bind(F.split(r["value"], r"\|", -1), lambda parts: row_cells(r, parts))
 
+    def row_cells(r, parts):
         def cell(j):
             raw = F.get(parts, j)
             value = strip_space(raw)
@@ -500,12 +515,15 @@ def composite_hits(
     """Twelve-digit values surrounded by enough signals to identify a person."""
 
     def confirm(m):
-        score = F.size(signals_near(F.concat(m["before"], m["value"], m["after"])))
-        return F.when(
-            score >= quorum,
-            hit(m["start"], m["end"], "QUASI_IDENTIFIER_SET",
-                F.when(score >= strong_quorum, 0.86).otherwise(0.78),
-                "composite_record", stage="S2", tier=2),
+        near = bind(F.concat(m["before"], m["value"], m["after"]), signals_near)
+        return bind(
+            F.size(near),
+            lambda score: F.when(
+                score >= quorum,
+                hit(m["start"], m["end"], "QUASI_IDENTIFIER_SET",
+                    F.when(score >= strong_quorum, 0.86).otherwise(0.78),
+                    "composite_record", stage="S2", tier=2),
+            ),
         )
 
     return F.when(
@@ -596,19 +614,19 @@ def encoded_hits(
     """
     suffix = f"@{_level + 1}" if _level else ""
 
+    def deeper(d, direct):
+        if _level + 1 >= depth:
+            return direct
+        return F.when(F.size(direct) > 0, direct).otherwise(
+            F.when(
+                d["text"].rlike(ENCODED_GATE),
+                encoded_hits(d["text"], depth, inner, max_candidates, _level + 1),
+            ).otherwise(no_hits())
+        )
+
     def rescan(d):
-        direct = inner(d["text"])
-        if _level + 1 < depth:
-            found = F.when(F.size(direct) > 0, direct).otherwise(
-                F.when(
-                    d["text"].rlike(ENCODED_GATE),
-                    encoded_hits(d["text"], depth, inner, max_candidates, _level + 1),
-                ).otherwise(no_hits())
-            )
-        else:
-            found = direct
         return F.transform(
-            found,
+            bind(inner(d["text"]), lambda direct: deeper(d, direct)),
             lambda h: F.struct(
                 d["start"].alias("start"), d["end"].alias("end"),
                 h["entity_class"].alias("entity_class"), h["confidence"].alias("confidence"),
@@ -652,14 +670,19 @@ def _kept_positions(text: Column, dropped: str) -> Column:
 def zero_width_hits(text: Column) -> Column:
     """Anchored detectors on the text without zero-width characters, mapped back."""
     bare = F.translate(text, ZERO_WIDTH, "")
-    origin = _kept_positions(text, ZERO_WIDTH)
-    return F.transform(
-        shape_hits(bare, only=("anthropic_key", "upi_vpa")),
-        lambda h: hit(
-            F.element_at(origin, h["start"] + 1), F.element_at(origin, h["end"]) + 1,
-            h["entity_class"], h["confidence"], F.concat(h["detector"], F.lit("+zero_width")),
-        ),
-    ).cast(HITS_TYPE)
+    found = shape_hits(bare, only=("anthropic_key", "upi_vpa"))
+
+    def mapped(origin):
+        return F.transform(
+            found,
+            lambda h: hit(
+                F.element_at(origin, h["start"] + 1), F.element_at(origin, h["end"]) + 1,
+                h["entity_class"], h["confidence"],
+                F.concat(h["detector"], F.lit("+zero_width")),
+            ),
+        )
+
+    return bind(_kept_positions(text, ZERO_WIDTH), mapped).cast(HITS_TYPE)
 
 
 def _loose(anchor: str) -> str:
@@ -676,20 +699,30 @@ def separator_hits(text: Column) -> Column:
     anchor = "sk-ant-"
 
     def confirm(m):
-        window = F.concat(m["value"], F.substring(m["after"], F.lit(1),
-                                                  F.lit(MAX_SPAN) - F.length(m["value"])))
+        window = F.concat(
+            m["value"],
+            F.substring(m["after"], F.lit(1), F.lit(MAX_SPAN) - F.length(m["value"])),
+        )
+        return bind(window, lambda w: with_window(m, w))
+
+    def with_window(m, window):
         clean = F.translate(window, SEPARATORS, "")
         key = F.regexp_extract(clean, rf"\A{anchor}[A-Za-z0-9_-]{{20,}}", 0)
+        return bind(key, lambda k: F.when(k != "", with_key(m, window, k)))
+
+    def with_key(m, window, key):
         length = F.element_at(_kept_positions(window, SEPARATORS), F.length(key)) + 1
-        raw = F.substring(window, F.lit(1), length)
+        return bind(F.substring(window, F.lit(1), length), lambda raw: with_raw(m, raw))
+
+    def with_raw(m, raw):
         words = F.filter(F.split(raw, " "), lambda w: w.rlike(r"\A\p{L}{3,}\z"))
         tail = F.element_at(F.split(raw, " ", -1), -1)
         trimmed = F.when(
             F.contains(raw, F.lit(" ")) & tail.rlike(r"\A\p{L}{3,}\z"),
-            length - F.length(tail) - 1,
-        ).otherwise(length)
+            F.length(raw) - F.length(tail) - 1,
+        ).otherwise(F.length(raw))
         return F.when(
-            (key != "") & (F.size(words) < 2),
+            F.size(words) < 2,
             hit(m["start"], m["start"] + trimmed, "ANTHROPIC_KEY", 0.99,
                 "anthropic_key+separators"),
         )
