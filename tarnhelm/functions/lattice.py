@@ -20,7 +20,12 @@ def rank(action: Column) -> Column:
 
 
 def action_of(rank_col: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(a) for a in LATTICE]), rank_col + 1)
+    """Name of a rank, null for null. (``element_at`` on a literal array does not return
+    null for a null index, so this is a CASE.)"""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for i, name in enumerate(LATTICE):
+        out = out.when(rank_col == i, name)
+    return out
 
 
 def strongest(*actions: Column) -> Column:

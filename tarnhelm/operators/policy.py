@@ -393,15 +393,15 @@ def policy_diff(policies: DataFrame, old: int, new: int) -> DataFrame:
         )
 
     sizes = (F.size("a.rules"), F.size("b.rules"))
-    pairs = F.arrays_zip(
-        F.transform("a.rules", lambda r: r["action"]).alias("x"),
-        F.transform("b.rules", lambda r: r["action"]).alias("y"),
+    pairs = F.zip_with(
+        "a.rules", "b.rules",
+        lambda x, y: F.struct(x["action"].alias("x"), y["action"].alias("y")),
     )
     per_rule = F.transform(
         pairs,
         lambda p, i: F.when(
-            p["0"] != p["1"],
-            F.concat(F.lit("rule "), i, F.lit(" action "), p["0"], F.lit(" -> "), p["1"]),
+            p["x"] != p["y"],
+            F.concat(F.lit("rule "), i, F.lit(" action "), p["x"], F.lit(" -> "), p["y"]),
         ),
     )
     notes = F.filter(

@@ -162,7 +162,8 @@ PLANTS = {
     """,
     # Findings per order line, as a detector run would leave them.
     "line_findings": """
-        select l_orderkey as request_id, l_linenumber as ord,
+        select l_orderkey as request_id,
+          cast(l_linenumber as bigint) * 100000000000 + cast(l_partkey as bigint) * 100000 + l_suppkey as ord,
           concat('messages[', cast(l_linenumber % 3 as string), '].content') as span_path,
           cast(l_partkey % 40 as int) as start, cast(l_partkey % 40 + 8 + l_suppkey % 9 as int) as "end",
           case cast((l_partkey + l_suppkey) % 10 as int) when 0 then 'PAN' when 1 then 'AADHAAR' when 2 then 'GSTIN'

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnhelm.plans import detection
+from tarnhelm.plans import detection, governance
 
-_MODULES = (detection,)
+_MODULES = (detection, governance)
 
 
 def queries() -> dict:
