@@ -333,11 +333,10 @@ FINAL_STATES = ("outbound_decided", "completed", "upstream_failed")
 
 def request_status(events: DataFrame) -> DataFrame:
     """Last state of every request and its time from the first event to the last."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return events.filter(F.col("status").isin(*FINAL_STATES)).groupBy("request_id").agg(
         F.max_by("status", F.struct("ts", "seq")).alias("status"),
-        F.round(
-            (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1000.0, 3
-        ).alias("latency_ms"),
+        F.round((F.max(micros) - F.min(micros)) / 1000.0, 3).alias("latency_ms"),
     )
 
 

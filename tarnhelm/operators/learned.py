@@ -156,19 +156,31 @@ def apply_learned_rules(
 def _nested_quantifier(pattern: Column) -> Column:
     """A quantifier on a group that already holds one, such as ``(a+)+``.
 
-    Escapes are removed, then innermost groups are folded into one mark each: ``q`` for a
-    group with a quantifier inside or on it, nothing otherwise. Rules are at most 200
-    characters, so twelve folds reach any nesting that fits.
+    Escapes are removed, then the innermost groups are folded, once per opening bracket:
+    a group with a quantifier inside becomes ``~``, any other becomes a plain letter.
     """
-    p = F.regexp_replace(pattern, r"\\.", "x")
-    bad = F.lit(False)
-    for _ in range(12):
-        bad = bad | p.rlike(r"\([^()]*[*+{~][^()]*\)[*+{]")
-        p = F.regexp_replace(p, r"\([^()]*[*+{~][^()]*\)", "~")
-        p = F.regexp_replace(p, r"\([^()]*\)(?=[*+{])", "x")
-        p = F.regexp_replace(p, r"\([^()]*\)", "x")
-        bad = bad | p.rlike(r"~[*+{]")
-    return bad
+    plain = F.regexp_replace(pattern, r"\\.", "x")
+    depth = F.length(plain) - F.length(F.replace(plain, F.lit("("), F.lit("")))
+    start = F.struct(plain.alias("p"), F.lit(False).alias("bad"))
+
+    def fold(acc, _):
+        p = acc["p"]
+        rest = F.regexp_replace(
+            F.regexp_replace(p, r"\([^()]*[*+{~][^()]*\)", "~"), r"\([^()]*\)", "x"
+        )
+        return F.struct(
+            rest.alias("p"),
+            (acc["bad"] | p.rlike(r"\([^()]*[*+{~][^()]*\)[*+{]") | rest.rlike(r"~[*+{]"))
+            .alias("bad"),
+        )
+
+    return F.coalesce(
+        F.when(
+            depth > 0,
+            F.aggregate(F.sequence(F.lit(1), depth), start, fold, lambda acc: acc["bad"]),
+        ),
+        F.lit(False),
+    )
 
 
 def validate_rules(proposals: DataFrame) -> DataFrame:

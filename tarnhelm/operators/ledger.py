@@ -409,36 +409,63 @@ def verify_ledger(
     )
 
 
-def leak_sweep(tables: dict[str, DataFrame], literals: DataFrame, min_length: int = 8
-               ) -> DataFrame:
-    """Planted literals found in any column of any table.
+#: Up to this many literals are tested in one pass over a table.
+INLINE_LITERALS = 1000
+GRAM = 8
+LONGEST_LITERAL = 4096
 
-    The literals become one alternation on the driver (they are a short planted list and
-    its size is checked), so a table is scanned once and nothing is paired up.
+
+def _escaped(col: Column) -> Column:
+    """A literal as it is written inside JSON."""
+    quoted = _quoted(col)
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def leak_sweep(tables: dict[str, DataFrame], literals: DataFrame) -> DataFrame:
+    """Planted literals (8 to 4,096 characters) found in any column of any table.
+
+    A short list becomes one scan per table with all literals inline. A longer one meets
+    the rows on its first eight characters in an equi-join and is compared in full there,
+    so any number of literals is searched exactly.
     """
-    rows = literals.select("literal").distinct().limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("a leak sweep takes at most 1000 planted literals")
-    wanted = [r[0] for r in rows if r[0] is not None and len(r[0]) >= min_length]
+    wanted = literals.select("literal").filter(
+        F.length("literal").between(GRAM, LONGEST_LITERAL)
+    ).distinct().select("literal", _escaped(F.col("literal")).alias("_esc"))
+    few = wanted.limit(INLINE_LITERALS + 1).collect()
     parts = []
     for name, df in tables.items():
         whole = F.to_json(F.struct(*[F.col(x) for x in df.columns]))
-        hits = F.filter(
-            F.array(
-                *[
-                    # The row is JSON, so the literal is looked for as JSON would write it.
-                    F.when(
-                        F.contains(whole, F.lit(json.dumps(w, ensure_ascii=False)[1:-1])),
-                        F.lit(w),
+        if len(few) <= INLINE_LITERALS:
+            hits = F.filter(
+                F.array(
+                    *[F.when(F.contains(whole, F.lit(r["_esc"])), F.lit(r["literal"])) for r in few]
+                ).cast("array<string>"),
+                lambda w: w.isNotNull(),
+            )
+            found = df.select(F.explode(hits).alias("literal"))
+        else:
+            rows = df.select(whole.alias("_w")).withColumn("_row", F.sha2("_w", 256))
+            starts = F.sequence(F.lit(1), F.greatest(F.length("_w") - GRAM + 1, F.lit(1)))
+            pieces = rows.select(
+                "_row",
+                F.explode(
+                    F.transform(
+                        starts,
+                        lambda i: F.struct(
+                            F.substring("_w", i, F.lit(GRAM)).alias("g"),
+                            F.substring("_w", i, F.lit(LONGEST_LITERAL)).alias("rest"),
+                        ),
                     )
-                    for w in wanted
-                ]
-            ),
-            lambda w: w.isNotNull(),
-        ) if wanted else F.array().cast("array<string>")
+                ).alias("_p"),
+            ).select("_row", F.col("_p.g").alias("_gram"), F.col("_p.rest").alias("_rest"))
+            found = (
+                pieces.join(wanted.withColumn("_gram", F.left("_esc", F.lit(GRAM))), "_gram")
+                .filter(F.startswith("_rest", F.col("_esc")))
+                .select("_row", "literal").distinct()
+            )
         parts.append(
-            df.select(F.lit(name).alias("table"), F.explode(hits).alias("literal"))
-            .groupBy("table", "literal").agg(F.count("*").alias("rows"))
+            found.groupBy("literal").agg(F.count("*").alias("rows"))
+            .select(F.lit(name).alias("table"), "literal", "rows")
         )
     out = parts[0]
     for p in parts[1:]:

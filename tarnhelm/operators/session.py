@@ -68,7 +68,7 @@ def candidates_of(text: Column) -> Column:
 
 
 def seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / 1e6
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
 def split_on_gap(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnhelm.plans import detection, governance
+from tarnhelm.plans import detection, evaluation, evidence, governance
 
-_MODULES = (detection, governance)
+_MODULES = (detection, governance, evidence, evaluation)
 
 
 def queries() -> dict:

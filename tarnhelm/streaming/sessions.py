@@ -135,7 +135,8 @@ def coverage_stream(
     """Coverage counters per window; rows later than the watermark are dropped."""
     c = F.col
     return (
-        requests.withWatermark("ts", watermark)
+        requests.withColumn("ts", c("ts").cast("timestamp"))
+        .withWatermark("ts", watermark)
         .groupBy(F.window("ts", window), "harness", "route", "provider", "channel")
         .agg(
             F.count("*").alias("requests"),
