@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnhelm.functions.text import bind
 from tarnhelm.operators.detect import COMPOSITE, CREDENTIALS, SHAPE, detect
 from tarnhelm.schema import family_of
 
@@ -77,37 +78,38 @@ def document_hits(
 ) -> Column:
     """Record types of a document: array of (class, confidence, matched signals)."""
     sample = text if limit is None else F.substring(text, 1, limit)
-    low = F.lower(sample)
 
-    def names(signals):
+    def names(low: Column, signals: Sequence[str]) -> Column:
         return F.filter(
             F.array(*[F.when(_present(low, s), F.lit(s)) for s in signals]),
             lambda s: s.isNotNull(),
         )
 
-    out = []
-    for t in types:
-        # A record type needs a strong signal, so those are tested first.
-        strong = names(t.strong)
-        weak = F.when(F.size(strong) > 0, names(t.weak)).otherwise(
-            F.array().cast("array<string>")
-        )
+    def judge(t: RecordType, strong: Column, weak: Column) -> Column:
         total = F.size(strong) + F.size(weak)
-        out.append(
-            F.when(
-                (F.size(strong) > 0) & (total >= t.quorum),
-                F.struct(
-                    F.lit(t.entity_class).alias("entity_class"),
-                    F.round(
-                        F.lit(t.confidence)
-                        + F.least(F.lit(0.2), F.lit(0.05) * (total - t.quorum)),
-                        2,
-                    ).alias("confidence"),
-                    F.slice(F.concat(strong, weak), 1, 4).alias("matched"),
-                ),
-            )
+        bonus = F.least(F.lit(0.2), F.lit(0.05) * (total - t.quorum))
+        return F.when(
+            total >= t.quorum,
+            F.struct(
+                F.lit(t.entity_class).alias("entity_class"),
+                F.round(F.lit(t.confidence) + bonus, 2).alias("confidence"),
+                F.slice(F.concat(strong, weak), 1, 4).alias("matched"),
+            ),
         )
-    return F.filter(F.array(*out), lambda h: h.isNotNull())
+
+    def one_type(low: Column, t: RecordType) -> Column:
+        # A record type needs a strong signal, so only then are the weak ones tested.
+        def with_strong(strong):
+            return F.when(
+                F.size(strong) > 0, bind(names(low, t.weak), lambda weak: judge(t, strong, weak))
+            )
+
+        return bind(names(low, t.strong), with_strong)
+
+    def all_types(low):
+        return F.filter(F.array(*[one_type(low, t) for t in types]), lambda h: h.isNotNull())
+
+    return bind(F.lower(sample), all_types)
 
 
 def classify_documents(

@@ -12,46 +12,75 @@ from tarnhelm.operators.policy import decide
 from tarnhelm.schema import FAMILIES, FAMILY_OF
 
 
-def clearance_matrix(actors: DataFrame, resolved: DataFrame, leg: str = "inbound") -> DataFrame:
-    """Decision per (actor, class). A decision depends on nothing else about a document,
-    so the matrix is 45 rows per actor however many documents there are."""
+PROFILE = ("tenant_id", "role", "groups", "registered")
+
+
+def with_profile(actors: DataFrame) -> DataFrame:
+    """Adds ``profile``: actors that policy cannot tell apart share it."""
+    named = actors.withColumn("groups", F.array_sort("groups"))
+    return named.withColumn("profile", F.sha2(F.to_json(F.struct(*PROFILE)), 256))
+
+
+def profile_matrix(actors: DataFrame, resolved: DataFrame, leg: str = "inbound") -> DataFrame:
+    """Decision per (profile, class). A decision depends on nothing else about an actor
+    or a document, so this stays small however many of either there are."""
     grid = (
-        actors.join(resolved, "tenant_id")
+        with_profile(actors).select("profile", *PROFILE).dropDuplicates(["profile"])
+        .join(resolved, "tenant_id")
         .withColumn("entity_class", F.explode(F.array(*[F.lit(c) for c in FAMILY_OF])))
         .withColumns({"leg": F.lit(leg), "destination": F.lit(None).cast("string")})
     )
     return decide(grid).select(
-        "actor_id", "entity_class", "action", "rule_index", "rule_scope", "policy_default"
+        "profile", "entity_class", "action", "rule_index", "rule_scope", "policy_default"
+    )
+
+
+def clearance_matrix(actors: DataFrame, resolved: DataFrame, leg: str = "inbound") -> DataFrame:
+    """Decision per (actor, class): 45 rows per actor."""
+    matrix = profile_matrix(actors, resolved, leg)
+    return with_profile(actors).select("actor_id", "profile").join(matrix, "profile").drop(
+        "profile"
     )
 
 
 def judge_documents(
-    requests: DataFrame, doc_classes: DataFrame, matrix: DataFrame, doc: str = "doc_id"
+    requests: DataFrame, doc_classes: DataFrame, actors: DataFrame, resolved: DataFrame,
+    doc: str = "doc_id",
 ) -> DataFrame:
     """Verdict per (actor, document) that was asked for.
 
-    ``requests`` lists the reads, ``doc_classes`` one row per (document, class). Two
-    equi-joins and one partial aggregation; a document without classes is allowed.
+    ``requests`` lists the reads, ``doc_classes`` one row per (document, class). The reads
+    meet actors, classes and the profile matrix in equi-joins and are aggregated per
+    read; a document without classes is allowed.
     """
     c = F.col
     r = rank(c("action"))
+    matrix = profile_matrix(actors, resolved)
+    who = with_profile(actors).select("actor_id", "profile")
+    reads = requests.select("actor_id", doc)
+    # A left join keeps reads without any class, so one aggregation gives every verdict.
     judged = (
-        requests.select("actor_id", doc).join(doc_classes.select(doc, "entity_class"), doc)
-        .join(matrix, ["actor_id", "entity_class"])
+        reads.join(doc_classes.select(doc, "entity_class"), doc, "left")
+        .join(who, "actor_id", "left")
+        .join(matrix, ["profile", "entity_class"], "left")
         .groupBy("actor_id", doc)
         .agg(
             F.max(r).alias("_top"),
-            F.min_by(F.struct("rule_index", "rule_scope"), F.struct(-r, c("entity_class")))
-            .alias("_first"),
-            F.sort_array(F.collect_set("entity_class")).alias("classes"),
+            F.min_by(
+                F.struct("rule_index", "rule_scope"),
+                F.when(r.isNotNull(), F.struct(-r, c("entity_class"))),
+            ).alias("_first"),
+            F.sort_array(
+                F.collect_set(F.when(r.isNotNull(), c("entity_class")))
+            ).alias("classes"),
         )
     )
-    return requests.select("actor_id", doc).join(judged, ["actor_id", doc], "left").select(
+    return judged.select(
         "actor_id", doc,
         F.coalesce(action_of(c("_top")), F.lit("allow")).alias("action"),
         c("_first.rule_index").alias("rule_index"),
         F.coalesce("_first.rule_scope", F.lit("default")).alias("rule_scope"),
-        F.coalesce("classes", F.array().cast("array<string>")).alias("classes"),
+        "classes",
     )
 
 

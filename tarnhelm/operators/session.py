@@ -91,7 +91,7 @@ def split_on_gap(
 RISK_SCHEMA = "risk double, band string, fragments int, escalate boolean"
 
 
-def risk_inputs(events: DataFrame, text: str = "text") -> DataFrame:
+def risk_inputs(events: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Signals of one event; the text itself is dropped."""
     c = F.col(text)
     targets = F.transform(
@@ -104,7 +104,7 @@ def risk_inputs(events: DataFrame, text: str = "text") -> DataFrame:
         (F.size(fragments_of(c)) > 0).alias("had_fragment"),
         c.rlike(r"[A-Za-z0-9+/=_\-]{16}").alias("had_entropy"),
         F.coalesce(blocked, F.lit(False)).alias("was_blocked"),
-        targets.alias("targets"),
+        targets.alias("targets"), *keep,
     )
 
 
@@ -315,7 +315,8 @@ def bridge_step(state: dict, at: float, head: str, last: str, blocked: bool, pre
     return {"tail": (tail + last)[-WINDOW:], "turns": turns + 1, "at": at}, classes
 
 
-def bridge_inputs(prompts: DataFrame, text: str = "text") -> DataFrame:
+def bridge_inputs(prompts: DataFrame, text: str = "text", keep: Sequence[str] = ()
+                  ) -> DataFrame:
     """First and last 64 characters of a prompt and whether it was blocked by itself."""
     c = F.col(text)
     blocked = (
@@ -327,7 +328,7 @@ def bridge_inputs(prompts: DataFrame, text: str = "text") -> DataFrame:
         F.left(c, F.lit(WINDOW)).alias("head"),
         F.right(c, F.lit(WINDOW)).alias("last"),
         blocked.alias("blocked"),
-        c.rlike(r"\S").alias("present"),
+        c.rlike(r"\S").alias("present"), *keep,
     )
 
 

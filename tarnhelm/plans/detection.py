@@ -13,7 +13,10 @@ from tarnhelm.operators import detect as D
 from tarnhelm.operators import documents as DOC
 from tarnhelm.operators import learned as L
 from tarnhelm.operators import verdict as V
-from tarnhelm.plans.plants import plant, plant_sql, read
+from tarnhelm.plans.plants import plant as _plant
+from tarnhelm.plans.plants import plant_sql
+from tarnhelm.plans.plants import read as _read
+from tarnhelm.sources.readers import spread
 from tarnhelm.plans import sqlkit as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +24,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table; text tables that sit in few files are spread over the cores."""
+    df = _read(spark, sf, name)
+    return spread(df) if name in ("documents", "pages", "conversations") else df
+
+
+def plant(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread(_plant(spark, sf, name))
+
+
 def query(name: str, sql: str | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn

@@ -13,6 +13,7 @@ from tarnhelm.operators import redact as R
 from tarnhelm.operators import verdict as V
 from tarnhelm.plans import sqlkit as Q
 from tarnhelm.plans.plants import plant, plant_sql, read
+from tarnhelm.sources.readers import spread
 from tarnhelm.schema import FAMILIES, RULE_TYPE, entity_classes, family_of, never_tokenize
 
 QUERIES: dict = {}
@@ -88,7 +89,7 @@ _FINDINGS_SQL = f"""(select f.*, r.tenant_id, r.actor_id, a.role, a.groups_csv,
 
 def findings_df(spark, sf):
     """Findings with the tenant of their request and its actor."""
-    f = plant(spark, sf, "line_findings")
+    f = spread(plant(spark, sf, "line_findings"))
     r = plant(spark, sf, "requests").select("request_id", "tenant_id", "actor_id")
     a = plant(spark, sf, "actors").select(
         "actor_id", "role", _csv("groups_csv").alias("groups"), "registered"
@@ -785,11 +786,10 @@ def _actors_full(spark, sf):
     )
 
 
-def _matrix(spark, sf):
-    resolved = P.resolve_policies(plant(spark, sf, "tenants"), policies_df(spark, sf)).filter(
+def _resolved(spark, sf):
+    return P.resolve_policies(plant(spark, sf, "tenants"), policies_df(spark, sf)).filter(
         "org is not null"
     )
-    return G.clearance_matrix(_actors_full(spark, sf), resolved)
 
 
 _CLASS_LIST = "(select unnest([" + ", ".join(
@@ -826,7 +826,7 @@ def _matrix_sql() -> str:
     f"select actor_id, entity_class, action, rule_index, rule_scope from ({_matrix_sql()}) m",
 )
 def clearance_matrix(spark, sf):
-    return _matrix(spark, sf).drop("policy_default")
+    return G.clearance_matrix(_actors_full(spark, sf), _resolved(spark, sf)).drop("policy_default")
 
 
 _JUDGED_SQL = f"""(select q.actor_id, q.doc_id, coalesce({Q.action('j.top')}, 'allow') as action, coalesce(j.classes, '') as classes, j.rule_index, coalesce(j.rule_scope, 'default') as rule_scope
@@ -841,7 +841,9 @@ _JUDGED_SQL = f"""(select q.actor_id, q.doc_id, coalesce({Q.action('j.top')}, 'a
 
 
 def _judged(spark, sf):
-    return G.judge_documents(_reads(spark, sf), _doc_classes(spark, sf), _matrix(spark, sf))
+    return G.judge_documents(
+        _reads(spark, sf), _doc_classes(spark, sf), _actors_full(spark, sf), _resolved(spark, sf)
+    )
 
 
 @query(

@@ -13,6 +13,16 @@ from tarnhelm.operators.spans import BINARY_SUFFIXES
 from tarnhelm.schema import FAMILY_OF, RULE_TYPE
 
 
+def spread(df: DataFrame, waves: int = 4) -> DataFrame:
+    """Even out a scan that has fewer files than the cluster has cores.
+
+    A file with one row group is one task however large the cluster is, and detection is
+    bound by CPU. With enough files the input is returned as it is: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores * waves)
+
+
 def user_text(message: Column) -> Column:
     """Text of a transcript message: a string, or its text and tool-result blocks."""
     content = F.try_variant_get(message, "$.content", "variant")

@@ -1,9 +1,9 @@
 """Structured Streaming forms of the session operators.
 
 Each keeps one small JSON state per key and shares its step with the batch form, so a
-replay of the same events gives the same rows. State leaves after its life time through
-the processing-time timeout; the steps also compare event times, which is what decides
-the result.
+replay of the same events gives the same rows. State leaves through an event-time timeout
+once the watermark has passed its life time; the steps compare event times as well, which
+is what decides the result. Events later than the watermark are dropped.
 """
 
 from __future__ import annotations
@@ -29,13 +29,25 @@ def _ordered(chunks: Iterator, cols: list[str]):
 
 
 def _finish(state: GroupState, value: dict, ttl: int) -> None:
+    """Keep the state until ``ttl`` seconds after its last event."""
+    until = int((value["at"] or 0.0) * 1000) + ttl * 1000
+    if until <= state.getCurrentWatermarkMs():
+        if state.exists:
+            state.remove()
+        return
     state.update((S.dump_state(value),))
-    state.setTimeoutDuration(ttl * 1000)
+    state.setTimeoutTimestamp(until)
+
+
+def _timed(events: DataFrame, watermark: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def risk_stream(events: DataFrame, text: str = "text") -> DataFrame:
+def risk_stream(
+    events: DataFrame, text: str = "text", watermark: str = "10 minutes"
+) -> DataFrame:
     """Risk after every event of a stream (session_id, ts, seq, text)."""
-    inputs = S.risk_inputs(events, text)
+    inputs = S.risk_inputs(_timed(events, watermark), text, keep=["ts"])
     kind = dict(inputs.dtypes)
 
     def run(key, chunks, state: GroupState):
@@ -61,13 +73,15 @@ def risk_stream(events: DataFrame, text: str = "text") -> DataFrame:
     ]
     return inputs.groupBy("session_id").applyInPandasWithState(
         run, f"session_id {kind['session_id']}, seq {kind['seq']}, {S.RISK_SCHEMA}", _STATE,
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def bridge_stream(prompts: DataFrame, text: str = "text") -> DataFrame:
+def bridge_stream(
+    prompts: DataFrame, text: str = "text", watermark: str = "10 minutes"
+) -> DataFrame:
     """Prompt joins of a stream (session_id, ts, seq, text)."""
-    inputs = S.bridge_inputs(prompts, text)
+    inputs = S.bridge_inputs(_timed(prompts, watermark), text, keep=["ts"])
     kind = dict(inputs.dtypes)
 
     def run(key, chunks, state: GroupState):
@@ -90,15 +104,16 @@ def bridge_stream(prompts: DataFrame, text: str = "text") -> DataFrame:
     return inputs.groupBy("session_id").applyInPandasWithState(
         run,
         f"session_id {kind['session_id']}, seq {kind['seq']}, split boolean, classes string",
-        _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout,
+        _STATE, "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def sink_stream(events: DataFrame) -> DataFrame:
+def sink_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Assemblies of a stream (session_id, ts, seq, sink, payload)."""
     c = F.col
-    inputs = events.filter((c("sink") != "") & (F.trim("payload") != "")).select(
-        "session_id", "sink", "seq", S.seconds(c("ts")).alias("at"),
+    timed = _timed(events, watermark)
+    inputs = timed.filter((c("sink") != "") & (F.trim("payload") != "")).select(
+        "session_id", "sink", "seq", "ts", S.seconds(c("ts")).alias("at"),
         F.left("payload", F.lit(S.MAX_ASSEMBLY)).alias("piece"),
         (F.size(S.fragments_of(c("payload"))) > 0).alias("starts"),
     )
@@ -125,7 +140,7 @@ def sink_stream(events: DataFrame) -> DataFrame:
         run,
         f"session_id {kind['session_id']}, sink string, seq {kind['seq']}, pieces int, "
         "assembled string",
-        _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout,
+        _STATE, "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
