@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnhelm.functions.lattice import action_of, rank
+from tarnhelm.schema import FAMILY_OF
 
 
 def _list(col: Column) -> Column:
@@ -152,31 +153,107 @@ def last_match(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).select(*keys, "_m.*")
 
 
+def compile_policies(resolved: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
+    """The rule that speaks for every (tenant, class, leg, destination).
+
+    Rules are ordered lists; which one is the last to match depends on nothing but these
+    four, so it is worked out once per combination instead of once per finding. A null
+    destination stands for every destination that no rule of the tenant names.
+    """
+    c = F.col
+    classes = list(FAMILY_OF) if classes is None else list(classes)
+
+    def named(rules):
+        return F.coalesce(
+            F.flatten(F.transform(rules, lambda r: _list(r["destination"]))),
+            F.array().cast("array<string>"),
+        )
+
+    places = F.array_distinct(
+        F.concat(
+            F.array(F.lit(None).cast("string")), named(c("org.rules")), named(c("bu.rules"))
+        )
+    )
+    legs = F.array(F.lit("inbound"), F.lit("outbound"))
+    grid = (
+        resolved.withColumn("entity_class", F.explode(F.array(*[F.lit(x) for x in classes])))
+        .withColumn("leg", F.explode(legs))
+        .withColumn("destination", F.explode(places))
+    )
+    where = (c("entity_class"), c("leg"), c("destination"))
+    grid = grid.withColumns(
+        {"_oi": _last_index(c("org.rules"), *where), "_bi": _last_index(c("bu.rules"), *where)}
+    )
+    return grid.select(
+        "tenant_id", "entity_class", "leg", "destination", "_oi",
+        F.get("org.rules", c("_oi")).alias("_or"), "_bi",
+        F.get("bu.rules", c("_bi")).alias("_br"),
+        F.struct(
+            *[c(f"org.{f}").alias(f)
+              for f in ("version", "mode", "default", "unregistered_workload")]
+        ).alias("org"),
+        F.when(c("bu").isNotNull(), F.struct(c("bu.version").alias("version"))).alias("bu"),
+    )
+
+
+def decide_findings(findings: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``decide`` for a whole findings table joined to the compiled policies.
+
+    The findings carry tenant_id and the actor columns of ``decide``. Only the one rule
+    per policy that speaks travels with a finding, not the policy. Tenants without an
+    organisation policy have no decision and drop out, as they do upstream with an error.
+    """
+    c = F.col
+    compiled = compile_policies(resolved.filter("org is not null"))
+    extra = ["_oi", "_or", "_bi", "_br", "org", "bu"]
+    keys = ["tenant_id", "entity_class", "leg"]
+    # One row per place; a finding takes its own destination if a rule names it.
+    named = compiled.filter("destination is not null").select(
+        *keys, "destination", F.struct(*extra).alias("_named")
+    )
+    other = compiled.filter("destination is null").select(
+        *keys, F.struct(*extra).alias("_other")
+    )
+    joined = (
+        findings.join(other, keys)
+        .join(named, [*keys, "destination"], "left")
+        .withColumn("_rule", F.coalesce("_named", "_other"))
+    )
+    rows = joined.select(*findings.columns, *[c(f"_rule.{x}").alias(x) for x in extra])
+    return _decide(rows, [x for x in findings.columns if x != "exceptions"])
+
+
 def decide(findings: DataFrame) -> DataFrame:
-    """Decision per finding.
+    """Decision per finding whose row carries its policies.
 
     Needs entity_class, leg, destination, registered, role, groups, org, bu (see
     ``resolve_policies``) and, optionally, ``exceptions`` (approved classes). Everything
-    is a column expression on the joined row: no shuffle, no window.
+    is a column expression on the row: no shuffle, no window.
     """
     c = F.col
-    exceptions = (
-        _list(c("exceptions")) if "exceptions" in findings.columns
-        else F.array().cast("array<string>")
-    )
-    base = F.when(c("registered"), c("org.default")).otherwise(c("org.unregistered_workload"))
     where = (c("entity_class"), c("leg"), c("destination"))
     df = findings.withColumns(
         {
-            "_base": rank(base),
             "_oi": _last_index(c("org.rules"), *where),
             "_bi": _last_index(c("bu.rules"), *where),
         }
     )
     df = df.withColumns({"_or": F.get("org.rules", c("_oi")), "_br": F.get("bu.rules", c("_bi"))})
+    return _decide(df, [x for x in findings.columns if x not in ("org", "bu", "exceptions")])
+
+
+def _decide(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Decision from the speaking rule of each policy (``_or``, ``_br``)."""
+    c = F.col
+    exceptions = (
+        _list(c("exceptions")) if "exceptions" in df.columns
+        else F.array().cast("array<string>")
+    )
+    base = F.when(c("registered"), c("org.default")).otherwise(c("org.unregistered_workload"))
     who = (c("leg"), c("role"), c("groups"), c("destination"))
     df = df.withColumns(
         {
+            "_base": rank(base),
             "_oc": c("_oi").isNotNull() & _is_cleared(c("_or"), *who),
             "_bc": c("_bi").isNotNull() & _is_cleared(c("_br"), *who),
         }
@@ -229,7 +306,6 @@ def decide(findings: DataFrame) -> DataFrame:
         ),
         lambda t: t.isNotNull(),
     )
-    keep = [x for x in findings.columns if x not in ("org", "bu", "exceptions")]
     return df.select(
         *keep,
         action_of(final).alias("action"),

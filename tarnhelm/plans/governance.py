@@ -204,16 +204,28 @@ def _decide_sql() -> str:
 
 
 def decisions_df(spark, sf):
-    resolved = P.resolve_policies(plant(spark, sf, "tenants"), policies_df(spark, sf)).filter(
-        "org is not null"
+    f = findings_df(spark, sf).withColumn(
+        "exceptions",
+        F.when(F.col("actor_id") % 17 == 3, F.array(F.lit("PAN"))).otherwise(
+            F.array().cast("array<string>")
+        ),
     )
-    f = findings_df(spark, sf).join(resolved, "tenant_id").withColumn(
+    return P.decide_findings(f, _resolved(spark, sf))
+
+
+@query(
+    "policy_decide_rows",
+    f"""select request_id, ord, action, rule_index, rule_scope from ({_decide_sql()}) d""",
+)
+def policy_decide_rows(spark, sf):
+    """The same decision with the whole policies on every row, as ``decide`` takes them."""
+    f = findings_df(spark, sf).join(_resolved(spark, sf), "tenant_id").withColumn(
         "exceptions",
         F.when(F.col("actor_id") % 17 == 3, F.array(F.lit("PAN"))).otherwise(
             F.array().cast("array<string>")
         ),
     )
-    return P.decide(f)
+    return P.decide(f).select("request_id", "ord", "action", "rule_index", "rule_scope")
 
 
 @query(
