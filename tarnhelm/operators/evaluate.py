@@ -311,12 +311,14 @@ def cap_escalations(
     within = ranked.filter(F.col("_r") <= per).drop("_r")
     first = [F.desc("in_band")] if "in_band" in features.columns else []
     kept = within.orderBy(*first, *keys, order).limit(cap)
-    counts = ranked.agg(
-        F.count("*").alias("offered"),
-        F.count_if(F.col("_r") > per).alias("over_request_cap"),
-        F.greatest(F.count_if(F.col("_r") <= per) - cap, F.lit(0)).alias("dropped"),
+    # Counting needs no order: sizes per request come from a partial aggregation.
+    n = F.col("_n")
+    sums = features.groupBy(*keys).agg(F.count("*").alias("_n")).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("offered"),
+        F.coalesce(F.sum(F.greatest(n - per, F.lit(0))), F.lit(0)).alias("over_request_cap"),
     )
-    return kept, counts
+    left = F.col("offered") - F.col("over_request_cap")
+    return kept, sums.withColumn("dropped", F.greatest(left - cap, F.lit(0)))
 
 
 def top_k(df: DataFrame, key: str, k: int, ties: Sequence[str] = ()) -> DataFrame:

@@ -446,22 +446,25 @@ def leak_sweep(tables: dict[str, DataFrame], literals: DataFrame) -> DataFrame:
         else:
             rows = df.select(whole.alias("_w")).withColumn("_row", F.sha2("_w", 256))
             starts = F.sequence(F.lit(1), F.greatest(F.length("_w") - GRAM + 1, F.lit(1)))
-            pieces = rows.select(
+            # Only (row, position, gram) travels; the text is met again where grams agree.
+            grams = rows.select(
                 "_row",
-                F.explode(
-                    F.transform(
-                        starts,
-                        lambda i: F.struct(
-                            F.substring("_w", i, F.lit(GRAM)).alias("g"),
-                            F.substring("_w", i, F.lit(LONGEST_LITERAL)).alias("rest"),
-                        ),
-                    )
-                ).alias("_p"),
-            ).select("_row", F.col("_p.g").alias("_gram"), F.col("_p.rest").alias("_rest"))
+                F.posexplode(
+                    F.transform(starts, lambda i: F.substring("_w", i, F.lit(GRAM)))
+                ).alias("_at", "_gram"),
+            )
+            near = grams.join(
+                wanted.withColumn("_gram", F.left("_esc", F.lit(GRAM))), "_gram"
+            ).drop("_gram")
+            # Equal rows share a key, so each counts as often as it occurs.
             found = (
-                pieces.join(wanted.withColumn("_gram", F.left("_esc", F.lit(GRAM))), "_gram")
-                .filter(F.startswith("_rest", F.col("_esc")))
-                .select("_row", "literal").distinct()
+                rows.groupBy("_row").agg(F.first("_w").alias("_w"), F.count("*").alias("_times"))
+                .join(near, "_row")
+                .filter(
+                    F.substring("_w", F.col("_at") + 1, F.length("_esc")) == F.col("_esc")
+                )
+                .select("_row", "literal", "_times").distinct()
+                .select("literal", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
             )
         parts.append(
             found.groupBy("literal").agg(F.count("*").alias("rows"))

@@ -326,20 +326,30 @@ def _decide(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def active_exceptions(exceptions: DataFrame, requests: DataFrame) -> DataFrame:
     """Approved, unexpired exception classes per request as a sorted array.
 
-    Tenant-wide and per-actor exceptions are two equi-joins, so the actor side never
-    multiplies a tenant's rows.
+    Exceptions are folded first: per tenant, and per tenant and actor, the latest expiry
+    of each class. A request then meets at most one row of either and is not multiplied.
     """
     live = exceptions.filter("approved_by is not null")
-    wide = live.filter("actor_id is null").select("tenant_id", "entity_class", "expires_at")
-    own = live.filter("actor_id is not null").select(
-        "tenant_id", "actor_id", "entity_class", "expires_at"
-    )
-    r = requests.select("request_id", "tenant_id", "actor_id", "decided_at")
-    hits = r.join(wide, "tenant_id").unionByName(
-        r.join(own, ["tenant_id", "actor_id"]).select(*r.columns, "entity_class", "expires_at")
+
+    def folded(df, keys, name):
+        latest = df.groupBy(*keys, "entity_class").agg(F.max("expires_at").alias("expires_at"))
+        return latest.groupBy(*keys).agg(
+            F.collect_list(F.struct("entity_class", "expires_at")).alias(name)
+        )
+
+    wide = folded(live.filter("actor_id is null"), ["tenant_id"], "_wide")
+    own = folded(live.filter("actor_id is not null"), ["tenant_id", "actor_id"], "_own")
+    empty = F.array().cast(wide.schema["_wide"].dataType)
+    both = F.concat(F.coalesce("_wide", empty), F.coalesce("_own", empty))
+    classes = F.transform(
+        F.filter(both, lambda e: e["expires_at"] > F.col("decided_at")),
+        lambda e: e["entity_class"],
     )
-    return hits.filter("expires_at > decided_at").groupBy("request_id").agg(
-        F.sort_array(F.collect_set("entity_class")).alias("exceptions")
+    return (
+        requests.select("request_id", "tenant_id", "actor_id", "decided_at")
+        .join(wide, "tenant_id", "left").join(own, ["tenant_id", "actor_id"], "left")
+        .select("request_id", F.sort_array(F.array_distinct(classes)).alias("exceptions"))
+        .filter(F.size("exceptions") > 0)
     )
 
 
