@@ -170,10 +170,11 @@ def credential_hits(
 
 
 def credential_gate(text: Column) -> Column:
-    """One pass over the text for any credential prefix."""
-    return text.rlike(
-        r"sk-|gh[pousr]_|A[KS]IA|AIza|xox[a-z]-|[sr]k_(?:live|test)_|rzp_(?:live|test)_"
-        r"|eyJ|-----BEGIN|[a-z]://[^\s:/@]+:"
+    """Any credential prefix. Substring tests are far cheaper than one alternation."""
+    return _mentions(
+        text,
+        ("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "ASIA", "AIza", "xox",
+         "_live_", "_test_", "eyJ", "-----BEGIN", "://"),
     )
 
 
@@ -297,11 +298,11 @@ def shape_hits(text: Column, only: Sequence[str] | None = None) -> Column:
 
 
 def shape_gate(text: Column) -> Column:
-    """Any run a shape could start with: ten dense characters or a UPI handle."""
-    return text.rlike(
-        r"[A-Z]{5}[0-9]{4}|[A-Za-z0-9+/=_-]{24}|[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
-        r"|[A-Z]{4}0[0-9A-Z]{6}|[A-Z]{3}[0-9]{7}|sk-ant-|@(?:"
-        + "|".join(UPI_HANDLES) + ")"
+    """A digit run, a dense run or an anchor that every shape needs."""
+    return (
+        text.rlike(r"[0-9]{4}|[A-Z]{4}0[0-9A-Z]|[A-Za-z0-9+/=_-]{24}")
+        | F.contains(text, F.lit("sk-ant-"))
+        | (F.contains(text, F.lit("@")) & text.rlike("@(?:" + "|".join(UPI_HANDLES) + ")"))
     )
 
 
@@ -408,9 +409,11 @@ def context_hits(
 
 
 def context_gate(text: Column) -> Column:
-    return text.rlike(
-        r"(?i)pass|pwd|secret|token|key|cred|authorization|session|bearer"
-    ) & text.rlike(r"[=:]|--")
+    words = ("pass", "pwd", "secret", "token", "key", "cred", "authorization", "session",
+             "bearer")
+    return _mentions(text, ("=", ":", "--")) & bind(
+        F.lower(text), lambda low: _mentions(low, words)
+    )
 
 
 def table_hits(text: Column, max_rows: int | None = None) -> Column:
@@ -571,7 +574,11 @@ CODECS = (
     Codec("unicode_escape", r"(?:\\u[0-9a-fA-F]{4}){10,}", _from_escapes, None),
 )
 MIN_DECODED = 20
-ENCODED_GATE = r"[A-Za-z0-9+/_-]{32}|(?:[0-9a-fA-F]{2}){20}|(?:\\u[0-9a-fA-F]{4}){10}"
+ENCODED_GATE = r"[A-Za-z0-9+/_-]{32}"
+
+
+def encoded_gate(text: Column) -> Column:
+    return text.rlike(ENCODED_GATE) | F.contains(text, F.lit("\\u"))
 
 
 def _decodings(text: Column, max_candidates: int | None) -> Column:
@@ -619,7 +626,7 @@ def encoded_hits(
             return direct
         return F.when(F.size(direct) > 0, direct).otherwise(
             F.when(
-                d["text"].rlike(ENCODED_GATE),
+                encoded_gate(d["text"]),
                 encoded_hits(d["text"], depth, inner, max_candidates, _level + 1),
             ).otherwise(no_hits())
         )
@@ -642,10 +649,6 @@ def encoded_hits(
     return F.flatten(F.transform(_decodings(text, max_candidates), rescan)).cast(HITS_TYPE)
 
 
-def encoded_gate(text: Column) -> Column:
-    return text.rlike(ENCODED_GATE)
-
-
 # ------------------------------------------------------------------- obfuscated
 
 # Characters that render as nothing, and the widest gap between two
@@ -744,7 +747,7 @@ def obfuscated_hits(text: Column, how: str | None = None) -> Column:
 
 
 def obfuscated_gate(text: Column) -> Column:
-    return text.rlike(f"[{ZERO_WIDTH}]|{_loose('sk-ant-')}")
+    return _mentions(text, tuple(ZERO_WIDTH)) | text.rlike(_loose("sk-ant-"))
 
 
 # ------------------------------------------------------------------ assembling
@@ -774,10 +777,10 @@ def detect(
 ) -> DataFrame:
     """Findings of the given detectors, one row each. The text column is dropped."""
     keys = [c for c in spans.columns if c != text] if keys is None else list(keys)
-    gate = detectors[0].gate(F.col(text))
-    for d in detectors[1:]:
-        gate = gate | d.gate(F.col(text))
-    rows = spans.filter(gate).select(
+    # The gates sit inside the expression, so every text is tested once per detector.
+    # explode_outer: a plain explode would make the optimizer repeat the whole expression
+    # in a filter below it.
+    rows = spans.select(
         *keys, F.explode_outer(hits_of(F.col(text), detectors)).alias("_hit")
     )
     return rows.filter("_hit is not null").select(

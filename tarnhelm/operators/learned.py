@@ -43,6 +43,8 @@ class LearnedRule:
     rationale: str = ""
     charset: str | None = None
     support: int = 1
+    #: A literal every match of the pattern contains; lets most texts skip the regex.
+    needs: str | None = None
 
     @property
     def key(self) -> str:
@@ -134,11 +136,12 @@ def learned_detector(rules: Sequence[LearnedRule]) -> Detector:
     def gate(text: Column) -> Column:
         conds = []
         for r in rules:
-            conds.extend(
-                [text.rlike(r.pattern)]
-                if r.pattern
-                else [F.contains(text, F.lit(a)) for a in r.anchors]
-            )
+            if not r.pattern:
+                conds.extend(F.contains(text, F.lit(a)) for a in r.anchors)
+            elif r.needs:
+                conds.append(F.contains(text, F.lit(r.needs)) & text.rlike(r.pattern))
+            else:
+                conds.append(text.rlike(r.pattern))
         return _any(conds)
 
     return Detector("learned", gate, lambda text: learned_hits(text, rules))
@@ -348,7 +351,7 @@ def baseline_rules(spark: SparkSession, rules: Sequence[LearnedRule]) -> DataFra
 # Two rules that fit plain business text.
 EMAIL_RULE = LearnedRule(
     "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", min_len=6, max_len=254,
-    confidence=0.6,
+    confidence=0.6, needs="@",
 )
 CARD_RULE = LearnedRule(
     "CREDIT_CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}", min_len=13,
