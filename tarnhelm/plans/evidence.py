@@ -542,10 +542,41 @@ def document_shapes(spark, sf):
     return RD.read_documents(d, "n").select("doc_id", F.md5("text").alias("digest"))
 
 
+def _has_fragment(text: str) -> str:
+    """Number of runs that look like a piece of a secret."""
+    run = S.RUN.strip("()")
+    return (
+        f"len(list_filter(regexp_extract_all({text}, {Q.lit(run)}), "
+        f"lambda r: regexp_matches(right(r, 64), {Q.lit(S.PARTIAL_ANCHOR)})))"
+    )
+
+
+def _risk_sql(blocked: str, calls: str | None = None) -> str:
+    """Session risk after every call, one recursion step per event of a session."""
+    return f"""(
+      with recursive e as (select session_id, seq, epoch(ts) as tsec, cast({_has_fragment('text')} > 0 as int) as frag,
+          cast(regexp_matches(text, '[A-Za-z0-9+/=_-]{{16}}') as int) as ent, cast({blocked} as int) as blk,
+          regexp_extract_all(text, '>>\\s*(\\S+)', 1)[1] as tgt, row_number() over (partition by session_id order by ts, seq) as k from {calls or _CALLS} c),
+      st as (
+        select distinct session_id, cast(0 as bigint) as k, cast(-1 as bigint) as seq, cast(null as double) as tsec,
+          0.0::double as f, 0.0::double as r, 0.0::double as n, 0.0::double as b, []::varchar[] as targets from e
+        union all
+        select session_id, k, seq, tsec, f0 * w + frag, r0 * w + (case when tgt is not null and list_contains(t0, tgt) then 1 else 0 end), n0 * w + ent, b0 * w + blk,
+          case when tgt is null or list_contains(t0, tgt) then t0 else list_append(t0, tgt)[-8:] end
+        from (select e.*, case when s.tsec is null or e.tsec - s.tsec > 7200 then 1.0 else power(0.5, greatest(e.tsec - s.tsec, 0) / 1200.0) end as w,
+            case when s.tsec is null or e.tsec - s.tsec > 7200 then 0 else s.f end as f0, case when s.tsec is null or e.tsec - s.tsec > 7200 then 0 else s.r end as r0,
+            case when s.tsec is null or e.tsec - s.tsec > 7200 then 0 else s.n end as n0, case when s.tsec is null or e.tsec - s.tsec > 7200 then 0 else s.b end as b0,
+            case when s.tsec is null or e.tsec - s.tsec > 7200 then [] else s.targets end as t0
+          from st s join e on e.session_id = s.session_id and e.k = s.k + 1) x)
+      select session_id, seq, round(v, 3) as risk, case when v >= 0.75 then 'high' when v >= 0.35 then 'medium' else 'low' end as band,
+        cast(case when v >= 0.75 then 10 when v >= 0.35 then 6 else 3 end as int) as fragments, v >= 0.75 as escalate
+      from (select *, greatest(0.0, least(1.0, 0.30 * least(f, 4) + 0.18 * least(r, 4) + 0.05 * least(n, 4) + 0.25 * least(b, 2))) as v from st where k > 0) z)"""
+
+
 # ---------------------------------------------------------------------- sessions
 
 
-@query("session_risk")
+@query("session_risk", f"select * from {_risk_sql('seq % 40 = 0')} r")
 def session_risk(spark, sf):
     calls = _calls(spark, sf).withColumn("blocked", F.col("seq") % 40 == 0)
     return S.session_risk(calls)
@@ -563,11 +594,21 @@ def risk_signals(spark, sf):
 
 
 _SINK_ROWS = f"""(select *, sum(case when prev is null or epoch(ts) - epoch(prev) > 3600 then 1 else 0 end) over (partition by session_id, sink order by ts, seq) as seg
-    from (select *, lag(ts) over (partition by session_id, sink order by ts, seq) as prev, regexp_matches(payload, '(^|[^A-Za-z0-9+/=_.-])sk-ant-') as starts
+    from (select *, lag(ts) over (partition by session_id, sink order by ts, seq) as prev, {_has_fragment('payload')} > 0 as starts
       from {_CALLS} c where sink <> '' and trim(payload) <> '') p)"""
 
 
-@query("sink_assembly")
+#: Twelve pieces of this input stay below 512 characters, so the count decides alone.
+_ASSEMBLED = f"""(select session_id, sink, seq, pieces, assembled from (
+    select session_id, sink, seq, cast(count(*) over w as int) as pieces, string_agg(payload, '') over w as assembled from (
+      select *, bool_or(starts) over (partition by session_id, sink, seg order by ts, seq) as started from {_SINK_ROWS} s0) s1 where started
+    window w as (partition by session_id, sink, seg order by ts, seq rows between 11 preceding and current row)) s2 where pieces >= 2)"""
+
+
+@query(
+    "sink_assembly",
+    f"select session_id, sink, seq, pieces, md5(assembled) as digest from {_ASSEMBLED} a",
+)
 def sink_assembly(spark, sf):
     """Assembled writes per destination, by length and digest."""
     return S.sink_assembly(_calls(spark, sf)).select(
@@ -619,21 +660,45 @@ def prompt_bridge_hits(spark, sf):
     )
 
 
-@query("fragment_bridge")
+_RUNS = S.RUN.strip("()")
+
+
+@query(
+    "fragment_bridge",
+    f"""select session_id, seq, cast(least(lag_frags, 3) * runs as int) as joins from (
+          select session_id, seq, least(len(regexp_extract_all(text, {Q.lit(_RUNS)})), 24) as runs, epoch(ts) as tsec,
+            lag({_has_fragment('text')}) over (partition by session_id order by ts, seq) as lag_frags,
+            lag(epoch(ts)) over (partition by session_id order by ts, seq) as before from {_CALLS} c) t
+        where lag_frags > 0 and tsec - before <= 3600""",
+)
 def fragment_bridge(spark, sf):
     return S.fragment_bridge(_calls(spark, sf)).select(
         "session_id", "seq", F.size("joins").alias("joins")
     )
 
 
-@query("call_trace")
+@query(
+    "call_trace",
+    f"""select c.tool, false as own_block, coalesce(a.hit, false) as split, not coalesce(a.hit, false) as allow, r.band, count(*) as calls
+        from {_CALLS} c join {_risk_sql('false')} r on r.session_id = c.session_id and r.seq = c.seq
+        left join (select session_id, seq, regexp_matches(assembled, 'sk-ant-[A-Za-z0-9_-]{{20,}}') as hit from {_ASSEMBLED} a0) a
+          on a.session_id = c.session_id and a.seq = c.seq group by all""",
+)
 def call_trace(spark, sf):
     return S.call_trace(_calls(spark, sf)).groupBy("tool", "own_block", "split", "allow", "band").agg(
         F.count("*").alias("calls")
     )
 
 
-@query("risk_records")
+_SHAPE = "list_filter(regexp_extract_all(c.text, " + Q.lit(_RUNS) + "), lambda r: regexp_matches(right(r, 64), " + Q.lit(S.PARTIAL_ANCHOR) + "))[1:3]"
+
+
+@query(
+    "risk_records",
+    f"""select substr(cast(c.session_id as varchar), 1, 8) as session, c.seq, c.tool, r.risk, r.band,
+          array_to_string(list_transform({_SHAPE}, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g')), ',') as shapes
+        from {_CALLS} c join {_risk_sql('true')} r on r.session_id = c.session_id and r.seq = c.seq where r.escalate""",
+)
 def risk_records(spark, sf):
     calls = _calls(spark, sf).withColumn("blocked", F.lit(True))
     out = S.risk_records(calls, S.session_risk(calls))
@@ -684,7 +749,11 @@ def coverage_stream(spark, sf):
     )
 
 
-@query("session_risk_stream")
+_STREAM_CALLS = """(select user_id as session_id, ts, event_id as seq,
+    case when event_id % 6 = 0 then concat('echo sk-an >> /tmp/f', cast(user_id % 3 as varchar)) else event_type end as text from events)"""
+
+
+@query("session_risk_stream", f"select * from {_risk_sql('false', _STREAM_CALLS)} r")
 def session_risk_stream(spark, sf):
     """Session risk computed by a stream over the event file."""
     from tarnhelm.streaming.sessions import risk_stream
