@@ -124,10 +124,10 @@ def text_keys(spark, sf):
 # ------------------------------------------------------------------ credentials
 
 
-def _credential_sql() -> str:
+def _credential_sql(src: str | None = None) -> str:
     parts = []
+    src = src or f"(select doc_id, text from {plant_sql('credential_text')} p)"
     for s in D.CREDENTIAL_SHAPES:
-        src = f"(select doc_id, text from {plant_sql('credential_text')} p)"
         m = Q.matches(src, s.pattern)
         body = f"regexp_replace(value, {Q.lit(s.prefix)}, '')"
         ok = "true"
@@ -174,19 +174,6 @@ def detect_anthropic_key(spark, sf):
     return D.detect(spans, (det,)).select("doc_id", "start", "end", "confidence")
 
 
-@query(
-    "detect_all_documents",
-    None,
-)
-def detect_all_documents(spark, sf):
-    """Every detector over every document and page, long texts in overlapping pieces."""
-    docs = read(spark, sf, "documents").select("doc_id", "text")
-    detectors = (*D.ALL_DETECTORS, L.learned_detector(L.TEXT_RULES))
-    return D.detect_all(docs, ["doc_id"], detectors=detectors).groupBy("entity_class", "detector").agg(
-        F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents")
-    )
-
-
 # ----------------------------------------------------------------------- shapes
 
 _IDS = f"(select doc_id, text from {plant_sql('identifier_text')} p)"
@@ -633,3 +620,30 @@ def validate_rules(spark, sf):
     return L.validate_rules(proposals).select(
         "p_partkey", F.coalesce("reason", F.lit("accepted")).alias("outcome"), "confidence"
     )
+
+
+_DOCS = "(select doc_id, text from documents)"
+_RULE_KEYS = " ".join(
+    f"when '{r.entity_class}' then {Q.lit(r.key)}" for r in L.TEXT_RULES
+)
+
+
+def _all_documents_sql() -> str:
+    """Credentials, shapes, UPI handles, key/value pairs and learned rules over whole
+    documents. These tables hold no pipe tables, records, encoded or broken-up keys; the
+    detectors for those are compared on planted text."""
+    return f"""select entity_class, detector, count(*) as findings, count(distinct doc_id) as documents from (
+        select distinct doc_id, s, e, entity_class, case entity_class {_RULE_KEYS} end as detector from ({_learned_sql()}) l
+        union all select doc_id, start, "end", entity_class, 's0:' || lower(entity_class) from ({_credential_sql(_DOCS)}) c
+        union all select doc_id, s, e, entity_class, shape from ({_shape_sql(_DOCS)}) h
+        union all select doc_id, s, e2, 'GENERIC_SECRET', detector from ({_context_sql(_DOCS)}) x) t group by 1, 2"""
+
+
+@query("detect_all_documents", _all_documents_sql())
+def detect_all_documents(spark, sf):
+    """Every detector over every document, long texts in overlapping pieces."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    detectors = (*D.ALL_DETECTORS, L.learned_detector(L.TEXT_RULES))
+    return D.detect_all(docs, ["doc_id"], detectors=detectors).groupBy(
+        "entity_class", "detector"
+    ).agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"))
