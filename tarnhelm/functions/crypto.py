@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnhelm.functions.text import bind, strip_space
+
 _BLOCK = 64
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz234567"
 
@@ -33,17 +35,22 @@ def hmac_hex(key: bytes, message: Column) -> Column:
 
 def base32_prefix(mac_hex: Column, width: Column | int) -> Column:
     """First ``width`` (1-12) base32 characters of a hex digest, lower case."""
-    bits = F.conv(F.substring(mac_hex, 1, 15), 16, 10).cast("bigint")
-    picks = [
-        F.substring(
-            F.lit(_ALPHABET),
-            (F.shiftright(bits, 55 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"),
-            F.lit(1),
+    longest = width if isinstance(width, int) else 12
+
+    def spell(bits: Column) -> Column:
+        return F.concat(
+            *[
+                F.substring(
+                    F.lit(_ALPHABET),
+                    (F.shiftright(bits, 55 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"),
+                    F.lit(1),
+                )
+                for i in range(longest)
+            ]
         )
-        for i in range(12)
-    ]
-    full = F.concat(*picks)
-    return F.substring(full, F.lit(1), F.lit(width) if isinstance(width, int) else width)
+
+    full = bind(F.conv(F.substring(mac_hex, 1, 15), 16, 10).cast("bigint"), spell)
+    return full if isinstance(width, int) else F.substring(full, F.lit(1), width)
 
 
 def text_key(key: bytes, tenant: Column, pack_version: Column | int, text: Column) -> Column:
@@ -54,8 +61,6 @@ def text_key(key: bytes, tenant: Column, pack_version: Column | int, text: Colum
 
 def normalise(entity_class: Column, value: Column) -> Column:
     """Spelling that two mentions of one value share, per class."""
-    from tarnhelm.functions.text import strip_space
-
     v = strip_space(value)
     return (
         F.when(entity_class.isin("EMAIL", "UPI_VPA"), F.lower(v))
