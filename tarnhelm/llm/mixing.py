@@ -150,10 +150,10 @@ l as (
 t as (
   select source, source_size, weight, cap,
     first_value(case when level * weight < cap then level end ignore nulls) over (
-      order by cap / weight, source nulls last) as at from l),
+      order by cap / weight, source nulls last) as lev from l),
 p as (
   select source, source_size,
-    case when at is null then cap else least(cap, at * weight) end as target from t),
+    case when lev is null then cap else least(cap, lev * weight) end as target from t),
 r as (
   select d.doc_id, d.size, p.source_size, p.target,
     case when p.source_size = 0 then 0 else floor(p.target / p.source_size) end as rounds,
