@@ -108,19 +108,15 @@ def with_next(docs: DataFrame, add: dict) -> DataFrame:
         F.lead("_block").over(W.orderBy("_block")),
         F.min("_block").over(W.partitionBy())).alias("_block"))
     handed = (
-        docs.withColumn("_k", key).join(small(chain), "_k").withColumns(add)
-        .select("_block", F.struct("text", *add).alias("_handed"))
-        .groupBy("_block").agg(F.max("_handed").alias("_handed"))
+        docs.withColumn("_k", key).join(small(chain), "_k")
+        .groupBy("_block").agg(F.max("text").alias("text"))
     )
-    rows = docs.withColumn("_block", block).withColumns(add)
-    inside = W.partitionBy("_block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumns({
-        "_first": F.row_number().over(inside) == 1,
-        "next": F.lag(F.struct("text", *add)).over(inside)})
-    edge = handed.withColumnRenamed("_block", "_edge")
-    rows = rows.withColumn("_edge", F.when(F.col("_first"), F.col("_block")))
-    return rows.join(edge, "_edge", "left").withColumn(
-        "next", F.coalesce("_handed", "next")).drop("_block", "_edge", "_first", "_handed")
+    # The row handed over stands before the block's own rows, so one shuffle serves all.
+    rows = docs.select("*", block.alias("_block"), F.lit(True).alias("_own")).unionByName(
+        handed.select("_block", "text", F.lit(False).alias("_own")), allowMissingColumns=True)
+    inside = W.partitionBy("_block").orderBy("_own", F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.withColumns(add).withColumn("next", F.lag(F.struct("text", *add)).over(inside))
+    return rows.where("_own").drop("_block", "_own")
 
 
 def edited(text: Column, following: Column) -> Column:
