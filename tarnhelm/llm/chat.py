@@ -7,7 +7,7 @@ tasks. Messages are rendered one by one; only reading back a whole conversation
 in order, as a stream with constant memory.
 
 A rendered turn is ``<s>[role]``, a line feed, the text, ``</s>`` and a line feed. Inside role and
-text a backslash precedes every backslash, ``<`` and ``[``, so no control string of this or a
+text a backslash precedes every backslash, ``<``, ``[`` and ``]``, so no control string of this or a
 similar template can occur there and the change can be undone.
 
 Null roles and texts count as empty; events with a null payload add nothing. Rows of equal conv_id
@@ -30,6 +30,7 @@ from tarnhelm.llm.common import table
 
 TRAINED = "assistant"
 PIECE = 200
+HEAD = re.compile(r"<s>\[((?:\\.|[^\\\]])*)\]\n", re.S)
 UNESCAPE = re.compile(r"\\(.)", re.S)
 MESSAGE = ["conv_id", "turn", "part"]
 
@@ -72,7 +73,7 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\<\[])", r"\\$1")
+    return F.regexp_replace(text, r"([\\<\[\]])", r"\\$1")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -117,7 +118,8 @@ def read_back(rendered: DataFrame) -> DataFrame:
                 if state is None or c != conv:
                     close()
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, body = text.removeprefix("<s>[").removesuffix("</s>\n").split("]\n", 1)
+                head = HEAD.match(text)
+                role, body = head[1], text[head.end():].removesuffix("</s>\n")
                 plain = f"{UNESCAPE.sub(r'\1', role)}\n{UNESCAPE.sub(r'\1', body)}\n"
                 state[0] += 1
                 state[1].update(plain.encode())
@@ -162,7 +164,7 @@ select conv_id, count(*) as n_turns,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
   sha256(string_agg(case when role = 'assistant' then text else '' end, ''
     order by turn nulls first, role, text)) as loss_sha256,
-  sum(11 + length(regexp_replace(role || text, '([\\<\[])', '\\\1', 'g')))::bigint
+  sum(11 + length(regexp_replace(role || text, '([\\<\[\]])', '\\\1', 'g')))::bigint
     as formatted_chars
 from c group by conv_id
 """

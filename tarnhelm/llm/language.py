@@ -34,6 +34,8 @@ SMOOTHING = 0.1
 UNKNOWN = 1e-9
 #: Longest word whose probabilities are kept unscaled.
 LONG = 48
+#: Log probability below which a word is computed again with rescaled sums.
+FAINT = -600.0
 #: Characters of text scored at once.
 CHUNK = 4_000_000
 UNDETERMINED = "und"
@@ -133,7 +135,8 @@ class Forward:
         short = np.flatnonzero(sizes <= LONG)
         if len(short):
             out[short] = self.short([words[i] for i in short], sizes[short])
-        for i in np.flatnonzero(sizes > LONG):
+        # Long or very unlikely words would fall below what a double can hold.
+        for i in np.flatnonzero((sizes > LONG) | (out.min(axis=1) < FAINT)):
             out[i] = self.long(words[i])
         return out
 

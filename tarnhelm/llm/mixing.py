@@ -106,23 +106,42 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
                 F.coalesce(F.shiftleft("bucket", shift), F.col("low")).alias("low"),
             )
         )
-    return state.select(
-        "source", "source_size", "target", "rounds", F.col("low").alias("cut"))
+    whole = F.col("target") <= F.col("rounds") * F.col("source_size")
+    return state.select("source", "source_size", "target", "rounds",
+                        F.when(whole, 0).otherwise(F.col("low")).alias("cut"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """``docs`` with size, source_size, target and times (how often the mix takes the document)."""
+def plan_for(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """Per source (``_m_s``): source_size, target, rounds and cut."""
     rows = keep(docs.select(
         "source", place(F.col("doc_id")).alias("place"), n_words(F.col("text")).alias("size")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = small(thresholds(rows, targets(sizes, weights, share, most))
-                 .withColumnRenamed("source", "_m_s"))
-    own = docs.select(
-        [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "times")])
-    out = own.withColumn("size", n_words(F.col("text"))).join(
-        plan, F.col("source").eqNullSafe(F.col("_m_s")), "left")
-    times = F.col("rounds") + (place(F.col("doc_id")) < F.col("cut")).cast("bigint")
-    return out.withColumn("times", times).drop("_m_s", "rounds", "cut")
+    plan = thresholds(rows, targets(sizes, weights, share, most))
+    return small(plan.withColumnRenamed("source", "_m_s"))
+
+
+def times() -> Column:
+    """How often the mix takes a document that is joined with its source's plan."""
+    return F.col("rounds") + (place(F.col("doc_id")) < F.col("cut")).cast("bigint")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """(doc_id, size, source_size, target, times): ``times`` is how often the mix takes it."""
+    plan = plan_for(docs, weights, share, most)
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_m_s")), "left")
+    return rows.select("doc_id", "size", "source_size", "target", times().alias("times"))
+
+
+def take(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """The mixed table: every row of ``docs`` as often as the mix takes it."""
+    plan = plan_for(docs, weights, share, most)
+    names = {c: f"_d_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(
+        "doc_id", "source", *[F.col(c).alias(n) for c, n in names.items()])
+    rows = renamed.join(plan, F.col("source").eqNullSafe(F.col("_m_s")), "left")
+    rows = rows.withColumn("_m_t", F.explode(F.array_repeat(F.lit(1), times().cast("int"))))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
