@@ -33,11 +33,15 @@ def hmac_hex(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer_pad)), F.unhex(inner)), 256)
 
 
+#: Base32 characters of a digest that a token can have.
+LONGEST_TOKEN = 48
+
+
 def base32_prefix(mac_hex: Column, width: Column | int) -> Column:
-    """First ``width`` (1-12) base32 characters of a hex digest, lower case."""
-    longest = width if isinstance(width, int) else 12
+    """First ``width`` (1 to LONGEST_TOKEN) base32 characters of a hex digest, lower case."""
+    longest = width if isinstance(width, int) else LONGEST_TOKEN
 
-    def spell(bits: Column) -> Column:
+    def spell(bits: Column, n: int) -> Column:
         return F.concat(
             *[
                 F.substring(
@@ -45,11 +49,16 @@ def base32_prefix(mac_hex: Column, width: Column | int) -> Column:
                     (F.shiftright(bits, 55 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"),
                     F.lit(1),
                 )
-                for i in range(longest)
+                for i in range(n)
             ]
         )
 
-    full = bind(F.conv(F.substring(mac_hex, 1, 15), 16, 10).cast("bigint"), spell)
+    def block(k: int) -> Column:
+        # Twelve characters are 60 bits, that is 15 hexadecimal digits.
+        digits = F.conv(F.substring(mac_hex, 1 + 15 * k, 15), 16, 10).cast("bigint")
+        return bind(digits, lambda bits: spell(bits, min(12, longest - 12 * k)))
+
+    full = F.concat(*[block(k) for k in range(-(-longest // 12))])
     return full if isinstance(width, int) else F.substring(full, F.lit(1), width)
 
 

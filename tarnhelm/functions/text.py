@@ -30,50 +30,79 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def find_all(text: Column, pattern: str, before: int = 1, after: int = 1) -> Column:
+def find_all(
+    text: Column, pattern: str, before: int = 1, after: int = 1, shortest: int = 1
+) -> Column:
     """Every non-overlapping match with code-point offsets and bounded context.
 
-    One regex pass puts marks around the matches; splitting at a mark is a plain
-    character split, and the running length of the pieces gives the offsets. ``before``
-    and ``after`` are how many neighbouring characters to carry along, which lets the
-    caller drop the text.
+    One regex pass puts marks around the matches. Splitting at a mark is a plain character
+    split, and the places of the marks, less the marks before them, are the offsets.
+    ``before`` and ``after`` are how many neighbouring characters to carry along, which lets
+    the caller drop the text; they come from the neighbouring pieces, so the work is in
+    proportion to the text however many matches it has. ``shortest`` is the least length of a
+    match and bounds how many pieces a context can span.
     """
     clean = F.when(
         F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)),
         F.translate(text, _OPEN + _CLOSE, _SPARE + _SPARE),
     ).otherwise(text)
-    pieces = F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
-
-    def step(acc, piece):
-        lo = acc["pos"]
-        value = F.substring_index(piece, _CLOSE, 1)
-        hi = lo + F.length(value)
-        left = F.greatest(lo - F.lit(before), F.lit(0))
-        hit = F.struct(
-            lo.alias("start"),
-            hi.alias("end"),
-            value.alias("value"),
-            F.substring(text, left + 1, lo - left).alias("before"),
-            F.substring(text, hi + 1, F.lit(after)).alias("after"),
+    none = F.array().cast(MATCH_TYPE)
+
+    def plain(p):
+        return F.replace(p, F.lit(_CLOSE), F.lit(""))
+
+    def described(pieces, marks, left, right):
+        """Arrays with one element per match, read side by side."""
+        def match(z, i):
+            piece = z["piece"]
+            value = F.substring_index(piece, _CLOSE, 1)
+            lo = z["mark"] - 2 * i
+            rest = F.substring(piece, F.length(value) + 2, F.lit(after))
+            return F.struct(
+                lo.alias("start"),
+                (lo + F.length(value)).alias("end"),
+                value.alias("value"),
+                z["left"].alias("before"),
+                F.when(F.length(rest) == after, rest).otherwise(
+                    F.left(F.concat(rest, F.coalesce(z["right"], F.lit(""))), F.lit(after))
+                ).alias("after"),
+            )
+
+        return F.transform(
+            F.arrays_zip(pieces.alias("piece"), marks.alias("mark"), left.alias("left"),
+                         right.alias("right")), match)
+
+    def walk(marked):
+        parts = F.split(marked, _OPEN, -1)
+        rest = F.greatest(F.size(parts) - 1, F.lit(0))
+        marks = F.filter(
+            F.transform(F.split(marked, ""), lambda c, i: F.when(c == _OPEN, i)),
+            lambda i: i.isNotNull(),
         )
-        return F.struct(
-            (lo + F.length(piece) - 1).alias("pos"),
-            F.concat(acc["out"], F.array(hit)).cast(MATCH_TYPE).alias("out"),
-        )
-
-    def walk(ps):
-        first = F.struct(
-            F.length(F.get(ps, F.lit(0))).alias("pos"),
-            F.array().cast(MATCH_TYPE).alias("out"),
-        )
-        return F.when(
-            F.size(ps) > 1,
-            F.aggregate(
-                F.slice(ps, F.lit(2), F.size(ps) - 1), first, step, lambda acc: acc["out"]
-            ),
-        ).otherwise(F.array().cast(MATCH_TYPE))
-
-    return bind(pieces, walk)
+        tails = F.transform(parts, lambda p: F.right(plain(p), F.lit(before)))
+        heads = F.transform(parts, lambda p: F.left(plain(p), F.lit(after)))
+        own = F.slice(parts, F.lit(2), rest)
+        if before <= shortest and after <= shortest:
+            found = described(
+                own, marks, F.slice(tails, F.lit(1), rest),
+                F.slice(heads, F.lit(3), F.greatest(rest - 1, F.lit(0))))
+        else:
+            found = bind(F.struct(tails.alias("t"), heads.alias("h")), lambda k: described(
+                own, marks,
+                F.transform(F.sequence(F.lit(1), rest), lambda i: joined_before(k["t"], i)),
+                F.transform(F.sequence(F.lit(1), rest), lambda i: joined_after(k["h"], i))))
+        return F.when(F.contains(marked, F.lit(_OPEN)), found).otherwise(none)
+
+    def joined_before(tails, i):
+        most = F.lit(-(-before // shortest))
+        return F.right(F.array_join(F.slice(
+            tails, F.greatest(i - most, F.lit(0)) + 1, F.least(i, most)), ""), F.lit(before))
+
+    def joined_after(heads, i):
+        most = F.lit(-(-after // shortest))
+        return F.left(F.array_join(F.slice(heads, i + 2, most), ""), F.lit(after))
+
+    return bind(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_CLOSE}"), walk)
 
 
 def not_touching(hit: Column) -> Column:

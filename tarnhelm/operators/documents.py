@@ -93,7 +93,7 @@ def document_hits(
             F.struct(
                 F.lit(t.entity_class).alias("entity_class"),
                 F.round(F.lit(t.confidence) + bonus, 2).alias("confidence"),
-                F.slice(F.concat(strong, weak), 1, 4).alias("matched"),
+                F.concat(strong, weak).alias("matched"),
             ),
         )
 

@@ -180,14 +180,16 @@ def distributions(
     findings: DataFrame,
     dims: Sequence[str] = ("entity_class", "family", "stage", "detector", "origin",
                            "confidence", "span_path"),
+    path_chars: int | None = None,
 ) -> DataFrame:
     """Counts and shares along every dimension from one pass with grouping sets."""
     src = findings
     if "confidence" in dims:
         src = src.withColumn("confidence", F.format_number(F.round("confidence", 1), 1))
     if "span_path" in dims:
+        path = F.substring_index("span_path", "$", 1)
         src = src.withColumn(
-            "span_path", F.substring(F.substring_index("span_path", "$", 1), 1, 48)
+            "span_path", path if path_chars is None else F.substring(path, 1, path_chars)
         )
     dims = [d for d in dims if d in src.columns]
     shares = (

@@ -18,7 +18,6 @@ from tarnhelm.schema import FAMILY_OF, hit, never_enforce_alone, no_hits
 MAX_CONFIDENCE = 0.65
 MAX_PATTERN = 200
 MAX_ANCHORS = 8
-MAX_CONTEXT = 8
 MAX_SPAN = 512
 MIN_SUPPORT = 2
 MAX_RULES = 200
@@ -58,11 +57,12 @@ def rule_key(entity_class: Column, pattern: Column, anchors: Column) -> Column:
     )
 
 
-def rules_from(df: DataFrame) -> list[LearnedRule]:
-    """Rules of a table. The sink keeps at most 200, and more than that is refused."""
-    rows = df.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} learned rules; run save_learned first")
+def rules_from(df: DataFrame, most: int | None = None) -> list[LearnedRule]:
+    """Rules of a table; they become parts of the scan expression. With ``most`` (the upstream's
+    is MAX_RULES) a larger table is refused."""
+    rows = df.collect() if most is None else df.limit(most + 1).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"more than {most} learned rules; run save_learned first")
     return [
         LearnedRule(
             r["entity_class"], r["pattern"], tuple(r["anchors"] or ()), r["min_len"],
@@ -102,7 +102,7 @@ def learned_hits(text: Column, rules: Sequence[LearnedRule]) -> Column:
             cands = F.concat(
                 *[
                     F.transform(
-                        find_all(text, _literal(a), after=rule.max_len),
+                        find_all(text, _literal(a), after=rule.max_len, shortest=len(a)),
                         _bound(from_anchor, rule),
                     )
                     for a in rule.anchors
@@ -218,10 +218,8 @@ def validate_rules(proposals: DataFrame) -> DataFrame:
             "anchors": anchors,
             "min_len": lo,
             "max_len": hi,
-            "context": F.slice(
-                F.transform(
-                    F.coalesce(c("context"), F.array().cast("array<string>")), F.lower
-                ), 1, MAX_CONTEXT,
+            "context": F.transform(
+                F.coalesce(c("context"), F.array().cast("array<string>")), F.lower
             ),
             "reason": reason,
             "accepted": reason.isNull(),
@@ -253,11 +251,13 @@ def accrue_support(
     ).select("rule_key", *[f"_r.{f}" for f in fields], "support")
 
 
-def save_learned(rules: DataFrame, path: str | None = None) -> DataFrame:
-    """Rules with enough support, the best supported first, at most 200."""
-    keep = rules.filter(F.col("support") >= MIN_SUPPORT).orderBy(
-        F.desc("support"), "rule_key"
-    ).limit(MAX_RULES)
+def save_learned(
+    rules: DataFrame, path: str | None = None, most: int | None = None
+) -> DataFrame:
+    """Rules with enough support, the best supported first; ``most`` keeps so many of them."""
+    keep = rules.filter(F.col("support") >= MIN_SUPPORT).orderBy(F.desc("support"), "rule_key")
+    if most is not None:
+        keep = keep.limit(most)
     if path is not None:
         keep.write.mode("overwrite").json(path)
     return keep
@@ -300,18 +300,21 @@ def validate_pack(detectors: DataFrame) -> DataFrame:
     )
 
 
-def key_names(features: DataFrame, tenant: str = "tenant_id", cap: int = 200, top: int = 40
-              ) -> DataFrame:
-    """Most frequent field names per tenant; the counts are aggregated before ranking."""
+def key_names(
+    features: DataFrame, tenant: str = "tenant_id", top: int | None = 40,
+    longest: int | None = None,
+) -> DataFrame:
+    """The ``top`` field names per tenant (None: all); counts are aggregated before ranking."""
     name = F.lower(F.trim("key_name"))
     counts = (
         features.select(tenant, name.alias("key_name"))
-        .filter((F.col("key_name") != "") & (F.col("key_name") != "«opaque»")
-                & (F.length("key_name") <= 64))
+        .filter((F.col("key_name") != "") & (F.col("key_name") != "«opaque»"))
+        .filter(F.lit(True) if longest is None else F.length("key_name") <= longest)
         .groupBy(tenant, "key_name").agg(F.count("*").alias("n"))
     )
     rank = F.row_number().over(W.partitionBy(tenant).orderBy(F.desc("n"), "key_name"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= min(cap, top))
+    ranked = counts.withColumn("rank", rank)
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def deployment_profile(rules: DataFrame, tenant: str = "tenant_id") -> DataFrame:

@@ -409,10 +409,8 @@ def verify_ledger(
     )
 
 
-#: Up to this many literals are tested in one pass over a table.
-INLINE_LITERALS = 1000
-GRAM = 8
-LONGEST_LITERAL = 4096
+#: Literals that one pass over a table looks for.
+SWEEP_LITERALS = 200_000
 
 
 def _escaped(col: Column) -> Column:
@@ -421,56 +419,55 @@ def _escaped(col: Column) -> Column:
     return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
-def leak_sweep(tables: dict[str, DataFrame], literals: DataFrame) -> DataFrame:
-    """Planted literals (8 to 4,096 characters) found in any column of any table.
+def leak_sweep(
+    tables: dict[str, DataFrame], literals: DataFrame, at_once: int = SWEEP_LITERALS
+) -> DataFrame:
+    """Planted literals of any length found in any column of any table: rows that hold each.
 
-    A short list becomes one scan per table with all literals inline. A longer one meets
-    the rows on its first eight characters in an equi-join and is compared in full there,
-    so any number of literals is searched exactly.
+    The literals of a pass form one automaton that reads every row once, so nothing but counts
+    is shuffled. More than ``at_once`` literals are searched in several passes over the tables.
     """
-    wanted = literals.select("literal").filter(
-        F.length("literal").between(GRAM, LONGEST_LITERAL)
-    ).distinct().select("literal", _escaped(F.col("literal")).alias("_esc"))
-    few = wanted.limit(INLINE_LITERALS + 1).collect()
-    parts = []
-    for name, df in tables.items():
-        whole = F.to_json(F.struct(*[F.col(x) for x in df.columns]))
-        if len(few) <= INLINE_LITERALS:
-            hits = F.filter(
-                F.array(
-                    *[F.when(F.contains(whole, F.lit(r["_esc"])), F.lit(r["literal"])) for r in few]
-                ).cast("array<string>"),
-                lambda w: w.isNotNull(),
-            )
-            found = df.select(F.explode(hits).alias("literal"))
-        else:
-            rows = df.select(whole.alias("_w")).withColumn("_row", F.sha2("_w", 256))
-            starts = F.sequence(F.lit(1), F.greatest(F.length("_w") - GRAM + 1, F.lit(1)))
-            # Only (row, position, gram) travels; the text is met again where grams agree.
-            grams = rows.select(
-                "_row",
-                F.posexplode(
-                    F.transform(starts, lambda i: F.substring("_w", i, F.lit(GRAM)))
-                ).alias("_at", "_gram"),
-            )
-            near = grams.join(
-                wanted.withColumn("_gram", F.left("_esc", F.lit(GRAM))), "_gram"
-            ).drop("_gram")
-            # Equal rows share a key, so each counts as often as it occurs.
-            found = (
-                rows.groupBy("_row").agg(F.first("_w").alias("_w"), F.count("*").alias("_times"))
-                .join(near, "_row")
-                .filter(
-                    F.substring("_w", F.col("_at") + 1, F.length("_esc")) == F.col("_esc")
-                )
-                .select("_row", "literal", "_times").distinct()
-                .select("literal", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
+    wanted = literals.select("literal").filter(F.length("literal") > 0).distinct().select(
+        "literal", _escaped(F.col("literal")).alias("_esc")
+    )
+    passes = max(1, -(-wanted.count() // at_once))
+    part = F.pmod(F.xxhash64("literal"), F.lit(passes))
+    found = []
+    for i in range(passes):
+        rows = wanted.filter(part == i).collect()  # about ``at_once`` literals
+        plain = [r["literal"] for r in rows]
+        escaped = [r["_esc"] for r in rows]
+        for name, df in tables.items():
+            whole = df.select(F.to_json(F.struct(*df.columns)).alias("row"))
+            found.append(
+                whole.mapInArrow(_sweeper(plain, escaped), "literal string, n bigint")
+                .groupBy("literal").agg(F.sum("n").alias("rows"))
+                .select(F.lit(name).alias("table"), "literal", "rows")
             )
-        parts.append(
-            found.groupBy("literal").agg(F.count("*").alias("rows"))
-            .select(F.lit(name).alias("table"), "literal", "rows")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
+
+
+def _sweeper(plain: list[str], escaped: list[str]):
+    """Counts, per literal, the rows of a batch that hold its escaped form."""
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        find = ahocorasick.Automaton()
+        for i, literal in enumerate(escaped):
+            find.add_word(literal, i)
+        find.make_automaton()
+        for batch in batches:
+            counts: dict[int, int] = {}
+            if escaped:
+                for row in batch.column(0):
+                    for i in {i for _, i in find.iter(row.as_py())}:
+                        counts[i] = counts.get(i, 0) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([plain[i] for i in counts], pa.string()),
+                 pa.array(list(counts.values()), pa.int64())], ["literal", "n"])
+
+    return run

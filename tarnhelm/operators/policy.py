@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 
 from tarnhelm.functions.lattice import action_of, rank
 from tarnhelm.schema import FAMILY_OF
+from tarnhelm.sources.stored import keep
 
 
 def _list(col: Column) -> Column:
     return F.coalesce(col, F.array().cast("array<string>"))
 
 
-def root_tenant(tenants: DataFrame, rounds: int = 5) -> DataFrame:
-    """Root of every tenant by pointer doubling: ``rounds`` joins reach 2**rounds levels.
+def root_tenant(tenants: DataFrame) -> DataFrame:
+    """Root of every tenant by pointer doubling, until no pointer moves.
 
+    A chain of n tenants needs log2(n) rounds; only pointers in a cycle still move after that.
     Columns: tenant_id, root_id, status (ok, cycle, missing).
     """
-    step = tenants.select(
+    step = keep(tenants.select(
         F.col("id").alias("tenant_id"),
         F.coalesce("parent_id", "id").alias("ptr"),
-    )
-    for _ in range(rounds):
+    ))
+    for _ in range(step.count().bit_length()):
         up = step.select(F.col("tenant_id").alias("ptr"), F.col("ptr").alias("_next"))
-        step = step.join(up, "ptr", "left").select(
-            "tenant_id", F.coalesce("_next", "ptr").alias("ptr")
-        )
+        moved = keep(step.join(up, "ptr", "left").select(
+            "tenant_id", F.coalesce("_next", "ptr").alias("ptr"),
+            (F.col("_next") != F.col("ptr")).alias("_moved"),
+        ))
+        step = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            break
     tops = tenants.select(
         F.col("id").alias("ptr"), F.col("parent_id").isNull().alias("_is_root"),
         F.lit(True).alias("_known"),
@@ -468,7 +474,7 @@ def policy_diff(policies: DataFrame, old: int, new: int) -> DataFrame:
     """What changed between two versions, one sorted list of notes per tenant."""
     a = policies.filter(F.col("version") == old).alias("a")
     b = policies.filter(F.col("version") == new).alias("b")
-    both = a.join(b, F.col("a.tenant_id") == F.col("b.tenant_id"))
+    both = a.join(b, F.col("a.tenant_id") == F.col("b.tenant_id"), "full_outer")
 
     def note(label: str, field: str) -> Column:
         x, y = F.col(f"a.{field}"), F.col(f"b.{field}")
@@ -478,7 +484,7 @@ def policy_diff(policies: DataFrame, old: int, new: int) -> DataFrame:
                      F.coalesce(y, F.lit("none"))),
         )
 
-    sizes = (F.size("a.rules"), F.size("b.rules"))
+    sizes = tuple(F.coalesce(F.size(f"{x}.rules"), F.lit(0)) for x in "ab")
     pairs = F.zip_with(
         "a.rules", "b.rules",
         lambda x, y: F.struct(x["action"].alias("x"), y["action"].alias("y")),
@@ -524,8 +530,10 @@ def publish(drafts: DataFrame, policies: DataFrame, tenants: DataFrame) -> DataF
     tree = tenants.select(
         F.col("id").alias("tenant_id"), "parent_id", F.lit(True).alias("_known")
     )
-    d = drafts.join(tree, "tenant_id", "left").join(current, "tenant_id", "left")
-    next_version = F.coalesce(F.col("_active"), F.lit(0)) + 1
+    latest = policies.groupBy("tenant_id").agg(F.max("version").alias("_latest"))
+    d = drafts.join(tree, "tenant_id", "left").join(current, "tenant_id", "left").join(
+        latest, "tenant_id", "left")
+    next_version = F.coalesce(F.col("_latest"), F.lit(0)) + 1
     org = rules_table(policies.filter("active"))
     bu = d.filter("parent_id is not null").select(
         "tenant_id", next_version.alias("version"), F.col("parent_id").alias("org_tenant_id"),
@@ -559,19 +567,43 @@ def publish(drafts: DataFrame, policies: DataFrame, tenants: DataFrame) -> DataF
     )
 
 
-def rollback(policies: DataFrame, targets: DataFrame) -> DataFrame:
-    """Old versions re-published as the next version; ``targets``: tenant_id, to_version."""
+def rollback(policies: DataFrame, targets: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Old versions published again as the next one; ``targets``: tenant_id, to_version.
+
+    The old rules go through the same check as a draft: those of a business unit may only raise
+    what its organisation's active policy says today, else the row is refused. ``retired`` is
+    the version that stops being active; ``with_rollback`` applies the result.
+    """
     top = policies.groupBy("tenant_id").agg(
-        F.max("version").alias("_max"), F.max(F.when(F.col("active"), F.col("version"))).alias("_active")
-    )
+        F.max("version").alias("_latest"),
+        F.max(F.when(F.col("active"), F.col("version"))).alias("_active"))
     old = targets.join(
         policies.withColumnRenamed("version", "to_version").drop("active"),
         ["tenant_id", "to_version"],
-    )
-    return old.join(top, "tenant_id").withColumns(
-        {
-            "version": F.col("_active") + 1,
-            "previous_version": F.col("_active"),
-            "active": F.lit(True),
-        }
-    ).drop("_max", "_active")
+    ).join(top, "tenant_id").join(
+        tenants.select(F.col("id").alias("tenant_id"), "parent_id"), "tenant_id", "left")
+    bu = old.filter("parent_id is not null").select(
+        "tenant_id", (F.col("_latest") + 1).alias("version"),
+        F.col("parent_id").alias("org_tenant_id"),
+        F.posexplode("rules").alias("rule_index", "_r"),
+    ).select("tenant_id", "version", "org_tenant_id", "rule_index", "_r.*")
+    weak = bu_may_only_raise(rules_table(policies.filter("active")), bu).groupBy(
+        "tenant_id").agg(F.min("bu_rule_index").alias("_weak_rule"))
+    reason = F.when(F.col("_weak_rule").isNotNull(), "business unit weakens an org rule")
+    return old.join(weak, "tenant_id", "left").withColumns({
+        "accepted": reason.isNull(),
+        "reason": reason,
+        "version": F.when(reason.isNull(), F.col("_latest") + 1),
+        "previous_version": F.col("_active"),
+        "retired": F.when(reason.isNull(), F.col("_active")),
+        "active": reason.isNull(),
+    }).drop("_latest", "_active", "_weak_rule", "parent_id")
+
+
+def with_rollback(policies: DataFrame, rolled: DataFrame) -> DataFrame:
+    """The policy table after a rollback: one active version per tenant."""
+    done = rolled.filter("accepted")
+    gone = done.select("tenant_id", F.col("retired").alias("_retired"))
+    kept = policies.join(gone, "tenant_id", "left").withColumn(
+        "active", F.col("active") & ~F.col("version").eqNullSafe(F.col("_retired")))
+    return kept.select(policies.columns).unionByName(done.select(policies.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnhelm.functions.crypto import SHAPE_PRESERVING, derive_token
+from tarnhelm.functions.crypto import LONGEST_TOKEN, SHAPE_PRESERVING, derive_token
 from tarnhelm.functions.text import mask_text
 from tarnhelm.operators.verdict import REDACTABLE_ORIGINS
 from tarnhelm.schema import never_tokenize
@@ -226,7 +226,8 @@ def widen_collisions(
 ) -> DataFrame:
     """Tokens that two values share grow until they differ.
 
-    Every distinct value gets its mac once. For each width the number of values behind a
+    Values that still share a prefix of ``max_width`` characters get all of LONGEST_TOKEN;
+    ``status`` is ``widened`` for them, ``unique`` for others. Every distinct value gets its mac once. For each width the number of values behind a
     prefix is an aggregation keyed by that prefix, never a comparison of pairs.
     """
     from tarnhelm.functions.crypto import base32_prefix, hmac_hex, normalise
@@ -247,8 +248,8 @@ def widen_collisions(
         .agg(F.min("w").alias("width"))
     )
     out = keyed.join(alone, [scope, entity_class, "_mac"], "left").withColumn(
-        "width", F.coalesce("width", F.lit(max_width))
-    )
+        "status", F.when(F.col("width").isNull(), "widened").otherwise("unique")
+    ).withColumn("width", F.coalesce("width", F.lit(LONGEST_TOKEN)))
     return out.withColumn(
         "token",
         derive_token(

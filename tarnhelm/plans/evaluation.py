@@ -147,7 +147,7 @@ def _dist_sql() -> str:
         ("entity_class", "entity_class"), ("family", "family"), ("stage", "stage"),
         ("detector", "detector"), ("origin", "origin"),
         ("confidence", "printf('%.1f', round(confidence, 1))"),
-        ("span_path", "substr(span_path, 1, 48)"),
+        ("span_path", "span_path"),
     ):
         parts.append(
             f"select '{d}' as dimension, {expr} as value, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from {_F} f group by 2"
@@ -272,7 +272,7 @@ def accrue_support(spark, sf):
 
 @query(
     "save_learned",
-    f"select concat(entity_class, ':', pattern, ':') as rule_key, support from {_ACCRUED} a where support >= 2 order by support desc, rule_key limit 200",
+    f"select concat(entity_class, ':', pattern, ':') as rule_key, support from {_ACCRUED} a where support >= 2 order by support desc, rule_key",
 )
 def save_learned(spark, sf):
     rules = LR.accrue_support(_known_rules(spark, sf), _proposals(spark, sf))

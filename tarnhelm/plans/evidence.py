@@ -303,18 +303,18 @@ def guard_records(spark, sf):
 
 @query(
     "leak_sweep",
-    """with l as (select distinct substr(text, 1, 40) as literal from benchmark),
+    """with l as (select distinct text as literal from benchmark where text <> ''),
        d as (select doc_id, text from documents), c as (select conv_id, text from conversations)
        select 'documents' as "table", literal, count(*) as rows from l join d on contains(d.text, l.literal) group by 2
        union all select 'conversations', literal, count(*) from l join c on contains(c.text, l.literal) group by 2""",
 )
 def leak_sweep(spark, sf):
-    """Openings of the benchmark passages searched in documents and conversations."""
+    """Whole benchmark passages searched in documents and conversations."""
     tables = {
         "documents": read(spark, sf, "documents").select("doc_id", "text"),
         "conversations": read(spark, sf, "conversations").select("conv_id", "text"),
     }
-    literals = read(spark, sf, "benchmark").select(F.substring("text", 1, 40).alias("literal"))
+    literals = read(spark, sf, "benchmark").select(F.col("text").alias("literal"))
     return L.leak_sweep(tables, literals)
 
 

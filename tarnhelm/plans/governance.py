@@ -484,13 +484,26 @@ def publish_policies(spark, sf):
 
 @query(
     "rollback_policies",
-    """select distinct concat('n', cast(s_nationkey as varchar)) as tenant_id, 2 as to_version, 4 as version, 3 as previous_version from supplier""",
+    f"""with n as (select tenant_id, count(*) as n from {plant_sql('rules')} r group by 1),
+        v as (select distinct b.tenant_id from {plant_sql('rules')} b join {plant_sql('tenants')} t on t.id = b.tenant_id and t.parent_id is not null
+          join n on n.tenant_id = b.tenant_id join {plant_sql('rules')} o on o.tenant_id = t.parent_id
+          where b.unless_groups = '' and b.unless_roles = '' and b.except_groups = ''
+          and not (cast(substr(b.tenant_id, 2) as int) % 3 = 0 and b.rule_index = n.n - 1)
+          and (o.direction is null or b.direction is null or o.direction = b.direction)
+          and (o.class_csv = '' or b.class_csv = '' or len(list_intersect(string_split(o.class_csv, ','), string_split(b.class_csv, ','))) > 0)
+          and (o.destination_csv = '' or b.destination_csv = '' or o.destination_csv = b.destination_csv)
+          and {Q.rank('b.action')} < {Q.rank('o.action')})
+        select p.tenant_id, 2 as to_version, case when v.tenant_id is null then 4 end as version, 3 as previous_version, v.tenant_id is null as accepted, true as one_active
+        from (select distinct tenant_id from {_POLICIES_SQL} q) p left join v on v.tenant_id = p.tenant_id""",
 )
 def rollback_policies(spark, sf):
     policies = _policy_versions(spark, sf)
     targets = policies.select("tenant_id").distinct().withColumn("to_version", F.lit(2))
-    return P.rollback(policies, targets).select(
-        "tenant_id", "to_version", "version", "previous_version"
+    rolled = P.rollback(policies, targets, plant(spark, sf, "tenants"))
+    after = P.with_rollback(policies, rolled).groupBy("tenant_id").agg(
+        (F.count_if("active") == 1).alias("one_active"))
+    return rolled.join(after, "tenant_id").select(
+        "tenant_id", "to_version", "version", "previous_version", "accepted", "one_active"
     )
 
 
@@ -994,16 +1007,38 @@ _OVERLAP_SQL = f"""(select request_id, span_path, count(*) as n, bool_or(prev >
     select *, max("end") over (partition by request_id, span_path order by start, "end" rows between unbounded preceding and 1 preceding) as prev from {_EDIT_SQL} e0) o group by 1, 2)"""
 
 
-@query(
-    "apply_edits",
-    f"""with e as (select *, row_number() over (partition by request_id, span_path order by start, "end") as rn from {_EDIT_SQL} e1),
-        g as (select e.request_id, e.span_path, string_agg(substr(text, cast(coalesce(prev, 0) + 1 as bigint), cast(start - coalesce(prev, 0) as bigint)) || replacement, '' order by rn) as head, max("end") as last
-          from (select *, lag("end") over (partition by request_id, span_path order by rn) as prev from e) e group by 1, 2)
-        select s.request_id, s.span_path, case when coalesce(o.clash, false) then 'overlap' when o.n > 0 then 'redacted' else 'clean' end as status,
+# Rebuilt texts of edits that do not overlap, given as SQL.
+def _rebuilt(edits: str) -> str:
+    return f"""(select e.request_id, e.span_path, string_agg(substr(text, cast(coalesce(prev, 0) + 1 as bigint), cast(start - coalesce(prev, 0) as bigint)) || replacement, '' order by start) as head, max("end") as last
+          from (select *, lag("end") over (partition by request_id, span_path order by start, "end") as prev from {edits} e1) e group by 1, 2)"""
+
+
+def _verified(applied: str, edits: str) -> str:
+    """Per span: no edit whose replacement is missing or whose original is left."""
+    return f"""select r.request_id, r.span_path, r.status, case when r.status = 'overlap' then false else coalesce(k.ok, true) end as verified
+        from {applied} r left join (select e.request_id, e.span_path, bool_and(contains(r2.redacted, e.replacement) and not contains(r2.redacted, substr(e.text, cast(e.start + 1 as bigint), cast(e."end" - e.start as bigint)))) as ok
+          from {edits} e join {applied} r2 on r2.request_id = e.request_id and r2.span_path = e.span_path group by 1, 2) k
+        on k.request_id = r.request_id and k.span_path = r.span_path"""
+
+
+_APPLIED_SQL = f"""(select s.request_id, s.span_path, case when coalesce(o.clash, false) then 'overlap' when o.n > 0 then 'redacted' else 'clean' end as status,
           case when coalesce(o.clash, false) then null when o.n > 0 then g.head || substr(s.text, cast(g.last + 1 as bigint)) else s.text end as redacted
         from {_SPAN_SQL} s left join {_OVERLAP_SQL} o on o.request_id = s.request_id and o.span_path = s.span_path
-        left join g on g.request_id = s.request_id and g.span_path = s.span_path""",
-)
+        left join {_rebuilt(_EDIT_SQL)} g on g.request_id = s.request_id and g.span_path = s.span_path)"""
+# Runs of overlapping edits: the widest span with the replacement of the most confident one,
+# the first of these in order.
+_MERGED_SQL = f"""(select request_id, span_path, min(start) as start, max("end") as "end", any_value(text) as text, arg_max(replacement, confidence * 1000000 - rn) as replacement
+        from (select *, sum(fresh) over (partition by request_id, span_path order by rn) as run from (
+          select *, case when prev is null or start >= prev then 1 else 0 end as fresh from (
+            select *, row_number() over (partition by request_id, span_path order by start, "end") as rn,
+              max("end") over (partition by request_id, span_path order by start, "end" rows between unbounded preceding and 1 preceding) as prev from {_EDIT_SQL} e0) a) b) c
+        group by request_id, span_path, run)"""
+_MERGE_APPLIED_SQL = f"""(select s.request_id, s.span_path, case when g.head is null then 'clean' else 'redacted' end as status,
+          case when g.head is null then s.text else g.head || substr(s.text, cast(g.last + 1 as bigint)) end as redacted
+        from {_SPAN_SQL} s left join {_rebuilt(_MERGED_SQL)} g on g.request_id = s.request_id and g.span_path = s.span_path)"""
+
+
+@query("apply_edits", f"select * from {_APPLIED_SQL} a")
 def apply_edits(spark, sf):
     """Redacted text of every span; overlapping edits are a status."""
     return R.apply_edits(_planned(spark, sf)).select(
@@ -1011,23 +1046,20 @@ def apply_edits(spark, sf):
     )
 
 
-@query(
-    "verify_redaction",
-    f"""with e as (select * from {_EDIT_SQL} e1),
-        m as (select s.request_id, s.span_path, coalesce(o.clash, false) as clash, coalesce(o.n, 0) as n from {_SPAN_SQL} s
-          left join {_OVERLAP_SQL} o on o.request_id = s.request_id and o.span_path = s.span_path)
-        select case when clash then 'overlap' when n > 0 then 'redacted' else 'clean' end as status, count(*) as spans from m group by 1""",
-)
+@query("verify_redaction", _verified(_APPLIED_SQL, _EDIT_SQL))
 def verify_redaction(spark, sf):
-    checked = R.verify_redaction(R.apply_edits(_planned(spark, sf)))
-    return checked.groupBy("status").agg(F.count("*").alias("spans"))
+    """Every span with its status and whether its redaction verifies."""
+    return R.verify_redaction(R.apply_edits(_planned(spark, sf))).select(
+        "request_id", "span_path", "status", "verified"
+    )
 
 
-@query("verify_merged_redaction")
+@query("verify_merged_redaction", _verified(_MERGE_APPLIED_SQL, _MERGED_SQL))
 def verify_merged_redaction(spark, sf):
-    """With overlaps merged every span is rewritten; how many verify."""
-    checked = R.verify_redaction(R.apply_edits(_planned(spark, sf), overlaps="merge"))
-    return checked.groupBy("status", "verified").agg(F.count("*").alias("spans"))
+    """With overlaps merged every span is rewritten; whether it verifies."""
+    return R.verify_redaction(R.apply_edits(_planned(spark, sf), overlaps="merge")).select(
+        "request_id", "span_path", "status", "verified"
+    )
 
 
 @query(

@@ -13,14 +13,22 @@ from tarnhelm.operators.spans import BINARY_SUFFIXES
 from tarnhelm.schema import FAMILY_OF, RULE_TYPE
 
 
-def spread(df: DataFrame, waves: int = 4) -> DataFrame:
-    """Even out a scan that has fewer files than the cluster has cores.
+#: Input up to which ``spread`` may shuffle; larger files split by their row groups.
+SPREAD_BYTES = 256 * 1024 * 1024
 
-    A file with one row group is one task however large the cluster is, and detection is
-    bound by CPU. With enough files the input is returned as it is: no shuffle is added.
+
+def spread(df: DataFrame, waves: int = 4, most_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Even out a scan of a small input with fewer tasks than the session has cores.
+
+    A file with one row group is one task however many cores there are, and detection is
+    bound by CPU. Inputs above ``most_bytes`` are returned as they are, so no large text is
+    ever shuffled for this.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores * waves)
+    if size > most_bytes or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * waves)
 
 
 def user_text(message: Column) -> Column:

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tarnhelm.functions.text import find_all
 from tarnhelm.operators import detect as D
 from tarnhelm.operators import learned as L
 
@@ -117,6 +118,51 @@ def test_offsets_count_code_points_and_marks_do_not_confuse(spark):
     assert got[0][0][1] == KEY
 
 
+def test_private_keys_as_they_appear(spark):
+    lines = [BODY, BODY[::-1], "AbC9dEf2Gh=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = [
+        "\n".join([begin, *lines, end]), "\r\n".join([begin, *lines, end]),
+        "\n    ".join([begin, *lines, end]), "\\n".join([begin, *lines, end]),
+        "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C3D", "",
+                   *lines, end]),
+        "\n".join([begin, *lines[:2]]), " ".join([begin, *lines, end]),
+    ]
+    got = found(spark, ["x: |\n  " + w + "\nthe text goes on here" for w in whole], (D.CREDENTIALS,))
+    for w, g in zip(whole, got):
+        assert [x[:2] for x in g] == [("PRIVATE_KEY", w)]
+    prose = begin + "\nthis header only introduces a paragraph about internationalization of keys"
+    assert found(spark, [prose], (D.CREDENTIALS,)) == [[]]
+
+
+def test_context_of_matches(spark):
+    text = "".join(f"{i:03d}{'' if i % 3 else ' '}" for i in range(700))
+    df = spark.createDataFrame([(text,), ("",), (None,), ("abc",)], "text string")
+    for before, after, shortest in ((1, 1, 1), (7, 5, 3), (40, 60, 3), (5, 5, 1)):
+        rows = df.select(find_all(F.col("text"), "[0-9]{3}", before, after, shortest)
+                         .alias("m")).collect()
+        assert [len(r["m"] or []) for r in rows] == [700, 0, 0, 0]
+        for m in rows[0]["m"]:
+            a, z = m["start"], m["end"]
+            assert m["value"] == text[a:z]
+            assert m["before"] == text[max(0, a - before):a]
+            assert m["after"] == text[z:z + after]
+
+
+def test_whole_texts_are_scanned(spark):
+    key = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *[BODY] * 25, "-----END RSA PRIVATE KEY-----"])
+    table = "| service | token |\n|---|---|\n" + "".join(
+        f"| s{i} | hunter{i:05d}x{'q' * 10} |\n" for i in range(3000))
+    texts = [("lorem ipsum " * 680) + key + (" dolor" * 11000), table, "DB_PASSWORD=" + "aB3dE6" * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    dets = (D.CREDENTIALS, D.TABLES, D.CONTEXT)
+    rows = D.detect_all(df, ["id"], detectors=dets).collect()
+    assert [(r["start"], r["end"]) for r in rows if r["entity_class"] == "PRIVATE_KEY"] == [
+        (8160, 8160 + len(key))]
+    assert sum(r["id"] == 1 and r["detector"] == "s1:table_column" for r in rows) == 3000
+    assert [texts[2][r["start"]:r["end"]] for r in rows if r["id"] == 2] == ["aB3dE6" * 100]
+
+
 def test_chunks_cover_a_long_text(spark):
     text = ("word " * 30000) + KEY + (" tail" * 100)
     df = spark.createDataFrame([(1, text)], "id int, text string")

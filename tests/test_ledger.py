@@ -77,10 +77,15 @@ def test_history_in_blocks_equals_one_window(spark):
                 prev, n, last = v, n + flag, v if flag else last
 
 
-def test_leak_sweep_both_ways(spark, monkeypatch):
-    df = spark.createDataFrame([(1, 'a "quoted secret" here'), (2, "nothing"), (3, "SECRET-VALUE-1 x")], "id int, t string")
-    lits = spark.createDataFrame([('"quoted secret"',), ("SECRET-VALUE-1",), ("absent-literal",)], "literal string")
-    want = {('"quoted secret"', 1), ("SECRET-VALUE-1", 1)}
-    assert {(r["literal"], r["rows"]) for r in L.leak_sweep({"t": df}, lits).collect()} == want
-    monkeypatch.setattr(L, "INLINE_LITERALS", 1)
-    assert {(r["literal"], r["rows"]) for r in L.leak_sweep({"t": df}, lits).collect()} == want
+def test_leak_sweep_of_any_length(spark):
+    long = "x" * 5000 + "y"
+    df = spark.createDataFrame(
+        [(1, 'a "quoted secret" here'), (2, "nothing"), (3, "SECRET-VALUE-1 x"), (4, "secret7"),
+         (5, long + long), (6, None)], "id int, t string")
+    lits = spark.createDataFrame(
+        [('"quoted secret"',), ("SECRET-VALUE-1",), ("absent-literal",), ("secret7",), (long,), ("7",),
+         ("",), (None,)], "literal string")
+    want = {('"quoted secret"', 1), ("SECRET-VALUE-1", 1), ("secret7", 1), (long, 1), ("7", 1)}
+    for at_once in (2, 100):
+        got = L.leak_sweep({"t": df}, lits, at_once).collect()
+        assert {(r["literal"], r["rows"]) for r in got} == want

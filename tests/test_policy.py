@@ -147,5 +147,15 @@ def test_root_tenant_random_forest(spark):
             t = parent[t]
         return t
 
-    got = {r["tenant_id"]: r["root_id"] for r in P.root_tenant(df, rounds=6).collect()}
+    got = {r["tenant_id"]: r["root_id"] for r in P.root_tenant(df).collect()}
     assert got == {t: root(t) for t in parent}
+
+
+def test_root_tenant_of_deep_chains(spark):
+    rows = [(f"t{i}", f"t{i - 1}" if i else None) for i in range(200)]
+    rows += [(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] + [("m", "gone"), ("n", "m")]
+    df = spark.createDataFrame(rows, "id string, parent_id string")
+    got = {r["tenant_id"]: (r["root_id"], r["status"]) for r in P.root_tenant(df).collect()}
+    assert all(got[f"t{i}"] == ("t0", "ok") for i in range(200))
+    assert all(got[f"c{i}"] == (None, "cycle") for i in range(5))
+    assert got["m"] == got["n"] == (None, "missing")
