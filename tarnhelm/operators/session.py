@@ -6,6 +6,7 @@ Text is reduced inside the JVM to the few fields a state needs (flags, hashed ta
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 import re
@@ -273,6 +274,15 @@ def _entropy(text: str) -> float:
     )
 
 
+def jwt_header_is_json(token: str) -> bool:
+    head = token.split(".", 1)[0]
+    try:
+        text = base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)).decode()
+    except (ValueError, UnicodeDecodeError):
+        return False
+    return text.startswith("{")
+
+
 def credential_classes(text: str) -> list[str]:
     """Classes of the credentials in a short text (at most 128 characters here)."""
     found = set()
@@ -285,6 +295,8 @@ def credential_classes(text: str) -> list[str]:
             if shape.entity_class == "AWS_ACCESS_KEY":
                 around = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
                 ok = ok and not any(ch.isalnum() or ch == "_" for ch in around)
+            if shape.entity_class == "JWT":
+                ok = ok and jwt_header_is_json(m.group(0))
             if ok:
                 found.add(shape.entity_class)
     return sorted(found)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from tarnhelm.operators import spans as P
 from tarnhelm.plans import sqlkit as Q
 from tarnhelm.plans.plants import plant, plant_sql, read
 from tarnhelm.sources import readers as RD
+from tarnhelm.sources.stored import keep, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,8 +92,8 @@ def append_chain(spark, sf):
 def append_chain_incremental(spark, sf):
     """The same ledger written in two batches; the second starts from the heads."""
     recs = _records(spark, sf)
-    half = 7000
-    old = L.append_chain(recs.filter(F.col("ord") < half))
+    half = (recs.agg(F.max("ord")).first()[0] or 0) // 2
+    old = keep(L.append_chain(recs.filter(F.col("ord") < half)))
     new = L.append_chain(recs.filter(F.col("ord") >= half), old)
     return old.unionByName(new).select("id", "tenant_id", "chain", "event_type", "record_hash")
 
@@ -111,7 +110,7 @@ _FAIL_SQL = f"""(select tenant, chain, id, gone, edited, link_broken, case when
 
 def _tampered(spark, sf):
     """The ledger with edited and removed rows."""
-    rows = L.append_chain(_records(spark, sf))
+    rows = keep(L.append_chain(_records(spark, sf)))
     edit = (F.col("event_type") != L.ANCHOR) & (F.col("id") % 37 == 5)
     return rows.withColumn(
         "payload", F.when(edit, F.lit('{"n":-1}')).otherwise(F.col("payload"))
@@ -123,7 +122,7 @@ def _tampered(spark, sf):
     f"select tenant as tenant_id, count(*) as checked, true as ok from {_ROWS_SQL} r group by 1",
 )
 def ledger_intact(spark, sf):
-    return L.verify_ledger(L.append_chain(_records(spark, sf)), block_rows=16).select(
+    return L.verify_ledger(keep(L.append_chain(_records(spark, sf))), block_rows=16).select(
         "tenant_id", "checked", "ok"
     )
 
@@ -706,9 +705,8 @@ def risk_records(spark, sf):
 
 
 def _scratch(spark) -> str:
-    """A folder all executors share: below the cluster's checkpoint folder if it has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    """A folder that all executors share, below the one the cluster names."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream_table(spark, stream, name: str):
