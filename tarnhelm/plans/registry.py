@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnhelm.plans import detection, evaluation, evidence, governance
+from tarnhelm.plans import detection, evaluation, evidence, exchange, governance
 
-_MODULES = (detection, governance, evidence, evaluation)
+_MODULES = (detection, governance, evidence, evaluation, exchange)
 
 
 def queries() -> dict:
