@@ -1,7 +1,7 @@
 """Session operators over ordered events; the streaming module shares the state steps.
 
 Text is reduced inside the JVM to the few fields a state needs (flags, hashed targets,
-64-character tails) before any ordering happens, so only small rows are shuffled.
+bounded tails) before any ordering happens, so only small rows are shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 import math
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,23 +21,39 @@ from tarnhelm.functions.text import shape_of
 from tarnhelm.operators.detect import CREDENTIAL_SHAPES, credential_hits
 from tarnhelm.operators.ordered import with_history
 
-# Prefixes a split secret starts with, window sizes and life times.
+@dataclass(frozen=True)
+class Limits:
+    """How much of a session a state carries; None means all.
+
+    ``window``: characters of a run, head or tail. ``fragments``, ``candidates``: runs of one
+    event. ``pieces``, ``assembly``: writes and characters that are put together. ``turns``:
+    prompts a tail is carried over. ``targets``: destinations remembered.
+    """
+
+    window: int
+    fragments: int | None
+    candidates: int | None
+    pieces: int
+    assembly: int
+    turns: int
+    targets: int
+
+
+#: Wide enough for the longest credentials, private keys included, in many small pieces.
+LIMITS = Limits(4096, None, None, 64, 16_384, 16, 64)
+#: The upstream's limits.
+UPSTREAM = Limits(64, 3, 24, 12, 512, 3, 8)
+
+# Prefixes a split secret starts with and life times.
 ANCHOR_HEADS = (
     "sk-ant-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "ASIA", "rzp_live_",
     "rzp_test_", "xox", "AIza", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "eyJ",
     "-----BEGIN",
 )
-WINDOW = 64
-MAX_FRAGMENTS = 3
-MAX_CANDIDATES = 24
-MAX_PIECES = 12
-MAX_ASSEMBLY = 512
-MAX_TURNS = 3
 BRIDGE_TTL = 3600
 RISK_TTL = 7200
 HALF_LIFE = 1200.0
 BAND_LOW, BAND_HIGH = 0.35, 0.75
-KEPT_TARGETS = 8
 FRAGMENTS_PER_BAND = {"low": 3, "medium": 6, "high": 10}
 
 RUN = r"([A-Za-z0-9+/=_.\-]{4,})"
@@ -54,18 +71,24 @@ def _partial_anchor() -> str:
 PARTIAL_ANCHOR = _partial_anchor()
 
 
-def fragments_of(text: Column, limit: int = MAX_FRAGMENTS) -> Column:
-    """Runs that look like a piece of a secret, each at most 64 characters."""
+def _first(runs: Column, n: int | None) -> Column:
+    return runs if n is None else F.slice(runs, 1, n)
+
+
+def fragments_of(text: Column, limits: Limits = LIMITS) -> Column:
+    """Runs that look like a piece of a secret, each the last ``window`` characters."""
     runs = F.transform(
-        F.regexp_extract_all(text, F.lit(RUN), F.lit(1)), lambda r: F.right(r, F.lit(WINDOW))
+        F.regexp_extract_all(text, F.lit(RUN), F.lit(1)),
+        lambda r: F.right(r, F.lit(limits.window)),
     )
-    return F.slice(F.filter(runs, lambda r: r.rlike(PARTIAL_ANCHOR)), 1, limit)
+    return _first(F.filter(runs, lambda r: r.rlike(PARTIAL_ANCHOR)), limits.fragments)
 
 
-def candidates_of(text: Column) -> Column:
+def candidates_of(text: Column, limits: Limits = LIMITS) -> Column:
     """Leading runs a carried fragment may continue in."""
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(1))
-    return F.transform(F.slice(runs, 1, MAX_CANDIDATES), lambda r: F.left(r, F.lit(WINDOW)))
+    return F.transform(
+        _first(runs, limits.candidates), lambda r: F.left(r, F.lit(limits.window)))
 
 
 def seconds(ts: Column) -> Column:
@@ -92,7 +115,9 @@ def split_on_gap(
 RISK_SCHEMA = "risk double, band string, fragments int, escalate boolean"
 
 
-def risk_inputs(events: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def risk_inputs(
+    events: DataFrame, text: str = "text", keep: Sequence[str] = (), limits: Limits = LIMITS
+) -> DataFrame:
     """Signals of one event; the text itself is dropped."""
     c = F.col(text)
     targets = F.transform(
@@ -102,7 +127,7 @@ def risk_inputs(events: DataFrame, text: str = "text", keep: Sequence[str] = ())
     blocked = F.col("blocked") if "blocked" in events.columns else F.lit(False)
     return events.select(
         "session_id", "seq", seconds(F.col("ts")).alias("at"),
-        (F.size(fragments_of(c)) > 0).alias("had_fragment"),
+        (F.size(fragments_of(c, limits)) > 0).alias("had_fragment"),
         c.rlike(r"[A-Za-z0-9+/=_\-]{16}").alias("had_entropy"),
         F.coalesce(blocked, F.lit(False)).alias("was_blocked"),
         targets.alias("targets"), *keep,
@@ -113,8 +138,10 @@ def new_risk() -> dict:
     return {"f": 0.0, "r": 0.0, "e": 0.0, "b": 0.0, "targets": [], "at": None}
 
 
-def risk_step(state: dict, at: float, fragment: bool, entropy: bool, blocked: bool,
-              targets: Sequence[str]) -> tuple[dict, tuple]:
+def risk_step(
+    state: dict, at: float, fragment: bool, entropy: bool, blocked: bool,
+    targets: Sequence[str], limits: Limits = LIMITS,
+) -> tuple[dict, tuple]:
     """Decay the counters to ``at``, add one event, and grade the session."""
     if state["at"] is not None and at - state["at"] > RISK_TTL:
         state = new_risk()
@@ -132,7 +159,7 @@ def risk_step(state: dict, at: float, fragment: bool, entropy: bool, blocked: bo
         if t in state["targets"]:
             state["r"] += 1.0
         else:
-            state["targets"] = [*state["targets"], t][-KEPT_TARGETS:]
+            state["targets"] = [*state["targets"], t][-limits.targets:]
     value = (
         0.30 * min(state["f"], 4.0) + 0.18 * min(state["r"], 4.0)
         + 0.05 * min(state["e"], 4.0) + 0.25 * min(state["b"], 2.0)
@@ -142,7 +169,7 @@ def risk_step(state: dict, at: float, fragment: bool, entropy: bool, blocked: bo
     return state, (round(value, 3), band, FRAGMENTS_PER_BAND[band], band == "high")
 
 
-def _risk_partition(batches: Iterator) -> Iterator:
+def _risk_partition(batches: Iterator, limits: Limits) -> Iterator:
     import pandas as pd
 
     group, state = None, new_risk()
@@ -153,7 +180,7 @@ def _risk_partition(batches: Iterator) -> Iterator:
             if key != group:
                 group, state = key, new_risk()
             state, graded = risk_step(
-                state, r.at, r.had_fragment, r.had_entropy, r.was_blocked, r.targets
+                state, r.at, r.had_fragment, r.had_entropy, r.was_blocked, r.targets, limits
             )
             out.append((r.session_id, r.seq, *graded))
         yield pd.DataFrame(
@@ -161,13 +188,15 @@ def _risk_partition(batches: Iterator) -> Iterator:
         )
 
 
-def session_risk(events: DataFrame, text: str = "text") -> DataFrame:
+def session_risk(
+    events: DataFrame, text: str = "text", limits: Limits = LIMITS
+) -> DataFrame:
     """Risk after every event. Events: session_id, ts, seq, text, optionally blocked.
 
     Groups are cut where the state has expired, partitioned, sorted on disk and streamed
     with constant state.
     """
-    inputs = risk_inputs(events, text)
+    inputs = risk_inputs(events, text, limits=limits)
     split = split_on_gap(inputs, ["session_id"], ["at", "seq"], "at", RISK_TTL)
     kinds = {f.name: f.dataType.simpleString() for f in inputs.schema.fields}
     return (
@@ -175,15 +204,17 @@ def session_risk(events: DataFrame, text: str = "text") -> DataFrame:
         .repartition("session_id", "segment")
         .sortWithinPartitions("session_id", "segment", "at", "seq")
         .mapInPandas(
-            _risk_partition,
+            lambda batches: _risk_partition(batches, limits),
             f"session_id {kinds['session_id']}, seq {kinds['seq']}, {RISK_SCHEMA}",
         )
     )
 
 
-def risk_records(events: DataFrame, risk: DataFrame, text: str = "text") -> DataFrame:
+def risk_records(
+    events: DataFrame, risk: DataFrame, text: str = "text", limits: Limits = LIMITS
+) -> DataFrame:
     """Escalation records of risky sessions: shapes only, never text."""
-    shapes = F.transform(fragments_of(F.col(text)), lambda f: shape_of(f, 24))
+    shapes = F.transform(fragments_of(F.col(text), limits), lambda f: shape_of(f, 24))
     return events.join(risk.filter("escalate"), ["session_id", "seq"]).select(
         F.substring(F.col("session_id").cast("string"), 1, 8).alias("session"), "seq", "tool",
         "risk", "band", shapes.alias("shapes"),
@@ -193,26 +224,31 @@ def risk_records(events: DataFrame, risk: DataFrame, text: str = "text") -> Data
 # ----------------------------------------------------------------- sink assembly
 
 
-def sink_assembly(events: DataFrame) -> DataFrame:
+def piece_of(payload: Column, limits: Limits) -> Column:
+    """A write as it is carried; only the upstream's limits cut a single write."""
+    return F.left(payload, F.lit(limits.assembly)) if limits == UPSTREAM else payload
+
+
+def sink_assembly(events: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """What the writes to one destination add up to.
 
     Events: session_id, ts, seq, sink, payload. An assembly starts at a payload that
-    holds a piece of a secret and keeps the longest run of last pieces that fits twelve
-    pieces and 512 characters. That run depends on the last twelve rows only, so it is a
-    sliding frame and needs no custom state.
+    holds a piece of a secret and keeps the longest run of last pieces that fits the limits
+    on pieces and characters. That run depends on the last rows only, so it is a sliding frame
+    and needs no custom state. A single longer write is kept whole.
     """
     c = F.col
     rows = events.filter((c("sink") != "") & (F.trim("payload") != "")).select(
         "session_id", "sink", "seq", seconds(c("ts")).alias("at"),
-        F.left("payload", F.lit(MAX_ASSEMBLY)).alias("piece"),
-        (F.size(fragments_of(c("payload"))) > 0).alias("starts"),
+        piece_of(c("payload"), limits).alias("piece"),
+        (F.size(fragments_of(c("payload"), limits)) > 0).alias("starts"),
     )
     rows = split_on_gap(rows, ["session_id", "sink"], ["at", "seq"], "at", BRIDGE_TTL)
     group = W.partitionBy("session_id", "sink", "_segment").orderBy("at", "seq")
     rows = rows.withColumn(
         "_started", F.max(c("starts")).over(group.rowsBetween(W.unboundedPreceding, 0))
     ).filter("_started")
-    last = F.collect_list("piece").over(group.rowsBetween(1 - MAX_PIECES, 0))
+    last = F.collect_list("piece").over(group.rowsBetween(1 - limits.pieces, 0))
     rows = rows.withColumn("_last", last)
     # Newest first, keep while the total fits; the newest piece always stays.
     kept = F.aggregate(
@@ -222,7 +258,7 @@ def sink_assembly(events: DataFrame) -> DataFrame:
             F.lit("").alias("out"),
         ),
         lambda a, p: F.when(
-            a["open"] & ((a["n"] == 0) | (a["size"] + F.length(p) <= MAX_ASSEMBLY)),
+            a["open"] & ((a["n"] == 0) | (a["size"] + F.length(p) <= limits.assembly)),
             F.struct(
                 (a["size"] + F.length(p)).alias("size"), F.lit(True).alias("open"),
                 (a["n"] + 1).alias("n"), F.concat(p, a["out"]).alias("out"),
@@ -245,15 +281,17 @@ def assembled_secrets(assembled: DataFrame) -> DataFrame:
     ).filter(F.size("classes") > 0).drop("assembled")
 
 
-def sink_step(state: dict, at: float, piece: str, starts: bool) -> tuple[dict, str | None]:
+def sink_step(
+    state: dict, at: float, piece: str, starts: bool, limits: Limits = LIMITS
+) -> tuple[dict, str | None]:
     """One write to a destination in a stream; same rule as ``sink_assembly``."""
     pieces = state.get("pieces", [])
     if pieces and at - state["at"] > BRIDGE_TTL:
         pieces = []
     if not pieces and not starts:
         return {"pieces": [], "at": at}, None
-    pieces = [*pieces, piece][-MAX_PIECES:]
-    while len(pieces) > 1 and sum(map(len, pieces)) > MAX_ASSEMBLY:
+    pieces = [*pieces, piece][-limits.pieces:]
+    while len(pieces) > 1 and sum(map(len, pieces)) > limits.assembly:
         pieces = pieces[1:]
     return {"pieces": pieces, "at": at}, "".join(pieces) if len(pieces) >= 2 else None
 
@@ -284,7 +322,7 @@ def jwt_header_is_json(token: str) -> bool:
 
 
 def credential_classes(text: str) -> list[str]:
-    """Classes of the credentials in a short text (at most 128 characters here)."""
+    """Classes of the credentials in a short text (two windows here)."""
     found = set()
     for shape, pattern, prefix in _SHAPES:
         for m in pattern.finditer(text):
@@ -306,8 +344,10 @@ def new_bridge() -> dict:
     return {"tail": "", "turns": 0, "at": None}
 
 
-def bridge_step(state: dict, at: float, head: str, last: str, blocked: bool, present: bool
-                ) -> tuple[dict, list[str] | None]:
+def bridge_step(
+    state: dict, at: float, head: str, last: str, blocked: bool, present: bool,
+    limits: Limits = LIMITS,
+) -> tuple[dict, list[str] | None]:
     """One prompt: join with the carried tail, remember it when it was allowed.
 
     Returns the classes the join forms, or None when nothing was joined.
@@ -322,14 +362,15 @@ def bridge_step(state: dict, at: float, head: str, last: str, blocked: bool, pre
         if classes:
             return new_bridge(), classes
     tail, turns = state["tail"], state["turns"]
-    if turns >= MAX_TURNS:
+    if turns >= limits.turns:
         tail, turns = "", 0
-    return {"tail": (tail + last)[-WINDOW:], "turns": turns + 1, "at": at}, classes
+    return {"tail": (tail + last)[-limits.window:], "turns": turns + 1, "at": at}, classes
 
 
-def bridge_inputs(prompts: DataFrame, text: str = "text", keep: Sequence[str] = ()
-                  ) -> DataFrame:
-    """First and last 64 characters of a prompt and whether it was blocked by itself."""
+def bridge_inputs(
+    prompts: DataFrame, text: str = "text", keep: Sequence[str] = (), limits: Limits = LIMITS
+) -> DataFrame:
+    """First and last window of a prompt and whether it was blocked by itself."""
     c = F.col(text)
     blocked = (
         F.col("blocked") if "blocked" in prompts.columns
@@ -337,14 +378,14 @@ def bridge_inputs(prompts: DataFrame, text: str = "text", keep: Sequence[str] =
     )
     return prompts.select(
         "session_id", "seq", seconds(F.col("ts")).alias("at"),
-        F.left(c, F.lit(WINDOW)).alias("head"),
-        F.right(c, F.lit(WINDOW)).alias("last"),
+        F.left(c, F.lit(limits.window)).alias("head"),
+        F.right(c, F.lit(limits.window)).alias("last"),
         blocked.alias("blocked"),
         c.rlike(r"\S").alias("present"), *keep,
     )
 
 
-def _bridge_partition(batches: Iterator) -> Iterator:
+def _bridge_partition(batches: Iterator, limits: Limits) -> Iterator:
     import pandas as pd
 
     group, state = None, new_bridge()
@@ -355,16 +396,18 @@ def _bridge_partition(batches: Iterator) -> Iterator:
             if key != group:
                 group, state = key, new_bridge()
             state, classes = bridge_step(
-                state, r.at, r.head, r.last, bool(r.blocked), bool(r.present)
+                state, r.at, r.head, r.last, bool(r.blocked), bool(r.present), limits
             )
             if classes is not None:
                 out.append((r.session_id, r.seq, bool(classes), ",".join(classes)))
         yield pd.DataFrame(out, columns=["session_id", "seq", "split", "classes"])
 
 
-def prompt_bridge(prompts: DataFrame, text: str = "text") -> DataFrame:
+def prompt_bridge(
+    prompts: DataFrame, text: str = "text", limits: Limits = LIMITS
+) -> DataFrame:
     """Joins of a prompt with the one before it, and the classes a join forms."""
-    inputs = bridge_inputs(prompts, text)
+    inputs = bridge_inputs(prompts, text, limits=limits)
     kinds = {f.name: f.dataType.simpleString() for f in inputs.schema.fields}
     split = split_on_gap(inputs, ["session_id"], ["at", "seq"], "at", BRIDGE_TTL)
     return (
@@ -372,14 +415,16 @@ def prompt_bridge(prompts: DataFrame, text: str = "text") -> DataFrame:
         .repartition("session_id", "segment")
         .sortWithinPartitions("session_id", "segment", "at", "seq")
         .mapInPandas(
-            _bridge_partition,
+            lambda batches: _bridge_partition(batches, limits),
             f"session_id {kinds['session_id']}, seq {kinds['seq']}, split boolean, "
             "classes string",
         )
     )
 
 
-def fragment_bridge(events: DataFrame, text: str = "text") -> DataFrame:
+def fragment_bridge(
+    events: DataFrame, text: str = "text", limits: Limits = LIMITS
+) -> DataFrame:
     """Fragments of the previous call joined to the leading runs of this one.
 
     Only the call right before counts, so this is a lag. Off by default upstream of any
@@ -388,7 +433,7 @@ def fragment_bridge(events: DataFrame, text: str = "text") -> DataFrame:
     c = F.col(text)
     rows = events.select(
         "session_id", "seq", seconds(F.col("ts")).alias("at"),
-        fragments_of(c).alias("fragments"), candidates_of(c).alias("runs"),
+        fragments_of(c, limits).alias("fragments"), candidates_of(c, limits).alias("runs"),
     )
     hist = with_history(
         rows, ["session_id"], ["at", "seq"], F.floor(F.col("at") / DAY),
@@ -400,7 +445,7 @@ def fragment_bridge(events: DataFrame, text: str = "text") -> DataFrame:
     return hist.select("session_id", "seq", joins.alias("joins"))
 
 
-def call_trace(events: DataFrame, text: str = "text") -> DataFrame:
+def call_trace(events: DataFrame, text: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """Per call: own verdict, sink, risk, and whether the assembled writes deny it.
 
     Events: session_id, ts, seq, tool, text, sink, payload. Joined text counts only when
@@ -408,8 +453,8 @@ def call_trace(events: DataFrame, text: str = "text") -> DataFrame:
     """
     own = F.size(credential_hits(F.col(text))) > 0
     marked = events.withColumn("own_block", own)
-    risk = session_risk(marked.withColumn("blocked", F.col("own_block")), text)
-    split = assembled_secrets(sink_assembly(events)).select(
+    risk = session_risk(marked.withColumn("blocked", F.col("own_block")), text, limits)
+    split = assembled_secrets(sink_assembly(events, limits)).select(
         "session_id", "seq", F.array_join("classes", ",").alias("split_classes")
     )
     keys = ["session_id", "seq"]

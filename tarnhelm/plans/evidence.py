@@ -578,7 +578,7 @@ def _risk_sql(blocked: str, calls: str | None = None) -> str:
 @query("session_risk", f"select * from {_risk_sql('seq % 40 = 0')} r")
 def session_risk(spark, sf):
     calls = _calls(spark, sf).withColumn("blocked", F.col("seq") % 40 == 0)
-    return S.session_risk(calls)
+    return S.session_risk(calls, limits=S.UPSTREAM)
 
 
 @query(
@@ -587,7 +587,7 @@ def session_risk(spark, sf):
           len(regexp_extract_all(text, '>>\\s*(\\S+)', 1)) as appends from {_CALLS} c""",
 )
 def risk_signals(spark, sf):
-    return S.risk_inputs(_calls(spark, sf)).select(
+    return S.risk_inputs(_calls(spark, sf), limits=S.UPSTREAM).select(
         "seq", "had_entropy", F.size("targets").cast("bigint").alias("appends")
     )
 
@@ -610,7 +610,7 @@ _ASSEMBLED = f"""(select session_id, sink, seq, pieces, assembled from (
 )
 def sink_assembly(spark, sf):
     """Assembled writes per destination, by length and digest."""
-    return S.sink_assembly(_calls(spark, sf)).select(
+    return S.sink_assembly(_calls(spark, sf), S.UPSTREAM).select(
         "session_id", "sink", "seq", "pieces", F.md5("assembled").alias("digest")
     )
 
@@ -654,7 +654,7 @@ def _prompts(spark, sf):
 )
 def prompt_bridge_hits(spark, sf):
     """Secrets split over two prompts."""
-    return S.prompt_bridge(_prompts(spark, sf)).filter("split").select(
+    return S.prompt_bridge(_prompts(spark, sf), limits=S.UPSTREAM).filter("split").select(
         "session_id", "seq", "classes"
     )
 
@@ -671,7 +671,7 @@ _RUNS = S.RUN.strip("()")
         where lag_frags > 0 and tsec - before <= 3600""",
 )
 def fragment_bridge(spark, sf):
-    return S.fragment_bridge(_calls(spark, sf)).select(
+    return S.fragment_bridge(_calls(spark, sf), limits=S.UPSTREAM).select(
         "session_id", "seq", F.size("joins").alias("joins")
     )
 
@@ -684,7 +684,7 @@ def fragment_bridge(spark, sf):
           on a.session_id = c.session_id and a.seq = c.seq group by all""",
 )
 def call_trace(spark, sf):
-    return S.call_trace(_calls(spark, sf)).groupBy("tool", "own_block", "split", "allow", "band").agg(
+    return S.call_trace(_calls(spark, sf), limits=S.UPSTREAM).groupBy("tool", "own_block", "split", "allow", "band").agg(
         F.count("*").alias("calls")
     )
 
@@ -700,7 +700,7 @@ _SHAPE = "list_filter(regexp_extract_all(c.text, " + Q.lit(_RUNS) + "), lambda r
 )
 def risk_records(spark, sf):
     calls = _calls(spark, sf).withColumn("blocked", F.lit(True))
-    out = S.risk_records(calls, S.session_risk(calls))
+    out = S.risk_records(calls, S.session_risk(calls, limits=S.UPSTREAM), limits=S.UPSTREAM)
     return out.withColumn("shapes", F.array_join("shapes", ","))
 
 
@@ -762,4 +762,4 @@ def session_risk_stream(spark, sf):
         F.when(k % 6 == 0, F.concat(F.lit("echo sk-an >> /tmp/f"), F.col("user_id") % 3))
         .otherwise(F.col("event_type")).alias("text"),
     )
-    return _stream_table(spark, risk_stream(s), "risk")
+    return _stream_table(spark, risk_stream(s, limits=S.UPSTREAM), "risk")

@@ -44,10 +44,11 @@ def _timed(events: DataFrame, watermark: str) -> DataFrame:
 
 
 def risk_stream(
-    events: DataFrame, text: str = "text", watermark: str = "10 minutes"
+    events: DataFrame, text: str = "text", watermark: str = "10 minutes",
+    limits: S.Limits = S.LIMITS,
 ) -> DataFrame:
     """Risk after every event of a stream (session_id, ts, seq, text)."""
-    inputs = S.risk_inputs(_timed(events, watermark), text, keep=["ts"])
+    inputs = S.risk_inputs(_timed(events, watermark), text, ["ts"], limits)
     kind = dict(inputs.dtypes)
 
     def run(key, chunks, state: GroupState):
@@ -60,7 +61,8 @@ def risk_stream(
         out = []
         for r in _ordered(chunks, inputs_cols):
             value, graded = S.risk_step(
-                value, r.at, r.had_fragment, r.had_entropy, r.was_blocked, list(r.targets)
+                value, r.at, r.had_fragment, r.had_entropy, r.was_blocked, list(r.targets),
+                limits,
             )
             out.append((key[0], r.seq, *graded))
         _finish(state, value, S.RISK_TTL)
@@ -78,10 +80,11 @@ def risk_stream(
 
 
 def bridge_stream(
-    prompts: DataFrame, text: str = "text", watermark: str = "10 minutes"
+    prompts: DataFrame, text: str = "text", watermark: str = "10 minutes",
+    limits: S.Limits = S.LIMITS,
 ) -> DataFrame:
     """Prompt joins of a stream (session_id, ts, seq, text)."""
-    inputs = S.bridge_inputs(_timed(prompts, watermark), text, keep=["ts"])
+    inputs = S.bridge_inputs(_timed(prompts, watermark), text, ["ts"], limits)
     kind = dict(inputs.dtypes)
 
     def run(key, chunks, state: GroupState):
@@ -94,7 +97,7 @@ def bridge_stream(
         out = []
         for r in _ordered(chunks, ["at", "seq", "head", "last", "blocked", "present"]):
             value, classes = S.bridge_step(
-                value, r.at, r.head, r.last, bool(r.blocked), bool(r.present)
+                value, r.at, r.head, r.last, bool(r.blocked), bool(r.present), limits
             )
             if classes is not None:
                 out.append((key[0], r.seq, bool(classes), ",".join(classes)))
@@ -108,14 +111,16 @@ def bridge_stream(
     )
 
 
-def sink_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+def sink_stream(
+    events: DataFrame, watermark: str = "10 minutes", limits: S.Limits = S.LIMITS
+) -> DataFrame:
     """Assemblies of a stream (session_id, ts, seq, sink, payload)."""
     c = F.col
     timed = _timed(events, watermark)
     inputs = timed.filter((c("sink") != "") & (F.trim("payload") != "")).select(
         "session_id", "sink", "seq", "ts", S.seconds(c("ts")).alias("at"),
-        F.left("payload", F.lit(S.MAX_ASSEMBLY)).alias("piece"),
-        (F.size(S.fragments_of(c("payload"))) > 0).alias("starts"),
+        S.piece_of(c("payload"), limits).alias("piece"),
+        (F.size(S.fragments_of(c("payload"), limits)) > 0).alias("starts"),
     )
     kind = dict(inputs.dtypes)
 
@@ -128,7 +133,7 @@ def sink_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
         value = S.load_state(state.get[0] if state.exists else None, {"pieces": [], "at": 0.0})
         out = []
         for r in _ordered(chunks, ["at", "seq", "piece", "starts"]):
-            value, joined = S.sink_step(value, r.at, r.piece, bool(r.starts))
+            value, joined = S.sink_step(value, r.at, r.piece, bool(r.starts), limits)
             if joined is not None:
                 out.append((key[0], key[1], r.seq, len(value["pieces"]), joined))
         _finish(state, value, S.BRIDGE_TTL)

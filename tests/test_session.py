@@ -46,7 +46,7 @@ def risk_loop(rows):
 def test_risk_batch_equals_loop(spark):
     rows = events()
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["seq"]: tuple(r)[2:] for r in S.session_risk(df).collect()}
+    got = {r["seq"]: tuple(r)[2:] for r in S.session_risk(df, limits=S.UPSTREAM).collect()}
     assert got == risk_loop(rows)
 
 
@@ -67,7 +67,7 @@ def run_stream(spark, tmp_path, rows, build, parts=3):
 
 def test_risk_stream_equals_batch(spark, tmp_path):
     rows = events(90)
-    got = run_stream(spark, tmp_path, rows, lambda e: ST.risk_stream(e, watermark="365 days"))
+    got = run_stream(spark, tmp_path, rows, lambda e: ST.risk_stream(e, watermark="365 days", limits=S.UPSTREAM))
     assert {r["seq"]: tuple(r)[2:] for r in got} == risk_loop(rows)
 
 
@@ -80,7 +80,7 @@ def sink_loop(rows):
         if not sink:
             continue
         starts = any(partial.search(r[-64:]) for r in re.findall(S.RUN, payload))
-        st, joined = S.sink_step(state.get((s, sink), {"pieces": [], "at": 0.0}), ts.timestamp(), payload[:512], starts)
+        st, joined = S.sink_step(state.get((s, sink), {"pieces": [], "at": 0.0}), ts.timestamp(), payload[:512], starts, S.UPSTREAM)
         state[(s, sink)] = st
         if joined is not None:
             out[seq] = (len(st["pieces"]), joined)
@@ -89,14 +89,14 @@ def sink_loop(rows):
 
 def test_sink_assembly_batch_equals_loop(spark):
     rows = events(gaps=(5, 5, 60, 60, 300, 4000))
-    got = S.sink_assembly(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = S.sink_assembly(spark.createDataFrame(rows, SCHEMA), S.UPSTREAM).collect()
     want = sink_loop(rows)
     assert {r["seq"]: (r["pieces"], r["assembled"]) for r in got} == want and len(want) > 30
 
 
 def test_sink_stream_equals_loop(spark, tmp_path):
     rows = events(90, gaps=(5, 60, 300))
-    got = run_stream(spark, tmp_path, rows, lambda e: ST.sink_stream(e, "365 days"))
+    got = run_stream(spark, tmp_path, rows, lambda e: ST.sink_stream(e, "365 days", S.UPSTREAM))
     assert {r["seq"]: (r["pieces"], r["assembled"]) for r in got} == sink_loop(rows)
 
 
@@ -144,3 +144,13 @@ def test_fragment_bridge_uses_the_call_before(spark):
     rows = [("s", START + timedelta(seconds=i), i, "", t, "", "") for i, t in enumerate(("echo sk-ant-", "api03-Abc rest", "api03-Abc"))]
     got = {r["seq"]: list(r["joins"]) for r in S.fragment_bridge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: ["sk-ant-api03-Abc", "sk-ant-rest"]}
+
+
+def test_limits_hold_a_key_in_many_pieces(spark):
+    long = "sk-ant-" + "api03-" + "".join(f"{i:x}Qz" for i in range(60))
+    pieces = [long[i:i + 9] for i in range(0, len(long), 9)]
+    rows = [("s", START + timedelta(seconds=i), i, "w", "", "/tmp/f", p) for i, p in enumerate(pieces)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    last = S.sink_assembly(df).orderBy(F.desc("seq")).first()
+    assert len(pieces) > S.UPSTREAM.pieces and last["assembled"] == long
+    assert S.sink_assembly(df, S.UPSTREAM).orderBy(F.desc("seq")).first()["assembled"] != long
