@@ -852,6 +852,10 @@ def detect_all(
         detect(spans, detectors, text, keys=carried), list(dict.fromkeys([*keys, *carried])))
 
 
+#: Occurrences of one text that one task joins with its findings.
+OCCURRENCES = 100_000
+
+
 def scan_distinct(
     spans: DataFrame,
     key: bytes,
@@ -862,18 +866,23 @@ def scan_distinct(
 ) -> DataFrame:
     """Scan each distinct (tenant, pack version, text) once and re-anchor the findings.
 
-    A text copied into a third of all rows would make the join back one hot key, so the
-    occurrences are salted and the findings of a text are repeated per salt only.
+    Copies of a text collapse within each task before the text is shuffled. A text copied into a
+    third of all rows would make the join back one hot key, so the occurrences of each text are
+    counted; those of a very frequent one are salted by their number, and only its findings are
+    repeated per salt.
     """
     from tarnhelm.functions.crypto import text_key
 
-    salts = 16
     keyed = spans.withColumn("_key", text_key(key, F.col(tenant), pack_version, F.col(text)))
+    salts = F.ceil(F.col("_n") / OCCURRENCES).cast("int")
+    hot = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter(
+        F.col("_n") > OCCURRENCES).select("_key", salts.alias("_salts"))
     distinct = keyed.select("_key", text).dropDuplicates(["_key"])
-    found = detect(distinct, detectors, text, keys=["_key"]).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    occurrences = keyed.drop(text).withColumn(
-        "_salt", F.pmod(F.xxhash64(*[c for c in spans.columns if c != text]), F.lit(salts)).cast("int")
-    )
+    found = detect(distinct, detectors, text, keys=["_key"]).join(hot, "_key", "left")
+    found = found.withColumn("_salt", F.explode(
+        F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    rest = [c for c in spans.columns if c != text]
+    occurrences = keyed.drop(text).join(hot, "_key", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*rest), F.coalesce("_salts", F.lit(1))).cast("int")
+    ).drop("_salts")
     return occurrences.join(found, ["_key", "_salt"]).drop("_key", "_salt")
