@@ -5,10 +5,11 @@ linked with nothing). Two documents link when 100 * |A and B| >= PERCENT * |A or
 
 1. Equal sets are one class: its members take the answers of the class's least document.
 2. An inverted index holds each set's prefix in one global order, rarest shingles first: sets
-   that link share a shingle there. Index lists are read by position: a set only meets the part
-   of a list whose sizes and remaining positions still allow a link.
-3. Answers are derived incrementally. Neighbours in each list are compared first, which joins
-   most similar sets to components. A set that is in a component already has the answers of its
+   that link share SHARED shingles there. Index lists are skipped by size and position: sets only
+   meet where their sizes and the shingles after the first shared one still allow a link.
+3. Answers are derived incrementally. Neighbours in each list are compared first, and each set
+   with the set of its list that has the fewest shingles of its own, which joins most similar
+   sets to components. A set that is in a component already has the answers of its
    members; only sets of a list outside the list's largest component meet the rest of the list,
    and only across components. Every pair that may link two components is compared, so no link
    between components is lost, while large groups of similar sets never form all their pairs.
@@ -41,6 +42,13 @@ CHUNK = 1 << 20
 FREQUENT = 200_000
 FREQUENT_FROM = 8
 
+#: Indexed shingles that two linked sets share at least, where they have that many. More index
+#: more and compare fewer sets that have little in common.
+SHARED = 4
+
+#: Sets of a list that are put in one order when neighbours are compared.
+PART_ROWS = 256
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -119,9 +127,18 @@ class Shingler:
             a = z
 
 
+def must_share(n: int, percent: int) -> int:
+    """How many indexed shingles a set of ``n`` shares with any set that it links with."""
+    return min(SHARED, -(-percent * n // 100))
+
+
 def prefix_size(n: int, percent: int) -> int:
-    """Shingles of a set of ``n`` that must be indexed."""
-    return n - -(-percent * n // 100) + 1
+    """Shingles of a set of ``n`` that must be indexed.
+
+    Of n shingles at least ceil(percent * n / 100) are in a linked set, so the first n less that,
+    plus s, hold s of them; and so do the first of the other set.
+    """
+    return n - -(-percent * n // 100) + must_share(n, percent)
 
 
 def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +177,14 @@ def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
 
 
 def prefixes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, key, prefix): set size, a 128-bit name of the set, indexed shingles in order."""
+    """(doc_id, n, key, prefix, common): set size, a 128-bit name of the set, indexed shingles in
+    order, and how many at the end of these are known to be frequent."""
     tokens, counts = frequent(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            sizes, keys, parts = [], [], []
+            sizes, keys, parts, common = [], [], [], []
             for s in shingler.sets(batch.column(1)):
                 n = len(s)
                 sizes.append(n)
@@ -176,17 +194,32 @@ def prefixes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Dat
                     at[at == len(tokens)] = 0
                     seen = np.where(tokens[at] == s, counts[at], 0)
                     if seen.any():
-                        s = s[np.argsort(seen, kind="stable")]
-                parts.append(s[:prefix_size(n, percent)] if n else s)
+                        order = np.argsort(seen, kind="stable")
+                        s, seen = s[order], seen[order]
+                else:
+                    seen = np.zeros(n, np.int64)
+                size = prefix_size(n, percent) if n else 0
+                parts.append(s[:size])
+                common.append(int((seen[:size] > 0).sum()))
             ends = np.cumsum([0, *map(len, parts)])
             flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["doc_id", "n", "key", "prefix"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                 pa.array(common, pa.int32())],
+                ["doc_id", "n", "key", "prefix", "common"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, key binary, prefix array<bigint>")
+        run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, common int")
+
+
+def set_reader(docs: DataFrame, width: int):
+    """Reads the sets of the documents that a kept table of pairs names."""
+    def read(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return keep(sets_of(docs, small(keep(ids)), width).groupBy("doc_id").agg(
+            F.max("tokens").alias("tokens")))
+    return read
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -206,12 +239,26 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id bigint, tokens array<bigint>")
 
 
-def may_link(percent: int, n1: Column, n2: Column, pos1: Column, pos2: Column) -> Column:
-    """Whether sizes and positions of a shared shingle leave room for a link."""
-    rest = F.least(n1 - pos1, n2 - pos2)
+def may_link(percent: int) -> Column:
+    """Whether sizes, less the indexed shingles that no other set has, leave room for a link."""
+    n, m = F.col("n"), F.col("_n")
+    rest = F.least(n - F.col("own"), m - F.col("_own"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
+        rest * (100 + percent) >= percent * (n + m))
+
+
+def pairs_of(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (a, n, pos, _a, _n, _pos, ...), one per shingle that two sets share
+    in the index, that share enough of them and whose first positions leave room for a link."""
+    n, m = F.col("n"), F.col("_n")
+    rows = rows.where(may_link(percent))
+    rest = F.least(n - F.col("pos"), m - F.col("_pos"))
+    need = F.least(F.lit(SHARED), F.ceil(F.least(n, m) * percent / 100))
     return (
-        (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
-        & (rest * (100 + percent) >= percent * (n1 + n2))
+        rows.groupBy(F.least("a", "_a").alias("a"), F.greatest("a", "_a").alias("b"))
+        .agg(F.count("*").alias("shared"), F.max(need).alias("need"),
+             F.max(rest * (100 + percent) - percent * (n + m)).alias("room"))
+        .where("shared >= need AND room >= 0").select("a", "b")
     )
 
 
@@ -230,25 +277,55 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     rows = keep(prefixes(docs, percent, width))
     full = rows.where("n > 0")
     classes = full.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+        F.first("prefix").alias("prefix"), F.first("common").alias("common"))
     index = classes.select(
-        F.col("doc_id").alias("a"), "n", F.posexplode("prefix").alias("pos", "token"))
+        F.col("doc_id").alias("a"), "n", F.size("prefix").alias("size"),
+        (F.size("prefix") - F.col("common")).alias("rare"),
+        F.posexplode("prefix").alias("pos", "token"))
+    # Frequent shingles are in several sets; of the others, whose lists are short, those in one
+    # set only are left out.
     by_token = W.partitionBy("token")
-    lists = index.withColumn("_lo", F.min("a").over(by_token)).withColumn(
-        "_hi", F.max("a").over(by_token))
-    lists = keep(lists.where("_lo <> _hi").select("token", "a", "n", "pos"))
-    ids = keep(lists.select(F.col("a").alias("doc_id")).distinct())
-    sets = keep(sets_of(docs, small(ids), width).groupBy("doc_id").agg(
-        F.max("tokens").alias("tokens")))
-
-    def next_to(order: list[Column]) -> DataFrame:
-        w = W.partitionBy("token").orderBy(*order)
-        pair = lists.withColumns({f"_{c}": F.lag(c).over(w) for c in ("a", "n", "pos")})
-        pair = pair.where(may_link(percent, F.col("n"), F.col("_n"), F.col("pos"), F.col("_pos")))
-        return pair.select(F.least("a", "_a").alias("a"), F.greatest("a", "_a").alias("b"))
-
-    near = next_to([F.col("n"), F.col("a")]).union(next_to([F.xxhash64("a")])).distinct()
-    first = keep(linked(keep(near), sets, percent))
+    rare = index.where("pos < rare").withColumn("_lo", F.min("a").over(by_token)).withColumn(
+        "_hi", F.max("a").over(by_token)).where("_lo <> _hi")
+    row = ["token", "a", "n", "pos", "size"]
+    lists = keep(rare.select(row).union(index.where("pos >= rare").select(row)))
+    # Sets with too few shared shingles link with nothing; ``own``: those that no other set has.
+    strong = lists.groupBy("a").agg(
+        F.count("*").alias("k"), F.first("n").alias("n"), F.first("size").alias("size")
+    ).where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)))
+    strong = strong.select("a", (F.col("size") - F.col("k")).alias("own"))
+    lists = keep(lists.drop("size").join(strong, "a"))
+
+    # Long lists are compared in parts; other parts are drawn with another seed.
+    sizes = lists.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > PART_ROWS)
+    sizes = sizes.select("token", F.pow(2, F.ceil(F.log2(F.col("m") / PART_ROWS))).alias("parts"))
+    split = lists.join(small(keep(sizes)), "token", "left")
+
+    cells = ("a", "n", "pos", "own")
+
+    def parted(seed: int) -> DataFrame:
+        place = F.xxhash64("a", F.lit(seed))
+        part = F.pmod(place, F.coalesce("parts", F.lit(1)).cast("bigint"))
+        return split.withColumns({"part": part, "place": place})
+
+    def next_to(seed: int, *first: str) -> DataFrame:
+        w = W.partitionBy("token", "part").orderBy(*first, "place")
+        return parted(seed).withColumns({f"_{c}": F.lag(c).over(w) for c in cells}).where(
+            "_a IS NOT NULL")
+
+    def next_to_leader(seed: int) -> DataFrame:
+        """Each set with the set of its part that has the fewest shingles of its own."""
+        w = W.partitionBy("token", "part").orderBy("own", "a")
+        return parted(seed).withColumns({f"_{c}": F.first(c).over(w) for c in cells}).where(
+            "a <> _a")
+
+    near = pairs_of(next_to(0, "n"), percent)
+    for rows_of in (next_to(1), next_to_leader(2), next_to_leader(3)):
+        near = near.union(pairs_of(rows_of, percent))
+    near = keep(near.distinct())
+    read = set_reader(docs, width)
+    first = keep(linked(near, read(near), percent))
     known = keep(components(first))
 
     # Sets outside their list's largest component meet the sets of other components.
@@ -258,15 +335,17 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     largest = part.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
         F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts"))
     largest = keep(largest.where("parts > 1").select("token", "top"))
-    open_lists = part.join(largest, "token")
+    open_lists = keep(part.join(largest, "token"))
     few = open_lists.where("c <> top").select(
-        "token", *[F.col(x).alias(f"_{x}") for x in ("a", "n", "pos", "c")])
-    across = open_lists.join(few, "token").where(
-        (F.col("c") != F.col("_c")) & ((F.col("c") == F.col("top")) | (F.col("a") < F.col("_a")))
-        & may_link(percent, F.col("n"), F.col("_n"), F.col("pos"), F.col("_pos")))
+        "token", *[F.col(x).alias(f"_{x}") for x in (*cells, "c")])
+    across = open_lists.join(few, "token").where((F.col("c") != F.col("_c")) & (
+        (F.col("c") == F.col("top")) | (F.col("a") < F.col("_a"))) & may_link(percent))
+    # The first shingle that two linked sets share stands where the rest of both can still do it.
+    rest = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
+    across = across.where(rest * (100 + percent) >= percent * (F.col("n") + F.col("_n")))
     across = keep(across.select(
         F.least("a", "_a").alias("a"), F.greatest("a", "_a").alias("b")).distinct())
-    more = linked(across, sets, percent)
+    more = linked(across, read(across), percent)
     final = components(first.union(more))
 
     to_class = classes.select("key", F.col("doc_id").alias("node"))
