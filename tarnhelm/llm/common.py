@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnhelm.sources.stored import keep, shared_folder
+
+__all__ = [
+    "BLANKS", "BLANK_CHARS", "BROADCAST_ROWS", "bind", "components", "keep", "lower_ascii",
+    "shared_folder", "small", "table", "words",
+]
+
 #: Characters between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
@@ -20,31 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    A temporary folder is taken only where the setting is missing and Spark is one process.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            master = sc.master or ""
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(path)
-    return sc.getCheckpointDir()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a kept table if it is counted to be small; else leave it to Spark."""
     return F.broadcast(df) if df.count() <= rows else df
