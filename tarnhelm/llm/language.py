@@ -37,7 +37,7 @@ LONG = 48
 #: Log probability below which a word is computed again with rescaled sums.
 FAINT = -600.0
 #: Characters of text scored at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 MARK = "▁"
@@ -249,19 +249,21 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, path: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forward = Forward(plain_pieces(path), probs) if langs else None
+        def judged(part: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+            found = score_texts(texts, langs, forward)
+            return pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([x[0] for x in found], pa.string()),
+                 pa.array([x[1] for x in found], pa.float64())],
+                [*part.schema.names, "lang_pred", "score"])
+
         for batch in batches:
-            texts, found, chars = [], [], 0
-            for text in batch.column(place):
+            texts, chars, first = [], 0, 0
+            for i, text in enumerate(batch.column(place), 1):
                 texts.append(text.as_py())
                 chars += len(texts[-1] or "")
-                if chars > CHUNK:
-                    found += score_texts(texts, langs, forward)
-                    texts, chars = [], 0
-            found += score_texts(texts, langs, forward)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in found], pa.string()),
-                 pa.array([x[1] for x in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+                if chars > CHUNK or i == batch.num_rows:
+                    yield judged(batch.slice(first, i - first), texts)
+                    texts, chars, first = [], 0, i
 
     return docs.mapInArrow(run, schema)
 
