@@ -6,8 +6,10 @@ codebooks is a fine grid of cells. Each vector visits cells in the order of its
 there is verified by cosine in double precision.
 
 Codebooks are fitted on a bounded sample; every vector is indexed. How many cells are visited is
-measured: ``QUERIES`` vectors are compared with all rows, and the number is the least that finds
-``RECALL`` of their links. Cells and visitors are cut into blocks, so no group grows with the
+measured twice, and the larger number is taken. ``PROBES`` pairs of each of two kinds are made at
+the threshold itself, so the number never rests on the links that a table happens to have; and
+``QUERIES`` vectors are compared with all rows. Each time the number is the least that finds
+``RECALL`` of the links. Vectors are drawn by other hashes than the sample. Cells and visitors are cut into blocks, so no group grows with the
 data, and a block gives counts and a spanning forest of its links, never the links themselves.
 
 Only vectors of equal, non-null label are compared. Vectors that are null, zero, or hold null or
@@ -32,6 +34,8 @@ COSINE = 0.93
 SAMPLE = 20_000
 #: Vectors whose links are found by brute force to set the number of visited cells.
 QUERIES = 256
+#: Pairs of each kind that are made at the threshold to set the number of visited cells.
+PROBES = 8192
 RECALL = 0.999
 #: Rows of a cell, or visitors of a cell, that one group compares.
 BLOCK = 1024
@@ -89,15 +93,66 @@ def visit(x: np.ndarray, books: list[np.ndarray], n: int) -> np.ndarray:
     return (a * d2.shape[1] + b)[rows, order].astype(np.int32)
 
 
+def nearer(d1: np.ndarray, d2: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many cells are nearer to each row than its cell (a, b)."""
+    out = np.zeros(len(d1), np.int64)
+    step = max(1, (1 << 22) // (d1.shape[1] * d2.shape[1]))
+    for s in range(0, len(d1), step):
+        e1, e2 = d1[s:s + step], d2[s:s + step]
+        rows = np.arange(len(e1))
+        there = e1[rows, a[s:s + step]] + e2[rows, b[s:s + step]] - 1e-12
+        out[s:s + step] = (e1[:, :, None] + e2[:, None, :] < there[:, None, None]).sum(axis=(1, 2))
+    return out
+
+
+def sooner(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Rank of the visit at which pairs meet: by either vector, whichever finds the other sooner.
+
+    ``x`` and ``y`` are the distances of both sides to the codebooks, a row for each pair.
+    """
+    own = [[d.argmin(axis=1) for d in side] for side in (x, y)]
+    return np.minimum(nearer(*x, *own[1]), nearer(*y, *own[0]))
+
+
+def least_cells(ranks: np.ndarray, recall: float) -> int:
+    """The least number of visits by which ``recall`` of the pairs meet; ``ranks`` has counts."""
+    return int(np.searchsorted(np.cumsum(ranks), recall * ranks.sum())) + 1
+
+
+def cells_at_threshold(
+    x: np.ndarray, books, cosine: float, recall: float, pairs: int = PROBES
+) -> int:
+    """The least number of visited cells that finds ``recall`` of pairs made at the threshold.
+
+    The partner of a vector lies in a direction drawn at random, or in that of another vector;
+    either kind alone has to reach the recall.
+    """
+    cells = len(books[0]) * len(books[1])
+    rng = np.random.default_rng(1)
+    needed = 1
+    for kind in ("random", "towards"):
+        ranks = np.zeros(cells + 1, np.int64)
+        for s in range(0, pairs, 1024):
+            at = x[np.arange(s, min(s + 1024, pairs)) % len(x)]
+            u = rng.normal(size=at.shape)
+            if kind == "towards" and len(x) > 1:
+                u = x[rng.integers(0, len(x), len(at))] + 1e-6 * u
+            u = unit(u - (u * at).sum(axis=1, keepdims=True) * at)
+            other = cosine * at + max(0.0, 1 - cosine * cosine) ** 0.5 * u
+            ranks += np.bincount(sooner(halves(at, books), halves(other, books)),
+                                 minlength=cells + 1)
+        needed = max(needed, least_cells(ranks, recall))
+    return needed
+
+
 def cells_needed(
     rows: DataFrame, queries: np.ndarray, labels: list, books, cosine: float, recall: float
 ) -> int:
-    """The least number of visited cells that finds ``recall`` of the queries' links."""
+    """The least number of visited cells that finds ``recall`` of the queries' links, if any."""
     cells = len(books[0]) * len(books[1])
     dim = queries.shape[1]
     known = np.array(labels, dtype=object)
     d1, d2 = halves(queries, books)
-    costs = np.sort((d1[:, :, None] + d2[:, None, :]).reshape(len(queries), -1), axis=1)
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells + 1, np.int64)
@@ -107,32 +162,26 @@ def cells_needed(
             y = unit(matrix(batch.column(1), dim))
             y_labels = np.array(batch.column(0).to_pylist(), dtype=object)
             same = known[:, None] == y_labels[None, :]
-            q, v = np.nonzero(same & (queries @ y.T >= cosine))
+            near = same & (queries @ y.T >= cosine)
+            # A query meets itself on its first visit, which is no link.
+            near &= ~(queries[:, None, 0] == y[None, :, 0]) | (queries @ y.T < 1 - 1e-12)
+            q, v = np.nonzero(near)
             e1, e2 = halves(y, books)
-            near1, near2 = e1.argmin(axis=1), e2.argmin(axis=1)
-            own1, own2 = d1.argmin(axis=1), d2.argmin(axis=1)
             for s in range(0, len(q), 4096):
                 qs, vs = q[s:s + 4096], v[s:s + 4096]
-                # By either vector's visits, whichever finds the other sooner.
-                there = d1[qs, near1[vs]] + d2[qs, near2[vs]]
-                forward = (costs[qs] < there[:, None] - 1e-12).sum(axis=1)
-                back = e1[vs, own1[qs]] + e2[vs, own2[qs]]
-                full = (e1[vs][:, :, None] + e2[vs][:, None, :]).reshape(len(vs), -1)
-                backward = (full < back[:, None] - 1e-12).sum(axis=1)
-                total += np.bincount(np.minimum(forward, backward), minlength=cells + 1)
+                total += np.bincount(
+                    sooner([d1[qs], d2[qs]], [e1[vs], e2[vs]]), minlength=cells + 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["rank", "n"])
 
     found = (
         rows.select("label", "emb").mapInArrow(ranks, "rank bigint, n bigint")
-        .groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()  # cells at most
+        .groupBy("rank").agg(F.sum("n").alias("n")).collect()  # cells at most
     )
-    whole, so_far = sum(r["n"] for r in found), 0
+    total = np.zeros(cells + 1, np.int64)
     for r in found:
-        so_far += r["n"]
-        if so_far >= recall * whole:
-            return r["rank"] + 1
-    return 1
+        total[r["rank"]] = r["n"]
+    return least_cells(total, recall)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -220,16 +269,23 @@ def near_duplicates(
         return alone
     classes = keep(valid.groupBy("label", "emb").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
-    place = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30))
-    def drawn(n: int):
-        return classes.where(place < int((1 << 30) * min(1.0, n / total))).limit(2 * n).collect()
-    x = unit(np.frombuffer(b"".join(r["emb"] for r in drawn(sample)) or classes.first()["emb"],
-                           "<f8").reshape(-1, dim))
+    distinct = classes.count()
+
+    def drawn(n: int, name: str):
+        place = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(1 << 30))
+        part = classes.where(place < int((1 << 30) * min(1.0, n / distinct))).limit(2 * n)
+        return part.collect() or [classes.first()]
+
+    def units(drawn_rows: list) -> np.ndarray:
+        return unit(np.frombuffer(b"".join(r["emb"] for r in drawn_rows), "<f8").reshape(-1, dim))
+
+    x = units(drawn(sample, "sample"))
     k = int(np.clip(round((total / 200) ** 0.5), 4, 256))
     books = fit_codebooks(x, k)
-    asked = drawn(queries) or [classes.first()]
-    q = unit(np.frombuffer(b"".join(r["emb"] for r in asked), "<f8").reshape(-1, dim))
-    n_cells = cells_needed(classes, q, [r["label"] for r in asked], books, cosine, recall)
+    asked = drawn(queries, "queries")
+    n_cells = max(
+        2, cells_at_threshold(units(drawn(PROBES, "probes")), books, cosine, recall),
+        cells_needed(classes, units(asked), [r["label"] for r in asked], books, cosine, recall))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

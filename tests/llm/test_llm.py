@@ -491,6 +491,21 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neighbours_finds_rare_copies(spark):
+    rng = np.random.default_rng(4)
+    x = neighbours.unit(rng.normal(size=(2000, 32)))
+    u = rng.normal(size=(150, 32))
+    u = neighbours.unit(u - (u * x[:150]).sum(axis=1, keepdims=True) * x[:150])
+    x = np.vstack([x, 0.94 * x[:150] + (1 - 0.94**2) ** 0.5 * u])
+    df = spark.createDataFrame(
+        [(i, v, 1) for i, v in enumerate(x.tolist())],
+        "vec_id bigint, embedding array<double>, label int")
+    # So few vectors are compared with all rows that hardly one of them has a link.
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(df, queries=4).collect()}
+    found = sum(got[2000 + i]["component_id"] == got[i]["component_id"] for i in range(150))
+    assert found >= 149
+
+
 def test_visits_are_the_nearest_cells():
     rng = np.random.default_rng(0)
     x = neighbours.unit(rng.normal(size=(50, 8)))
