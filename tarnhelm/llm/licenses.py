@@ -1,21 +1,28 @@
 """License notices by conditional compression.
 
-A candidate block (a line that speaks of a licence) is compressed once alone and once with each
-template as a raw zstandard dictionary. The template that saves most, as a share of the block's
-own compressed size, is the candidate; it is confirmed by its exact wording: the words of the
-template that the block lacks or changes, and those it adds, are listed, and few must be missing.
-
-Templates are rows (license, text); ``TEMPLATES`` has short notices. Documents without a
-candidate block give no rows. Null and empty texts have none. Ties go to the least license name.
-Repeated rows are scanned each. Whole texts are read. Other columns than those named are dropped.
+A candidate is the stretch of words, across line ends, that comes nearest to a template near a word
+that speaks of a licence (on its line, or within about two template lengths). It is compressed
+alone and with the template as a raw zstandard dictionary; the bytes saved, as a share of the
+template's own compressed size, must reach ``SAVED``. Its exact wording confirms it: the words of
+the template that it lacks or changes, and those it adds, are listed, and few must be missing.
+Where candidates overlap, the one stays that shares most words less its differences.
+
+Templates are rows (license, text); ``TEMPLATES`` has short notices and ``FULL_TEXTS`` whole
+licences. Documents without a candidate give no rows. Null and empty texts have none. Ties go to
+the least license name. Repeated rows are scanned each. Whole texts are read. Other columns than
+those named are dropped.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +48,17 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, "
                 "v. 2.0."),
 )
+#: Whole licences, a file each.
+FULL_TEXTS = tuple(
+    (p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "texts").glob("*.txt")))
 #: Words of which a block must have one to be compressed.
 GATE = "(?i)licen[sc]e|licen[sc]ed|copyright|redistribution|all rights reserved|creative commons"
-#: Least share of a block's compressed size that the best template must save.
+#: Least bytes that a template must save, as a share of its own compressed size.
 SAVED = 0.3
 #: Share of a template's words that may be missing or changed.
 MISSING = 0.2
+#: What a lacking word costs in added ones where a notice is laid against a text.
+LACKING = 8
 WORD = re.compile(r"\w[\w.\-]*\w|\w")
 
 
@@ -68,74 +80,130 @@ def differences(template: str, block: str) -> tuple[list[str], list[str]]:
     return missing, added
 
 
-class Ranker:
-    """Compresses blocks alone and under each template."""
+def stretches(a: np.ndarray, b: np.ndarray, most: float, lacking: int = LACKING) -> list[tuple[int, int]]:
+    """Stretches of ``b`` near ``a``, nearest first: ends where the distance is least nearby.
 
-    def __init__(self, templates: Sequence[tuple[str, str]], level: int = 3):
+    At most ``most`` words of ``a`` are lacking in them. A word of ``a`` that is lacking costs ``lacking``, one that ``b`` adds costs 1. The cost is kept
+    in the upper bits of an integer and the place where the stretch starts, negated, in the lower.
+    """
+    one = 1 << 24
+    ramp = np.arange(len(b) + 1, dtype=np.int64)
+    row = len(b) - ramp
+    for x in a.tolist():
+        new = row + lacking * one
+        new[1:] = np.where(b == x, np.minimum(new[1:], row[:-1]), new[1:])
+        row = np.minimum.accumulate(new - ramp * one) + ramp * one
+    cost, start = row // one, len(b) - row % one
+    lacks = (cost + len(a) - (ramp - start)) // (lacking + 1)
+    least = np.flatnonzero((cost[1:] < cost[:-1]) & (lacks[1:] <= most)) + 1
+    return [(int(start[j]), int(j)) for j in least[cost[least].argsort(kind="stable")]
+            if start[j] < j]
+
+
+class Finder:
+    """Finds notices of the templates in a text."""
+
+    def __init__(self, templates, gate: str, saved: float, missing: float, level: int = 3):
         import zstandard as z
 
-        self.templates = sorted(templates)
+        self.gate, self.saved, self.missing = re.compile(gate), saved, missing
         plain = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = z.ZstdCompressor(level=level, **plain)
-        self.with_template = [
-            z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(
-                text.encode().ljust(8, b"\n"), dict_type=z.DICT_TYPE_RAWCONTENT), **plain)
-            for _, text in self.templates
-        ]
-        self.seen: dict[str, list[tuple[float, int]]] = {}
-
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(share saved, template), most saved first."""
-        if block not in self.seen:
-            if len(self.seen) > 10_000:
-                self.seen.clear()
-            data = block.encode()
-            own = len(self.alone.compress(data))
-            saved = [(1 - len(c.compress(data)) / own, i) for i, c in enumerate(self.with_template)]
-            self.seen[block] = sorted(saved, key=lambda x: (-x[0], x[1]))
-        return self.seen[block]
+        self.ids: dict[str, int] = {}
+        self.templates = []
+        for name, text in sorted(templates):
+            known = words(text)
+            if known:
+                a = np.array([self.ids.setdefault(w, len(self.ids)) for w in known])
+                under = z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(
+                    text.encode().ljust(8, b"\n"), dict_type=z.DICT_TYPE_RAWCONTENT), **plain)
+                own = len(self.alone.compress(text.encode()))
+                self.templates.append((name, text, a, Counter(a.tolist()), under, own))
+
+    def saving(self, block: str, under, own: int) -> float:
+        data = block.encode("utf-8", "surrogatepass")
+        return (len(self.alone.compress(data)) - len(under.compress(data))) / own
+
+    def notices(self, text: str) -> list[tuple]:
+        """(line, license, saving, missing, added, exact), in the order of the text."""
+        spans = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
+        if not spans:
+            return []
+        starts = [x[0] for x in spans]
+        at = np.array([self.ids.get(x[2], -1) for x in spans])
+        counts = Counter(at.tolist())
+        gates = []
+        for m in self.gate.finditer(text):
+            line = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+            last = len(text) if line[1] < 0 else line[1]
+            gates.append((max(0, bisect_right(starts, m.start()) - 1),
+                          bisect_right(starts, line[0] - 1), bisect_right(starts, last)))
+        spoken = [g[0] for g in gates]
+        found = []
+        for name, template, a, has, under, own in self.templates:
+            lack = self.missing * len(a)
+            if sum(min(n, counts[x]) for x, n in has.items()) < len(a) - lack:
+                continue
+            reach, regions = 2 * len(a) + 8, []
+            for i, lo, hi in gates:
+                lo, hi = min(lo, max(0, i - reach)), max(hi, min(len(at), i + reach))
+                if regions and lo <= regions[-1][1]:
+                    regions[-1][1] = max(hi, regions[-1][1])
+                else:
+                    regions.append([lo, hi])
+            for lo, hi in regions:
+                taken = np.zeros(hi, bool)
+                for i, j in stretches(a, at[lo:hi], lack):
+                    i, j = lo + i, lo + j
+                    if taken[i:j].any() or bisect_left(spoken, i) == bisect_left(spoken, j):
+                        continue
+                    end = spans[j - 1][1]
+                    while end < len(text) and not text[end].isspace():
+                        end += 1
+                    block = text[spans[i][0]:end]
+                    lacks, adds = differences(template, text[spans[i][0]:spans[j - 1][1]])
+                    if len(lacks) > lack:
+                        continue
+                    share = self.saving(block, under, own)
+                    if share < self.saved:
+                        continue
+                    taken[i:j] = True
+                    n = len(lacks) + len(adds)
+                    found.append((n + len(lacks) - len(a), -share, name, i, j, lacks, adds))
+        out: list[tuple] = []
+        used = np.zeros(len(at), bool)
+        for _, share, name, i, j, lacks, adds in sorted(found, key=lambda x: x[:5]):
+            if not used[i:j].any():
+                used[i:j] = True
+                out.append((text.count("\n", 0, spans[i][0]), name, -share, " ".join(lacks),
+                            " ".join(adds), not lacks and not adds, i))
+        return [x[:-1] for x in sorted(out, key=lambda x: x[-1])]
 
 
 def scan(
-    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, gate: str = GATE,
-    saved: float = SAVED, missing: float = MISSING,
+    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES + FULL_TEXTS,
+    gate: str = GATE, saved: float = SAVED, missing: float = MISSING,
 ) -> DataFrame:
-    """Notices found in (doc_id, text): one row per block that a template is confirmed in.
+    """Notices found in (doc_id, text): one row per notice that a template is confirmed in.
 
-    ``line`` counts from 0; ``saving`` is the share saved; ``missing`` and ``added`` are words.
+    ``line`` is where the notice starts and counts from 0; ``saving`` is the share saved;
+    ``missing`` and ``added`` are words.
     """
-    lines = F.transform(
-        F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("block")))
-    blocks = (
-        docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").rlike(gate))
-        .select("doc_id", F.filter(lines, lambda x: x["block"].rlike(gate)).alias("blocks"))
-        .select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.line", "b.block")
-    )
+    wrapped = gate.replace(" ", r"\s+")
+    gated = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").rlike(wrapped))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker = Ranker(templates)
+        finder = Finder(templates, wrapped, saved, missing)
         for batch in batches:
-            rows = []
-            for doc, line, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best = None
-                for share, i in ranker.rank(block):
-                    if share < saved:
-                        break
-                    name, text = ranker.templates[i]
-                    lacks, adds = differences(text, block)
-                    if len(lacks) <= missing * len(words(text)):
-                        found = (len(lacks) + len(adds), -share, name, lacks, adds)
-                        best = min(best or found, found)
-                if best:
-                    n, share, name, lacks, adds = best
-                    rows.append((doc, line, name, -share, " ".join(lacks), " ".join(adds), n == 0))
+            rows = [(doc, *x) for doc, text in zip(
+                *(c.to_pylist() for c in batch.columns), strict=True) for x in finder.notices(text)]
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(),
                      pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                 ["doc_id", "line", "license", "saving", "missing", "added", "exact"])
 
-    return blocks.mapInArrow(
+    return gated.mapInArrow(
         confirm, "doc_id bigint, line int, license string, saving double, missing string, "
                  "added string, exact boolean")
 

@@ -418,6 +418,23 @@ def test_license_blocks(spark):
     assert licenses.scan(table(spark, texts).limit(0)).count() == 0
 
 
+def test_license_inside_sentences_and_over_lines(spark):
+    full = dict(licenses.FULL_TEXTS)
+    texts = [
+        "word " * 40 + "Released under the MIT License. " + "more words " * 60,
+        "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+        "x\n# Released under\n# the MIT License. Licensed under CC BY-NC 4.0. And so on.",
+        "Copyright (c) 2020 Somebody\n\n" + full["MIT"], "a\n" + full["GPL-3.0"] + "\nend",
+        full["BSD-2-Clause"], "the license of the driver was under review " * 30,
+    ]
+    got = [(r["doc_id"], r["line"], r["license"], r["exact"])
+           for r in licenses.scan(table(spark, texts)).collect()]
+    assert sorted(got) == [
+        (0, 0, "MIT", True), (1, 0, "CC-BY-4.0", True), (2, 1, "MIT", True),
+        (2, 2, "CC-BY-NC-4.0", True), (3, 2, "MIT", True), (4, 1, "GPL-3.0", True),
+        (5, 0, "BSD-2-Clause", True)]
+
+
 # --- 9 language
 
 def brute_word(word, pieces, p):
