@@ -671,7 +671,6 @@ def encoded_hits(
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u00ad\u2060"
 SEPARATORS = ZERO_WIDTH + " \t\r\n"
 MAX_GAP = 3
-MAX_SPAN = 200
 
 
 def _kept_positions(text: Column, dropped: str) -> Column:
@@ -703,36 +702,50 @@ def zero_width_hits(text: Column) -> Column:
     return bind(_kept_positions(text, ZERO_WIDTH), mapped).cast(HITS_TYPE)
 
 
+BLANK_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in SEPARATORS)
+#: Where prose goes on after a key: two ordinary words with at most a few short ones between.
+PROSE = (
+    r"(?s)[ \t\r\n]++(?=\p{L}{3,}+(?:[ \t\r\n]++(?:\p{L}{1,2}|\p{N}{1,4})(?![\p{L}\p{N}_-])){0,4}"
+    r"[ \t\r\n]++\p{L}{3,}+(?![\p{N}_-])).*"
+)
+
+
 def _loose(anchor: str) -> str:
-    gap = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SEPARATORS) + f"]{{0,{MAX_GAP}}}"
-    return gap.join(c if c.isalnum() else "\\" + c for c in anchor)
+    return f"[{BLANK_CLASS}]{{0,{MAX_GAP}}}".join(c if c.isalnum() else "\\" + c for c in anchor)
 
 
 def separator_hits(text: Column) -> Column:
     """A key whose characters were spread out with blanks or line breaks.
 
-    The loose anchor finds the start, a bounded window is cleaned and confirmed again.
-    Ordinary prose is rejected and a trailing word is not swallowed.
+    The loose anchor finds the start; the run of key characters and separators up to its end, to
+    prose or to the next anchor is cleaned and confirmed again. Ordinary prose is rejected and a
+    trailing word is not swallowed.
     """
     anchor = "sk-ant-"
+    run = f"{_loose(anchor)}(?:(?!{_loose(anchor)})[A-Za-z0-9_\\-{BLANK_CLASS}])*+"
 
     def confirm(m):
-        window = F.concat(
-            m["value"],
-            F.substring(m["after"], F.lit(1), F.lit(MAX_SPAN) - F.length(m["value"])),
-        )
+        window = F.regexp_replace(m["value"], PROSE, "")
+        # Short words between an unbroken key and the prose belong to the prose.
+        window = F.when(
+            F.length(window) < F.length(m["value"]),
+            F.regexp_replace(
+                window, rf"(?s)\A({anchor}[A-Za-z0-9_-]{{20,}}+)(?:[ \t\r\n]++\p{{L}}{{1,2}})*+\z", "$1"),
+        ).otherwise(window)
         return bind(window, lambda w: with_window(m, w))
 
     def with_window(m, window):
         clean = F.translate(window, SEPARATORS, "")
         key = F.regexp_extract(clean, rf"\A{anchor}[A-Za-z0-9_-]{{20,}}", 0)
-        return bind(key, lambda k: F.when(k != "", with_key(m, window, k)))
+        # An unbroken key within prose is not spread out.
+        whole = (F.length(window) < F.length(m["value"])) & (clean == window)
+        return bind(key, lambda k: F.when((k != "") & ~whole, with_key(m, window, k)))
 
     def with_key(m, window, key):
         length = F.element_at(_kept_positions(window, SEPARATORS), F.length(key)) + 1
-        return bind(F.substring(window, F.lit(1), length), lambda raw: with_raw(m, raw))
+        return bind(F.substring(window, F.lit(1), length), lambda raw: with_raw(m, raw, key))
 
-    def with_raw(m, raw):
+    def with_raw(m, raw, key):
         words = F.filter(F.split(raw, " "), lambda w: w.rlike(r"\A\p{L}{3,}\z"))
         tail = F.element_at(F.split(raw, " ", -1), -1)
         trimmed = F.when(
@@ -740,12 +753,12 @@ def separator_hits(text: Column) -> Column:
             F.length(raw) - F.length(tail) - 1,
         ).otherwise(F.length(raw))
         return F.when(
-            F.size(words) < 2,
+            (F.size(words) < 2) | (4 * F.length(F.array_join(words, "")) < F.length(key)),
             hit(m["start"], m["start"] + trimmed, "ANTHROPIC_KEY", 0.99,
                 "anthropic_key+separators"),
         )
 
-    return _collect(find_all(text, _loose(anchor), after=MAX_SPAN, shortest=len(anchor)), confirm)
+    return _collect(find_all(text, run, shortest=len(anchor)), confirm)
 
 
 def obfuscated_hits(text: Column, how: str | None = None) -> Column:

@@ -69,6 +69,18 @@ def test_obfuscated(spark):
     assert got[2] and not got[3]
 
 
+def test_spread_out_key_to_its_end(spark):
+    key = "sk-ant-api03-" + "a1B2c3D4e5F6g7H8i9J0" * 4 + "kLmNoPqRsTuVwXy"
+    assert len(key) == 108
+    one, three = " ".join(key), " \n ".join(key)
+    after = " was left in the notes for the others to read"
+    texts = [one, three, "x " + one + after, three + after, one + after + ". " + three + after,
+             key[:60] + "\n" + key[60:] + after, key + after, "sk-ant- is what" + after]
+    got = found(spark, texts, (D.OBFUSCATED,))
+    want = [[one], [three], [one], [three], [one, three], [key[:60] + "\n" + key[60:]], [], []]
+    assert [sorted(x[1] for x in g) for g in got] == [sorted(w) for w in want]
+
+
 def test_context_and_guards(spark):
     good = {"DB_PASSWORD=hunter2": "hunter2", "api_key: 7f3a9c": "7f3a9c",
             "Authorization: Bearer abc123xyz9": "abc123xyz9", "run --token=qwerty12 now": "qwerty12"}
