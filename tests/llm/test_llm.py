@@ -181,6 +181,37 @@ def test_html_differencing_of_unmarked_pages(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])  # one range of paths, and several
+def test_html_nearest_path_of_the_host(spark, coalesce):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesce)
+    try:
+        check_nearest_paths(spark)
+    finally:
+        spark.conf.set(name, before)
+
+
+def check_nearest_paths(spark):
+    r = random.Random(7)
+    paths = sorted({f"/{r.choice('ab')}{r.randrange(40)}/{r.randrange(9)}/x" for _ in range(300)})
+    marked = "<body><p>Home</p><article><p>Own {}</p></article><p>End</p>"
+    bare = "<body><p>Home</p><p>Own {}</p><p>End</p>"
+    rows = [(i, f"http://h{len(p) % 2}.x{p}", (marked if i % 3 == 0 else bare).format(i))
+            for i, p in enumerate(paths)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+    def common(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    for x in html.main_text(df).collect():
+        i = x["page_id"]
+        assert x["text"] == f"Own {i}"
+        if i % 3:
+            host = [p for p in paths if len(p) % 2 == len(paths[i]) % 2 and p != paths[i]]
+            assert common(paths[i], x["peer_path"]) == max(common(paths[i], p) for p in host)
+
+
 # --- 2 token counts
 
 def test_counts_follow_edits():
