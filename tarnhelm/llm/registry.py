@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarnhelm.llm import (
+    alignment,
     chat,
     fingerprints,
     html,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_language": language.op9_language,
     "op10_neighbours": neighbours.op10_neighbours,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES = {
