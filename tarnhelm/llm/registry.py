@@ -5,6 +5,7 @@ from __future__ import annotations
 from tarnhelm.llm import (
     alignment,
     chat,
+    decontamination,
     fingerprints,
     html,
     jaccard,
@@ -13,6 +14,7 @@ from tarnhelm.llm import (
     mixing,
     neighbours,
     packing,
+    phrases,
     tokens,
 )
 
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_language": language.op9_language,
     "op10_neighbours": neighbours.op10_neighbours,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op12_phrases": phrases.op12_phrases,
     "op13_alignment": alignment.op13_alignment,
 }
 
@@ -34,4 +38,6 @@ ORACLES = {
     "op5_chat": chat.ORACLE,
     "op6_jaccard": jaccard.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
+    "op12_phrases": phrases.ORACLE,
 }
