@@ -189,17 +189,17 @@ items as (
   from benchmark
 ),
 windows as (
-  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as window
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as words_of
   from (select item_id, w, least(10, len(w)) as n,
                unnest(range(1, len(w) - least(10, len(w)) + 2)) as i
         from items where len(w) > 0)
 ),
 spans as (
-  select row, i, n, array_to_string(w[i:i + n - 1], ' ') as window
+  select row, i, n, array_to_string(w[i:i + n - 1], ' ') as words_of
   from (select row, w, n, unnest(range(1, len(w) - n + 2)) as i
         from words, (select distinct n from windows) where len(w) >= n)
 ),
-found as (select row, i, n, item_id from spans join windows using (n, window)),
+found as (select row, i, n, item_id from spans join windows using (n, words_of)),
 hit as (
   select row, count(distinct at) as n_hit
   from (select row, unnest(range(i, i + n)) as at from found) group by row
