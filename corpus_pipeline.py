@@ -13,7 +13,12 @@ from tarnhelm.llm.common import keep, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; texts that are null or have no letter go."""
+    """Documents whose language is determined; texts that are null or have no letter go.
+
+    Every text with a letter is given a language if any row is labelled, so all of these stay,
+    very long and repeated ones too; without labelled rows none does. Ties go to the least
+    language name. An empty table stays empty. Other columns are kept whatever their names.
+    """
     path = language.vocabulary()
     train = docs.where(~language.held_out(docs["doc_id"]))
     langs, probs = language.fit(train, path)
@@ -25,17 +30,32 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of linked near-duplicates."""
+    """One document, that of the least id, of each group of linked near-duplicates.
+
+    Null texts and texts without words are linked with nothing and stay, as do rows without an
+    id. Of rows that repeat an id and its text one stays. Whole texts are compared. An empty
+    table stays empty. Other columns are kept whatever their names.
+    """
     return jaccard.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them.
+
+    A null source is a source of its own, the last. Null texts and texts without words have size
+    0 and are taken as often as others of their source and place. Rows that share an id share
+    their place and are taken alike. An empty table
+    stays empty. Other columns are kept whatever their names.
+    """
     return mixing.take(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in the training sequences."""
+    """Pieces of documents with their places in the training sequences.
+
+    A null or empty text is the end mark alone; long texts are cut into pieces. Repeated rows are
+    packed each. An empty table gives no rows. Columns other than doc_id and text are not read.
+    """
     return packing.pack_documents(docs)
 
 

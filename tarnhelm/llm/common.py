@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnhelm.sources.stored import keep, shared_folder
 
 __all__ = [
-    "BLANKS", "BLANK_CHARS", "BROADCAST_ROWS", "bind", "components", "keep", "lower_ascii",
+    "BLANKS", "BLANK_CHARS", "BROADCAST_ROWS", "bind", "components", "give_back", "keep", "lower_ascii",
     "shared_folder", "small", "table", "words",
 ]
 
@@ -47,6 +49,17 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), lambda v: use(v))[0]
 
 
+def give_back() -> None:
+    """Return what a task no longer uses to the system: Python workers live on for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node with an edge.
 

@@ -201,8 +201,8 @@ spans as (
 ),
 found as (select row, i, n, item_id from spans join windows using (n, words_of)),
 hit as (
-  select row, count(distinct at) as n_hit
-  from (select row, unnest(range(i, i + n)) as at from found) group by row
+  select row, count(distinct place) as n_hit
+  from (select row, unnest(range(i, i + n)) as place from found) group by row
 ),
 named as (
   select row, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as items_sha256

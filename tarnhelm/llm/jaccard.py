@@ -31,12 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import components, keep, small, table
+from tarnhelm.llm.common import components, give_back, keep, small, table
 
 WIDTH = 5
 PERCENT = 75
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
+#: Shingles that a task holds before it counts them.
+HELD = 1_000_000
 #: Shingles ordered by their counts; all others count as rare and are ordered by hash. This
 #: decides which shingles of a set are indexed, never what is found.
 FREQUENT = 200_000
@@ -160,11 +162,12 @@ def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
             for s in shingler.sets(batch.column(0)):
                 held.append(s)
                 n += len(s)
-                if n > 3_000_000:
+                if n > HELD:
                     yield out()
                     held, n = [], 0
         if held:
             yield out()
+        give_back()
 
     rows = (
         docs.select("text").mapInArrow(count, "token bigint, n bigint")
@@ -358,10 +361,25 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``docs`` without the documents that are in the component of one with a lesser id."""
-    gone = keep(join_components(docs, percent, width).where("doc_id <> component_id")
-                .select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the documents that are in the component of one with a lesser id.
+
+    Of rows that repeat both an id and its text one stays; rows that share only their id all do.
+    """
+    gone = keep(join_components(docs.select("doc_id", "text"), percent, width)
+                .where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    names = [f"_d_{i}" for i in range(len(docs.columns))]  # no name of docs can clash
+    rows = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    left = rows.join(small(gone), doc_id == F.col("_id"), "left_anti")
+    again = keep(left.groupBy(doc_id.alias("_id")).agg(F.count("*").alias("_n"))
+                 .where("_n > 1 and _id is not null").select("_id", F.lit(True).alias("_again")))
+    if again.isEmpty():
+        return left.toDF(*docs.columns)
+    marked = left.join(small(again), doc_id == F.col("_id"), "left").select(*names, "_again")
+    once = marked.where("_again").withColumns({"_id": doc_id, "_text": text}).dropDuplicates(
+        ["_id", "_text"])
+    return marked.where("_again is null").select(names).unionByName(once.select(names)).toDF(
+        *docs.columns)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

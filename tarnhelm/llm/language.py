@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import table
+from tarnhelm.llm.common import give_back, table
 
 #: Documents per language that the models are fitted on, about.
 TRAIN_DOCS = 1500
@@ -37,7 +38,9 @@ LONG = 48
 #: Log probability below which a word is computed again with rescaled sums.
 FAINT = -600.0
 #: Characters of text scored at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
+#: Words whose probabilities a task remembers before it starts anew.
+KNOWN_WORDS = 150_000
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 MARK = "▁"
@@ -214,58 +217,78 @@ class Forward:
         return total + np.log(np.maximum(window[0], 1e-300))
 
 
-def score_texts(texts: list[str | None], langs: list[str], forward: Forward):
-    """(language, posterior) per text."""
-    ids: dict[str, int] = {}
-    sizes, flat = [], []
-    for t in texts:
-        if t is None or not LETTER.search(t):
-            sizes.append(0)
-            continue
-        own = [ids.setdefault(w, len(ids)) for w in t.lower().split()]
-        sizes.append(len(own))
-        flat.append(np.array(own, np.int64))
-    out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
-    if not ids or not langs:
+class Scorer:
+    """(language, posterior) of texts; words that were met before keep their probabilities."""
+
+    def __init__(self, langs: list[str], forward: Forward):
+        self.langs, self.forward = langs, forward
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.known = np.zeros((1024, len(self.langs)))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        if len(self.ids) > KNOWN_WORDS:
+            self.forget()
+        ids, first = self.ids, len(self.ids)
+        sizes, flat = [], []
+        for t in texts:
+            if t is None or not LETTER.search(t):
+                sizes.append(0)
+                continue
+            own = [ids.setdefault(w, len(ids)) for w in t.lower().split()]
+            sizes.append(len(own))
+            flat.append(np.array(own, np.int64))
+        if not flat:
+            return out
+        n = len(ids)
+        if n > first:
+            if n > len(self.known):
+                more = np.zeros((2 * n, len(self.langs)))
+                more[:first] = self.known[:first]
+                self.known = more
+            new = list(islice(reversed(ids), n - first))[::-1]
+            self.known[first:n] = self.forward([MARK + w for w in new])
+        at = np.flatnonzero(sizes)
+        edges = np.concatenate([[0], np.cumsum(np.array(sizes)[at])[:-1]])
+        sums = np.add.reduceat(self.known[np.concatenate(flat)], edges, axis=0)
+        best = sums.argmax(axis=1)
+        rest = np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, b, r in zip(at.tolist(), best.tolist(), rest.tolist(), strict=True):
+            out[i] = (self.langs[b], 1.0 / r)
         return out
-    of_word = forward([MARK + w for w in ids])
-    at = np.flatnonzero(sizes)
-    flat = np.concatenate(flat)
-    edges = np.concatenate([[0], np.cumsum(np.array(sizes)[at])[:-1]])
-    sums = np.add.reduceat(of_word[flat], edges, axis=0)
-    best = sums.argmax(axis=1)
-    rest = np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-    for i, b, r in zip(at.tolist(), best.tolist(), rest.tolist(), strict=True):
-        out[i] = (langs[b], 1.0 / r)
-    return out
 
 
 def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, path: str) -> DataFrame:
-    """``docs`` with lang_pred and score, from ``text`` alone; one pass, no shuffle."""
-    docs = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
-    place = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forward = Forward(plain_pieces(path), probs) if langs else None
-        def judged(part: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-            found = score_texts(texts, langs, forward)
-            return pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array([x[0] for x in found], pa.string()),
-                 pa.array([x[1] for x in found], pa.float64())],
-                [*part.schema.names, "lang_pred", "score"])
+    """``docs`` with lang_pred and score, from ``text`` alone; one pass, no shuffle.
 
-        for batch in batches:
-            texts, chars, first = [], 0, 0
-            for i, text in enumerate(batch.column(place), 1):
+    Python gets the texts only, all other columns stay where they are.
+    """
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(langs, Forward(plain_pieces(path), probs) if langs else None)
+        for column in columns:
+            found, texts, chars = [], [], 0
+            for text in column:
                 texts.append(text.as_py())
                 chars += len(texts[-1] or "")
-                if chars > CHUNK or i == batch.num_rows:
-                    yield judged(batch.slice(first, i - first), texts)
-                    texts, chars, first = [], 0, i
-
-    return docs.mapInArrow(run, schema)
+                if chars > CHUNK:
+                    found += scorer(texts)
+                    texts, chars = [], 0
+            found += scorer(texts)
+            yield pa.StructArray.from_arrays(
+                [pa.array([x[0] for x in found], pa.string()),
+                 pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
+        give_back()
+
+    # Called non-deterministic, so that a filter on its answers does not run it twice.
+    judge = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
+    docs = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
+    judged = docs.select("*", judge(F.col("text")).alias("_judged"))
+    return judged.select(*docs.columns, "_judged.lang_pred", "_judged.score")
 
 
 def identify(docs: DataFrame, path: str | None = None, per_lang: int = TRAIN_DOCS) -> DataFrame:

@@ -590,3 +590,55 @@ def test_pipeline_stages(spark):
     assert seen == ["language", "near_duplicates", "mix", "pack"]
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(at.columns)
     assert corpus_pipeline.run(spark, SF).count() == at.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    more = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(
+        f"{c} string" for c in ("lang_pred", "score", "component_id", "n", "_again", "_n", "piece",
+                                "_repeated", "_judged", "_m", "size", "place", "key"))
+    texts = [None, "", " \n", "12 !!", LONG, "one", "the quick brown fox jumps over the lazy dog",
+             "the quick brown fox jumps over the lazy dog", "éèê ñ ß", "x" * 5000]
+    rows = [(i, t, ["en", "fr", None][i % 3], ["a", None][i % 2], 1, *"abcdefghijklm")
+            for i, t in enumerate(texts)]
+    rows += [rows[6], rows[6], (None, "no id at all", "en", "a", 1, *"abcdefghijklm"),
+             (None, "no id at all", "en", "a", 1, *"abcdefghijklm")]
+    docs = spark.createDataFrame(rows, more)
+    kept, groups, mix, pack = (stage for _, stage in corpus_pipeline.STAGES)
+    known = common.keep(kept(spark, docs, SF))
+    assert known.columns == docs.columns
+    letters = sorted(r[1] for r in rows if r[1] and language.LETTER.search(r[1]))
+    assert sorted(r["text"] for r in known.collect()) == letters
+    single = common.keep(groups(spark, docs, SF))
+    ids = [r["doc_id"] for r in single.collect()]
+    assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
+    assert single.columns == docs.columns and ids.count(None) == 2
+    mixed = common.keep(mix(spark, docs, SF))
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
+    packed = pack(spark, docs, SF).groupBy("sequence_id").agg(
+        F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r["n"] == r["end"] <= packing.SIZE for r in packed)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_language_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame(
+        [(i, "abc abd", lang, "s", 7) for i, lang in enumerate(["b", "a"] * 20)] +
+        [(3, "abc", None, "s", 3)] * 2, "doc_id bigint, text string, lang string, source string, n bigint")
+    out = language.identify(docs).collect()
+    assert len(out) == 42
+    assert len({(r["lang_pred"], r["score"]) for r in out if r["doc_id"] == 3 and r["lang"] is None}) == 1
+
+
+def test_scorer_forgets_and_scores_alike():
+    pieces = ["", "▁a", "b", "c", "▁", "a"]
+    probs = np.array([[0, 0], [0.3, 0.1], [0.2, 0.3], [0.2, 0.2], [0.2, 0.1], [0.1, 0.3]])
+    texts = [None, "ab", "a c", "", "a b c ab", "123", "ba " * 9]
+    scorer = language.Scorer(["x", "y"], language.Forward(pieces, probs))
+    whole = scorer(texts)
+    old, language.KNOWN_WORDS = language.KNOWN_WORDS, 1
+    try:
+        assert [scorer([t])[0] for t in texts] == whole
+    finally:
+        language.KNOWN_WORDS = old
