@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnhelm.llm import jaccard, language, mixing, packing
-from tarnhelm.llm.common import keep, table
+from tarnhelm.llm.common import keep, small_batches, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     very long and repeated ones too; without labelled rows none does. Ties go to the least
     language name. An empty table stays empty. Other columns are kept whatever their names.
     """
+    small_batches(spark)
     path = language.vocabulary()
     train = docs.where(~language.held_out(docs["doc_id"]))
     langs, probs = language.fit(train, path)
@@ -36,6 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     id. Of rows that repeat an id and its text one stays. Whole texts are compared. An empty
     table stays empty. Other columns are kept whatever their names.
     """
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -56,6 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is the end mark alone; long texts are cut into pieces. Repeated rows are
     packed each. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -11,7 +11,7 @@ from tarnhelm.sources.stored import keep, shared_folder
 
 __all__ = [
     "BLANKS", "BLANK_CHARS", "BROADCAST_ROWS", "bind", "components", "give_back", "keep", "lower_ascii",
-    "shared_folder", "small", "table", "words",
+    "shared_folder", "small", "small_batches", "table", "words",
 ]
 
 #: Characters between words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -19,6 +19,8 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
 #: Rows up to which a table of ids and numbers may be broadcast (some 30 MB).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of texts that go to Python at once where several stages share the workers.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in batches of BATCH_BYTES, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+            spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node with an edge.
 
