@@ -30,13 +30,41 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements that running sums add one by one; whole blocks of them are added at once.
+_BLOCK = 64
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum of each element of an array and all before it.
+
+    Sums are taken inside blocks, and over the blocks before: two short levels instead of one
+    long one for each element.
+    """
+    zero = F.lit(0)
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda acc, x: acc + x)
+
+    def walk(xs):
+        block = lambda i: F.floor(i / _BLOCK).cast("int")
+        sums = F.transform(
+            F.sequence(zero, block(F.greatest(F.size(xs) - 1, zero))),
+            lambda b: total(F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK))))
+        bases = bind(sums, lambda all_: F.transform(
+            all_, lambda x, b: total(F.slice(all_, F.lit(1), b))))
+        return bind(bases, lambda base: F.transform(xs, lambda x, i: F.get(
+            base, block(i)) + total(F.slice(xs, block(i) * _BLOCK + 1, i % _BLOCK + 1))))
+
+    return bind(numbers, walk)
+
+
 def find_all(
     text: Column, pattern: str, before: int = 1, after: int = 1, shortest: int = 1
 ) -> Column:
     """Every non-overlapping match with code-point offsets and bounded context.
 
     One regex pass puts marks around the matches. Splitting at a mark is a plain character
-    split, and the places of the marks, less the marks before them, are the offsets.
+    split, and running sums of the pieces' lengths, less the marks in them, are the offsets.
     ``before`` and ``after`` are how many neighbouring characters to carry along, which lets
     the caller drop the text; they come from the neighbouring pieces, so the work is in
     proportion to the text however many matches it has. ``shortest`` is the least length of a
@@ -56,7 +84,7 @@ def find_all(
         def match(z, i):
             piece = z["piece"]
             value = F.substring_index(piece, _CLOSE, 1)
-            lo = z["mark"] - 2 * i
+            lo = z["mark"] - i
             rest = F.substring(piece, F.length(value) + 2, F.lit(after))
             return F.struct(
                 lo.alias("start"),
@@ -75,10 +103,7 @@ def find_all(
     def walk(marked):
         parts = F.split(marked, _OPEN, -1)
         rest = F.greatest(F.size(parts) - 1, F.lit(0))
-        marks = F.filter(
-            F.transform(F.split(marked, ""), lambda c, i: F.when(c == _OPEN, i)),
-            lambda i: i.isNotNull(),
-        )
+        marks = running_sums(F.transform(F.slice(parts, F.lit(1), rest), lambda p: F.length(p)))
         tails = F.transform(parts, lambda p: F.right(plain(p), F.lit(before)))
         heads = F.transform(parts, lambda p: F.left(plain(p), F.lit(after)))
         own = F.slice(parts, F.lit(2), rest)

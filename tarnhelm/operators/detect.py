@@ -811,6 +811,11 @@ def detect(
     rows = spans.select(
         *keys, F.explode_outer(hits_of(F.col(text), detectors)).alias("_hit")
     )
+    return as_findings(rows, keys)
+
+
+def as_findings(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with one ``_hit`` each, or none, as findings."""
     return rows.filter("_hit is not null").select(
         *keys,
         "_hit.start", "_hit.end", "_hit.entity_class",

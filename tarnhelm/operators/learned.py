@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tarnhelm.functions.checks import CHECKSUMS
 from tarnhelm.functions.text import find_all
-from tarnhelm.operators.detect import Detector, _bound, _collect, detect
-from tarnhelm.schema import FAMILY_OF, hit, never_enforce_alone, no_hits
+from tarnhelm.operators.detect import Detector, _bound, _collect, as_findings, detect
+from tarnhelm.operators.literals import ENTRIES, LiteralIndex
+from tarnhelm.schema import FAMILY_OF, FINDING_COLUMNS, hit, never_enforce_alone, no_hits
 
 # Limits a learned rule has to respect.
 MAX_CONFIDENCE = 0.65
@@ -57,22 +58,6 @@ def rule_key(entity_class: Column, pattern: Column, anchors: Column) -> Column:
     )
 
 
-def rules_from(df: DataFrame, most: int | None = None) -> list[LearnedRule]:
-    """Rules of a table; they become parts of the scan expression. With ``most`` (the upstream's
-    is MAX_RULES) a larger table is refused."""
-    rows = df.collect() if most is None else df.limit(most + 1).collect()
-    if most is not None and len(rows) > most:
-        raise ValueError(f"more than {most} learned rules; run save_learned first")
-    return [
-        LearnedRule(
-            r["entity_class"], r["pattern"], tuple(r["anchors"] or ()), r["min_len"],
-            r["max_len"], tuple(r["context"] or ()), r["checksum"],
-            min(r["confidence"], MAX_CONFIDENCE),
-        )
-        for r in rows
-    ]
-
-
 def learned_hits(text: Column, rules: Sequence[LearnedRule]) -> Column:
     """Hits of every rule. A rule without a pattern takes the text after each anchor."""
 
@@ -151,11 +136,95 @@ def apply_learned_rules(
     spans: DataFrame, rules: Sequence[LearnedRule] | DataFrame, text: str = "text",
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
+    """Findings of the rules: a few of them become one scan expression, a table of any size is
+    joined with the texts that hold what a rule cannot match without."""
     if isinstance(rules, DataFrame):
-        rules = rules_from(rules)
+        return apply_rule_table(spans, rules, text, keys)
     return detect(spans, (learned_detector(rules),), text, keys)
 
 
+_GAP = "\x01"
+
+
+def needed_literal(pattern: Column) -> Column:
+    """A literal that every match of the pattern contains; empty if none is certain.
+
+    Escapes, classes, groups and whatever has a quantifier become gaps; the longest run between
+    gaps is left. Alternatives, inline flags and anything not understood give none.
+    """
+    p = F.regexp_replace(pattern, r"\\[pP]\{[^}]*\}|\\x\{[^}]*\}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"
+                         r"|\\0[0-7]+|\\c.|\\k<[^>]*>|\\.", _GAP)
+    p = F.regexp_replace(p, r"\[\^?\]?[^\[\]]*\]", _GAP)
+    depth = F.length(p) - F.length(F.replace(p, F.lit("("), F.lit("")))
+    p = F.when(depth > 0, F.aggregate(
+        F.sequence(F.lit(1), depth), p,
+        lambda acc, _: F.regexp_replace(acc, r"\([^()]*\)", _GAP))).otherwise(p)
+    p = F.regexp_replace(p, r"(?s).(?:[?*+]|\{\d*,?\d*\})[?+]?", _GAP)
+    p = F.regexp_replace(p, r"[.^$]", _GAP)
+    odd = pattern.rlike(r"\||\(\?[a-zA-Z-]|\\[QE]") | p.rlike(r"[\[\](){}*+?\\]")
+    longest = F.aggregate(F.split(p, _GAP), F.lit(""), lambda acc, x: F.when(
+        F.length(x) > F.length(acc), x).otherwise(acc))
+    return F.when(odd, "").otherwise(longest)
+
+
+def rule_index(rules: DataFrame, entries: int = ENTRIES) -> LiteralIndex:
+    """An entry per pattern, under the literal that it needs, or per anchor. A pattern without
+    such a literal has an empty one and is tried on every text."""
+    plain = F.coalesce(F.col("pattern"), F.lit("")) == ""
+    literals = F.when(plain, F.col("anchors")).otherwise(F.array(needed_literal(F.col("pattern"))))
+    rows = rules.select(
+        "entity_class", plain.alias("from_anchor"), F.explode(literals).alias("literal"),
+        "pattern", "min_len", "max_len", "context", "checksum",
+        F.least("confidence", F.lit(MAX_CONFIDENCE)).alias("confidence"),
+        rule_key(F.col("entity_class"), F.col("pattern"), F.col("anchors")).alias("rule"))
+    quoted = F.concat(F.lit("\\Q"), F.replace("literal", F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
+                      F.lit("\\E"))
+    find = F.when(F.col("from_anchor"), quoted).otherwise(F.col("pattern"))
+    return LiteralIndex(rows.select("*", find.alias("find")).drop("pattern"), entries)
+
+
+def apply_rule_table(
+    spans: DataFrame, rules: DataFrame, text: str = "text", keys: Sequence[str] | None = None,
+    entries: int = ENTRIES,
+) -> DataFrame:
+    """Findings of a table of rules (RULE_SCHEMA) of any size.
+
+    An inverted index leads from grams of the rules' literals to the rules. Each text looks up
+    its own grams there and evaluates only the rules found, with pattern, lengths, context and
+    checksum as columns. Text is never shuffled and no rule is collected.
+    """
+    keys = [c for c in spans.columns if c != text] if keys is None else list(keys)
+    names = [f"_k_{i}" for i in range(len(keys))]
+    source = spans.select(
+        *[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(text).alias("_text"))
+    index = rule_index(rules, entries)
+    most = index.rows.agg(F.max("max_len")).first()[0] or 1
+    t = F.col("_text")
+
+    def confirmed(m):
+        value = F.when(F.col("from_anchor"), F.substring(
+            F.concat(m["value"], m["after"]), F.lit(1), F.col("max_len"))).otherwise(m["value"])
+        checked = F.col("checksum").isNull()
+        for name, ok in CHECKSUMS.items():
+            checked = checked | ((F.col("checksum") == name) & ok(value))
+        return F.when(
+            F.length(value).between(F.col("min_len"), F.col("max_len")) & checked,
+            hit(m["start"], m["start"] + F.length(value), F.col("entity_class"),
+                F.col("confidence"), F.col("rule")))
+
+    def evaluated(pairs: DataFrame) -> DataFrame:
+        lower = F.lower(t)
+        fits = (F.coalesce(F.size("context"), F.lit(0)) <= 0) | F.exists(
+            "context", lambda c: F.contains(lower, F.lower(c)))
+        found = _collect(find_all(t, F.col("find"), after=max(1, most)), confirmed)
+        return pairs.where(fits).select(*names, F.explode_outer(found).alias("_hit"))
+
+    rows = index.lookup(source, F.array(t), evaluated)
+    if rows is None:
+        rows = source.select(*names, F.explode(no_hits()).alias("_hit"))
+    return as_findings(rows, names).toDF(*keys, *FINDING_COLUMNS)
+
+
 def _nested_quantifier(pattern: Column) -> Column:
     """A quantifier on a group that already holds one, such as ``(a+)+``.
 

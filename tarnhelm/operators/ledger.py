@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnhelm.functions.crypto import genesis, link_hash
+from tarnhelm.operators.literals import ENTRIES, LiteralIndex
 from tarnhelm.operators.ordered import BLOCK_ROWS, with_history
 from tarnhelm.operators.policy import root_tenant
 
@@ -409,65 +411,28 @@ def verify_ledger(
     )
 
 
-#: Literals that one pass over a table looks for.
-SWEEP_LITERALS = 200_000
-
-
-def _escaped(col: Column) -> Column:
-    """A literal as it is written inside JSON."""
-    quoted = _quoted(col)
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-
-
 def leak_sweep(
-    tables: dict[str, DataFrame], literals: DataFrame, at_once: int = SWEEP_LITERALS
+    tables: dict[str, DataFrame], literals: DataFrame, at_once: int = ENTRIES
 ) -> DataFrame:
     """Planted literals of any length found in any column of any table: rows that hold each.
 
-    The literals of a pass form one automaton that reads every row once, so nothing but counts
-    is shuffled. More than ``at_once`` literals are searched in several passes over the tables.
+    Values are searched, not their spelling in JSON: names of columns and punctuation are no
+    hits. Values of lists, maps and structs are searched as text without the names of fields. An
+    index of the literals' grams finds the few that a row may hold, an exact search decides, and
+    nothing but counts is shuffled. ``at_once`` literals are looked for in one pass.
     """
-    wanted = literals.select("literal").filter(F.length("literal") > 0).distinct().select(
-        "literal", _escaped(F.col("literal")).alias("_esc")
-    )
-    passes = max(1, -(-wanted.count() // at_once))
-    part = F.pmod(F.xxhash64("literal"), F.lit(passes))
+    index = LiteralIndex(
+        literals.select("literal").where(F.length("literal") > 0).distinct(), at_once)
     found = []
-    for i in range(passes):
-        rows = wanted.filter(part == i).collect()  # about ``at_once`` literals
-        plain = [r["literal"] for r in rows]
-        escaped = [r["_esc"] for r in rows]
-        for name, df in tables.items():
-            whole = df.select(F.to_json(F.struct(*df.columns)).alias("row"))
-            found.append(
-                whole.mapInArrow(_sweeper(plain, escaped), "literal string, n bigint")
-                .groupBy("literal").agg(F.sum("n").alias("rows"))
-                .select(F.lit(name).alias("table"), "literal", "rows")
-            )
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _sweeper(plain: list[str], escaped: list[str]):
-    """Counts, per literal, the rows of a batch that hold its escaped form."""
-    def run(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        find = ahocorasick.Automaton()
-        for i, literal in enumerate(escaped):
-            find.add_word(literal, i)
-        find.make_automaton()
-        for batch in batches:
-            counts: dict[int, int] = {}
-            if escaped:
-                for row in batch.column(0):
-                    for i in {i for _, i in find.iter(row.as_py())}:
-                        counts[i] = counts.get(i, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([plain[i] for i in counts], pa.string()),
-                 pa.array(list(counts.values()), pa.int64())], ["literal", "n"])
-
-    return run
+    for name, df in tables.items():
+        values = df.select(F.array(*[
+            F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns
+        ]).alias("_values"))
+        rows = index.lookup(values, F.col("_values"), lambda pairs: pairs.select("literal"))
+        if rows is not None:
+            found.append(rows.groupBy("literal").agg(F.count("*").alias("rows")).select(
+                F.lit(name).alias("table"), "literal", "rows"))
+    if not found:
+        return literals.sparkSession.createDataFrame(
+            [], "table string, literal string, rows bigint")
+    return reduce(DataFrame.unionByName, found)

@@ -471,7 +471,7 @@ def versions(policies: DataFrame) -> DataFrame:
 
 
 def policy_diff(policies: DataFrame, old: int, new: int) -> DataFrame:
-    """What changed between two versions, one sorted list of notes per tenant."""
+    """What changed between two versions, one list of notes per tenant that has either."""
     a = policies.filter(F.col("version") == old).alias("a")
     b = policies.filter(F.col("version") == new).alias("b")
     both = a.join(b, F.col("a.tenant_id") == F.col("b.tenant_id"), "full_outer")
@@ -484,9 +484,11 @@ def policy_diff(policies: DataFrame, old: int, new: int) -> DataFrame:
                      F.coalesce(y, F.lit("none"))),
         )
 
-    sizes = tuple(F.coalesce(F.size(f"{x}.rules"), F.lit(0)) for x in "ab")
+    none = F.array().cast(policies.schema["rules"].dataType)
+    rules = [F.coalesce(F.col(f"{x}.rules"), none) for x in "ab"]
+    sizes = tuple(F.size(r) for r in rules)
     pairs = F.zip_with(
-        "a.rules", "b.rules",
+        *rules,
         lambda x, y: F.struct(x["action"].alias("x"), y["action"].alias("y")),
     )
     per_rule = F.transform(
@@ -511,7 +513,7 @@ def policy_diff(policies: DataFrame, old: int, new: int) -> DataFrame:
         lambda n: n.isNotNull(),
     )
     return both.select(
-        F.col("a.tenant_id").alias("tenant_id"),
+        F.coalesce("a.tenant_id", "b.tenant_id").alias("tenant_id"),
         F.when(F.size(notes) == 0, F.array(F.lit("no material change"))).otherwise(notes)
         .alias("notes"),
     )
@@ -522,8 +524,11 @@ def publish(drafts: DataFrame, policies: DataFrame, tenants: DataFrame) -> DataF
 
     A draft carries tenant_id, org, business_unit, mode, fail, expected_version, rules,
     ``default`` and ``unregistered_workload``; mode and fail are null where the file
-    does not name them.
+    does not name them. Of several drafts of a tenant that would pass, one does: the next
+    version is then taken.
     """
+    content = F.to_json(F.struct(*drafts.columns), {"ignoreNullFields": "false"})
+    drafts = drafts.withColumn("_draft", F.sha2(content, 256))
     current = policies.filter("active").select(
         "tenant_id", F.col("version").alias("_active")
     )
@@ -535,11 +540,13 @@ def publish(drafts: DataFrame, policies: DataFrame, tenants: DataFrame) -> DataF
         latest, "tenant_id", "left")
     next_version = F.coalesce(F.col("_latest"), F.lit(0)) + 1
     org = rules_table(policies.filter("active"))
+    # A draft stands for its tenant here, so that each is judged by its own rules.
     bu = d.filter("parent_id is not null").select(
-        "tenant_id", next_version.alias("version"), F.col("parent_id").alias("org_tenant_id"),
+        F.col("_draft").alias("tenant_id"), next_version.alias("version"),
+        F.col("parent_id").alias("org_tenant_id"),
         F.posexplode("rules").alias("rule_index", "_r"),
     ).select("tenant_id", "version", "org_tenant_id", "rule_index", "_r.*")
-    weak = bu_may_only_raise(org, bu).groupBy("tenant_id").agg(
+    weak = bu_may_only_raise(org, bu).groupBy(F.col("tenant_id").alias("_draft")).agg(
         F.min("bu_rule_index").alias("_weak_rule")
     )
     root = F.col("parent_id").isNull()
@@ -561,9 +568,15 @@ def publish(drafts: DataFrame, policies: DataFrame, tenants: DataFrame) -> DataF
         .when(~F.col("expected_version").eqNullSafe(F.col("_active")), "version conflict")
         .when(F.col("_weak_rule").isNotNull(), "business unit weakens an org rule")
     )
-    return d.join(weak, "tenant_id", "left").select(
-        "tenant_id", reason.isNull().alias("accepted"), reason.alias("reason"),
-        F.when(reason.isNull(), next_version).alias("version"),
+    judged = d.join(weak, "_draft", "left").select(
+        "tenant_id", "_draft", reason.alias("_reason"), next_version.alias("_next"))
+    first = F.row_number().over(
+        W.partitionBy("tenant_id", F.col("_reason").isNull()).orderBy("_draft"))
+    judged = judged.withColumn("reason", F.coalesce(
+        "_reason", F.when(first > 1, "version conflict")))
+    return judged.select(
+        "tenant_id", F.col("reason").isNull().alias("accepted"), "reason",
+        F.when(F.col("reason").isNull(), F.col("_next")).alias("version"),
     )
 
 

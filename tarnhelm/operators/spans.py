@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import re
-from collections.abc import Iterator, Sequence
-from json.decoder import JSONDecodeError, scanstring
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnhelm.functions.crypto import base32_prefix, hmac_hex
+from tarnhelm.functions.text import bind, running_sums
+from tarnhelm.sources.stored import keep
 
 # Nesting rules of JSON kept inside JSON strings.
 NESTED_MIN = 8
-NESTED_DEPTH = 2
 NESTED_MARK = "$json"
 
 # Keys that decide the origin of what lies below them.
@@ -39,103 +42,203 @@ SPAN_SCHEMA = (
     "malformed boolean"
 )
 
-_BLANK = re.compile(r"[ \t\n\r]*")
-_SCALAR = re.compile(r"[^,\]} \t\n\r]+")
+#: Levels that are opened in one plan, before strings are looked into and after: deeper documents
+#: take further rounds.
+LEVELS = (6, 4)
 
+_LITERAL = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NESTED_START = r"\A[ \t\n\r]*+[{\[]"
+_TAG = r"\A(\d+):"
 
-def _leaves(body: str, prefix: str = "", depth: int = 0) -> Iterator[tuple]:
-    """String leaves of a JSON text with their paths; ValueError when malformed.
 
-    Works through the text with a stack of open containers. The path of the next value
-    is what the container on top says: the key just read, or the running index.
+def _tagged(text: Column) -> Column:
+    """JSON text whose strings, keys too, begin with their own place in it: ``"17:value"``.
+
+    Parsing forgets where a value stood and refuses an object that repeats a key; in tagged text
+    every string carries its place and no two keys are equal.
     """
-    blank, end = _BLANK.match, len(body)
-    stack: list[list] = []  # [closing bracket, path, next index]
-    pos = blank(body, 0).end()
-    path = prefix
-    while True:
-        if pos >= end:
-            raise ValueError("unexpected end")
-        ch = body[pos]
-        if ch in "{[":
-            close = "}" if ch == "{" else "]"
-            pos = blank(body, pos + 1).end()
-            if body[pos : pos + 1] == close:
-                pos += 1
-            else:
-                stack.append([close, path, 0])
-                path, pos = _enter(body, pos, stack[-1])
-                continue
-        elif ch == '"':
-            at = pos + 1
-            text, pos = scanstring(body, at, True)
-            yield path, text, at
-        else:
-            m = _SCALAR.match(body, pos)
-            if m is None:
-                raise ValueError("no value")
-            pos = m.end()
-        # A value ended: close containers, or move on to the next member.
-        while True:
-            pos = blank(body, pos).end()
-            if not stack:
-                if pos != end:
-                    raise ValueError("trailing content")
-                return
-            top = stack[-1]
-            nxt = body[pos : pos + 1]
-            if nxt == ",":
-                top[2] += 1
-                path, pos = _enter(body, blank(body, pos + 1).end(), top)
-                break
-            if nxt != top[0]:
-                raise ValueError("expected a separator")
-            stack.pop()
-            pos += 1
-
-
-def _enter(body: str, pos: int, top: list) -> tuple[str, int]:
-    """Path and position of the next member of an open container."""
-    close, base, index = top
-    if close == "]":
-        return f"{base}[{index}]", pos
-    if body[pos : pos + 1] != '"':
-        raise ValueError("expected a key")
-    key, pos = scanstring(body, pos + 1, True)
-    pos = _BLANK.match(body, pos).end()
-    if body[pos : pos + 1] != ":":
-        raise ValueError("expected a colon")
-    joined = key if not base or base.endswith(NESTED_MARK + ".") else f"{base}.{key}"
-    if base.endswith(NESTED_MARK + "."):
-        joined = base + key
-    return joined, _BLANK.match(body, pos + 1).end()
-
-
-def _spans_of(body: str, depth: int = 0, prefix: str = "", parent: str | None = None
-              ) -> list[tuple]:
-    out = []
-    for path, text, at in _leaves(body, prefix, depth):
-        shown = path[:-1] if path.endswith(NESTED_MARK + ".") else path
-        out.append((shown, text, parent, at if parent is not None else None, False))
-        if depth < NESTED_DEPTH and len(text) >= NESTED_MIN and text.lstrip()[:1] in ("{", "["):
-            try:
-                # Text inside a nested document is nested in the string that holds it.
-                out.extend(
-                    _spans_of(text, depth + 1, f"{shown}{NESTED_MARK}.", shown)
-                )
-            except (ValueError, JSONDecodeError, RecursionError):
-                pass
+    literals = F.regexp_extract_all(text, F.lit(_LITERAL), F.lit(0))
+    gaps = F.split(text, _LITERAL, -1)
+
+    def glued(z):
+        ends = running_sums(F.transform(
+            F.arrays_zip(z["gap"].alias("g"), z["lit"].alias("l")),
+            lambda x: F.length(x["g"]) + F.coalesce(F.length(x["l"]), F.lit(0))))
+        return bind(ends, lambda e: F.array_join(F.transform(z["gap"], lambda g, i: F.concat(
+            g, F.when(i < F.size(z["lit"]), F.concat(
+                F.lit('"'), F.get(e, i) - F.length(F.get(z["lit"], i)) + 1, F.lit(":"),
+                F.substring(F.get(z["lit"], i), F.lit(2), F.length(F.get(z["lit"], i))),
+            )).otherwise(""))), ""))
+
+    return bind(F.struct(gaps.alias("gap"), literals.alias("lit")), glued)
+
+
+def _parsed(text: Column) -> Column:
+    """The text as a variant; null unless it is one JSON document and nothing else.
+
+    Parsing alone does not mind what follows a document. So the text is put in a list before
+    its own digest, which is only found where the document ends with the text.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+    return bind(_is(listed, "array<variant>"), lambda a: F.when(
+        (F.size(a) == 2) & (F.try_variant_get(F.get(a, 1), "$", "string") == F.md5(text)),
+        F.get(a, 0)))
+
+
+def _is(variant: Column, kind: str) -> Column:
+    return F.try_variant_get(variant, "$", kind)
+
+
+def _role(message: Column, tagged: Column) -> Column:
+    """The lower-case ``role`` of a message; an empty string if it has none."""
+    entries = F.map_entries(_is(message, "map<string,variant>"))
+    value = F.get(F.filter(entries, lambda e: F.when(
+        tagged, e["key"].rlike(r"\A\d+:role\z")).otherwise(e["key"] == "role")), F.lit(0))
+    text = F.try_variant_get(value["value"], "$", "string")
+    text = F.when(tagged, F.regexp_replace(text, _TAG, "")).otherwise(text)
+    return F.coalesce(F.lower(text), F.lit(""))
+
+
+_COLUMNS = {
+    "path": "string", "value": "variant", "role": "string", "parent": "string",
+    "tagged": "boolean", "text": "string", "place": "int", "whole": "boolean",
+}
+_STATE = f"array<struct<{','.join(f'{c}:{t}' for c, t in _COLUMNS.items())}>>"
+
+
+def _child(row: Column, **changed) -> Column:
+    return F.struct(*[changed.get(c, row[c]).alias(c) for c in _COLUMNS])
+
+
+def _opened(row: Column) -> Column:
+    """What a row becomes: the members of a container, or the text of a string.
+
+    Numbers, true, false and null become nothing. A row with text stays as it is.
+    """
+    path, value, tagged = row["path"], row["value"], row["tagged"]
+
+    def element(x, i):
+        # A message's role holds for all below it, nested documents included.
+        lists = row["parent"].isNull() & path.isin("messages", "input")
+        return _child(row, path=F.concat(path, F.lit("["), i, F.lit("]")), value=x,
+                      role=F.when(lists, _role(x, tagged)).otherwise(row["role"]))
+
+    def member(e):
+        key = F.when(tagged, F.regexp_replace(e["key"], _TAG, "")).otherwise(e["key"])
+        dot = F.when((path == "") | path.endswith(NESTED_MARK + "."), "").otherwise(".")
+        return _child(row, path=F.concat(path, dot, key), value=e["value"])
+
+    def string(t):
+        return _child(
+            row, value=F.lit(None).cast("variant"),
+            path=F.regexp_replace(path, r"(\$json)\.\z", "$1"),
+            text=F.when(tagged, F.regexp_replace(t, _TAG, "")).otherwise(t),
+            place=F.when(row["parent"].isNotNull(), F.regexp_extract(t, _TAG, 1).cast("int")))
+
+    return (
+        F.when(row["text"].isNotNull(), F.array(row))
+        .when(_is(value, "array<variant>").isNotNull(),
+              F.transform(_is(value, "array<variant>"), element))
+        .when(_is(value, "map<string,variant>").isNotNull(),
+              F.transform(F.map_entries(_is(value, "map<string,variant>")), member))
+        .when(F.schema_of_variant(value) == "STRING",
+              F.transform(F.array(_is(value, "string")), string))
+        .otherwise(F.array().cast(_STATE))
+    )
+
+
+def _nested(row: Column) -> Column:
+    """A row with text that was not looked at yet, and the document inside the text."""
+    text, path = row["text"], row["path"]
+    document = F.when(
+        (F.length(text) >= NESTED_MIN) & text.rlike(_NESTED_START), _parsed(_tagged(text)))
+    leaf = _child(row, whole=F.lit(True))
+    child = lambda d: _child(
+        row, path=F.concat(path, F.lit(NESTED_MARK + ".")), value=d, parent=path,
+        tagged=F.lit(True), text=F.lit(None).cast("string"))
+    return F.when(text.isNull() | row["whole"], F.array(row)).otherwise(bind(
+        document, lambda d: F.when(d.isNull(), F.array(leaf)).otherwise(
+            F.array(leaf, child(d)))))
+
+
+def flatten_spans(payloads: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
+    """One row per string leaf with its path, origin and parent.
+
+    Bodies are parsed once and opened level by level, then the documents inside their strings,
+    without Python or a shuffle. One plan has LEVELS levels. A first pass looks for documents that
+    go deeper; only these are stored and opened further, until nothing is left to open.
+    Malformed and null payloads give one row with ``status = 'malformed_payload'``.
+    """
+    keys = list(keys)
+    names = [f"_k_{i}" for i in range(len(keys))]
+    source = payloads.select(
+        *[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(body).alias("_body"))
+    source = source.withColumn("_doc", bind(_parsed(F.col("_body")), lambda v: F.when(
+        v.isNotNull(), F.struct(v.alias("value"), F.lit(False).alias("tagged"))).otherwise(
+        F.struct(_parsed(_tagged(F.col("_body"))).alias("value"), F.lit(True).alias("tagged")))))
+    failed = source.where(F.col("_doc.value").isNull())
+    start = {"path": F.lit(""), "value": F.col("_doc.value"), "tagged": F.col("_doc.tagged"),
+             "whole": F.lit(False)}
+    rows = source.where(F.col("_doc.value").isNotNull()).select(*names, F.struct(*[
+        start.get(c, F.lit(None)).cast(t).alias(c) for c, t in _COLUMNS.items()]).alias("_s"))
+    state = F.col("_s")
+    opened, nested = (F.explode(f(state)).alias("_s") for f in (_opened, _nested))
+    finished = state["text"].isNotNull() & state["whole"]
+    kept = F.struct(*[
+        (F.to_json(state[c]) if t == "variant" else state[c]).alias(c)
+        for c, t in _COLUMNS.items()]).alias("_s")
+    again = F.struct(*[
+        (F.try_parse_json(state[c]) if t == "variant" else state[c]).alias(c)
+        for c, t in _COLUMNS.items()]).alias("_s")
+    done, more = [], True
+    while more:
+        for levels in LEVELS:
+            for _ in range(levels):
+                rows = rows.select(*names, opened)
+            rows = rows.select(*names, nested)
+        done.append(rows.where(finished).select(*names, state.dropFields("value").alias("_s")))
+        left = keep(rows.where(~finished).select(*names, kept))
+        more = not left.isEmpty()
+        rows = left.select(*names, again)
+    out = reduce(DataFrame.unionByName, done).select(
+        *[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)],
+        state["path"].alias("span_path"), state["text"].alias("text"),
+        role_origin(span_origin(state["path"]), state["role"]).alias("origin"),
+        state["parent"].alias("parent_path"), state["place"].alias("parent_char_offset"),
+        F.lit("ok").alias("status"))
+    return out.unionByName(failed.select(
+        *[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)],
+        *[F.lit(None).cast("string").alias(c) for c in ("span_path", "text", "origin",
+                                                        "parent_path")],
+        F.lit(None).cast("int").alias("parent_char_offset"),
+        F.lit("malformed_payload").alias("status")))
+
+
+def _spans_of(body: str, prefix: str = "", parent: str | None = None) -> list[tuple]:
+    """Spans of one document: parsed by the standard library, its strings tagged with places."""
+    out: list[tuple] = []
+    literal = re.compile(_LITERAL.replace("(?s)", ""), re.S)
+    text = literal.sub(lambda m: f'"{m.start() + 1}:{m[0][1:]}', body)
+    todo = [(prefix, json.loads(text, object_pairs_hook=lambda pairs: pairs and _Members(pairs)))]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, _Members):
+            dot = "" if not path or path.endswith(NESTED_MARK + ".") else "."
+            todo += [(f"{path}{dot}{k.split(':', 1)[1]}", v) for k, v in value[::-1]]
+        elif isinstance(value, list):
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+        elif isinstance(value, str):
+            place, text = value.split(":", 1)
+            shown = path[:-1] if path.endswith(NESTED_MARK + ".") else path
+            out.append((shown, text, parent, None if parent is None else int(place), False))
+            if len(text) >= NESTED_MIN and text.lstrip(" \t\n\r")[:1] in ("{", "["):
+                with contextlib.suppress(ValueError, RecursionError):
+                    out += _spans_of(text, f"{shown}{NESTED_MARK}.", shown)
     return out
 
 
-def spans_or_failure(body: str | None) -> list[tuple]:
-    """Spans of one payload, or a single failure row; nothing is guessed."""
-    try:
-        if body is None:
-            raise ValueError("no body")
-        return _spans_of(body)
-    except (ValueError, JSONDecodeError, RecursionError):
-        return [(None, None, None, None, True)]
+class _Members(list):
+    """The members of an object, repeated keys included."""
 
 
 def flatten_json_udtf():
@@ -145,7 +248,10 @@ def flatten_json_udtf():
     @udtf(returnType=SPAN_SCHEMA)
     class FlattenJson:
         def eval(self, body: str):
-            yield from spans_or_failure(body)
+            try:
+                yield from _spans_of(body or "")
+            except (ValueError, RecursionError):
+                yield None, None, None, None, True
 
     return FlattenJson
 
@@ -154,56 +260,6 @@ def register_flatten(spark: SparkSession, name: str = "flatten_json") -> None:
     spark.udtf.register(name, flatten_json_udtf())
 
 
-def flatten_spans(payloads: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
-    """One row per string leaf with its path, origin and parent.
-
-    The walk runs in Arrow batches on the executors; a payload becomes rows where it is
-    read and nothing is shuffled. Malformed payloads give one row with
-    ``status = 'malformed_payload'``.
-    """
-    keys = list(keys)
-    variant = F.try_parse_json(F.col(body))
-
-    def role_list(field: str) -> Column:
-        items = F.try_variant_get(variant, f"$.{field}", "array<variant>")
-        return F.transform(
-            F.coalesce(items, F.array().cast("array<variant>")),
-            lambda m: F.coalesce(F.lower(F.try_variant_get(m, "$.role", "string")), F.lit("")),
-        )
-
-    source = payloads.select(
-        *keys, F.col(body).alias("_body"), role_list("messages").alias("_messages"),
-        role_list("input").alias("_input"),
-    )
-    carried = source.drop("_body").schema
-    out_schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in carried.fields] + [SPAN_SCHEMA]
-    )
-    names = [f.name for f in carried.fields]
-
-    def run(batches):
-        import pandas as pd
-
-        fields = ["span_path", "text", "parent_path", "parent_char_offset", "malformed"]
-        for pdf in batches:
-            spans = pdf.pop("_body").map(spans_or_failure)
-            counts = spans.map(len)
-            rep = pdf.loc[pdf.index.repeat(counts)].reset_index(drop=True)
-            flat = pd.DataFrame(
-                [row for rows in spans for row in rows], columns=fields, dtype=object
-            )
-            yield pd.concat([rep[names], flat], axis=1)
-
-    flat = source.mapInPandas(run, out_schema)
-    return flat.select(
-        *keys, "span_path", "text",
-        apply_roles(F.col("span_path"), span_origin(F.col("span_path")), F.col("_messages"),
-                    F.col("_input")).alias("origin"),
-        "parent_path", "parent_char_offset",
-        F.when(F.col("malformed"), "malformed_payload").otherwise("ok").alias("status"),
-    )
-
-
 def span_origin(path: Column, root: str = "user") -> Column:
     """Origin from the path: a root key decides for everything below it, otherwise the
     deepest key that means something. Text nested with ``$json`` starts over."""
@@ -230,6 +286,11 @@ def apply_roles(path: Column, origin: Column, messages: Column, inputs: Column)
     index = F.regexp_extract(path, r"^(?:messages|input)\[(\d+)\]\.", 1)
     i = F.when(index != "", index.cast("int"))
     role = F.when(path.startswith("messages["), F.get(messages, i)).otherwise(F.get(inputs, i))
+    return role_origin(origin, role)
+
+
+def role_origin(origin: Column, role: Column) -> Column:
+    """Origin of a span with the role of the message that it is in."""
     mapped = F.try_element_at(
         F.create_map(*[F.lit(x) for kv in ROLE_ORIGINS.items() for x in kv]), role
     )
@@ -297,26 +358,49 @@ TOOL_FIELDS = {
 SKIPPED_TOOLS = ("Read", "Glob", "Grep", "TodoWrite", "Task")
 
 
+#: Levels of lists and objects in the arguments of an ``mcp__`` tool that are looked into.
+ARGUMENT_DEPTH = 4
+
+
+def strings_in(value: Column, depth: int = ARGUMENT_DEPTH) -> Column:
+    """All strings of a variant down to ``depth`` levels; members of objects by their keys."""
+    members = F.coalesce(_is(value, "array<variant>"),
+                         F.map_values(_is(value, "map<string,variant>")))
+    own = F.when(F.schema_of_variant(value) == "STRING", F.array(_is(value, "string")))
+    none = F.array().cast("array<string>")
+    if not depth:
+        return F.coalesce(own, none)
+    inner = F.flatten(F.transform(members, lambda x: strings_in(x, depth - 1)))
+    return F.coalesce(inner, own, none)
+
+
+def string_arg(args: Column, name: str) -> Column:
+    """An argument that is a string; null if it is missing or anything else."""
+    value = F.try_variant_get(args, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", _is(value, "string"))
+
+
+def string_args(args: Column) -> Column:
+    """The arguments that are strings, as a map."""
+    return F.transform_values(_is(args, "map<string,variant>"), lambda k, v: F.when(
+        F.schema_of_variant(v) == "STRING", _is(v, "string")))
+
+
 def harvest(tool: Column, args: Column) -> Column:
-    """Text of a tool call: named fields per tool, every value for ``mcp__`` tools.
+    """Text of a tool call: named fields per tool, every string for ``mcp__`` tools, in lists
+    and objects too.
 
-    ``args`` is a map of argument names to strings.
+    ``args`` is a variant that holds an object.
     """
     out = F.when(tool.isin(*SKIPPED_TOOLS), "")
     for name, fields in TOOL_FIELDS.items():
-        out = out.when(
-            tool == name,
-            F.concat_ws("\n", *[F.try_element_at(args, F.lit(f)) for f in fields]),
-        )
+        out = out.when(tool == name, F.concat_ws("\n", *[string_arg(args, f) for f in fields]))
     return out.when(
-        tool.startswith("mcp__"), F.array_join(F.map_values(args), "\n")
-    ).otherwise("")
+        tool.startswith("mcp__"), F.array_join(strings_in(args), "\n")).otherwise("")
 
 
 def _arg(args: Column, *names: str) -> Column:
-    return F.coalesce(
-        *[F.nullif(F.try_element_at(args, F.lit(n)), F.lit("")) for n in names], F.lit("")
-    )
+    return F.coalesce(*[F.nullif(string_arg(args, n), F.lit("")) for n in names], F.lit(""))
 
 
 def sink_of(tool: Column, args: Column) -> Column:
@@ -415,7 +499,8 @@ def read_targets(tool: Column, args: Column) -> Column:
         tool.startswith("mcp__") & name.rlike("|".join(READ_VERBS))
     )
     by_key = F.map_values(
-        F.map_filter(args, lambda k, v: F.lower(k).isin(*PATH_KEYS) & (F.trim(v) != ""))
+        F.map_filter(string_args(args), lambda k, v: F.lower(k).isin(*PATH_KEYS) & (
+            F.trim(v) != ""))
     )
     raw = F.when(tool.isin("Bash", "shell"), _command_targets(_arg(args, "command"))).when(
         reads, by_key

@@ -73,6 +73,45 @@ def learned_rule_findings(spark, sf):
     return L.apply_learned_rules(docs, L.TEXT_RULES).select("doc_id", *HIT)
 
 
+_RULE_TEXT = """(select o_orderkey as doc_id, o_custkey as k, lpad(cast(o_custkey as varchar), 7, '0') as id,
+      concat('ledger of ', cast(o_orderkey as varchar), ' ref C', lpad(cast(o_custkey as varchar), 7, '0'), '-',
+        lpad(cast(o_orderkey % 10000 as varchar), 4, '0'), ' acct', cast(o_custkey as varchar), '#',
+        lpad(cast(o_orderkey % 100000 as varchar), 8, '0'), ' end') as text from orders)"""
+
+
+@query(
+    "learned_rule_table",
+    f"""select doc_id, cast(place - 1 as int) as start, cast(place - 1 + n as int) as "end", entity_class, confidence from (
+        select doc_id, case k % 3 when 0 then 'EMPLOYEE_ID' else 'BANK_ACCOUNT' end as entity_class,
+          cast(case k % 3 when 0 then 0.65 else 0.5 end as double) as confidence,
+          case k % 3 when 0 then strpos(text, concat('C', id)) else strpos(text, concat('acct', cast(k as varchar))) end as place,
+          case k % 3 when 0 then 13 else 14 end as n from {_RULE_TEXT} t
+        where k % 3 < 2) r""",
+)
+def learned_rule_table(spark, sf):
+    """A rule per customer, found in the texts of orders through the index of their literals."""
+    k = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+    rules = read(spark, sf, "customer").select(
+        F.when(k % 3 == 0, "EMPLOYEE_ID").otherwise("BANK_ACCOUNT").alias("entity_class"),
+        F.when(k % 3 == 0, F.concat(F.lit(r"C"), F.lpad(k.cast("string"), 7, "0"), F.lit(r"-[0-9]{4}\b")))
+        .alias("pattern"),
+        F.when(k % 3 == 0, none).otherwise(F.array(F.concat(F.lit("acct"), k, F.lit("#")),
+                                                   F.concat(F.lit("alt."), k))).alias("anchors"),
+        F.lit(8).alias("min_len"), F.lit(14).alias("max_len"),
+        F.when(k % 3 == 2, F.array(F.lit("payroll"))).when(k % 3 == 1, F.array(
+            F.lit("x-none"), F.lit("LEDGER"))).otherwise(none).alias("context"),
+        F.lit(None).cast("string").alias("checksum"),
+        F.when(k % 3 == 0, 0.9).otherwise(0.5).alias("confidence"))
+    o, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    text = F.concat(
+        F.lit("ledger of "), o, F.lit(" ref C"), F.lpad(c, 7, "0"), F.lit("-"),
+        F.lpad((o % 10000).cast("string"), 4, "0"), F.lit(" acct"), c, F.lit("#"),
+        F.lpad((o % 100000).cast("string"), 8, "0"), F.lit(" end"))
+    docs = read(spark, sf, "orders").select(o.alias("doc_id"), text.alias("text"))
+    return L.apply_learned_rules(docs, rules).select("doc_id", *HIT)
+
+
 @query(
     "verdicts_by_source",
     f"""with f as ({_learned_sql()}),

@@ -302,18 +302,20 @@ def guard_records(spark, sf):
 
 @query(
     "leak_sweep",
-    """with l as (select distinct text as literal from benchmark where text <> ''),
+    """with l as (select distinct text as literal from benchmark where text <> ''
+         union select 'conv_id' union select 'text'),
        d as (select doc_id, text from documents), c as (select conv_id, text from conversations)
        select 'documents' as "table", literal, count(*) as rows from l join d on contains(d.text, l.literal) group by 2
        union all select 'conversations', literal, count(*) from l join c on contains(c.text, l.literal) group by 2""",
 )
 def leak_sweep(spark, sf):
-    """Whole benchmark passages searched in documents and conversations."""
+    """Whole benchmark passages, and names of columns, searched in documents and conversations."""
     tables = {
         "documents": read(spark, sf, "documents").select("doc_id", "text"),
         "conversations": read(spark, sf, "conversations").select("conv_id", "text"),
     }
-    literals = read(spark, sf, "benchmark").select(F.col("text").alias("literal"))
+    literals = read(spark, sf, "benchmark").select(F.explode(F.array(
+        "text", F.lit("conv_id"), F.lit("text"))).alias("literal"))
     return L.leak_sweep(tables, literals)
 
 
@@ -321,7 +323,8 @@ def leak_sweep(spark, sf):
 
 
 def _payloads(spark, sf):
-    """One request body per conversation, the first turn also as a nested document."""
+    """One request body per conversation, the first turn also in nested documents."""
+    held = lambda name, value: F.to_json(F.struct(value.alias(name)))
     c = read(spark, sf, "conversations")
     turns = F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
@@ -337,6 +340,8 @@ def _payloads(spark, sf):
                 F.lit("m-1").alias("model"),
                 F.array(F.struct(F.lit("lookup").alias("name"))).alias("tools"),
                 F.to_json(F.struct(F.col("messages")[0].alias("first"))).alias("arguments"),
+                held("b", held("c", held("content", F.col("messages")[0]["content"]))).alias(
+                    "deep"),
                 "messages", F.lit(3).alias("n"),
             )
         ).alias("body"),
@@ -350,18 +355,23 @@ _SPANS = f"""(select conv_id, concat('messages[', cast(i as varchar), '].content
     union all select distinct conv_id, 'model', 'm-1', 'metadata', null from conversations
     union all select distinct conv_id, 'tools[0].name', 'lookup', 'tool_definition', null from conversations
     union all select conv_id, 'arguments$json.first.content', text, 'tool_call', 'arguments' from {_TURNS} t where i = 0
+    union all select conv_id, 'deep$json.b$json.c$json.content', text, 'user', 'deep$json.b$json.c' from {_TURNS} t where i = 0
     union all select conv_id, 'arguments$json.first.role', case role when 'system' then 'developer' else role end, 'metadata', 'arguments' from {_TURNS} t where i = 0)"""
 
 
+#: Strings that hold a document.
+_HOLDERS = "'arguments', 'deep', 'deep$json.b', 'deep$json.b$json.c'"
+
+
 @query(
     "flatten_spans",
     f"select conv_id, span_path, md5(text) as digest, origin, parent_path from {_SPANS} s",
 )
 def flatten_spans(spark, sf):
-    """Conversations as request bodies and back to spans, nested document included."""
+    """Conversations as request bodies and back to spans, documents nested three deep included."""
     s = P.flatten_spans(_payloads(spark, sf), ["conv_id"])
-    # The string that holds the nested document depends on JSON spelling.
-    return s.filter("span_path <> 'arguments'").select(
+    # The strings that hold documents depend on JSON spelling.
+    return s.filter(f"span_path not in ({_HOLDERS})").select(
         "conv_id", "span_path", F.md5("text").alias("digest"), "origin", "parent_path"
     )
 
@@ -437,7 +447,7 @@ def _args():
     for name, col in (("command", "command"), ("file_path", "file_path"), ("content", "content"),
                       ("path", "path_arg"), ("url", "url")):
         pairs += [F.lit(name), F.col(col)]
-    return F.map_filter(F.create_map(*pairs), lambda k, v: v != "")
+    return F.to_variant_object(F.map_filter(F.create_map(*pairs), lambda k, v: v != ""))
 
 
 def _calls(spark, sf):
@@ -466,6 +476,24 @@ def tool_call_fields(spark, sf):
     return _calls(spark, sf).select("seq", "text", "sink", "payload")
 
 
+@query(
+    "nested_arguments",
+    f"""select seq, concat('four ', piece, chr(10), tool, chr(10), 'x', piece, chr(10), cast(seq as varchar)) as text
+        from {plant_sql('tool_calls')} t""",
+)
+def nested_arguments(spark, sf):
+    """Strings in the lists and objects of a call's arguments, four levels down and no further."""
+    piece, tool = F.col("piece"), F.col("tool")
+    four = F.struct(F.concat(F.lit("four "), piece).alias("b"),
+                    F.struct(F.lit("five").alias("lost")).alias("c"))
+    args = F.to_json(F.struct(
+        F.struct(F.struct(four.alias("a")).alias("deep"),
+                 F.array(tool, F.concat(F.lit("x"), piece)).alias("tags")).alias("opts"),
+        F.lit(3).alias("n"), F.lit(True).alias("on"), F.col("seq").cast("string").alias("path")))
+    return plant(spark, sf, "tool_calls").select(
+        "seq", P.harvest(F.lit("mcp__files__put"), F.try_parse_json(args)).alias("text"))
+
+
 @query(
     "read_targets",
     f"""select seq, case when seq % 6 = 3 then concat('data', cast(seq % 9 as varchar), '.csv,notes', cast(session_id as varchar), '.txt,x')

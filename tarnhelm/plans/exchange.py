@@ -125,7 +125,7 @@ def read_events(spark, sf):
     read(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp"),
         F.col("event_id").alias("seq"), F.col("event_type").alias("tool"),
-        F.create_map(F.lit("k"), F.col("event_type")).alias("args"),
+        F.to_variant_object(F.create_map(F.lit("k"), F.col("event_type"))).alias("args"),
         F.col("event_type").alias("text"),
     ).write.parquet(path)
     return RD.read_events(spark, path, streaming=False).groupBy("session_id", "tool").agg(
@@ -141,9 +141,9 @@ def flatten_table_function(spark, sf):
     P.register_flatten(spark)
     evidence._payloads(spark, sf).createOrReplaceTempView("exchange_payloads")
     return spark.sql(
-        """select p.conv_id, s.span_path, md5(s.text) as digest, s.parent_path
+        f"""select p.conv_id, s.span_path, md5(s.text) as digest, s.parent_path
            from exchange_payloads p, lateral flatten_json(p.body) s
-           where s.span_path <> 'arguments'""")
+           where s.span_path not in ({evidence._HOLDERS})""")
 
 
 @query(

@@ -291,7 +291,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 EVENT_SCHEMA = (
-    "session_id string, ts timestamp, seq bigint, tool string, args map<string,string>, "
+    "session_id string, ts timestamp, seq bigint, tool string, args variant, "
     "text string"
 )
 

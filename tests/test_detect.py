@@ -192,6 +192,48 @@ def test_scan_distinct_equals_plain_scan(spark):
     assert a == b and len(a) == 69
 
 
+@pytest.mark.parametrize("pattern,literal", [
+    ("EMP-[0-9]{6}", "EMP-"), ("[A-Z]{2}x", "x"), ("ab?cde", "cde"), ("abc{0,2}d", "ab"),
+    ("a|bcd", ""), ("(?i)secret", ""), ("(foo)+barbar(?:x|y)", ""), ("(foo)bar(q(r)s)t", "bar"),
+    (r"\bkey\.id\b", "key"), (r"\Qa.b\E", ""), ("[[a]b]cd", ""), (r"[\]x]tail", "tail"), ("", ""),
+])
+def test_needed_literals(spark, pattern, literal):
+    row = spark.createDataFrame([(pattern,)], "p string").select(
+        L.needed_literal(F.col("p"))).first()
+    assert row[0] == literal
+
+
+@pytest.mark.parametrize("entries", [L.ENTRIES, 3])
+def test_rule_table_equals_rules_in_the_scan(spark, entries):
+    import dataclasses
+    import random
+
+    r = random.Random(5)
+    rules = [L.LearnedRule("EMPLOYEE_ID", f"E{i:03d}-[0-9]{{3}}", (), 4, 20) for i in range(40)]
+    rules += [L.LearnedRule("BANK_ACCOUNT", None, (f"acc{i}:", f"k.{i}("), 5, 9 + i % 4,
+                            ("bank", "Konto") if i % 2 else ()) for i in range(20)]
+    rules += [L.LearnedRule("CREDIT_CARD", "[0-9]{12,16}", (), 12, 16, checksum="luhn"),
+              L.LearnedRule("EMPLOYEE_ID", "(?:Q|R)#[0-9]{2}", (), 3, 9, confidence=0.9),
+              L.LearnedRule("BANK_ACCOUNT", None, ("é", "\\E*"), 2, 6)]
+    parts = [f"E{i:03d}-{i:03d}" for i in range(0, 50, 7)] + [
+        "acc3:1234567890", "k.4(abcdefgh", "bank", "konto", "4111111111111111",
+        "4111111111111112", "Q#12", "R#3", "éa\u0301x", "\\E*star", "e003-003", "acc3:acc3:9"]
+    texts = [" ".join(r.choices(parts, k=r.randint(0, 9))) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumns(
+        {"_gram": F.lit(1), "literal": F.lit("x"), "rule": F.lit("y"), "entry": F.lit(2)})
+    table = spark.createDataFrame(
+        [tuple({**dataclasses.asdict(x), "anchors": list(x.anchors), "context": list(x.context)}[c]
+               for c in ("entity_class", "rationale", "anchors", "pattern", "min_len", "max_len",
+                         "charset", "context", "checksum", "confidence", "support"))
+         for x in rules], L.RULE_SCHEMA)
+    cols = ["id", "start", "end", "entity_class", "confidence", "detector"]
+    want = sorted(tuple(x) for x in L.apply_learned_rules(docs, rules).select(cols).collect())
+    found = L.apply_rule_table(docs, table, entries=entries)
+    assert found.columns == L.apply_learned_rules(docs, rules).columns
+    assert sorted(tuple(x) for x in found.select(cols).collect()) == want and len(want) > 150
+    assert L.apply_rule_table(docs, table.limit(0)).count() == 0
+
+
 def test_learned_anchor_rules(spark):
     rule = L.LearnedRule("BANK_ACCOUNT", None, ("acct:",), 6, 14, ("bank",))
     df = spark.createDataFrame([(1, "bank acct:123456789 x"), (2, "acct:123456789 x")], "id int, text string")

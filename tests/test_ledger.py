@@ -89,3 +89,15 @@ def test_leak_sweep_of_any_length(spark):
     for at_once in (2, 100):
         got = L.leak_sweep({"t": df}, lits, at_once).collect()
         assert {(r["literal"], r["rows"]) for r in got} == want
+
+
+def test_leak_sweep_searches_values_only(spark):
+    df = spark.createDataFrame(
+        [(1, "x", ["secret1", None], ("in a struct", 7), b"raw bytes"), (2, "x x", [], None, None)],
+        "account_id int, literal string, _gram array<string>, s struct<inside:string,n:int>, b binary")
+    lits = spark.createDataFrame(
+        [(x,) for x in ("account_id", "inside", "literal", "secret1", "in a struct", "raw bytes",
+                        "x", '"', "2", "é")], "literal string")
+    got = {(r["literal"], r["rows"]) for r in L.leak_sweep({"t": df}, lits).collect()}
+    assert got == {("secret1", 1), ("in a struct", 1), ("raw bytes", 1), ("x", 2), ("2", 1)}
+    assert L.leak_sweep({"t": df}, lits.limit(0)).count() == 0

@@ -159,3 +159,33 @@ def test_root_tenant_of_deep_chains(spark):
     assert all(got[f"t{i}"] == ("t0", "ok") for i in range(200))
     assert all(got[f"c{i}"] == (None, "cycle") for i in range(5))
     assert got["m"] == got["n"] == (None, "missing")
+
+
+def test_one_sided_versions_are_differences(spark):
+    from tarnhelm.schema import RULE_TYPE
+
+    rule = "named_struct('direction', null, 'class', array('PAN'), 'destination', array(), 'action', 'mask', 'format_preserving', false, 'escalate', false, 'reason', '', 'unless', array(), 'except', array())"
+    df = spark.sql(f"""select * from values ('a', 1), ('b', 2), ('c', 1), ('c', 2) t(tenant_id, version)""").selectExpr(
+        "*", "'enforce' as mode", "'allow' as default", "'mask' as unregistered_workload",
+        f"cast(if(tenant_id = 'b', array({rule}, {rule}), array({rule})) as array<{RULE_TYPE}>) as rules")
+    got = {r["tenant_id"]: r["notes"] for r in P.policy_diff(df, 1, 2).collect()}
+    assert got["a"] == ["default allow -> none", "mode enforce -> none",
+                        "unregistered_workload mask -> none", "rules 1 -> 0"]
+    assert got["b"][-1] == "rules 0 -> 2" and got["b"][0] == "default none -> allow"
+    assert got["c"] == ["no material change"]
+
+
+def test_second_draft_of_a_tenant_is_refused(spark):
+    from tarnhelm.schema import RULE_TYPE
+
+    rule = lambda a: f"named_struct('direction', null, 'class', array('PAN'), 'destination', array(), 'action', '{a}', 'format_preserving', false, 'escalate', false, 'reason', '', 'unless', array(), 'except', array())"
+    policies = spark.sql(f"select 'o' tenant_id, 1 version, true active, 'enforce' mode, 'allow' default, 'mask' unregistered_workload, cast(array({rule('mask')}) as array<{RULE_TYPE}>) rules")
+    tenants = spark.createDataFrame([("o", None), ("u", "o")], "id string, parent_id string")
+    draft = lambda t, m, e, a: f"select '{t}' tenant_id, 'o' org, if('{t}' = 'o', null, '{t}') business_unit, {m} mode, cast(null as string) fail, {e} expected_version, cast(array({rule(a)}) as array<{RULE_TYPE}>) rules, 'allow' default, 'mask' unregistered_workload"
+    drafts = spark.sql(" union all ".join([
+        draft("o", "'enforce'", 1, "mask"), draft("o", "'shadow'", 1, "block"),
+        draft("u", "cast(null as string)", "cast(null as int)", "warn"),
+        draft("u", "cast(null as string)", "cast(null as int)", "block")]))
+    got = [tuple(r) for r in P.publish(drafts, policies, tenants).orderBy("tenant_id", "accepted").collect()]
+    assert got == [("o", False, "version conflict", None), ("o", True, None, 2),
+                   ("u", False, "business unit weakens an org rule", None), ("u", True, None, 1)]

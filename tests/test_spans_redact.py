@@ -33,6 +33,48 @@ def test_flatten_origins_nesting_and_failures(spark):
     assert sorted(r["id"] for r in rows if r["status"] == "malformed_payload") == [1, 2, 3, 4, 5, 6]
 
 
+def _deep(n, leaf):
+    for i in range(n):
+        leaf = json.dumps({"k": leaf}) if i % 3 == 2 else ({"d": [leaf]} if i % 3 else [leaf, 1])
+    return json.dumps(leaf)
+
+
+def test_flatten_opens_everything_and_agrees_with_the_table_function(spark):
+    inner = json.dumps({"a": "one", "é\ue000": ["two", {"": "three"}], "n": None}, ensure_ascii=False)
+    third = json.dumps({"z": "  " + json.dumps([inner]), "s": 'q "x" \\ \n\u0001'})
+    bodies = [
+        '"just text"', "[]", "{}", "7", '["a", "b"]', '{"a": "x", "a": "y", "role": "z"}',
+        json.dumps({"input": [{"role": "Assistant", "content": third, "note": "[not json"}]}),
+        '{"messages": [{"role": "user", "content": "p", "content": "q"}]}',
+        _deep(14, "bottom"), _deep(30, "far down"), '{"t": "{\\"a\\": \\"b\\", \\"a\\": \\"c\\"}"}',
+        '{"a": "b"}] x', '{"a": "b"} {"c": "d"}', '"a", "b"', '{"a": "b",}', "nope", "  ", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string").withColumns(
+        {"path": F.lit("p"), "_body": F.lit("b"), "role": F.lit(1)})
+    P.register_flatten(spark)
+    native = {(r["id"], r["span_path"], r["text"], r["parent_path"], r["parent_char_offset"])
+              for r in P.flatten_spans(df, ["id", "path", "_body"]).collect()}
+    table = spark.sql("select p.id, f.* from {t} p, lateral flatten_json(body) f", t=df)
+    assert native == {tuple(r)[:5] for r in table.collect()}
+    found = {(i, p): (t, parent, at) for i, p, t, parent, at in native}
+    assert found[0, ""][0] == "just text" and found[4, "[1]"][0] == "b"
+    assert {t for i, _, t, _, _ in native if i == 5} == {"x", "y", "z"}
+    at = "input[0].content"
+    deep = at + "$json.z$json.[0]$json"
+    assert found[6, deep + ".é\ue000[1]."][0] == "three" and found[6, deep + ".a"][0] == "one"
+    for path in (at + "$json.s", at + "$json.z", deep + ".é\ue000[0]", deep + ".a"):
+        text, parent, place = found[6, path]
+        assert found[6, parent][0][place:].startswith(json.dumps(text, ensure_ascii=False)[1:4])
+    assert {t for i, _, t, _, _ in native if i in (8, 9)} >= {"bottom", "far down"}
+    assert {t for i, p, t, _, _ in native if i == 10 and "$json" in p} == {"b", "c"}
+    assert {i for i, p, *_ in native if p is None} == set(range(11, 18))
+    origins = {(r["id"], r["span_path"]): r["origin"] for r in P.flatten_spans(df, ["id"]).collect()}
+    assert origins[6, "input[0].note"] == "assistant" and origins[6, deep + ".a"] == "assistant"
+    assert origins[7, "messages[0].content"] == "user"
+    plan = P.flatten_spans(df, ["id"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_flatten_udtf_in_sql(spark):
     P.register_flatten(spark)
     df = spark.createDataFrame([(1, '{"a": ["x", {"b": "y"}]}')], "id int, body string")
