@@ -156,9 +156,9 @@ def entropy(col: Column) -> Column:
     return bind(col, measure)
 
 
-def entropy_at_least(col: Column, floor: float) -> Column:
+def entropy_at_least(col: Column, floor: float | Column) -> Column:
     """Entropy test that does not depend on the last bits of the logarithm."""
-    return F.round(entropy(col), 9) >= F.lit(floor)
+    return F.round(entropy(col), 9) >= (floor if isinstance(floor, Column) else F.lit(floor))
 
 
 def strip_space(col: Column) -> Column:

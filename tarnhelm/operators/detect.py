@@ -597,19 +597,26 @@ def encoded_gate(text: Column) -> Column:
 
 
 def _decodings(text: Column, max_candidates: int | None) -> Column:
-    """Printable decodings of every encoded run: (start, end, codec, text)."""
+    """Printable decodings of every encoded run: (start, end, codec, text, run, floor).
+
+    ``floor`` is the least entropy of a run that counts; it is null if that is known or none is
+    asked. Entropy costs far more than decoding, so it is left to runs in which something is
+    found, unless the candidates are to be counted.
+    """
+    early = max_candidates is not None
 
     def decode(m: Column, codec: Codec) -> Column:
-        # The entropy test guards the decode, so it has to sit inside the CASE.
         plain = codec.decode(m["value"])
-        if codec.min_entropy is not None:
+        if early and codec.min_entropy is not None:
+            # The entropy test guards the decode, so it has to sit inside the CASE.
             plain = F.when(entropy_at_least(m["value"], codec.min_entropy), plain)
         if codec.name == "base64url":
             # Without its two extra symbols the run is the base64 run again.
             plain = F.when(m["value"].rlike("[-_]"), plain)
         return F.struct(
             m["start"].alias("start"), m["end"].alias("end"),
-            F.lit(codec.name).alias("codec"), plain.alias("text"),
+            F.lit(codec.name).alias("codec"), plain.alias("text"), m["value"].alias("run"),
+            F.lit(None if early else codec.min_entropy).cast("double").alias("floor"),
         )
 
     good = F.filter(
@@ -620,7 +627,7 @@ def _decodings(text: Column, max_candidates: int | None) -> Column:
         & (F.length(d["text"]) >= MIN_DECODED)
         & (printable_ratio(d["text"]) > 0.9),
     )
-    return good if max_candidates is None else F.slice(good, 1, max_candidates)
+    return F.slice(good, 1, max_candidates) if early else good
 
 
 def encoded_hits(
@@ -646,9 +653,15 @@ def encoded_hits(
             ).otherwise(no_hits())
         )
 
+    def found_in(d):
+        return bind(bind(inner(d["text"]), lambda direct: deeper(d, direct)), lambda found: F.when(
+            F.size(found) == 0, found).when(
+            d["floor"].isNull() | entropy_at_least(d["run"], d["floor"]), found).otherwise(
+            no_hits()))
+
     def rescan(d):
         return F.transform(
-            bind(inner(d["text"]), lambda direct: deeper(d, direct)),
+            found_in(d),
             lambda h: F.struct(
                 d["start"].alias("start"), d["end"].alias("end"),
                 h["entity_class"].alias("entity_class"), h["confidence"].alias("confidence"),

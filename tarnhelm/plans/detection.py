@@ -429,11 +429,16 @@ def detect_composite(spark, sf):
 @query(
     "detect_encoded",
     f"""select doc_id, 6 as start, cast(6 + n as int) as "end", 'ANTHROPIC_KEY' as entity_class,
-        case kind when 1 then 'anthropic_key+hex' when 2 then 'anthropic_key+base64@2+base64' else 'anthropic_key+base64' end as detector
-        from {plant_sql('encoded_text')} p where kind <> 3 and {Q.entropy('body')} >= case kind when 1 then 3.0 else 3.6 end""",
+        case kind when 1 then 'anthropic_key+hex' when 2 then 'anthropic_key+base64@2+base64' when 4 then 'anthropic_key+base64url'
+          when 5 then 'anthropic_key+unicode_escape' else 'anthropic_key+base64' end as detector
+        from {plant_sql('encoded_text')} p where kind <> 3 and (kind = 5 or {Q.entropy('body')} >= case kind when 1 then 3.0 else 3.6 end)
+        union all select doc_id, 14, cast(6 + n as int), 'ANTHROPIC_KEY', 'anthropic_key+base64' from (
+          select doc_id, n, substr(body, 9) as rest from {plant_sql('encoded_text')} p where kind = 4) u
+        where {Q.entropy('rest')} >= 3.6""",
 )
 def detect_encoded(spark, sf):
-    """Keys behind base64, hex and double base64, against the planted truth."""
+    """Keys behind base64 of both kinds, hex, escapes and double base64, as planted. After the
+    symbols of its own, a run of the second kind goes on as one of the first."""
     spans = plant(spark, sf, "encoded_text").select("doc_id", "text")
     found = D.detect(spans, (D.ENCODED,))
     return D.dedupe_findings(found, ["doc_id"]).select(

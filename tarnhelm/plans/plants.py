@@ -48,6 +48,9 @@ def _b64(expr: str) -> str:
     return f"replace(replace(base64(cast({expr} as binary)), chr(13), ''), chr(10), '')"
 
 
+#: A key in escapes of four hexadecimal digits each; ``~`` stands for what begins one.
+_ESCAPED = "".join(f"~{ord(c):02x}" for c in "sk-ant-api03-Zq7Lw2Rk9Tn4Vx8By3Hm")
+
 PLANTS = {
     # One text per order with an identifier, a near miss or a long opaque run.
     "identifier_text": f"""
@@ -140,11 +143,13 @@ PLANTS = {
     # A key hidden by an encoding, per order; the key itself is known.
     "encoded_text": f"""
         select o_orderkey as doc_id, kind, concat('value ', body, ' kept') as text, length(body) as n, body
-        from (select o_orderkey, cast(o_orderkey % 5 as int) as kind, case cast(o_orderkey % 5 as int)
+        from (select o_orderkey, cast(o_orderkey % 7 as int) as kind, case cast(o_orderkey % 7 as int)
           when 0 then {_b64("skey")}
           when 1 then lower(hex(cast(skey as binary)))
           when 2 then {_b64(_b64("skey"))}
           when 3 then {_b64("concat('nothing to see in this line ', cast(o_orderkey as string))")}
+          when 4 then replace(replace({_b64("concat('>>>???', skey)")}, '+', '-'), '/', '_')
+          when 5 then replace('{_ESCAPED}', '~', concat(chr(92), 'u00'))
           else {_b64("concat('api key ', skey)")} end as body
           from (select o_orderkey, concat('sk-ant-api03-', md5(cast(o_orderkey as string)), substr(upper(md5(cast(o_custkey as string))), 1, 9)) as skey
                 from {{orders}}) s) t
