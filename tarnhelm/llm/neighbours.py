@@ -12,10 +12,12 @@ the threshold itself, so the number never rests on the links that a table happen
 ``RECALL`` of the links. Vectors are drawn by other hashes than the sample. Cells and visitors are cut into blocks, so no group grows with the
 data, and a block gives counts and a spanning forest of its links, never the links themselves.
 
-Only vectors of equal, non-null label are compared. Vectors that are null, zero, or hold null or
-non-finite components link with nothing, and neither do vectors whose length is not the most
-common one. Equal vectors of a label are indexed once with their number. Rows that share a
-vec_id are separate vectors. An empty table gives an empty result. Extra columns are not read.
+Only vectors of equal, non-null label and of one length are compared. Lengths with up to ``FEW``
+different vectors need no index: there all pairs of a label are compared. Vectors that are null,
+zero, or hold null or non-finite components link with nothing, nor do those without a vec_id.
+Vectors of any magnitude count by their direction. Equal vectors of a label are indexed once with
+their number. Rows that share a vec_id are separate vectors. An empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,9 +41,13 @@ PROBES = 8192
 RECALL = 0.999
 #: Rows of a cell, or visitors of a cell, that one group compares.
 BLOCK = 1024
+#: Vectors of one length, different from each other, up to which all pairs of a label are compared.
+FEW = 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -239,37 +245,83 @@ def near_duplicates(
     sample: int = SAMPLE, queries: int = QUERIES,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
     rows = vectors.select(
         F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("e"), "label")
-    sized = rows.groupBy(F.size("e").alias("dim")).count().where("dim > 1")
-    top = sized.orderBy(F.desc("count"), "dim").first()
-    dim = top["dim"] if top else 0
-    fine = (
-        F.col("label").isNotNull() & (F.size("e") == dim)
+    fine = F.coalesce(
+        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0)
         & F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-        & F.exists("e", lambda c: c != 0)
-    )
+        & F.exists("e", lambda c: c != 0), F.lit(False))
+    # Of numbers alone only the sign matters.
+    e = F.when(F.size("e") == 1, F.transform("e", lambda c: F.signum(c))).otherwise(F.col("e"))
+    kind = rows.schema["label"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.asarray(b.column(2).flatten(), "<f8").reshape(b.num_rows, -1)
+            lists = b.column(2)
+            flat = np.asarray(lists.flatten(), "<f8")
+            ends = np.cumsum([0, *np.asarray(lists.value_lengths())])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([r.tobytes() for r in flat], pa.binary())],
-                ["vec_id", "label", "emb"])
+                [b.column(0), b.column(1),
+                 pa.array([flat[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)],
+                          pa.binary())], ["vec_id", "label", "emb"])
 
-    kind = rows.schema["label"].dataType.simpleString()
-    valid = keep(rows.where(F.coalesce(fine, F.lit(False))).select("vec_id", "label", "e").mapInArrow(
+    valid = keep(rows.where(fine).select("vec_id", "label", e.alias("e")).mapInArrow(
         packed, f"vec_id bigint, label {kind}, emb binary"))
-    alone = rows.select(
-        "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
-        F.lit(True).alias("kept"))
-    total = valid.count()
-    if not total:
-        return alone
     classes = keep(valid.groupBy("label", "emb").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
+    size = F.floor(F.length("emb") / 8)
+    # Vectors of different lengths link with nothing: each frequent length is a search of its own.
+    large = [r["dim"] for r in classes.groupBy(size.alias("dim")).count().where(
+        F.col("count") > FEW).orderBy("dim").collect()]
+    found = classes.where(~size.isin(large) if large else F.lit(True)).groupBy(
+        "label", size.alias("dim")).applyInArrow(
+        lambda t: compare_all(t, cosine), "vec_id bigint, low bigint, n bigint")
+    for dim in large:
+        found = found.union(search(
+            keep(classes.where(size == dim)), dim, cosine, recall, sample, queries))
+    found = keep(found)
+    links = found.groupBy("vec_id").agg(F.sum("n").alias("others"))
+    parts = components(found.where("vec_id <> low").select(
+        F.col("vec_id").alias("a"), F.col("low").alias("b")))
+    answers = (
+        classes.withColumnRenamed("n", "own").join(links, "vec_id", "left")
+        .join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        .select("label", "emb",
+                (F.coalesce("others", F.lit(0)) + F.col("own") - 1).alias("n_links"),
+                F.coalesce("component", "vec_id").alias("component_id"))
+    )
+    linked = valid.join(answers, ["label", "emb"]).select("vec_id", "n_links", "component_id")
+    apart = rows.where(~fine).select(
+        "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(apart).withColumn(
+        "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def compare_all(t: pa.Table, cosine: float) -> pa.Table:
+    """As ``compare`` for all pairs of a small group of vectors of one length."""
+    ids, w = t["vec_id"].to_numpy(), t["n"].to_numpy()
+    x = unit(matrix(t["emb"], len(t["emb"][0].as_py()) // 8))
+    pairs = [np.zeros((2, 0), np.int64)]
+    for i in range(0, len(x), BLOCK):
+        a, b = np.nonzero(x[i:i + BLOCK] @ x.T >= cosine)
+        pairs.append(np.vstack([a + i, b])[:, b > a + i])
+    a, b = np.concatenate(pairs, axis=1)
+    counts = np.zeros(len(ids), np.int64)
+    np.add.at(counts, a, w[b])
+    np.add.at(counts, b, w[a])
+    order = np.argsort(ids)  # the least row of a component is then its least id
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    least = order[forest(place[a], place[b], len(ids))[place]]
+    at = np.flatnonzero(counts)
+    return pa.table({"vec_id": ids[at], "low": ids[least[at]], "n": counts[at]})
+
+
+def search(classes: DataFrame, dim: int, cosine: float, recall: float, sample: int,
+           queries: int) -> DataFrame:
+    """(vec_id, low, n) of kept, different vectors of one length: what each is linked with."""
     distinct = classes.count()
+    kind = classes.schema["label"].dataType.simpleString()
 
     def drawn(n: int, name: str):
         place = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(1 << 30))
@@ -280,7 +332,7 @@ def near_duplicates(
         return unit(np.frombuffer(b"".join(r["emb"] for r in drawn_rows), "<f8").reshape(-1, dim))
 
     x = units(drawn(sample, "sample"))
-    k = int(np.clip(round((total / 200) ** 0.5), 4, 256))
+    k = int(np.clip(round((distinct / 200) ** 0.5), 4, max(4, sample // 8)))
     books = fit_codebooks(x, k)
     asked = drawn(queries, "queries")
     n_cells = max(
@@ -321,23 +373,8 @@ def near_duplicates(
         .union(visitor.join(sizes, ["label", "cell"]).withColumns({"j": block("v")})
                .withColumn("i", spread("m")).select(cols))
     )
-    found = keep(both.groupBy("label", "cell", "i", "j").applyInArrow(
-        lambda t: compare(t, dim, cosine), "vec_id bigint, low bigint, n bigint"))
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("others"))
-    parts = components(found.where("vec_id <> low").select(
-        F.col("vec_id").alias("a"), F.col("low").alias("b")))
-    answers = (
-        classes.withColumnRenamed("n", "own").join(links, "vec_id", "left")
-        .join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select("label", "emb",
-                (F.coalesce("others", F.lit(0)) + F.col("own") - 1).alias("n_links"),
-                F.coalesce("component", "vec_id").alias("component_id"))
-    )
-    linked = valid.join(answers, ["label", "emb"]).select("vec_id", "n_links", "component_id")
-    apart = rows.where(~F.coalesce(fine, F.lit(False))).select(
-        "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(apart).withColumn(
-        "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return both.groupBy("label", "cell", "i", "j").applyInArrow(
+        lambda t: compare(t, dim, cosine), "vec_id bigint, low bigint, n bigint")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -539,6 +539,41 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_any_length_and_magnitude(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, [1e200, 1e200], 1), (1, [1.0, 1.0], 1), (2, [1e-200, 1e-200], 1),
+            (3, [1e308, -1e308], 1), (4, [1e-310, -1e-310], 1), (5, [7.0], 1), (6, [0.5], 1),
+            (7, [-3.0], 1), (8, [1.0, 1.0, 1.0], 1), (9, [2.0, 2.0, 2.1], 1),
+            (10, [1.0, 1.0, 1.0], 2), (11, [1.0, 1.0], 1), (11, [1.0, 1.0], 1),
+            (None, [1.0, 1.0], 1)]
+    base = rng.normal(size=(9, 5))
+    for i in range(300):
+        v = base[i % 9] + rng.normal(size=5) * 0.2
+        rows.append((100 + i, [float(x) for x in v * 10.0 ** rng.integers(-180, 180)], i % 2))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    unit = {i: np.array(v) / np.abs(v).max() for i, (_, v, _) in enumerate(rows)}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    links = {i: [j for j in unit if i != j and rows[i][2] == rows[j][2]
+                 and None not in (rows[i][0], rows[j][0]) and len(unit[i]) == len(unit[j])
+                 and unit[i] @ unit[j] >= 0.93] for i in unit}
+    want = brute_components(list(unit), lambda i, j: j in links[i])
+    low = {}
+    for i, c in want.items():
+        low[c] = min(low.get(c, 10**9), rows[i][0] if rows[i][0] is not None else 10**9)
+    expected = sorted((str(rows[i][0]), len(links[i]), str(low[want[i]]) if rows[i][0] is not None
+                       else "None") for i in unit)
+    for few in (neighbours.FEW, 100):
+        old, neighbours.FEW = neighbours.FEW, few
+        try:
+            out = neighbours.near_duplicates(df, recall=1.0).collect()
+        finally:
+            neighbours.FEW = old
+        got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in out)
+        assert sum(a == b for a, b in zip(got, expected, strict=True)) >= 0.98 * len(got)
+        if few == neighbours.FEW:
+            assert got == expected
+
+
 def test_neighbours_finds_rare_copies(spark):
     rng = np.random.default_rng(4)
     x = neighbours.unit(rng.normal(size=(2000, 32)))
