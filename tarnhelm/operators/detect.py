@@ -27,6 +27,7 @@ from tarnhelm.functions.text import (
     strip_space,
 )
 from tarnhelm.schema import HITS_TYPE, family_of, hit, no_hits
+from tarnhelm.sources.stored import keep
 
 
 @dataclass(frozen=True)
@@ -852,9 +853,9 @@ def chunk_text(
             ),
         ),
     ).otherwise(F.array(F.struct(F.lit(0).alias("at"), c.alias("piece"))))
-    keep = [x for x in df.columns if x != text]
-    return df.select(*keep, F.explode_outer(pieces).alias("_p")).select(
-        *keep, F.col("_p.at").alias("chunk_offset"), F.col("_p.piece").alias(text)
+    rest = [x for x in df.columns if x != text]
+    return df.select(*rest, F.explode_outer(pieces).alias("_p")).select(
+        *rest, F.col("_p.at").alias("chunk_offset"), F.col("_p.piece").alias(text)
     )
 
 
@@ -885,6 +886,8 @@ def detect_all(
 
 #: Occurrences of one text that one task joins with its findings.
 OCCURRENCES = 100_000
+#: Repeated texts up to which their keys are sent to every task.
+REPEATED = 1_000_000
 
 
 def scan_distinct(
@@ -894,26 +897,40 @@ def scan_distinct(
     pack_version: int,
     detectors: Sequence[Detector] = ALL_DETECTORS,
     text: str = "text",
+    repeated: int = REPEATED,
 ) -> DataFrame:
     """Scan each distinct (tenant, pack version, text) once and re-anchor the findings.
 
-    Copies of a text collapse within each task before the text is shuffled. A text copied into a
-    third of all rows would make the join back one hot key, so the occurrences of each text are
-    counted; those of a very frequent one are salted by their number, and only its findings are
-    repeated per salt.
+    Keys alone, without any text, tell which texts repeat and elect one row for each: the one
+    with the least hash of its other columns. The elected rows and those of all other texts are
+    scanned where they are read; nothing but keys and findings is shuffled. Only with more than
+    ``repeated`` repeated texts their rows are joined with the election instead.
+
+    A text copied into a third of all rows would make the join back one hot key, so the
+    occurrences of a very frequent one are salted, and only its findings are repeated per salt.
     """
     from tarnhelm.functions.crypto import text_key
 
-    keyed = spans.withColumn("_key", text_key(key, F.col(tenant), pack_version, F.col(text)))
+    rest = [c for c in spans.columns if c != text]
+    keyed = spans.withColumns({
+        "_key": text_key(key, F.col(tenant), pack_version, F.col(text)),
+        "_at": F.xxhash64(*rest)})
+    ids = keep(keyed.drop(text))
+    again = keep(ids.groupBy("_key").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first")).where(F.col("_n") > 1))
+    elected = again.select("_key", "_first")
+    if again.count() <= repeated:
+        elected = F.broadcast(elected)
+    once = keyed.join(elected, "_key", "left").where(
+        F.col("_first").isNull() | (F.col("_at") == F.col("_first")))
+    # Rows that are equal in all columns are elected together.
+    found = detect(once, detectors, text, keys=["_key"]).distinct()
     salts = F.ceil(F.col("_n") / OCCURRENCES).cast("int")
-    hot = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter(
-        F.col("_n") > OCCURRENCES).select("_key", salts.alias("_salts"))
-    distinct = keyed.select("_key", text).dropDuplicates(["_key"])
-    found = detect(distinct, detectors, text, keys=["_key"]).join(hot, "_key", "left")
+    hot = again.where(F.col("_n") > OCCURRENCES).select("_key", salts.alias("_salts"))
+    found = found.join(hot, "_key", "left")
     found = found.withColumn("_salt", F.explode(
         F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    rest = [c for c in spans.columns if c != text]
-    occurrences = keyed.drop(text).join(hot, "_key", "left").withColumn(
+    occurrences = ids.drop("_at").join(hot, "_key", "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*rest), F.coalesce("_salts", F.lit(1))).cast("int")
     ).drop("_salts")
     return occurrences.join(found, ["_key", "_salt"]).drop("_key", "_salt")

@@ -207,10 +207,13 @@ def distributions(
     return rows.withColumn("share", F.round(F.col("n") / total, 6))
 
 
+LATENCY_MARKS = (0.5, 0.9, 0.95, 0.99, 0.999)
+
+
 def latency_quantiles(requests: DataFrame, col: str = "latency", exact: bool = False
                       ) -> DataFrame:
     """p50, p90, p95, p99, p99.9, mean and maximum."""
-    marks = [0.5, 0.9, 0.95, 0.99, 0.999]
+    marks = list(LATENCY_MARKS)
     q = (
         F.percentile(col, F.array(*[F.lit(m) for m in marks])) if exact
         else F.approx_percentile(col, marks, 10_000)
@@ -221,6 +224,45 @@ def latency_quantiles(requests: DataFrame, col: str = "latency", exact: bool = F
     )
 
 
+#: Size of a quantile sketch; more is more exact. At this size a quantile is off by far less than
+#: RANK_ERROR of all values.
+SKETCH_SIZE = 4096
+RANK_ERROR = 0.002
+
+
+def hourly_sketches(
+    requests: DataFrame, keys: Sequence[str] = (), col: str = "latency", ts: str = "ts"
+) -> DataFrame:
+    """One mergeable quantile sketch of ``col`` per hour and ``keys``, to be stored.
+
+    A sketch has some ten thousand numbers at most whatever the hour holds; null values are left
+    out. Hours without values have no row.
+    """
+    value = F.col(col).cast("double")
+    return requests.where(value.isNotNull() & ~F.isnan(value)).groupBy(
+        *keys, F.date_trunc("hour", F.col(ts)).alias("hour")).agg(
+        F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("max"),
+        F.kll_sketch_agg_double(value, SKETCH_SIZE).alias("sketch"))
+
+
+def merged_quantiles(
+    sketches: DataFrame, keys: Sequence[str] = (), marks: Sequence[float] = LATENCY_MARKS
+) -> DataFrame:
+    """Quantiles over any choice of stored hours: (keys, quantile, value, n, mean, max).
+
+    Only sketches are read and merged, never the values again.
+    """
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"),
+        F.max("max").alias("max"), F.kll_merge_agg_double("sketch").alias("_s"))
+    places = F.array(*[F.lit(float(m)) for m in marks])
+    both = F.arrays_zip(places.alias("quantile"),
+                        F.kll_sketch_get_quantile_double("_s", places).alias("value"))
+    return merged.where(F.col("n") > 0).select(
+        *keys, F.explode(both).alias("_q"), "n", "mean", "max").select(
+        *keys, "_q.quantile", "_q.value", "n", "mean", "max")
+
+
 def hourly(requests: DataFrame) -> DataFrame:
     """Requests, blocks and redactions per hour of the day, and the share of the peak."""
     c = F.col

@@ -11,6 +11,7 @@ from tarnhelm.plans.governance import rules_df
 from tarnhelm.plans.plants import plant, plant_sql, read
 from tarnhelm.operators.detect import BASELINE_KEY_RULES
 from tarnhelm.sources import readers as RD
+from tarnhelm.sources.stored import keep
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,6 +170,28 @@ def latency_quantiles(spark, sf):
     return E.latency_quantiles(plant(spark, sf, "requests"), exact=True)
 
 
+@query(
+    "latency_sketches",
+    f"""select env, quantile, count(*) as n, max(latency) as max, true as within
+        from {_REQ} q, (select unnest([0.5, 0.9, 0.95, 0.99, 0.999])::double as quantile) m
+        where extract(year from ts) between 1993 and 1996 group by 1, 2""",
+)
+def latency_sketches(spark, sf):
+    """Stored sketches of each hour merged over four years; each quantile against all values: is
+    its place among them within the stated rank error?"""
+    requests = plant(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
+    year = lambda c: F.year(c).between(1993, 1996)
+    stored = keep(E.hourly_sketches(requests, ["env"]))
+    found = E.merged_quantiles(stored.where(year("hour")), ["env"])
+    below = requests.where(year("ts")).join(F.broadcast(found), "env").groupBy(
+        "env", "quantile", "n", "max").agg(
+        F.avg((F.col("latency") < F.col("value")).cast("double")).alias("low"),
+        F.avg((F.col("latency") <= F.col("value")).cast("double")).alias("high"))
+    q = F.col("quantile")
+    return below.select("env", "quantile", "n", "max", (
+        (F.col("low") <= q + E.RANK_ERROR) & (F.col("high") >= q - E.RANK_ERROR)).alias("within"))
+
+
 @query(
     "hourly_traffic",
     """with h as (select cast(hour(ts) as int) as hour, count(*) as total, count(*) filter (event_type = 'error') as blocked, count(*) filter (event_type = 'click') as redacted from events group by 1)

@@ -643,6 +643,27 @@ def sink_assembly(spark, sf):
     )
 
 
+@query(
+    "sink_assembly_wide",
+    """select c_custkey as session_id, 16 as pieces, md5(concat('sk-ant-api03-', h, substr(upper(h), 1, 19))) as digest,
+         'ANTHROPIC_KEY' as classes from (select c_custkey, md5(cast(c_custkey as varchar)) as h from customer) c""",
+)
+def sink_assembly_wide(spark, sf):
+    """A key of 64 characters written in 16 pieces: more than the upstream puts together."""
+    h = F.md5(F.col("c_custkey").cast("string"))
+    key = F.concat(F.lit("sk-ant-api03-"), h, F.left(F.upper(h), F.lit(19)))
+    calls = read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("session_id"), key.alias("key"),
+        F.explode(F.sequence(F.lit(0), F.lit(15))).alias("seq"),
+    ).select(
+        "session_id", "seq", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 60).alias("ts"),
+        F.lit("/tmp/parts").alias("sink"),
+        F.substring("key", F.col("seq") * 4 + 1, F.lit(4)).alias("payload"))
+    whole = S.sink_assembly(calls).where(F.col("seq") == 15)
+    named = S.assembled_secrets(whole.withColumn("digest", F.md5("assembled")))
+    return named.select("session_id", "pieces", "digest", F.array_join("classes", ",").alias("classes"))
+
+
 @query(
     "sink_segments",
     f"select session_id, sink, count(*) as writes, max(seg)::bigint as segments from {_SINK_ROWS} s group by 1, 2",
@@ -756,13 +777,12 @@ def _event_stream(spark, sf):
 
 @query(
     "coverage_stream",
-    """with e as (select *, time_bucket(interval '5 minutes', ts) as w from events), m as (select max(ts) - interval '10 minutes' as wm from events)
-       select w as window_start, event_type as harness, count(*) as requests, count(*) filter (event_id % 4 = 0) as blocked
-       from e, m where w + interval '5 minutes' <= wm group by 1, 2""",
+    """select time_bucket(interval '5 minutes', ts) as window_start, event_type as harness, count(*) as requests,
+         count(*) filter (event_id % 4 = 0) as blocked, max(ts) as last_seen from events group by 1, 2""",
 )
 def coverage_stream(spark, sf):
-    """Windowed coverage counters computed by a stream over the event file."""
-    from tarnhelm.streaming.sessions import coverage_stream as run
+    """Coverage counters of every window, the open ones too, from a stream over the events."""
+    from tarnhelm.streaming.sessions import CoverageTable
 
     k = F.col("event_id")
     s = _event_stream(spark, sf).select(
@@ -770,9 +790,14 @@ def coverage_stream(spark, sf):
         F.lit("p").alias("provider"), F.lit("http").alias("channel"),
         F.when(k % 4 == 0, "blocked").otherwise("allowed").alias("outcome"),
     )
-    return _stream_table(spark, run(s), "coverage").select(
-        F.col("window.start").alias("window_start"), "harness", "requests", "blocked"
-    )
+    path = _scratch(spark)
+    table = CoverageTable(f"{path}/coverage")
+    q = s.writeStream.foreachBatch(table.write).option(
+        "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return table.windows(spark).select(
+        F.col("window.start").alias("window_start"), "harness", "requests", "blocked",
+        F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
 _STREAM_CALLS = """(select user_id as session_id, ts, event_id as seq,

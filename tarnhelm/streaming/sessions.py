@@ -168,6 +168,66 @@ def coverage_stream(
     )
 
 
+_COVERED = ("harness", "route", "provider", "channel")
+
+
+class CoverageTable:
+    """Coverage counters per window, kept as a table that a stream adds to.
+
+    A stream with an append sink holds a window back until the watermark has passed it, so the
+    last windows never come out. Here every micro-batch adds its counters to the table at
+    ``path``, and ``windows`` sums them: each window is complete up to the last batch. Rows whose
+    window had ended by the watermark, the latest time of earlier batches less ``delay``
+    seconds, are not counted; ``late`` has their number per window. A batch that runs again
+    replaces what it wrote.
+    """
+
+    def __init__(self, path: str, window: str = "5 minutes", delay: int = 600):
+        self.path, self.window, self.delay = path, window, delay
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch``. Rows: ts, harness, route, provider, channel, outcome."""
+        rows = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        rows = rows.withColumn("window", F.window("ts", self.window))
+        seen = self._read(rows.sparkSession, "seen", "top timestamp, batch_id bigint").where(
+            F.col("batch_id") < batch_id).agg(F.max("top")).first()[0]
+        late = F.lit(False)
+        if seen is not None:
+            # A window is late if it ended at or before the watermark.
+            late = F.col("window.end") <= F.lit(seen) - F.make_dt_interval(secs=F.lit(self.delay))
+        rows.withColumn("late", late).groupBy("window", *_COVERED, "late").agg(
+            F.count("*").alias("requests"),
+            F.count_if(~F.col("outcome").isin("blocked", "failed")).alias("allowed"),
+            F.count_if(F.col("outcome") == "blocked").alias("blocked"),
+            F.count_if(F.col("outcome") == "failed").alias("failed"),
+            F.max("ts").alias("last_seen"),
+        ).write.mode("overwrite").parquet(f"{self.path}/counts/batch_id={batch_id}")
+        rows.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(
+            f"{self.path}/seen/batch_id={batch_id}")
+
+    def _read(self, spark, part: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{part}"
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+    def _counts(self, spark) -> DataFrame:
+        return self._read(
+            spark, "counts", "window struct<start:timestamp,end:timestamp>, harness string, "
+            "route string, provider string, channel string, late boolean, requests bigint, "
+            "allowed bigint, blocked bigint, failed bigint, last_seen timestamp, batch_id bigint")
+
+    def windows(self, spark) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("requests", "allowed", "blocked", "failed")]
+        return self._counts(spark).where(~F.col("late")).groupBy("window", *_COVERED).agg(
+            *sums, F.max("last_seen").alias("last_seen"))
+
+    def late(self, spark) -> DataFrame:
+        return self._counts(spark).where("late").groupBy("window").agg(
+            F.sum("requests").alias("requests"))
+
+
 def escalation_sink(path: str):
     """``foreachBatch`` writer of escalation features.
 

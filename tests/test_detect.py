@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,22 @@ def test_scan_distinct_equals_plain_scan(spark):
     a = {tuple(r) for r in D.detect(df, dets).select(*cols).collect()}
     b = {tuple(r) for r in D.scan_distinct(df, b"k", "tenant", 1, dets).select(*cols).collect()}
     assert a == b and len(a) == 69
+    c = {tuple(r) for r in D.scan_distinct(df, b"k", "tenant", 1, dets, repeated=0).select(*cols).collect()}
+    assert c == a
+    twice = df.unionByName(df)
+    assert D.scan_distinct(twice, b"k", "tenant", 1, dets).count() == 2 * len(a)
+
+
+def test_scan_distinct_shuffles_no_text(spark, tmp_path):
+    rows = [(i, "t", "mail a%d@b.co " % (i % 50)) for i in range(400)]
+    spark.createDataFrame(rows, "id int, tenant string, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    found = D.scan_distinct(df, b"k", "tenant", 1, (L.learned_detector(L.TEXT_RULES),))
+    plan = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanges = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\n((?:.+\n)+)", plan)
+    assert exchanges and not any(re.search(r"\btext#", x) for x in exchanges)
+    assert found.count() == 400
 
 
 @pytest.mark.parametrize("pattern,literal", [

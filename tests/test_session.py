@@ -154,3 +154,47 @@ def test_limits_hold_a_key_in_many_pieces(spark):
     last = S.sink_assembly(df).orderBy(F.desc("seq")).first()
     assert len(pieces) > S.UPSTREAM.pieces and last["assembled"] == long
     assert S.sink_assembly(df, S.UPSTREAM).orderBy(F.desc("seq")).first()["assembled"] != long
+
+
+def test_coverage_table_is_complete_and_counts_late_rows(spark, tmp_path):
+    from tarnhelm.operators import evaluate as E
+
+    schema = "ts timestamp, harness string, route string, provider string, channel string, outcome string"
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    batches = [[(at(m), h, "/v1", "p", "http", o) for m in minutes for h, o in (
+        ("a", "allowed"), ("b", "blocked"), (None, "failed"))]
+        for minutes in ((0, 1, 7), (3, 30, 31), (4, 24, 32), (2, 60))]
+    src = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part={i}")
+    table = ST.CoverageTable(str(tmp_path / "table"))
+    assert table.windows(spark).count() == 0
+    for i, rows in enumerate(batches):
+        table.write(spark.createDataFrame(rows, schema), i)
+        if i == 2:  # a batch that runs again changes nothing
+            table.write(spark.createDataFrame(rows, schema), i)
+    # After the second batch the watermark is 00:21: windows that ended before are late.
+    late = {r["window"]["start"]: r["requests"] for r in table.late(spark).collect()}
+    assert late == {at(0): 6}
+    kept = [r for i, rows in enumerate(batches) for r in rows if not (i > 1 and r[0] < at(5))]
+    want = E.coverage(spark.createDataFrame(kept, schema).withColumn(
+        "harness", F.concat_ws("|", "harness", F.date_trunc("hour", "ts").cast("string"),
+                               F.floor(F.minute("ts") / 5)))).collect()
+    got = table.windows(spark).withColumn("harness", F.concat_ws(
+        "|", "harness", F.date_trunc("hour", "window.start").cast("string"),
+        F.floor(F.minute("window.start") / 5))).drop("window").select(*want[0].__fields__).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_coverage_table_as_a_stream(spark, tmp_path):
+    schema = "ts timestamp, harness string, route string, provider string, channel string, outcome string"
+    rows = [(datetime(2024, 1, 1, 0, m), "a", "r", "p", "c", "allowed") for m in range(12)]
+    for i in range(3):
+        spark.createDataFrame(rows[i * 4:i * 4 + 4], schema).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+    table = ST.CoverageTable(str(tmp_path / "table"))
+    q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        str(tmp_path / "in")).writeStream.foreachBatch(table.write).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(r["requests"] for r in table.windows(spark).collect()) == [2, 5, 5]
