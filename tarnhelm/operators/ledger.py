@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnhelm.functions.crypto import genesis, link_hash
+from tarnhelm.functions.text import bind
 from tarnhelm.operators.literals import ENTRIES, LiteralIndex
 from tarnhelm.operators.ordered import BLOCK_ROWS, with_history
 from tarnhelm.operators.policy import root_tenant
@@ -277,46 +278,49 @@ def check_sequence(ledger: DataFrame, keys: Sequence[str] = ("tenant_id",),
     )
 
 
-def check_cross_anchors(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Anchor rows whose claim about the other chain is wrong.
+def _with_heads(ledger: DataFrame, block_rows: int) -> DataFrame:
+    """Every row with the last row and the number of rows of each chain before it: one ordered
+    pass over a tenant, one summary per block carried forward."""
+    c = F.col
+    # Rows that name no known chain follow one another like a third.
+    of = {ch: c("chain") == ch for ch in CHAINS} | {"x": ~c("chain").isin(*CHAINS)}
+    return with_history(
+        ledger, ["tenant_id"], ["id"], _block(block_rows),
+        counts={f"_n_{ch}": is_it for ch, is_it in of.items()},
+        lasts={f"_{ch}": F.when(is_it, F.struct(c("id"), c("record_hash")))
+               for ch, is_it in of.items()})
 
-    Head and count of both chains before a row come from one ordered pass over the
-    tenant; no as-of join is needed.
-    """
+
+def _anchor_problem() -> Column:
+    """What is wrong with an anchor's claim about the other chain; for rows with heads."""
     c = F.col
-    lasts = {
-        f"_{ch}": F.when(c("chain") == ch, F.struct(c("id"), c("record_hash")))
-        for ch in CHAINS
-    }
-    counts = {f"_n_{ch}": c("chain") == ch for ch in CHAINS}
-    hist = with_history(ledger, ["tenant_id"], ["id"], _block(block_rows),
-                        counts=counts, lasts=lasts)
-    rows = hist.filter(c("event_type") == ANCHOR)
-    fields = F.from_json(
+    p = F.from_json(
         "payload",
         "chain string, other_chain string, other_chain_count bigint, "
         "other_chain_head_hash string, other_chain_head_id bigint",
     )
     is_ctl = c("chain") == "ctl"
-    rows = rows.withColumns(
-        {
-            "_p": fields,
-            "_head": F.when(is_ctl, c("_dp")).otherwise(c("_ctl")),
-            "_count": F.when(is_ctl, c("_n_dp")).otherwise(c("_n_ctl")),
-        }
-    )
-    p = c("_p")
-    problem = (
+    head = F.when(is_ctl, c("_dp")).otherwise(c("_ctl"))
+    count = F.when(is_ctl, c("_n_dp")).otherwise(c("_n_ctl"))
+    return F.when(c("event_type") == ANCHOR, bind(p, lambda p: (
         F.when(
             ~F.coalesce(p["other_chain"].isin(*CHAINS), F.lit(False))
             | (p["other_chain"] == c("chain")), "invalid other chain",
         )
         .when(~p["chain"].eqNullSafe(c("chain")), "claims another chain")
-        .when(~p["other_chain_count"].eqNullSafe(c("_count")), "wrong count")
-        .when(~p["other_chain_head_id"].eqNullSafe(c("_head.id")), "wrong head id")
-        .when(~p["other_chain_head_hash"].eqNullSafe(c("_head.record_hash")), "wrong head hash")
-    )
-    return rows.select("tenant_id", "chain", "id", problem.alias("detail")).filter(
+        .when(~p["other_chain_count"].eqNullSafe(count), "wrong count")
+        .when(~p["other_chain_head_id"].eqNullSafe(head["id"]), "wrong head id")
+        .when(~p["other_chain_head_hash"].eqNullSafe(head["record_hash"]), "wrong head hash"))))
+
+
+def check_cross_anchors(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Anchor rows whose claim about the other chain is wrong.
+
+    Head and count of both chains before a row come from one ordered pass over the
+    tenant; no as-of join is needed.
+    """
+    rows = _with_heads(ledger, block_rows).where(F.col("event_type") == ANCHOR)
+    return rows.select("tenant_id", "chain", "id", _anchor_problem().alias("detail")).filter(
         "detail is not null"
     )
 
@@ -392,23 +396,38 @@ def verify_ledger(
     references say; those count only in a chain that is otherwise intact.
     """
     c = F.col
-    links = check_links(ledger, suffix, block_rows).filter("not link_ok or not content_ok")
-    hard = links.select(
-        "tenant_id", "chain", "id", F.lit(0).alias("_soft"),
-        F.when(~c("link_ok"), "prev_hash does not match the record before it")
-        .otherwise("record was edited after it was written").alias("detail"),
-    )
-    soft = check_cross_anchors(ledger, block_rows)
+    own = F.when(c("chain") == "ctl", c("_ctl")).when(c("chain") == "dp", c("_dp")).otherwise(
+        c("_x"))
+    expected = F.coalesce(own["record_hash"], genesis(c("tenant_id"), suffix))
+    rec = record_json(c("tenant_id"), c("event_type"), c("payload"), c("ts"))
+    hard = F.when(
+        ~F.coalesce(c("prev_hash") == expected, F.lit(False)),
+        "prev_hash does not match the record before it",
+    ).when(
+        ~F.coalesce(link_hash(c("prev_hash"), rec) == c("record_hash"), F.lit(False)),
+        "record was edited after it was written")
+    # Links, records and anchors are judged in the one pass that brings the heads.
+    rows = _with_heads(ledger, block_rows).select(
+        "tenant_id", "chain", "id", hard.alias("_hard"), _anchor_problem().alias("_anchor"))
+    first = F.min(F.when(c("_hard").isNotNull(), F.struct(
+        F.lit(0).alias("soft"), c("id"), c("_hard").alias("detail"))).when(
+        c("_anchor").isNotNull(), F.struct(
+            F.lit(1).alias("soft"), c("id"), c("_anchor").alias("detail"))))
+    chains = rows.groupBy("tenant_id", "chain").agg(
+        first.alias("_f"), F.count("*").alias("_rows"))
     if policies is not None and tenants is not None:
-        soft = soft.unionByName(check_policy_bindings(ledger, policies, tenants))
-    both = hard.unionByName(soft.withColumn("_soft", F.lit(1)))
-    per_chain = both.groupBy("tenant_id", "chain").agg(
-        F.min_by(F.struct("id", "detail"), F.struct("_soft", "id")).alias("_f")
-    ).select("tenant_id", "chain", "_f.id", "_f.detail")
-    counts = ledger.groupBy("tenant_id").agg(F.count("*").alias("checked"))
-    return counts.join(first_divergence(per_chain), "tenant_id", "left").withColumn(
-        "ok", c("broken_at").isNull()
-    )
+        bound = check_policy_bindings(ledger, policies, tenants).groupBy("tenant_id", "chain").agg(
+            F.min(F.struct(F.lit(1).alias("soft"), c("id"), c("detail"))).alias("_f"))
+        chains = chains.unionByName(bound.withColumn("_rows", F.lit(0).cast("bigint"))).groupBy(
+            "tenant_id", "chain").agg(F.min("_f").alias("_f"), F.sum("_rows").alias("_rows"))
+    found = F.struct(c("_f.id").alias("id"), c("_f.detail").alias("detail"), c("chain"))
+    return chains.groupBy("tenant_id").agg(
+        F.sum("_rows").alias("checked"),
+        F.min(F.when(c("_f").isNotNull(), found)).alias("_first"),
+    ).select(
+        "tenant_id", "checked", c("_first.id").alias("broken_at"),
+        c("_first.detail").alias("detail"), c("_first.chain").alias("chain"),
+        c("_first").isNull().alias("ok"))
 
 
 def leak_sweep(
