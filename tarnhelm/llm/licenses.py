@@ -3,9 +3,11 @@
 A candidate is the stretch of words, across line ends, that comes nearest to a template near a word
 that speaks of a licence (on its line, or within about two template lengths). It is compressed
 alone and with the template as a raw zstandard dictionary; the bytes saved, as a share of the
-template's own compressed size, must reach ``SAVED``. Its exact wording confirms it: the words of
-the template that it lacks or changes, and those it adds, are listed, and few must be missing.
-Where candidates overlap, the one stays that shares most words less its differences.
+template's own compressed size, must reach ``SAVED``. Where candidates overlap, the one that saves
+most bytes comes first. Its exact wording confirms or refuses it, and then the next one's turn
+comes: few words of the template may be missing, a word that decides between licences (another
+version, NonCommercial, Lesser ...) must be neither added nor missing, and no negation may stand
+before it. The words of the template that are missing and those that are added are listed.
 
 Templates are rows (license, text); ``TEMPLATES`` has short notices and ``FULL_TEXTS`` whole
 licences. Documents without a candidate give no rows. Null and empty texts have none. Ties go to
@@ -45,9 +47,13 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Made available under the terms of the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, "
                 "v. 2.0."),
 )
+#: Short names that may stand for a licence in a source file.
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted(
+    {name for name, _ in TEMPLATES}))
 #: Whole licences, a file each.
 FULL_TEXTS = tuple(
     (p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "texts").glob("*.txt")))
@@ -59,6 +65,18 @@ SAVED = 0.3
 MISSING = 0.2
 #: What a lacking word costs in added ones where a notice is laid against a text.
 LACKING = 8
+#: Words, or parts of words with hyphens, that make another licence of one.
+DECIDING = frozenset((
+    "affero", "except", "lesser", "nc", "nd", "never", "no", "noncommercial", "noderivatives",
+    "noderivs", "not", "sa", "sharealike"))
+NEGATIONS = frozenset(("cannot", "neither", "never", "no", "not"))
+#: A version; years are none.
+VERSION = re.compile(r"v?\d+(?:\.\d+)+|v?\d")
+#: Words before a notice among which a negation of the same sentence refuses it.
+BEFORE = 3
+#: Words after a notice that may be the version that it lacks.
+AFTER = 2
+ENDS = re.compile(r"[.!?;:](?=\s)|\n\s*\n")
 WORD = re.compile(r"\w[\w.\-]*\w|\w")
 
 
@@ -80,6 +98,16 @@ def differences(template: str, block: str) -> tuple[list[str], list[str]]:
     return missing, added
 
 
+def another(lacks: list[str], adds: list[str], following: list[str]) -> bool:
+    """Whether these differences make another licence of a notice; ``following`` are the next
+    words of its sentence."""
+    parts = [p for w in [*lacks, *adds] for p in w.split("-")]
+    versions = [w for w in adds if VERSION.fullmatch(w)]
+    if any(VERSION.fullmatch(w) for w in lacks):
+        versions += [w for w in following if VERSION.fullmatch(w)]
+    return bool(versions) or not DECIDING.isdisjoint(parts)
+
+
 def stretches(a: np.ndarray, b: np.ndarray, most: float, lacking: int = LACKING) -> list[tuple[int, int]]:
     """Stretches of ``b`` near ``a``, nearest first: ends where the distance is least nearby.
 
@@ -162,20 +190,25 @@ class Finder:
                         end += 1
                     block = text[spans[i][0]:end]
                     lacks, adds = differences(template, text[spans[i][0]:spans[j - 1][1]])
-                    if len(lacks) > lack:
+                    following = [s[2] for s in spans[j:j + AFTER] if not ENDS.search(
+                        text, spans[j - 1][1], s[0])]
+                    if len(lacks) > lack or another(lacks, adds, following):
+                        continue
+                    if any(spans[k][2] in NEGATIONS and not ENDS.search(
+                            text, spans[k][1], spans[i][0]) for k in range(max(0, i - BEFORE), i)):
                         continue
                     share = self.saving(block, under, own)
                     if share < self.saved:
                         continue
                     taken[i:j] = True
-                    n = len(lacks) + len(adds)
-                    found.append((n + len(lacks) - len(a), -share, name, i, j, lacks, adds))
+                    found.append((-share * own, len(lacks) + len(adds), name, i, j, share,
+                                  lacks, adds))
         out: list[tuple] = []
         used = np.zeros(len(at), bool)
-        for _, share, name, i, j, lacks, adds in sorted(found, key=lambda x: x[:5]):
+        for _, _, name, i, j, share, lacks, adds in sorted(found, key=lambda x: x[:5]):
             if not used[i:j].any():
                 used[i:j] = True
-                out.append((text.count("\n", 0, spans[i][0]), name, -share, " ".join(lacks),
+                out.append((text.count("\n", 0, spans[i][0]), name, share, " ".join(lacks),
                             " ".join(adds), not lacks and not adds, i))
         return [x[:-1] for x in sorted(out, key=lambda x: x[-1])]
 

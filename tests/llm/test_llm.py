@@ -449,6 +449,47 @@ def test_license_blocks(spark):
     assert licenses.scan(table(spark, texts).limit(0)).count() == 0
 
 
+def test_license_words_that_decide(spark):
+    texts = [
+        "This project is not released under the MIT License.",
+        "Licensed under the Apache License, Version 1.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
+        "International License.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.",
+        "There is no doubt. Released under the MIT License.",
+        "It is made available under the terms of the MIT license, as ever",
+        "# SPDX-License-Identifier: Apache-2.0\nimport x", "SPDX-License-Identifier: Apache-1.0",
+        "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, "
+        "Version 2.0.", "Licensed under the Apache License.",
+    ]
+    rows = [(i, t, "MIT", "x", 1, 2, 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[4:5], SCHEMA.replace("lang", "license").replace(
+        "source", "missing"))
+    got = sorted((r["doc_id"], r["line"], r["license"], r["exact"])
+                 for r in licenses.scan(df).collect())
+    assert got == [
+        (4, 0, "MIT", True), (4, 0, "MIT", True), (5, 0, "MIT", True), (6, 0, "Apache-2.0", True),
+        (8, 0, "Apache-2.0", True), (8, 1, "Apache-2.0", True)]  # 9 lacks too much
+
+
+def test_license_of_nearest_template_as_by_brute_force(spark):
+    r = random.Random(8)
+    filler = "this file was made by hand and is kept for later use by all".split()
+    finder = licenses.Finder(licenses.TEMPLATES, licenses.GATE, licenses.SAVED, licenses.MISSING)
+    texts, want = [], []
+    for i in range(80):
+        name, template = r.choice(licenses.TEMPLATES)
+        before = " ".join(r.choices(filler, k=r.randint(0, 12)))
+        text = f"{before}. {template.rstrip('.')}, {' '.join(r.choices(filler, k=5))}"
+        texts.append((i, r.choice([text, text.replace(" under ", "\nunder ")])))
+        # All templates against the whole text: the one that saves most and is worded exactly.
+        best = max((finder.saving(template, under, own) * own, n) for n, t, _, _, under, own in
+                   finder.templates if t == template)
+        want.append((i, best[1]))
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert sorted((x["doc_id"], x["license"]) for x in got.where("exact").collect()) == want
+
+
 def test_license_inside_sentences_and_over_lines(spark):
     full = dict(licenses.FULL_TEXTS)
     texts = [
