@@ -43,8 +43,11 @@ NUMBERED = 400_000
 SLICE = 1 << 20
 #: Leaves of a group of prefixes.
 BUDGET = 100_000
-#: Bits of a set of words or pairs: so many for each member, but no more than the last number.
-BITS_EACH, MOST_BITS = 32, 1 << 30
+#: Places by which words and pairs are told apart, a power of two; what shares one is taken for
+#: frequent together.
+PLACES = 1 << 40
+#: Bits of a set of places: so many for each member, but no more than the last number.
+BITS_EACH, MOST_BITS = 16, 1 << 30
 #: Bits in a page when a set is put together.
 PAGE = 1 << 15
 #: Parts in which the best phrases of a language are found first.
@@ -72,21 +75,9 @@ def in_set(pages: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (pages[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def bit_set(phrases: DataFrame) -> np.ndarray:
-    """The set of kept (lang, phrase) of one or two words as a bitmap without misses."""
-    n = phrases.count()
-    bits = min(MOST_BITS, max(PAGE, 1 << (BITS_EACH * n).bit_length()))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = [np.array([crc32(w)], np.uint64) for w in phrase.encode().split(b" ")]
-                found.append(places(
-                    crc32(lang.encode()), h[0], h[1] if len(h) > 1 else None, bits)[0])
-            at = np.array(found, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at // PAGE), pa.array(at % PAGE)], ["page", "bit"])
+def bit_set(found: DataFrame) -> np.ndarray:
+    """The set of kept places (``at``, of PLACES) as a bitmap without misses."""
+    bits = min(MOST_BITS, max(PAGE, 1 << (BITS_EACH * found.count()).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +88,8 @@ def bit_set(phrases: DataFrame) -> np.ndarray:
                 out.append(np.packbits(marks, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["page", "data"])
 
-    pages = phrases.select("lang", "phrase").mapInArrow(place, "page bigint, bit bigint")
+    bit = F.shiftright("at", PLACES.bit_length() - bits.bit_length())
+    pages = found.select(F.floor(bit / PAGE).alias("page"), (bit % PAGE).alias("bit"))
     rows = pages.groupBy("page").agg(F.collect_set("bit").alias("bits")).mapInArrow(
         fill, "page bigint, data binary").toArrow()  # bits / 8 bytes in all at most
     out = np.zeros(bits // 8, np.uint8)
@@ -106,6 +98,18 @@ def bit_set(phrases: DataFrame) -> np.ndarray:
     return out
 
 
+def word_places(words: DataFrame) -> DataFrame:
+    """The places (at) of words (lang, phrase)."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [places(crc32(lang.encode()), np.array([crc32(w.encode())], np.uint64), None,
+                         PLACES)[0]
+                  for lang, w in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], ["at"])
+
+    return words.select("lang", "phrase").mapInArrow(place, "at bigint")
+
+
 class Words:
     """Numbers the words of texts and hands them over in blocks, one stream per language.
 
@@ -180,8 +184,8 @@ def batch_of(lang: str, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
         ["lang", "phrase", "n"])
 
 
-def counted(docs: DataFrame, count: Callable) -> DataFrame:
-    """(lang, phrase, n) of (lang, text) by tasks: ``count(words, out)`` gives use and leave."""
+def counted(docs: DataFrame, count: Callable, schema: str = COUNTS) -> DataFrame:
+    """Counts over (lang, text) by tasks: ``count(words, out)`` gives use and leave."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pa.RecordBatch] = []
         words = Words(lambda *a: use(*a), lambda: leave())
@@ -197,7 +201,7 @@ def counted(docs: DataFrame, count: Callable) -> DataFrame:
 
     return docs.select(
         F.coalesce("lang", F.lit(UNKNOWN_LANG)).alias("lang"),
-        F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, COUNTS)
+        F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -246,23 +250,25 @@ class Marks:
 
 
 def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Counts of pairs of frequent words."""
+    """(at, n): counts of pairs of frequent words by their place among PLACES. Words themselves
+    are not needed here, and a place is a fraction of their size."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def count(words: Words, out: list):
         marked = Marks(words, sent.value)
 
         def use(lang: str, ids: np.ndarray, n: int) -> None:
-            on = marked(lang)[0][ids]
+            on, hashes = marked(lang)
+            on = on[ids]
             at = np.flatnonzero(on[:n] & on[1:n + 1])
-            pairs, sums = np.unique(ids[at] << 32 | ids[at + 1], return_counts=True)
-            names = words.names
-            out.append(batch_of(lang, [
-                names[a] + b" " + names[b] for a, b in
-                zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)], sums))
+            pairs, sums = np.unique(places(
+                crc32(lang.encode()), hashes[ids[at]], hashes[ids[at + 1]], PLACES),
+                return_counts=True)
+            out.append(pa.RecordBatch.from_arrays(
+                [pa.array(pairs), pa.array(sums.astype(np.int64))], ["at", "n"]))
         return use, lambda: None
 
-    return counted(docs, count).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return counted(docs, count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
 
 
 def suffixes(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray) -> DataFrame:
@@ -382,8 +388,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, budget: int = BUDGET):
     words = keep(word_counts(docs))
     totals = keep(words.groupBy("lang").agg(F.sum("n").alias("total")))
     words = keep(words.where(F.col("n") >= least))
-    marks = bit_set(words)
-    pairs = bit_set(keep(pair_counts(docs, marks).where(F.col("n") >= least)))
+    marks = bit_set(keep(word_places(words)))
+    pairs = bit_set(keep(pair_counts(docs, marks).where(F.col("n") >= least).select("at")))
     leaves = keep(suffixes(docs, marks, pairs))
     return keep(words.unionByName(tree_counts(leaves, least, budget))), totals
 

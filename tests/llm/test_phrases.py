@@ -3,7 +3,9 @@
 import random
 import re
 from collections import Counter, defaultdict
+from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,15 +103,19 @@ def test_small_blocks_and_new_numbers(spark):
 
 
 def test_sets_have_no_misses(spark):
-    pairs = [("en", f"w{i} v{i}") for i in range(300)] + [("de", f"u{i}") for i in range(300)]
-    pages = P.bit_set(spark.createDataFrame(pairs, "lang string, phrase string"))
-    import numpy as np
-    from zlib import crc32
-
-    for lang, phrase in pairs:
-        h = [np.array([crc32(w.encode())], np.uint64) for w in phrase.split(" ")]
-        at = P.places(crc32(lang.encode()), h[0], h[1] if len(h) > 1 else None, len(pages) * 8)
-        assert P.in_set(pages, at).all()
+    words = [("en", f"w{i}") for i in range(300)] + [("de", f"u{i}") for i in range(300)]
+    at = P.word_places(spark.createDataFrame(words, "lang string, phrase string"))
+    for bits in (P.MOST_BITS, P.PAGE):
+        old, P.MOST_BITS = P.MOST_BITS, bits
+        try:
+            pages = P.bit_set(at)
+        finally:
+            P.MOST_BITS = old
+        h = [crc32(w.encode()) for _, w in words]
+        found = [P.in_set(pages, P.places(crc32(lang.encode()), np.array([x], np.uint64), None,
+                                          len(pages) * 8))[0]
+                 for (lang, _), x in zip(words, h, strict=True)]
+        assert all(found)
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
