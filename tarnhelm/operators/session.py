@@ -7,7 +7,6 @@ bounded tails) before any ordering happens, so only small rows are shuffled.
 from __future__ import annotations
 
 import base64
-import json
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -33,14 +32,15 @@ class Limits:
     window: int
     fragments: int | None
     candidates: int | None
-    pieces: int
+    pieces: int | None
     assembly: int
-    turns: int
-    targets: int
+    turns: int | None
+    targets: int | None
 
 
-#: Wide enough for the longest credentials, private keys included, in many small pieces.
-LIMITS = Limits(4096, None, None, 64, 16_384, 16, 64)
+#: Characters alone bound what is put together: enough for the longest credentials, private
+#: keys included, however small the pieces.
+LIMITS = Limits(4096, None, None, None, 16_384, None, None)
 #: The upstream's limits.
 UPSTREAM = Limits(64, 3, 24, 12, 512, 3, 8)
 
@@ -96,18 +96,34 @@ def seconds(ts: Column) -> Column:
 
 
 def split_on_gap(
-    events: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, ttl: float
+    events: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, ttl: float,
+    block: int = DAY,
 ) -> DataFrame:
     """Adds ``_segment``: state older than ``ttl`` is forgotten, so the events after a
-    longer pause are an independent group. A busy key is thereby spread over tasks."""
-    block = F.floor(F.col(at) / DAY)
-    step = with_history(events, keys, order, block, lags={"_before": at})
-    opens = F.col("_before").isNull() | (F.col(at) - F.col("_before") > ttl)
-    step = step.withColumn("_opens", F.when(opens, F.col(at)))
-    step = with_history(step, keys, order, block, lasts={"_opened": F.col("_opens")})
-    return step.withColumn("_segment", F.coalesce("_opens", "_opened")).drop(
-        "_before", "_opens", "_opened"
-    )
+    longer pause are an independent group, named by the time of its first event.
+
+    A key is cut into blocks of ``block`` seconds. Events are shuffled once, by key and block;
+    one row per block says what the next ones need.
+    """
+    c = F.col
+    keys = list(keys)
+    rows = events.withColumn("_block", F.floor(c(at) / block))
+    inside = W.partitionBy(*keys, "_block").orderBy(*order)
+    pause = c(at) - F.lag(at).over(inside) > ttl
+    rows = rows.withColumn("_opens", F.when(pause, c(at)))
+    rows = rows.withColumn(
+        "_inner", F.max("_opens").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    across = W.partitionBy(*keys).orderBy("_block")
+    blocks = rows.groupBy(*keys, "_block").agg(
+        F.min(at).alias("_first"), F.max(at).alias("_end"), F.max("_opens").alias("_open"))
+    before = F.lag("_end").over(across)
+    blocks = blocks.withColumn(
+        "_fresh", F.when(before.isNull() | (c("_first") - before > ttl), c("_first")))
+    carried = F.last(F.coalesce("_open", "_fresh"), ignorenulls=True).over(
+        across.rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(*keys, "_block", F.coalesce("_fresh", carried).alias("_entered"))
+    return rows.join(blocks, [*keys, "_block"]).select(
+        *events.columns, F.coalesce("_inner", "_entered").alias("_segment"))
 
 
 # ------------------------------------------------------------------ session risk
@@ -134,17 +150,38 @@ def risk_inputs(
     )
 
 
+class Recent:
+    """Destinations in the order they were first seen; beyond ``limit`` the oldest goes."""
+
+    def __init__(self) -> None:
+        self.order: dict[str, None] = {}
+
+    def add(self, target: str, limit: int | None) -> bool:
+        """Remember a destination; True if it was known."""
+        if target in self.order:
+            return True
+        self.order[target] = None
+        if limit is not None and len(self.order) > limit:
+            del self.order[next(iter(self.order))]
+        return False
+
+    def clear(self) -> None:
+        self.order.clear()
+
+
 def new_risk() -> dict:
-    return {"f": 0.0, "r": 0.0, "e": 0.0, "b": 0.0, "targets": [], "at": None}
+    return {"f": 0.0, "r": 0.0, "e": 0.0, "b": 0.0, "targets": Recent(), "at": None}
 
 
 def risk_step(
     state: dict, at: float, fragment: bool, entropy: bool, blocked: bool,
     targets: Sequence[str], limits: Limits = LIMITS,
 ) -> tuple[dict, tuple]:
-    """Decay the counters to ``at``, add one event, and grade the session."""
+    """Decay the counters to ``at``, add one event, and grade the session: the form a stream
+    uses, event by event."""
     if state["at"] is not None and at - state["at"] > RISK_TTL:
-        state = new_risk()
+        state["targets"].clear()
+        state = {**new_risk(), "targets": state["targets"]}
     if state["at"] is None:
         state["at"] = at
     elif at > state["at"]:
@@ -155,37 +192,61 @@ def risk_step(
     state["f"] += bool(fragment)
     state["b"] += bool(blocked)
     state["e"] += bool(entropy)
-    for t in targets:
-        if t in state["targets"]:
-            state["r"] += 1.0
-        else:
-            state["targets"] = [*state["targets"], t][-limits.targets:]
-    value = (
-        0.30 * min(state["f"], 4.0) + 0.18 * min(state["r"], 4.0)
-        + 0.05 * min(state["e"], 4.0) + 0.25 * min(state["b"], 2.0)
-    )
+    state["r"] += sum(state["targets"].add(t, limits.targets) for t in targets)
+    f, r, e, b = (round(state[k], 12) for k in "freb")
+    value = 0.30 * min(f, 4.0) + 0.18 * min(r, 4.0) + 0.05 * min(e, 4.0) + 0.25 * min(b, 2.0)
     value = max(0.0, min(1.0, value))
     band = "high" if value >= BAND_HIGH else "medium" if value >= BAND_LOW else "low"
-    return state, (round(value, 3), band, FRAGMENTS_PER_BAND[band], band == "high")
+    risk = math.floor(value * 1000 + 0.5) / 1000
+    return state, (risk, band, FRAGMENTS_PER_BAND[band], band == "high")
 
 
-def _risk_partition(batches: Iterator, limits: Limits) -> Iterator:
-    import pandas as pd
+#: Seconds of a session that are summed together; three half-lives.
+RISK_BLOCK = 3600
+#: Blocks whose counters are carried. What is older has faded by 2 ** -72, below the precision
+#: of a double beside any newer event and of the three digits of a risk alone.
+RISK_CARRIED = 24
 
-    group, state = None, new_risk()
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            key = (r.session_id, r.segment)
-            if key != group:
-                group, state = key, new_risk()
-            state, graded = risk_step(
-                state, r.at, r.had_fragment, r.had_entropy, r.was_blocked, r.targets, limits
-            )
-            out.append((r.session_id, r.seq, *graded))
-        yield pd.DataFrame(
-            out, columns=["session_id", "seq", "risk", "band", "fragments", "escalate"]
-        )
+
+def _first_seen(rows: DataFrame, limits: Limits) -> DataFrame:
+    """How many destinations every event adds to what its session remembers (``_new``).
+
+    Without a limit that is a minimum per destination. With one, only sessions that pass it
+    forget anything; those are replayed in order with as many names as the limit says.
+    """
+    group = ["session_id", "_segment"]
+    named = rows.where(F.size("targets") > 0).select(
+        *group, "at", "seq", F.posexplode("targets").alias("_place", "target"))
+    first = named.groupBy(*group, "target").agg(F.min(F.struct("at", "seq")).alias("_seen"))
+    new = first.groupBy(*group, "_seen").agg(F.count("*").alias("_new")).select(
+        *group, "_seen.*", "_new")
+    if limits.targets is None:
+        return new
+    crowded = first.groupBy(*group).agg(F.count("*").alias("_n")).where(
+        F.col("_n") > limits.targets).select(*group)
+    schema = ", ".join(f"{n} {t}" for n, t in new.dtypes)
+
+    def replay(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        key, recent = None, Recent()
+        for pdf in batches:
+            new_names = []
+            for r in pdf.itertuples(index=False):
+                if (r.session_id, r.segment) != key:
+                    key, recent = (r.session_id, r.segment), Recent()
+                new_names.append(0 if recent.add(r.target, limits.targets) else 1)
+            yield pd.DataFrame({
+                "session_id": pdf["session_id"], "_segment": pdf["segment"], "at": pdf["at"],
+                "seq": pdf["seq"], "_new": new_names})
+
+    replayed = (
+        named.join(crowded, group, "left_semi").withColumnRenamed("_segment", "segment")
+        .repartition("session_id", "segment")
+        .sortWithinPartitions("session_id", "segment", "at", "seq", "_place")
+        .mapInPandas(replay, schema)
+        .groupBy(*group, "at", "seq").agg(F.sum("_new").alias("_new")))
+    return new.join(crowded, group, "left_anti").unionByName(replayed)
 
 
 def session_risk(
@@ -193,21 +254,60 @@ def session_risk(
 ) -> DataFrame:
     """Risk after every event. Events: session_id, ts, seq, text, optionally blocked.
 
-    Groups are cut where the state has expired, partitioned, sorted on disk and streamed
-    with constant state.
+    A counter is the sum of its events, each halved every ``HALF_LIFE`` seconds. Such sums add
+    up over blocks of time, so a long session is spread over tasks: sums run inside a block, one
+    row per block carries its total on. An event is known by session_id, ts and seq; those of one
+    time and seq count together. Events without a session or a time have no risk.
     """
+    c = F.col
     inputs = risk_inputs(events, text, limits=limits)
-    split = split_on_gap(inputs, ["session_id"], ["at", "seq"], "at", RISK_TTL)
-    kinds = {f.name: f.dataType.simpleString() for f in inputs.schema.fields}
-    return (
-        split.withColumnRenamed("_segment", "segment")
-        .repartition("session_id", "segment")
-        .sortWithinPartitions("session_id", "segment", "at", "seq")
-        .mapInPandas(
-            lambda batches: _risk_partition(batches, limits),
-            f"session_id {kinds['session_id']}, seq {kinds['seq']}, {RISK_SCHEMA}",
-        )
-    )
+    rows = split_on_gap(
+        inputs, ["session_id"], ["at", "seq"], "at", RISK_TTL, RISK_BLOCK)
+    event = ["session_id", "_segment", "at", "seq"]
+    rows = rows.join(_first_seen(rows, limits), event, "left")
+    block = F.floor(c("at") / RISK_BLOCK)
+    since = (c("at") - block * RISK_BLOCK) / HALF_LIFE
+    own = {
+        "f": c("had_fragment").cast("double"), "e": c("had_entropy").cast("double"),
+        "b": c("was_blocked").cast("double"),
+        "r": (F.greatest(F.size("targets"), F.lit(0)) - F.coalesce("_new", F.lit(0))).cast("double"),
+    }
+    rows = rows.select(
+        "session_id", "seq", "at", "_segment", block.alias("_block"), since.alias("_since"),
+        *[F.coalesce(x, F.lit(0.0)).alias(f"_{k}") for k, x in own.items()])
+    unit = ["session_id", "_segment", "_block"]
+    grown = {k: c(f"_{k}") * F.pow(F.lit(2.0), c("_since")) for k in own}
+    # Totals as they stand at the end of a block.
+    faded = 2.0 ** (-RISK_BLOCK / HALF_LIFE)
+    totals = rows.groupBy(*unit).agg(*[(F.sum(x) * faded).alias(k) for k, x in grown.items()])
+    earlier = W.partitionBy("session_id", "_segment").orderBy("_block").rangeBetween(
+        -RISK_CARRIED, -1)
+    totals = totals.withColumn("_past", F.collect_list(F.struct("_block", *own)).over(earlier))
+
+    def carried(k: str) -> Column:
+        return F.aggregate("_past", F.lit(0.0), lambda a, p: a + p[k] * F.pow(
+            F.lit(faded), c("_block") - p["_block"] - 1))
+
+    totals = totals.select(*unit, *[carried(k).alias(f"_c_{k}") for k in own])
+    before = W.partitionBy(*unit).orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns(
+        {f"_s_{k}": F.coalesce(F.sum(x).over(before), F.lit(0.0)) for k, x in grown.items()})
+    fade = F.pow(F.lit(2.0), -c("_since"))
+    now = {
+        k: c(f"_{k}") + (c(f"_s_{k}") + c(f"_c_{k}")) * fade for k in own}
+    f, r, e, b = (F.round(now[k], 12) for k in "freb")
+    value = (
+        F.least(f, F.lit(4.0)) * 0.30 + F.least(r, F.lit(4.0)) * 0.18
+        + F.least(e, F.lit(4.0)) * 0.05 + F.least(b, F.lit(2.0)) * 0.25)
+    graded = rows.join(totals, unit).select(
+        "session_id", "seq", F.least(value, F.lit(1.0)).alias("_value"))
+    value = c("_value")
+    band = F.when(value >= BAND_HIGH, "high").when(value >= BAND_LOW, "medium").otherwise("low")
+    places = F.create_map(*[F.lit(x) for kv in FRAGMENTS_PER_BAND.items() for x in kv])
+    return graded.select(
+        "session_id", "seq", (F.floor(value * 1000 + 0.5) / 1000).alias("risk"),
+        band.alias("band"), places[band].alias("fragments"),
+        (value >= BAND_HIGH).alias("escalate"))
 
 
 def risk_records(
@@ -225,8 +325,8 @@ def risk_records(
 
 
 def piece_of(payload: Column, limits: Limits) -> Column:
-    """A write as it is carried; only the upstream's limits cut a single write."""
-    return F.left(payload, F.lit(limits.assembly)) if limits == UPSTREAM else payload
+    """A write as it is carried; limits on the number of pieces cut a single write as well."""
+    return payload if limits.pieces is None else F.left(payload, F.lit(limits.assembly))
 
 
 def sink_assembly(events: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -248,7 +348,17 @@ def sink_assembly(events: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     rows = rows.withColumn(
         "_started", F.max(c("starts")).over(group.rowsBetween(W.unboundedPreceding, 0))
     ).filter("_started")
-    last = F.collect_list("piece").over(group.rowsBetween(1 - limits.pieces, 0))
+    if limits.pieces is None:
+        # Pieces whose place in the text so far lies close enough to fit.
+        upto = F.sum(F.length("piece")).over(group.rowsBetween(W.unboundedPreceding, 0))
+        rows = rows.withColumn("_from", upto - F.length("piece"))
+        close = W.partitionBy("session_id", "sink", "_segment").orderBy("_from").rangeBetween(
+            -limits.assembly, 0)
+        last = F.transform(
+            F.array_sort(F.collect_list(F.struct("at", "seq", "piece")).over(close)),
+            lambda p: p["piece"])
+    else:
+        last = F.collect_list("piece").over(group.rowsBetween(1 - limits.pieces, 0))
     rows = rows.withColumn("_last", last)
     # Newest first, keep while the total fits; the newest piece always stays.
     kept = F.aggregate(
@@ -290,7 +400,7 @@ def sink_step(
         pieces = []
     if not pieces and not starts:
         return {"pieces": [], "at": at}, None
-    pieces = [*pieces, piece][-limits.pieces:]
+    pieces = [*pieces, piece][-(limits.pieces or 0):]
     while len(pieces) > 1 and sum(map(len, pieces)) > limits.assembly:
         pieces = pieces[1:]
     return {"pieces": pieces, "at": at}, "".join(pieces) if len(pieces) >= 2 else None
@@ -362,7 +472,7 @@ def bridge_step(
         if classes:
             return new_bridge(), classes
     tail, turns = state["tail"], state["turns"]
-    if turns >= limits.turns:
+    if limits.turns is not None and turns >= limits.turns:
         tail, turns = "", 0
     return {"tail": (tail + last)[-limits.window:], "turns": turns + 1, "at": at}, classes
 
@@ -464,11 +574,3 @@ def call_trace(events: DataFrame, text: str = "text", limits: Limits = LIMITS) -
         .withColumn("split", ~F.col("own_block") & F.col("split_classes").isNotNull())
         .withColumn("allow", ~F.col("own_block") & ~F.col("split"))
     )
-
-
-def dump_state(state: dict) -> str:
-    return json.dumps(state)
-
-
-def load_state(raw: str | None, fresh: dict) -> dict:
-    return json.loads(raw) if raw else fresh

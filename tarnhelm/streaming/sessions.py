@@ -1,7 +1,7 @@
 """Structured Streaming forms of the session operators.
 
-Each keeps one small JSON state per key and shares its step with the batch form, so a
-replay of the same events gives the same rows. State leaves through an event-time timeout
+Each keeps typed state per key (values, lists and maps in the state store) and shares its step
+with the batch form, so a replay of the same events gives the same rows. A timer removes state
 once the watermark has passed its life time; the steps compare event times as well, which
 is what decides the result. Events later than the watermark are dropped.
 """
@@ -10,13 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tarnhelm.operators import session as S
 
-_STATE = "state string"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _state_store(spark: SparkSession) -> None:
+    """Typed state needs the RocksDB store; a session that names a store keeps its own."""
+    if spark.conf.get(_PROVIDER, None) in (None, "") or "HDFSBacked" in spark.conf.get(_PROVIDER):
+        spark.conf.set(_PROVIDER, _ROCKS)
 
 
 def _ordered(chunks: Iterator, cols: list[str]):
@@ -25,58 +32,196 @@ def _ordered(chunks: Iterator, cols: list[str]):
     import pandas as pd
 
     frames = [p[cols] for p in chunks]
-    return pd.concat(frames).sort_values(["at", "seq"], kind="stable").itertuples(index=False)
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+    return rows.sort_values(["at", "seq"], kind="stable").itertuples(index=False)
+
+
+class _Timed(StatefulProcessor):
+    """A processor whose state ends ``ttl`` seconds after the last event of its key."""
+
+    ttl: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at bigint")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def clear(self) -> None:
+        raise NotImplementedError
+
+    def finish(self, at: float | None, watermark: int) -> bool:
+        """Move the timer; False if the state is over already and was removed."""
+        old = self.until.get()
+        if old is not None:
+            self.handle.deleteTimer(old[0])
+        until = int((at or 0.0) * 1000) + self.ttl * 1000
+        if until <= watermark:
+            self.until.clear()
+            self.clear()
+            return False
+        self.handle.registerTimer(until)
+        self.until.update((until,))
+        return True
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.until.clear()
+        self.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _StoredRecent:
+    """``session.Recent`` in the state store: only names that are asked for are read."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.known = handle.getMapState("known", "target string", "place bigint")
+        self.places = handle.getMapState("places", "place bigint", "target string")
+        self.count = handle.getValueState("known_count", "n bigint")
+
+    def add(self, target: str, limit: int | None) -> bool:
+        if self.known.containsKey((target,)):
+            return True
+        n = (self.count.get() or (0,))[0]
+        self.known.updateValue((target,), (n,))
+        self.count.update((n + 1,))
+        if limit is not None:
+            place = (n % limit,)
+            if self.places.containsKey(place):
+                self.known.removeKey(self.places.getValue(place))
+            self.places.updateValue(place, (target,))
+        return False
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.places.clear()
+        self.count.clear()
+
+
+class _Risk(_Timed):
+    ttl = S.RISK_TTL
+
+    def __init__(self, limits: S.Limits):
+        self.limits = limits
+
+    def open(self, handle):
+        self.counters = handle.getValueState(
+            "counters", "f double, r double, e double, b double, at double")
+        self.targets = _StoredRecent(handle)
+
+    def clear(self):
+        self.counters.clear()
+        self.targets.clear()
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        kept = self.counters.get()
+        state = S.new_risk() if kept is None else dict(zip(("f", "r", "e", "b", "at"), kept))
+        state["targets"] = self.targets
+        out = []
+        for r in _ordered(rows, [
+                "at", "seq", "had_fragment", "had_entropy", "was_blocked", "targets"]):
+            targets = [] if r.targets is None else list(r.targets)
+            state, graded = S.risk_step(
+                state, r.at, r.had_fragment, r.had_entropy, r.was_blocked, targets, self.limits)
+            out.append((key[0], r.seq, *graded))
+        if self.finish(state["at"], timerValues.getCurrentWatermarkInMs()):
+            self.counters.update(tuple(float(state[k]) for k in ("f", "r", "e", "b", "at")))
+        yield pd.DataFrame(
+            out, columns=["session_id", "seq", "risk", "band", "fragments", "escalate"])
+
+
+class _Bridge(_Timed):
+    ttl = S.BRIDGE_TTL
+
+    def __init__(self, limits: S.Limits):
+        self.limits = limits
+
+    def open(self, handle):
+        self.carried = handle.getValueState("carried", "tail string, turns bigint, at double")
+
+    def clear(self):
+        self.carried.clear()
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        kept = self.carried.get()
+        state = S.new_bridge() if kept is None else dict(zip(("tail", "turns", "at"), kept))
+        out = []
+        for r in _ordered(rows, ["at", "seq", "head", "last", "blocked", "present"]):
+            state, classes = S.bridge_step(
+                state, r.at, r.head, r.last, bool(r.blocked), bool(r.present), self.limits)
+            if classes is not None:
+                out.append((key[0], r.seq, bool(classes), ",".join(classes)))
+        if state["at"] is None:
+            if self.until.get() is not None:
+                self.handle.deleteTimer(self.until.get()[0])
+                self.until.clear()
+            self.clear()
+        elif self.finish(state["at"], timerValues.getCurrentWatermarkInMs()):
+            self.carried.update((state["tail"], int(state["turns"]), float(state["at"])))
+        yield pd.DataFrame(out, columns=["session_id", "seq", "split", "classes"])
 
 
-def _finish(state: GroupState, value: dict, ttl: int) -> None:
-    """Keep the state until ``ttl`` seconds after its last event."""
-    until = int((value["at"] or 0.0) * 1000) + ttl * 1000
-    if until <= state.getCurrentWatermarkMs():
-        if state.exists:
-            state.remove()
-        return
-    state.update((S.dump_state(value),))
-    state.setTimeoutTimestamp(until)
+class _Sink(_Timed):
+    ttl = S.BRIDGE_TTL
+
+    def __init__(self, limits: S.Limits):
+        self.limits = limits
+
+    def open(self, handle):
+        self.pieces = handle.getListState("pieces", "piece string")
+        self.at = handle.getValueState("at", "at double")
+
+    def clear(self):
+        self.pieces.clear()
+        self.at.clear()
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        at = self.at.get()
+        state = {"pieces": [p[0] for p in self.pieces.get()] if at else [],
+                 "at": at[0] if at else 0.0}
+        out = []
+        for r in _ordered(rows, ["at", "seq", "piece", "starts"]):
+            state, joined = S.sink_step(state, r.at, r.piece, bool(r.starts), self.limits)
+            if joined is not None:
+                out.append((key[0], key[1], r.seq, len(state["pieces"]), joined))
+        if self.finish(state["at"], timerValues.getCurrentWatermarkInMs()):
+            self.at.update((float(state["at"]),))
+            if state["pieces"]:
+                self.pieces.put([(p,) for p in state["pieces"]])
+            else:
+                self.pieces.clear()
+        yield pd.DataFrame(out, columns=["session_id", "sink", "seq", "pieces", "assembled"])
 
 
 def _timed(events: DataFrame, watermark: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
+def _run(inputs: DataFrame, keys: list[str], processor: _Timed, fields: str) -> DataFrame:
+    _state_store(inputs.sparkSession)
+    kind = dict(inputs.dtypes)
+    named = ", ".join(f"{k} {kind[k]}" for k in (*keys, "seq"))
+    return inputs.groupBy(*keys).transformWithStateInPandas(
+        processor, f"{named}, {fields}", "Append", "EventTime")
+
+
 def risk_stream(
     events: DataFrame, text: str = "text", watermark: str = "10 minutes",
     limits: S.Limits = S.LIMITS,
 ) -> DataFrame:
     """Risk after every event of a stream (session_id, ts, seq, text)."""
     inputs = S.risk_inputs(_timed(events, watermark), text, ["ts"], limits)
-    kind = dict(inputs.dtypes)
-
-    def run(key, chunks, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        value = S.load_state(state.get[0] if state.exists else None, S.new_risk())
-        out = []
-        for r in _ordered(chunks, inputs_cols):
-            value, graded = S.risk_step(
-                value, r.at, r.had_fragment, r.had_entropy, r.was_blocked, list(r.targets),
-                limits,
-            )
-            out.append((key[0], r.seq, *graded))
-        _finish(state, value, S.RISK_TTL)
-        yield pd.DataFrame(
-            out, columns=["session_id", "seq", "risk", "band", "fragments", "escalate"]
-        )
-
-    inputs_cols = [
-        "at", "seq", "had_fragment", "had_entropy", "was_blocked", "targets",
-    ]
-    return inputs.groupBy("session_id").applyInPandasWithState(
-        run, f"session_id {kind['session_id']}, seq {kind['seq']}, {S.RISK_SCHEMA}", _STATE,
-        "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    return _run(inputs, ["session_id"], _Risk(limits), S.RISK_SCHEMA)
 
 
 def bridge_stream(
@@ -85,30 +230,7 @@ def bridge_stream(
 ) -> DataFrame:
     """Prompt joins of a stream (session_id, ts, seq, text)."""
     inputs = S.bridge_inputs(_timed(prompts, watermark), text, ["ts"], limits)
-    kind = dict(inputs.dtypes)
-
-    def run(key, chunks, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        value = S.load_state(state.get[0] if state.exists else None, S.new_bridge())
-        out = []
-        for r in _ordered(chunks, ["at", "seq", "head", "last", "blocked", "present"]):
-            value, classes = S.bridge_step(
-                value, r.at, r.head, r.last, bool(r.blocked), bool(r.present), limits
-            )
-            if classes is not None:
-                out.append((key[0], r.seq, bool(classes), ",".join(classes)))
-        _finish(state, value, S.BRIDGE_TTL)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "split", "classes"])
-
-    return inputs.groupBy("session_id").applyInPandasWithState(
-        run,
-        f"session_id {kind['session_id']}, seq {kind['seq']}, split boolean, classes string",
-        _STATE, "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    return _run(inputs, ["session_id"], _Bridge(limits), "split boolean, classes string")
 
 
 def sink_stream(
@@ -122,31 +244,7 @@ def sink_stream(
         S.piece_of(c("payload"), limits).alias("piece"),
         (F.size(S.fragments_of(c("payload"), limits)) > 0).alias("starts"),
     )
-    kind = dict(inputs.dtypes)
-
-    def run(key, chunks, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        value = S.load_state(state.get[0] if state.exists else None, {"pieces": [], "at": 0.0})
-        out = []
-        for r in _ordered(chunks, ["at", "seq", "piece", "starts"]):
-            value, joined = S.sink_step(value, r.at, r.piece, bool(r.starts), limits)
-            if joined is not None:
-                out.append((key[0], key[1], r.seq, len(value["pieces"]), joined))
-        _finish(state, value, S.BRIDGE_TTL)
-        yield pd.DataFrame(
-            out, columns=["session_id", "sink", "seq", "pieces", "assembled"]
-        )
-
-    return inputs.groupBy("session_id", "sink").applyInPandasWithState(
-        run,
-        f"session_id {kind['session_id']}, sink string, seq {kind['seq']}, pieces int, "
-        "assembled string",
-        _STATE, "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    return _run(inputs, ["session_id", "sink"], _Sink(limits), "pieces int, assembled string")
 
 
 def coverage_stream(

@@ -67,7 +67,7 @@ def run_stream(spark, tmp_path, rows, build, parts=3):
 
 def test_risk_stream_equals_batch(spark, tmp_path):
     rows = events(90)
-    got = run_stream(spark, tmp_path, rows, lambda e: ST.risk_stream(e, watermark="365 days", limits=S.UPSTREAM))
+    got = run_stream(spark, tmp_path, rows, lambda e: ST.risk_stream(e, watermark="10 minutes", limits=S.UPSTREAM))
     assert {r["seq"]: tuple(r)[2:] for r in got} == risk_loop(rows)
 
 
@@ -96,7 +96,7 @@ def test_sink_assembly_batch_equals_loop(spark):
 
 def test_sink_stream_equals_loop(spark, tmp_path):
     rows = events(90, gaps=(5, 60, 300))
-    got = run_stream(spark, tmp_path, rows, lambda e: ST.sink_stream(e, "365 days", S.UPSTREAM))
+    got = run_stream(spark, tmp_path, rows, lambda e: ST.sink_stream(e, "10 minutes", S.UPSTREAM))
     assert {r["seq"]: (r["pieces"], r["assembled"]) for r in got} == sink_loop(rows)
 
 
@@ -127,7 +127,7 @@ def test_prompt_bridge(spark, tmp_path, texts, gap, hit):
     df = spark.createDataFrame(prompts(texts, gap), SCHEMA)
     rows = S.prompt_bridge(df).filter("split").collect()
     assert bool(rows) is hit
-    stream = run_stream(spark, tmp_path, prompts(texts, gap), lambda e: ST.bridge_stream(e, watermark="365 days"), parts=1)
+    stream = run_stream(spark, tmp_path, prompts(texts, gap), lambda e: ST.bridge_stream(e, watermark="10 minutes"), parts=1)
     assert any(r["split"] for r in stream) is hit
 
 
