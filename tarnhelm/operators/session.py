@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tarnhelm.functions.text import shape_of
 from tarnhelm.operators.detect import CREDENTIAL_SHAPES, credential_hits
 from tarnhelm.operators.ordered import with_history
+from tarnhelm.sources.stored import keep
 
 @dataclass(frozen=True)
 class Limits:
@@ -259,10 +260,14 @@ def session_risk(
     row per block carries its total on. An event is known by session_id, ts and seq; those of one
     time and seq count together. Events without a session or a time have no risk.
     """
+    return _grade(keep(risk_inputs(events, text, limits=limits)), limits)
+
+
+def _grade(inputs: DataFrame, limits: Limits) -> DataFrame:
+    """Risk after every event from stored ``risk_inputs``, which are read several times."""
     c = F.col
-    inputs = risk_inputs(events, text, limits=limits)
-    rows = split_on_gap(
-        inputs, ["session_id"], ["at", "seq"], "at", RISK_TTL, RISK_BLOCK)
+    rows = keep(split_on_gap(
+        inputs, ["session_id"], ["at", "seq"], "at", RISK_TTL, RISK_BLOCK))
     event = ["session_id", "_segment", "at", "seq"]
     rows = rows.join(_first_seen(rows, limits), event, "left")
     block = F.floor(c("at") / RISK_BLOCK)
@@ -337,12 +342,23 @@ def sink_assembly(events: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     on pieces and characters. That run depends on the last rows only, so it is a sliding frame
     and needs no custom state. A single longer write is kept whole.
     """
+    return _assemble(keep(sink_inputs(events, limits)), limits)
+
+
+def sink_inputs(
+    events: DataFrame, limits: Limits = LIMITS, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Writes with their piece and whether a secret may start in it."""
     c = F.col
-    rows = events.filter((c("sink") != "") & (F.trim("payload") != "")).select(
-        "session_id", "sink", "seq", seconds(c("ts")).alias("at"),
+    return events.filter((c("sink") != "") & (F.trim("payload") != "")).select(
+        "session_id", "sink", "seq", *extra, seconds(c("ts")).alias("at"),
         piece_of(c("payload"), limits).alias("piece"),
         (F.size(fragments_of(c("payload"), limits)) > 0).alias("starts"),
     )
+
+
+def _assemble(rows: DataFrame, limits: Limits) -> DataFrame:
+    c = F.col
     rows = split_on_gap(rows, ["session_id", "sink"], ["at", "seq"], "at", BRIDGE_TTL)
     group = W.partitionBy("session_id", "sink", "_segment").orderBy("at", "seq")
     rows = rows.withColumn(
@@ -563,13 +579,17 @@ def call_trace(events: DataFrame, text: str = "text", limits: Limits = LIMITS) -
     """
     own = F.size(credential_hits(F.col(text))) > 0
     marked = events.withColumn("own_block", own)
-    risk = session_risk(marked.withColumn("blocked", F.col("own_block")), text, limits)
+    # A call is reduced once to what its verdict, its risk and its destination need.
+    calls = keep(risk_inputs(
+        marked.withColumn("blocked", F.col("own_block")), text,
+        ["tool", "sink", "own_block"], limits))
+    risk = _grade(calls.drop("tool", "sink", "own_block"), limits)
     split = assembled_secrets(sink_assembly(events, limits)).select(
         "session_id", "seq", F.array_join("classes", ",").alias("split_classes")
     )
     keys = ["session_id", "seq"]
     return (
-        marked.select(*keys, "tool", "sink", "own_block")
+        calls.select(*keys, "tool", "sink", "own_block")
         .join(risk, keys).join(split, keys, "left")
         .withColumn("split", ~F.col("own_block") & F.col("split_classes").isNotNull())
         .withColumn("allow", ~F.col("own_block") & ~F.col("split"))

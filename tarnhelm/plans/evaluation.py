@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnhelm.operators import detect as D
 from tarnhelm.operators import evaluate as E
 from tarnhelm.operators import learned as LR
 from tarnhelm.plans import sqlkit as Q
@@ -415,10 +416,11 @@ def unclaimed_requests(spark, sf):
     return E.unclaimed(plant(spark, sf, "requests"), f, ["request_id"]).select("request_id")
 
 
-_TOKENS = """(select o_orderkey as request_id, concat('Ref ', case when o_orderkey % 2 = 0 then upper(substr(md5(cast(o_orderkey as varchar)), 1, 9)) else 'none' end, ', see ID-', cast(o_custkey as varchar), ' (ok).') as text from orders)"""
+_TOKENS = """(select o_orderkey as request_id, concat('Ref ', case when o_orderkey % 2 = 0 then upper(substr(md5(cast(o_orderkey as varchar)), 1, 9)) else 'none' end, ', see ID-', cast(o_custkey as varchar), ' (ok).') as text from orders where o_orderkey % 3 <> 0)"""
 
 
 def _spans(spark, sf):
+    """References of orders; every third holds a key that the detectors claim."""
     k = F.col("o_orderkey")
     return read(spark, sf, "orders").select(
         k.alias("request_id"), F.lit("messages[0].ref_no").alias("span_path"),
@@ -426,6 +428,8 @@ def _spans(spark, sf):
             F.lit("Ref "),
             F.when(k % 2 == 0, F.upper(F.substring(F.md5(k.cast("string")), 1, 9))).otherwise("none"),
             F.lit(", see ID-"), F.col("o_custkey"), F.lit(" (ok)."),
+            F.when(k % 3 == 0, F.concat(F.lit(" sk-ant-api03-"), F.md5(k.cast("string"))))
+            .otherwise(""),
         ).alias("text"),
         F.lit("user").alias("origin"), F.lit("outbound").alias("leg"),
     )
@@ -445,10 +449,9 @@ _FEATURES = f"""(select request_id, token, row_number() over (partition by reque
 )
 def escalation_features(spark, sf):
     """Feature rows of unclaimed identifiers: shapes, never text."""
-    none = plant(spark, sf, "line_findings").filter("false").select(
-        "request_id", "span_path", "entity_class", "confidence", "detector"
-    )
-    f = E.escalation_features(_spans(spark, sf), none, ["request_id"], KEY)
+    spans = _spans(spark, sf)
+    found = D.detect_all(spans, ["request_id", "span_path"])
+    f = E.escalation_features(spans, found, ["request_id"], KEY)
     return f.select("request_id", "part", "shape", "length", "charset",
                     F.round("entropy", 3).alias("entropy"), "key_name")
 
@@ -458,10 +461,9 @@ def escalation_features(spark, sf):
     f"""select case when contains(token, '-') and not regexp_full_match(token, '[0-9a-fA-F]+') then 'sensitive' else 'unknown' end as verdict_hint, count(*) as n from {_FEATURES} f group by 1""",
 )
 def propose_checks(spark, sf):
-    none = plant(spark, sf, "line_findings").filter("false").select(
-        "request_id", "span_path", "entity_class", "confidence", "detector"
-    )
-    f = E.escalation_features(_spans(spark, sf), none, ["request_id"], KEY)
+    spans = _spans(spark, sf)
+    found = D.detect_all(spans, ["request_id", "span_path"])
+    f = E.escalation_features(spans, found, ["request_id"], KEY)
     return LR.propose_checks(f).groupBy("verdict_hint").agg(F.count("*").alias("n"))
 
 

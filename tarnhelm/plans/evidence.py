@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnhelm.operators import ledger as L
@@ -569,15 +570,37 @@ def document_shapes(spark, sf):
     return RD.read_documents(d, "n").select("doc_id", F.md5("text").alias("digest"))
 
 
-def _has_fragment(text: str) -> str:
+def _has_fragment(text: str, window: int = 64) -> str:
     """Number of runs that look like a piece of a secret."""
     run = S.RUN.strip("()")
     return (
         f"len(list_filter(regexp_extract_all({text}, {Q.lit(run)}), "
-        f"lambda r: regexp_matches(right(r, 64), {Q.lit(S.PARTIAL_ANCHOR)})))"
+        f"lambda r: regexp_matches(right(r, {window}), {Q.lit(S.PARTIAL_ANCHOR)})))"
     )
 
 
+_GRADES = """round(v, 3) as risk, case when v >= 0.75 then 'high' when v >= 0.35 then 'medium' else 'low' end as band,
+        cast(case when v >= 0.75 then 10 when v >= 0.35 then 6 else 3 end as int) as fragments, v >= 0.75 as escalate"""
+
+
+def _wide_risk_sql(blocked: str, calls: str) -> str:
+    """Session risk without limits: decayed sums over the pairs of two days in a session.
+
+    What is older has faded by 2 ** -144.
+    """
+    return f"""(
+      with e as (select session_id, seq, ts, epoch(ts) as tsec, cast({_has_fragment('text', 4096)} > 0 as int) as frag,
+          cast(regexp_matches(text, '[A-Za-z0-9+/=_-]{{16}}') as int) as ent, cast({blocked} as int) as blk,
+          regexp_extract_all(text, '>>\s*(\S+)', 1)[1] as tgt, lag(epoch(ts)) over (partition by session_id order by ts, seq) as p from {calls} c),
+      g as (select *, sum(case when p is null or tsec - p > 7200 then 1 else 0 end) over (partition by session_id order by ts, seq) as seg from e),
+      o as (select *, cast(tgt is not null and row_number() over (partition by session_id, seg, tgt order by ts, seq) > 1 as int) as rep from g),
+      d as (select a.session_id, a.seq, sum(b.frag * w) as f, sum(b.rep * w) as r, sum(b.ent * w) as n, sum(b.blk * w) as k from o a
+        join (select * from o) b on b.session_id = a.session_id and b.seg = a.seg and (b.ts < a.ts or (b.ts = a.ts and b.seq <= a.seq)) and a.tsec - b.tsec < 172800,
+        lateral (select power(0.5, (a.tsec - b.tsec) / 1200.0) as w) x group by 1, 2)
+      select session_id, seq, {_GRADES}
+      from (select *, least(1.0, 0.30 * least(round(f, 12), 4) + 0.18 * least(round(r, 12), 4) + 0.05 * least(round(n, 12), 4) + 0.25 * least(round(k, 12), 2)) as v from d) z)"""
+
+
 def _risk_sql(blocked: str, calls: str | None = None) -> str:
     """Session risk after every call, one recursion step per event of a session."""
     return f"""(
@@ -595,8 +618,7 @@ def _risk_sql(blocked: str, calls: str | None = None) -> str:
             case when s.tsec is null or e.tsec - s.tsec > 7200 then 0 else s.n end as n0, case when s.tsec is null or e.tsec - s.tsec > 7200 then 0 else s.b end as b0,
             case when s.tsec is null or e.tsec - s.tsec > 7200 then [] else s.targets end as t0
           from st s join e on e.session_id = s.session_id and e.k = s.k + 1) x)
-      select session_id, seq, round(v, 3) as risk, case when v >= 0.75 then 'high' when v >= 0.35 then 'medium' else 'low' end as band,
-        cast(case when v >= 0.75 then 10 when v >= 0.35 then 6 else 3 end as int) as fragments, v >= 0.75 as escalate
+      select session_id, seq, {_GRADES}
       from (select *, greatest(0.0, least(1.0, 0.30 * least(f, 4) + 0.18 * least(r, 4) + 0.05 * least(n, 4) + 0.25 * least(b, 2))) as v from st where k > 0) z)"""
 
 
@@ -609,6 +631,23 @@ def session_risk(spark, sf):
     return S.session_risk(calls, limits=S.UPSTREAM)
 
 
+_BUSY = """(select user_id % 10 as session_id, ts, event_id as seq,
+    case when event_id % 3 = 0 then concat('echo sk-an >> /tmp/f', cast(event_id % 40 as varchar)) when event_id % 7 = 0 then 'run abcdefgh12345678XYZ' else event_type end as text from events)"""
+
+
+@query("session_risk_wide", f"select * from {_wide_risk_sql('seq % 40 = 0', _BUSY)} r")
+def session_risk_wide(spark, sf):
+    """Ten busy sessions that write to forty destinations, all of which are remembered."""
+    k = F.col("event_id")
+    busy = read(spark, sf, "events").select(
+        (F.col("user_id") % 10).alias("session_id"), "ts", k.alias("seq"),
+        F.when(k % 3 == 0, F.concat(F.lit("echo sk-an >> /tmp/f"), k % 40))
+        .when(k % 7 == 0, "run abcdefgh12345678XYZ").otherwise(F.col("event_type")).alias("text"),
+        (k % 40 == 0).alias("blocked"),
+    )
+    return S.session_risk(busy)
+
+
 @query(
     "risk_signals",
     f"""select seq, regexp_matches(text, '[A-Za-z0-9+/=_-]{{16}}') as had_entropy,
@@ -620,16 +659,25 @@ def risk_signals(spark, sf):
     )
 
 
-_SINK_ROWS = f"""(select *, sum(case when prev is null or epoch(ts) - epoch(prev) > 3600 then 1 else 0 end) over (partition by session_id, sink order by ts, seq) as seg
-    from (select *, lag(ts) over (partition by session_id, sink order by ts, seq) as prev, {_has_fragment('payload')} > 0 as starts
+def _sink_rows(window: int) -> str:
+    return f"""(select *, sum(case when prev is null or epoch(ts) - epoch(prev) > 3600 then 1 else 0 end) over (partition by session_id, sink order by ts, seq) as seg
+    from (select *, lag(ts) over (partition by session_id, sink order by ts, seq) as prev, {_has_fragment('payload', window)} > 0 as starts
       from {_CALLS} c where sink <> '' and trim(payload) <> '') p)"""
 
 
-#: Twelve pieces of this input stay below 512 characters, so the count decides alone.
-_ASSEMBLED = f"""(select session_id, sink, seq, pieces, assembled from (
+_SINK_ROWS = _sink_rows(64)
+
+
+def _assembled_sql(pieces: int | None, window: int) -> str:
+    """Pieces of this input stay below the limit of characters, so their number decides alone."""
+    frame = "unbounded" if pieces is None else str(pieces - 1)
+    return f"""(select session_id, sink, seq, pieces, assembled from (
     select session_id, sink, seq, cast(count(*) over w as int) as pieces, string_agg(payload, '') over w as assembled from (
-      select *, bool_or(starts) over (partition by session_id, sink, seg order by ts, seq) as started from {_SINK_ROWS} s0) s1 where started
-    window w as (partition by session_id, sink, seg order by ts, seq rows between 11 preceding and current row)) s2 where pieces >= 2)"""
+      select *, bool_or(starts) over (partition by session_id, sink, seg order by ts, seq) as started from {_sink_rows(window)} s0) s1 where started
+    window w as (partition by session_id, sink, seg order by ts, seq rows between {frame} preceding and current row)) s2 where pieces >= 2)"""
+
+
+_ASSEMBLED = _assembled_sql(12, 64)
 
 
 @query(
@@ -708,6 +756,29 @@ def prompt_bridge_hits(spark, sf):
     )
 
 
+def _whispered(prompts):
+    """Sixteen prompts per customer with four characters of a key each."""
+    h = F.md5(F.col("c_custkey").cast("string"))
+    key = F.concat(F.lit("sk-ant-api03-"), h, F.left(F.upper(h), F.lit(19)))
+    return prompts.select(
+        F.col("c_custkey").alias("session_id"), key.alias("key"),
+        F.explode(F.sequence(F.lit(0), F.lit(15))).alias("seq"),
+    ).select(
+        "session_id", "seq", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 60).alias("ts"),
+        F.substring("key", F.col("seq") * 4 + 1, F.lit(4)).alias("text"))
+
+
+#: The seventh prompt completes the twenty characters that a key needs.
+_WHISPERED = "select c_custkey as session_id, 6 as seq, 'ANTHROPIC_KEY' as classes from customer"
+
+
+@query("prompt_bridge_wide", _WHISPERED)
+def prompt_bridge_wide(spark, sf):
+    """A key spread over more prompts than the upstream carries a tail over."""
+    return S.prompt_bridge(_whispered(read(spark, sf, "customer"))).filter("split").select(
+        "session_id", "seq", "classes")
+
+
 _RUNS = S.RUN.strip("()")
 
 
@@ -725,6 +796,32 @@ def fragment_bridge(spark, sf):
     )
 
 
+@query(
+    "fragment_bridge_wide",
+    f"""select session_id, seq, cast(lag_frags * runs as int) as joins from (
+          select session_id, seq, len(regexp_extract_all(text, {Q.lit(_RUNS)})) as runs, epoch(ts) as tsec,
+            lag({_has_fragment('text', 4096)}) over (partition by session_id order by ts, seq) as lag_frags,
+            lag(epoch(ts)) over (partition by session_id order by ts, seq) as before from {_CALLS} c) t
+        where lag_frags > 0 and tsec - before <= 3600""",
+)
+def fragment_bridge_wide(spark, sf):
+    return S.fragment_bridge(_calls(spark, sf)).select(
+        "session_id", "seq", F.size("joins").alias("joins"))
+
+
+@query(
+    "call_trace_wide",
+    f"""select c.tool, false as own_block, coalesce(a.hit, false) as split, not coalesce(a.hit, false) as allow, r.band, count(*) as calls
+        from {_CALLS} c join {_wide_risk_sql('false', _CALLS)} r on r.session_id = c.session_id and r.seq = c.seq
+        left join (select session_id, seq, regexp_matches(assembled, 'sk-ant-[A-Za-z0-9_-]{{20,}}') as hit from {_assembled_sql(None, 4096)} a0) a
+          on a.session_id = c.session_id and a.seq = c.seq group by all""",
+)
+def call_trace_wide(spark, sf):
+    """Verdicts per call when every piece of a write and every destination is carried."""
+    return S.call_trace(_calls(spark, sf)).groupBy("tool", "own_block", "split", "allow", "band").agg(
+        F.count("*").alias("calls"))
+
+
 @query(
     "call_trace",
     f"""select c.tool, false as own_block, coalesce(a.hit, false) as split, not coalesce(a.hit, false) as allow, r.band, count(*) as calls
@@ -816,3 +913,38 @@ def session_risk_stream(spark, sf):
         .otherwise(F.col("event_type")).alias("text"),
     )
     return _stream_table(spark, risk_stream(s, limits=S.UPSTREAM), "risk")
+
+
+@query(
+    "sink_stream",
+    "select user_id as session_id, event_id as seq, cast(k as int) as pieces, md5(concat('sk-ant-', repeat('x', k - 1))) as digest from "
+    "(select *, row_number() over (partition by user_id order by event_id) as k from events) e where k between 2 and 40",
+)
+def sink_stream(spark, sf):
+    """Assemblies of a stream: an anchor, then a character a minute, up to forty writes a user.
+
+    The event file is read as a stream; every user's first forty events make one file grow.
+    """
+    from tarnhelm.streaming import sessions as ST
+
+    nth = read(spark, sf, "events").select(
+        "user_id", "event_id",
+        F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("k"))
+    s = _event_stream(spark, sf).join(nth.where("k <= 40"), ["user_id", "event_id"]).select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("k") * 60).alias("ts"),
+        F.lit("/tmp/parts").alias("sink"),
+        F.when(F.col("k") == 1, "sk-ant-").otherwise("x").alias("payload"))
+    return _stream_table(spark, ST.sink_stream(s), "sinks").select(
+        "session_id", "seq", "pieces", F.md5("assembled").alias("digest"))
+
+
+@query("bridge_stream", _WHISPERED)
+def bridge_stream(spark, sf):
+    """Keys spread over many prompts, found by a stream over the customers' prompts."""
+    from tarnhelm.streaming import sessions as ST
+
+    schema = read(spark, sf, "customer").schema
+    s = _whispered(spark.readStream.schema(schema).parquet(f"{sf}/customer*.parquet"))
+    return _stream_table(spark, ST.bridge_stream(s), "joins").where("split").select(
+        "session_id", "seq", "classes")

@@ -237,13 +237,7 @@ def sink_stream(
     events: DataFrame, watermark: str = "10 minutes", limits: S.Limits = S.LIMITS
 ) -> DataFrame:
     """Assemblies of a stream (session_id, ts, seq, sink, payload)."""
-    c = F.col
-    timed = _timed(events, watermark)
-    inputs = timed.filter((c("sink") != "") & (F.trim("payload") != "")).select(
-        "session_id", "sink", "seq", "ts", S.seconds(c("ts")).alias("at"),
-        S.piece_of(c("payload"), limits).alias("piece"),
-        (F.size(S.fragments_of(c("payload"), limits)) > 0).alias("starts"),
-    )
+    inputs = S.sink_inputs(_timed(events, watermark), limits, ["ts"])
     return _run(inputs, ["session_id", "sink"], _Sink(limits), "pieces int, assembled string")
 
 
