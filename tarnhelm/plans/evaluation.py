@@ -416,11 +416,13 @@ def unclaimed_requests(spark, sf):
     return E.unclaimed(plant(spark, sf, "requests"), f, ["request_id"]).select("request_id")
 
 
+_UNSURE = " Zq7Lw2Rk9Tn4Vx8By3HmDf6Gj1Ks5Pc"
 _TOKENS = """(select o_orderkey as request_id, concat('Ref ', case when o_orderkey % 2 = 0 then upper(substr(md5(cast(o_orderkey as varchar)), 1, 9)) else 'none' end, ', see ID-', cast(o_custkey as varchar), ' (ok).') as text from orders where o_orderkey % 3 <> 0)"""
 
 
 def _spans(spark, sf):
-    """References of orders; every third holds a key that the detectors claim."""
+    """References of orders. Of every six, one holds a key that the detectors claim and one a
+    long token of which they are unsure."""
     k = F.col("o_orderkey")
     return read(spark, sf, "orders").select(
         k.alias("request_id"), F.lit("messages[0].ref_no").alias("span_path"),
@@ -428,8 +430,9 @@ def _spans(spark, sf):
             F.lit("Ref "),
             F.when(k % 2 == 0, F.upper(F.substring(F.md5(k.cast("string")), 1, 9))).otherwise("none"),
             F.lit(", see ID-"), F.col("o_custkey"), F.lit(" (ok)."),
-            F.when(k % 3 == 0, F.concat(F.lit(" sk-ant-api03-"), F.md5(k.cast("string"))))
-            .otherwise(""),
+            F.when(k % 6 == 3, F.concat(
+                F.lit(" AKIA"), F.upper(F.substring(F.md5(k.cast("string")), 1, 16))))
+            .when(k % 6 == 0, F.lit(_UNSURE)).otherwise(""),
         ).alias("text"),
         F.lit("user").alias("origin"), F.lit("outbound").alias("leg"),
     )
@@ -441,11 +444,18 @@ _FEATURES = f"""(select request_id, token, row_number() over (partition by reque
     where length(token) between 6 and 128 and regexp_matches(token, '[0-9]'))"""
 
 
+#: Spans with a finding inside the band: they escalate whole.
+_DOUBTFUL = f"""(select o_orderkey as request_id, concat('Ref ', case when o_orderkey % 2 = 0 then upper(substr(md5(cast(o_orderkey as varchar)), 1, 9)) else 'none' end, ', see ID-', cast(o_custkey as varchar), ' (ok).', '{_UNSURE}') as text from orders where o_orderkey % 6 = 0)"""
+_SHAPE = "regexp_replace(regexp_replace(regexp_replace(text, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g')"
+
+
 @query(
     "escalation_features",
     f"""select request_id, cast(part as int) as part, regexp_replace(regexp_replace(regexp_replace(token, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g') as shape,
           cast(length(token) as int) as length, case when regexp_full_match(token, '[0-9a-fA-F]+') then 'hex' else 'base64ish' end as charset, round({Q.entropy('token')}, 3) as entropy, 'ref_no' as key_name
-        from {_FEATURES} f""",
+        from {_FEATURES} f
+        union all select request_id, 0, concat(left({_SHAPE}, 64), case when length(text) > 64 then '…' else '' end), cast(length(text) as int), 'ascii', round({Q.entropy('text')}, 3), 'ref_no'
+        from {_DOUBTFUL} d""",
 )
 def escalation_features(spark, sf):
     """Feature rows of unclaimed identifiers: shapes, never text."""
@@ -458,7 +468,8 @@ def escalation_features(spark, sf):
 
 @query(
     "propose_checks",
-    f"""select case when contains(token, '-') and not regexp_full_match(token, '[0-9a-fA-F]+') then 'sensitive' else 'unknown' end as verdict_hint, count(*) as n from {_FEATURES} f group by 1""",
+    f"""select case when contains(token, '-') and not regexp_full_match(token, '[0-9a-fA-F]+') then 'sensitive' else 'unknown' end as verdict_hint, count(*) as n from (
+          select token from {_FEATURES} f union all select text from {_DOUBTFUL} d) t group by 1""",
 )
 def propose_checks(spark, sf):
     spans = _spans(spark, sf)

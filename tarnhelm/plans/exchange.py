@@ -149,7 +149,8 @@ def flatten_table_function(spark, sf):
 @query(
     "adjudicate",
     f"""select case when length > 12 then 'sensitive' else 'unknown' end as proposal, count(*) as n
-        from (select cast(length(token) as int) as length from {evaluation._FEATURES} f) t group by 1""",
+        from (select cast(length(token) as int) as length from {evaluation._FEATURES} f
+          union all select cast(length(text) as int) from {evaluation._DOUBTFUL} d) t group by 1""",
 )
 def adjudicate(spark, sf):
     """A user's proposal per feature row: long identifiers are sensitive."""

@@ -37,7 +37,7 @@ def risk_loop(rows):
         runs = [r[-64:] for r in re.findall(S.RUN, text)]
         targets = [hashlib.sha256(t.encode()).hexdigest()[:12] for t in re.findall(r">>\s*(\S+)", text)]
         st, graded = S.risk_step(state.get(s, S.new_risk()), ts.timestamp(), any(partial.search(r) for r in runs),
-                                 bool(re.search(r"[A-Za-z0-9+/=_\-]{16}", text)), False, targets)
+                                 bool(re.search(r"[A-Za-z0-9+/=_\-]{16}", text)), False, targets, S.UPSTREAM)
         state[s] = st
         out[seq] = graded
     return out
@@ -50,6 +50,40 @@ def test_risk_batch_equals_loop(spark):
     assert got == risk_loop(rows)
 
 
+def busy(n, names, gap=1200, seed=3):
+    """One unbroken session of many hours that writes to ``names`` destinations."""
+    rng = random.Random(seed)
+    rows, at = [], 0
+    for i in range(n):
+        at += rng.choice((0, gap, 3 * gap, 5 * gap if i % 50 == 0 else gap))
+        text = " ".join(f"ls >> /tmp/{rng.randrange(names)}" for _ in range(rng.randrange(4)))
+        rows.append(("h", START + timedelta(seconds=at), i, "Bash", text if i % 9 else "echo sk-an", "", ""))
+    return rows
+
+
+@pytest.mark.parametrize("names", (5, 8, 9, 14))
+def test_risk_forgets_the_oldest_destination(spark, names):
+    rows = busy(1500, names)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["seq"]: tuple(r)[2:] for r in S.session_risk(df, limits=S.UPSTREAM).collect()}
+    assert got == risk_loop(rows)
+    assert len({r[0] for r in got.values()}) > 100
+
+
+def test_risk_remembers_all_destinations_by_default(spark):
+    rows = [("s", START + timedelta(minutes=10 * i), i, "Bash", f"ls >> /tmp/{i % 20}", "", "") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = {r["seq"] for r in S.session_risk(df).where("risk > 0").collect()}
+    assert known == set(range(20, 40))
+    assert S.session_risk(df, limits=S.UPSTREAM).where("risk > 0").isEmpty()
+
+
+def test_risk_of_a_long_session_leaves_python_out(spark):
+    df = S.session_risk(spark.createDataFrame(busy(50, 3), SCHEMA))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def run_stream(spark, tmp_path, rows, build, parts=3):
     """Feed the events in time order, a file per micro-batch."""
     rows = sorted(rows, key=lambda r: r[1])
@@ -71,6 +105,22 @@ def test_risk_stream_equals_batch(spark, tmp_path):
     assert {r["seq"]: tuple(r)[2:] for r in got} == risk_loop(rows)
 
 
+def test_risk_stream_forgets_the_oldest_destination(spark, tmp_path):
+    rows = busy(120, 12)
+    got = run_stream(spark, tmp_path, rows, lambda e: ST.risk_stream(e, limits=S.UPSTREAM))
+    assert {r["seq"]: tuple(r)[2:] for r in got} == risk_loop(rows)
+
+
+def test_sink_stream_equals_batch_without_limits(spark, tmp_path):
+    rows = [("s", START + timedelta(seconds=60 * i), i, "w", "", "/tmp/f", "sk-ant-" if i == 0 else "x" * (1 + i % 2))
+            for i in range(90)]
+    got = run_stream(spark, tmp_path, rows, ST.sink_stream)
+    want = S.sink_assembly(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["seq"]: (r["pieces"], r["assembled"]) for r in got} == {
+        r["seq"]: (r["pieces"], r["assembled"]) for r in want}
+    assert max(r["pieces"] for r in want) == 90
+
+
 def sink_loop(rows):
     import re
 
