@@ -189,3 +189,64 @@ def test_second_draft_of_a_tenant_is_refused(spark):
     got = [tuple(r) for r in P.publish(drafts, policies, tenants).orderBy("tenant_id", "accepted").collect()]
     assert got == [("o", False, "version conflict", None), ("o", True, None, 2),
                    ("u", False, "business unit weakens an org rule", None), ("u", True, None, 1)]
+
+
+def many_rules(spark, n=120):
+    """A tenant whose rules all speak of the same few conditions, and one of another tenant."""
+    return spark.range(n).selectExpr(
+        "'t' as tenant_id", "1 as version", "cast(id as int) as rule_index",
+        "if(id % 3 = 0, null, if(id % 3 = 1, 'inbound', 'outbound')) as direction",
+        "case id % 4 when 0 then array('PAN', 'JWT') when 1 then array('JWT', 'PAN') when 2 then array('EMAIL') else array() end as class",
+        "if(id % 5 = 0, array('vendor'), array()) as destination", "if(id % 2 = 0, 'mask', 'warn') as action")
+
+
+def test_last_rule_is_found_once_per_combination(spark, monkeypatch):
+    rules = many_rules(spark)
+    found = spark.range(400).selectExpr(
+        "id as request_id", "0 as ord", "if(id % 50 = 49, 'other', 't') as tenant_id",
+        "element_at(array('PAN', 'EMAIL', 'JWT', 'GSTIN', null), cast(id % 5 + 1 as int)) as entity_class",
+        "if(id % 7 < 4, 'inbound', 'outbound') as leg", "element_at(array('vendor', 'own', null), cast(id % 3 + 1 as int)) as destination")
+    keys = ["request_id", "ord"]
+    want = P.last_match(P.match_rules(found, rules).select(*keys, "rule_index", "action"), keys)
+    met = []
+    pairs = P.match_rules
+    monkeypatch.setattr(P, "match_rules", lambda f, r, on: met.append((f.count(), r.count())) or pairs(f, r, on))
+    got = P.last_matching_rule(found, rules, keys).select(*keys, "rule_index", "action")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert met[0][0] <= 2 * 5 * 2 * 3 and met[0][1] <= 3 * 3 * 2  # neither findings nor rules
+
+
+def test_situations_are_decided_once(spark, monkeypatch):
+    rows = [RD.policy_row(ORG, "agency"), RD.policy_row(BU, "unit")]
+    tenants = spark.createDataFrame([("agency", None), ("unit", "agency")], "id string, parent_id string")
+    resolved = P.resolve_policies(tenants, RD.policies_frame(spark, rows))
+    f = spark.range(600).selectExpr(
+        "id", "if(id % 2 = 0, 'agency', 'unit') as tenant_id", "if(id % 3 = 0, 'director', null) as role",
+        "array('citizen') as groups", "id % 5 <> 0 as registered", "'AADHAAR' as entity_class", "'inbound' as leg",
+        "cast(null as string) as destination", "if(id % 4 = 0, array('AADHAAR'), array()) as exceptions")
+    cols = ["id", "action", "rule_index", "rule_scope", "exception_applied", "escalate"]
+    want = P.decide(f.join(resolved, "tenant_id")).select(*cols).collect()
+    met = []
+    plain = P.decide
+    monkeypatch.setattr(P, "decide", lambda x: met.append(x.count()) or plain(x))
+    got = P.decide_rows(f, resolved, ["id"]).select(*cols).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and met[0] <= 2 * 2 * 2 * 2
+
+
+def test_profiles_meet_rules_that_speak_and_no_policy(spark, monkeypatch):
+    rows = [RD.policy_row(ORG, "agency"), RD.policy_row(BU, "unit"), RD.policy_row(BU, "stray")]
+    tenants = spark.createDataFrame([("agency", None), ("unit", "agency"), ("stray", "gone")], "id string, parent_id string")
+    resolved = P.resolve_policies(tenants, RD.policies_frame(spark, rows))
+    actors = G.actors_frame(spark, [(t + r, t, r, ["citizen"] if r == "officer" else [], r != "x")
+                                    for t in ("agency", "unit", "stray") for r in ("officer", "director", "x")])
+    classes = ["AADHAAR", "JWT", "EMAIL"]
+    f = actors.withColumns({"entity_class": F.explode(F.array(*map(F.lit, classes))), "leg": F.lit("inbound"),
+                            "destination": F.lit(None).cast("string")})
+    cols = ["actor_id", "entity_class", "action", "rule_index", "rule_scope"]
+    want = P.decide(f.join(resolved, "tenant_id")).select(*cols).collect()
+    seen = []
+    compiled = G.decide_compiled
+    monkeypatch.setattr(G, "decide_compiled", lambda g, c: seen.append(g.columns + c.columns) or compiled(g, c))
+    got = G.clearance_matrix(actors, resolved).where(F.col("entity_class").isin(*classes)).select(*cols).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert "rules" not in str(seen)
