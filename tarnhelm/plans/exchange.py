@@ -74,7 +74,7 @@ def read_corpus(spark, sf):
 
 @query("ledger_round_trip", evidence.ORACLES["append_chain"])
 def ledger_round_trip(spark, sf):
-    """The ledger appended to files per tenant and chain, and read back."""
+    """The ledger appended to files per chain, and read back."""
     path = _folder(spark)
     SK.append_ledger(L.append_chain(evidence._records(spark, sf)), path)
     return RD.read_ledger(spark, path).select(
