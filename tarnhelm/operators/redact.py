@@ -39,9 +39,12 @@ def plan_edits(
     tokenised is masked instead of being tokenised. Nothing is planned for allow, warn
     and block, for advisory findings or for read-only origins, which are counted.
     """
+    # The actions are brought to the keys of the spans, so that a text is shuffled once.
+    acts = spans.select(*span_keys).join(
+        actions.select(*request_keys, F.col("action").alias("_action")), list(request_keys)
+    ).groupBy(*span_keys).agg(F.max("_action").alias("_action"))
     joined = spans.join(_grouped(findings, span_keys), list(span_keys), "left").join(
-        actions.select(*request_keys, F.col("action").alias("_action")), list(request_keys),
-        "left",
+        acts, list(span_keys), "left"
     )
     found = F.coalesce("_f", F.array().cast(
         "array<struct<start:int,end:int,entity_class:string,confidence:double,"
@@ -86,10 +89,13 @@ def plan_edits(
 
 
 def _sorted(edits: Column) -> Column:
+    """Edits by start, end and replacement, so that no order is left to chance."""
     return F.array_sort(
         edits,
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
-        .otherwise(a["end"] - b["end"]).cast("int"),
+        .when(a["end"] != b["end"], a["end"] - b["end"])
+        .when(a["replacement"] < b["replacement"], -1)
+        .when(a["replacement"] > b["replacement"], 1).otherwise(0).cast("int"),
     )
 
 
@@ -107,7 +113,7 @@ def has_overlap(edits: Column) -> Column:
 
 def merge_overlaps(edits: Column) -> Column:
     """Overlapping edits become one that covers them all, with the most confident
-    finding's replacement."""
+    finding's replacement; of equally confident ones the first by start, end and replacement."""
 
     def step(acc, e):
         last = F.element_at(acc, -1)

@@ -145,3 +145,49 @@ def test_escalation_sink_is_idempotent(spark, tmp_path):
         write(spark.range(4), 0)
     write(spark.range(2), 1)
     assert spark.read.parquet(str(tmp_path / "esc")).count() == 6
+
+
+def test_a_text_is_shuffled_once_for_its_edits(spark):
+    from tarnhelm.operators import redact as R
+
+    spans = spark.range(50).selectExpr("id % 20 as request_id", "cast(id as string) as span_path", "repeat(cast(id as string), 40) as text", "if(id < 99, 'user', 'system') as origin", "'s' as scope")
+    found = spark.range(50).selectExpr("id % 20 as request_id", "cast(id as string) as span_path", "1 as start", "9 as `end`", "'PAN' as entity_class", "0.9d as confidence", "false as advisory_only")
+    acts = spark.range(20).selectExpr("id as request_id", "'mask' as action")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        planned = R.plan_edits(spans, found, acts, ["request_id", "span_path"], ["request_id"], b"k", "scope")
+        plan = planned._jdf.queryExecution().executedPlan().toString()
+        sent = [x.split("Project [", 1)[1].split("]")[0] for x in plan.split("Exchange hashpartitioning")[1:] if "Project [" in x]
+        assert sum("origin#" in x for x in sent) == 1 and plan.count("Exchange hashpartitioning") == 5
+        assert {r["edits"][0]["replacement"] for r in planned.collect()} == {"⟨PAN⟩"}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_equal_places_merge_to_the_same_edit_in_any_order(spark):
+    from tarnhelm.operators import redact as R
+
+    edits = [(0, 4, "⟨B⟩", 0.5), (0, 4, "⟨A⟩", 0.5), (2, 6, "⟨0⟩", 0.5), (8, 9, "⟨D⟩", 0.4), (8, 9, "⟨C⟩", 0.6)]
+    df = spark.createDataFrame([("0123456789", edits), ("0123456789", edits[::-1])], f"text string, edits {R.EDIT_TYPE}")
+    got = [r["redacted"] for r in R.apply_edits(df, overlaps="merge").collect()]
+    assert got == ["⟨A⟩67⟨C⟩9"] * 2
+
+
+def test_values_that_collide_at_every_width_get_the_longest_token():
+    import re
+
+    import duckdb
+
+    from tarnhelm.plans import governance as G
+
+    con = duckdb.connect()
+    con.sql("create table customer as select 7 as c_custkey union all select 8")
+    sql = G.ORACLES["widen_collisions"]
+    assert [r[1] for r in con.sql(sql).fetchall()] == [3, 3]
+    # Both get macs that differ in their last digit only.
+    same = re.sub(r"as mac from customer\)", "as mac0, repeat('a', 59) || cast(c_custkey as varchar) || 'aaaa' as mac from customer)", sql, count=1)
+    rows = con.sql(same).fetchall()
+    assert len(rows) == 2 and {r[1] for r in rows} == {48} and len({r[2] for r in rows}) == 2
