@@ -53,20 +53,26 @@ def register_scanner(
         )
 
         def batches(it):
-            import pandas as pd
-
-            for pdf in it:
-                rows = [
-                    (*key, *hit)
-                    for *key, body in pdf.itertuples(index=False)
-                    if body is not None
-                    for hit in scan(body)
-                ]
-                yield pd.DataFrame(
-                    rows, columns=[*keys, "start", "end", "entity_class", "confidence"]
+            import pyarrow as pa
+
+            types = (pa.int32(), pa.int32(), pa.string(), pa.float64())
+            for batch in it:
+                # One text at a time leaves the batch; keys stay in Arrow.
+                at, hits = [], []
+                for i, body in enumerate(batch.column(len(keys))):
+                    if body.is_valid:
+                        for hit in scan(body.as_py()):
+                            at.append(i)
+                            hits.append(hit)
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(rows) for k in range(len(keys))],
+                     *[pa.array([h[k] for h in hits], t) for k, t in enumerate(types)]],
+                    [*keys, "start", "end", "entity_class", "confidence"],
                 )
+            pa.default_memory_pool().release_unused()
 
-        found = source.mapInPandas(
+        found = source.mapInArrow(
             batches, f"{kinds}, start int, end int, entity_class string, confidence double"
         )
         return found.select(
