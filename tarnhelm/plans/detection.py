@@ -16,7 +16,7 @@ from tarnhelm.operators import verdict as V
 from tarnhelm.plans.plants import plant as _plant
 from tarnhelm.plans.plants import plant_sql
 from tarnhelm.plans.plants import read as _read
-from tarnhelm.sources.readers import spread
+from tarnhelm.sources.readers import KEY_BYTES, spread
 from tarnhelm.plans import sqlkit as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +108,8 @@ def learned_rule_table(spark, sf):
         F.lit("ledger of "), o, F.lit(" ref C"), F.lpad(c, 7, "0"), F.lit("-"),
         F.lpad((o % 10000).cast("string"), 4, "0"), F.lit(" acct"), c, F.lit("#"),
         F.lpad((o % 100000).cast("string"), 8, "0"), F.lit(" end"))
-    docs = read(spark, sf, "orders").select(o.alias("doc_id"), text.alias("text"))
+    orders = spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), task_bytes=KEY_BYTES)
+    docs = orders.select(o.alias("doc_id"), text.alias("text"))
     return L.apply_learned_rules(docs, rules).select("doc_id", *HIT)
 
 
@@ -473,7 +474,8 @@ def _record_docs(spark, sf):
     sql = _RECORD_DOCS.strip()[1:-1].replace("varchar", "string").replace(
         "from orders", "from {orders}"
     )
-    return spark.sql(sql, orders=read(spark, sf, "orders"))
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return spark.sql(sql, orders=spread(orders, task_bytes=KEY_BYTES))
 
 
 def _classify_sql(src: str) -> str:

@@ -275,3 +275,31 @@ def test_pii_never_in_findings(spark):
     out = D.detect_all(df, ["id"])
     assert "text" not in out.columns and "value" not in out.columns
     assert KEY not in "".join(str(r) for r in out.collect())
+
+
+def test_scanner_keeps_large_keys_beside_null_ones(spark):
+    from tarnhelm.operators.extend import register_scanner
+
+    rows = [(2**60 + 1, "abc"), (None, "abcd"), (5, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    scan = register_scanner("all", lambda t: [(0, len(t), "UNKNOWN", 0.5)] if t else [])
+    got = {(r["doc_id"], r["start"], r["end"]) for r in scan(df, ["doc_id"]).collect()}
+    assert got == {(2**60 + 1, 0, 3), (None, 0, 4)}
+
+
+def test_planted_texts_are_spread_by_the_size_of_their_keys(spark):
+    import os
+
+    import pytest
+
+    from tarnhelm.plans.plants import plant
+    from tarnhelm.sources.readers import spread
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    cores = spark.sparkContext.defaultParallelism
+    assert plant(spark, sf, "encoded_text").rdd.getNumPartitions() >= 4 * cores
+    keys = spark.read.parquet(f"{sf}/orders.parquet")
+    assert spread(keys, task_bytes=40_000).rdd.getNumPartitions() >= 60
+    assert "text" in plant(spark, sf, "encoded_text").columns
