@@ -216,6 +216,26 @@ def test_last_rule_is_found_once_per_combination(spark, monkeypatch):
     assert met[0][0] <= 2 * 5 * 2 * 3 and met[0][1] <= 3 * 3 * 2  # neither findings nor rules
 
 
+def test_rules_meet_combinations_and_findings_meet_folded_rules(spark, monkeypatch):
+    rules = many_rules(spark)
+    found = spark.range(400).selectExpr(
+        "id as request_id", "0 as ord", "if(id % 50 = 49, 'other', 't') as tenant_id",
+        "element_at(array('PAN', 'EMAIL', 'JWT', 'GSTIN', null), cast(id % 5 + 1 as int)) as entity_class",
+        "if(id % 7 < 4, 'inbound', 'outbound') as leg", "element_at(array('vendor', 'own', null), cast(id % 3 + 1 as int)) as destination")
+    cols = ["request_id", "ord", "rule_index", "action"]
+    want = sorted(map(tuple, P.match_rules(found, rules).select(*cols).collect()))
+    met = []
+    pairs = P.match_rules
+    monkeypatch.setattr(P, "match_rules", lambda f, r, on: met.append(f.count()) or pairs(f, r, on))
+    for most in (7, 10_000):
+        m = P.folded_matches(found, rules, most=most)
+        got = m.select("request_id", "ord", F.explode("rule_indexes").alias("rule_index"), "action")
+        assert sorted(map(tuple, got.collect())) == want
+        assert m.selectExpr("max(size(rule_indexes))").first()[0] <= most
+    assert m.count() <= 400 * 2 * 1  # a row per action
+    assert max(met) <= 2 * 5 * 2 * 3  # no findings
+
+
 def test_situations_are_decided_once(spark, monkeypatch):
     rows = [RD.policy_row(ORG, "agency"), RD.policy_row(BU, "unit")]
     tenants = spark.createDataFrame([("agency", None), ("unit", "agency")], "id string, parent_id string")
