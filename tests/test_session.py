@@ -248,3 +248,97 @@ def test_coverage_table_as_a_stream(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(r["requests"] for r in table.windows(spark).collect()) == [2, 5, 5]
+
+
+class FakeState:
+    """State store of one group that counts what is asked of it."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.calls = {}, {}, [], 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        own, store = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def exists(self):
+                return bool(own)
+
+            def getValue(self, key):  # noqa: N802
+                store.calls += 1
+                return own.get(key)
+
+            def updateValue(self, key, value):  # noqa: N802
+                store.calls += 1
+                own[key] = value
+
+            def removeKey(self, key):  # noqa: N802
+                del own[key]
+
+            def iterator(self):
+                return iter(list(own.items()))
+
+        return Map()
+
+    def getValueState(self, name, *_):  # noqa: N802
+        values = self.values
+
+        class Value:
+            def get(self):
+                return values.get(name)
+
+            def update(self, value):
+                values[name] = value
+
+            def clear(self):
+                values.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class At:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+def test_stream_takes_the_keys_of_a_group_in_one_call():
+    import pandas as pd
+
+    store = FakeState()
+    risk = ST._Risk(S.LIMITS)
+    risk.init(store)
+    rows = pd.DataFrame(
+        [(f"k{i % 50}", 10.0 + i, i, True, False, False, ["a", f"t{i % 100}"]) for i in range(1000)],
+        columns=["key", "at", "seq", "had_fragment", "had_entropy", "was_blocked", "targets"])
+    out = pd.concat(risk.handleInputRows((3,), iter([rows[:300], rows[300:]]), At(0)))
+    assert len(out) == 1000 and out["key"].nunique() == 50
+    assert store.calls == 50 + 50 * 3  # a state per key, and every different name once
+    assert len(store.timers) == 1
+    # The same events event by event.
+    for key, own in rows.groupby("key"):
+        state, want = S.new_risk(), []
+        for r in own.itertuples():
+            state, graded = S.risk_step(state, r.at, True, False, False, r.targets)
+            want.append(graded)
+        assert [tuple(x)[2:] for x in out[out["key"] == key].itertuples(index=False)] == want
+    # A later batch knows the names; after a pause they are forgotten.
+    later = rows[:2].assign(at=[1100.0, 1100.0 + 2 * S.RISK_TTL], key="k0", targets=[["a"], ["a"]])
+    risk_after = pd.concat(risk.handleInputRows((3,), iter([later]), At(0)))["risk"].tolist()
+    assert risk_after[0] > risk_after[1] == 0.3
+    assert len(store.maps["kept"]) == 50 and len(store.timers) == 1
+    list(risk.handleExpiredTimer((3,), At(store.timers[0]), None))
+    assert list(store.maps["kept"]) == [("k0",)] and list(store.maps["names"]) == [("k0", "a")]
+    list(risk.handleExpiredTimer((3,), At(store.timers[1]), None))
+    assert not store.maps["kept"] and not store.maps["names"] and not store.values
+
+
+def test_risk_stream_remembers_all_destinations_across_batches(spark, tmp_path):
+    rows = busy(120, 12)
+    got = run_stream(spark, tmp_path, rows, lambda e: ST.risk_stream(e))
+    want = S.session_risk(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["seq"]: tuple(r) for r in got} == {r["seq"]: tuple(r) for r in want}
