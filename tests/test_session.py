@@ -342,3 +342,20 @@ def test_risk_stream_remembers_all_destinations_across_batches(spark, tmp_path):
     got = run_stream(spark, tmp_path, rows, lambda e: ST.risk_stream(e))
     want = S.session_risk(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r["seq"]: tuple(r) for r in got} == {r["seq"]: tuple(r) for r in want}
+
+
+@pytest.mark.parametrize("limits", [S.LIMITS, S.UPSTREAM])
+def test_assemblies_are_put_together_by_place(spark, limits):
+    sizes = (1, 700, 3, 20_000, 5, 16_000, 300, 84, 1, 1, 511, 2, 512, 7)
+    rows = [("s", START + timedelta(seconds=60 * i), i, "w", "", "/tmp/f", "sk-ant-" if i == 0 else chr(97 + i) * n)
+            for i, n in enumerate((7, *sizes))]
+    df = S.sink_assembly(spark.createDataFrame(rows, SCHEMA), limits)
+    state, want = {}, {}
+    for r in rows:
+        piece = r[6] if limits.pieces is None else r[6][:limits.assembly]
+        state, joined = S.sink_step(state, r[1].timestamp(), piece, r[2] == 0, limits)
+        if joined is not None:
+            want[r[2]] = (len(state["pieces"]), joined)
+    assert {r["seq"]: (r["pieces"], r["assembled"]) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "aggregate(" not in plan and "array_sort" not in plan  # no step per piece
