@@ -2,15 +2,17 @@
 
 A page is read into text blocks in page order. Elements that never hold the main text (menus,
 site headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left
-out by their tag, role or class. If the page marks its article, the article's blocks are the
-text. Otherwise the page is compared with its nearest page: within the host, pages are sorted by
-path and each is paired with the neighbour whose path shares more with its own (no other path of
-the host shares more); the blocks of both, of a marked neighbour all and not the article's alone,
-are aligned by longest common subsequence and shared ones are deleted. Sorted paths are cut into
-ranges, and each range is handed the rows next to its ends, so the pairing does not depend on size.
-
-Marked articles are not differenced, since copies and repeated passages under neighbouring paths
-are main text that differencing would delete.
+out by their tag, role or class. Every page is compared with its nearest page: within the host,
+pages are sorted by path and each is paired with the neighbour whose path shares more with its own
+(no other path of the host shares more); all blocks of both are aligned by longest common
+subsequence, and shared ones are deleted. Sorted paths are cut into ranges, and each range is
+handed the rows next to its ends, so the pairing does not depend on size.
+
+If a page marks its article, the article's blocks are the text, and those that its markup vouches
+for stay even if they are shared: copies and repeated passages under neighbouring paths are main
+text. Differencing decides the others: blocks in elements whose class or id names another part of
+the page beside a state or layout (``comments-open``, ``with-sidebar``), and all blocks of a page
+that marks no article.
 
 Null or empty html gives an empty text. A null url belongs to no host. Pages of equal host and
 path are variants of one page and never each other's neighbour; a page without a neighbour keeps
@@ -36,9 +38,7 @@ TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)"
     r"|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
     r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z))", re.S)
-ATTR = re.compile(
-    r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?",
-    re.I)
+ATTR = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in (
     "script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,28 +60,38 @@ PARTS = frozenset(
     "navigation footer masthead toolbar pagination pager widget search paywall skip teaser "
     "topbar sitenav".split())
 HEADS = frozenset("header masthead topbar".split())
+#: Words beside them by which a class tells a state or a layout, and may stand on main text.
+STATES = frozenset(
+    "with without has have no not is open opened closed enabled disabled allowed on off free "
+    "layout page template single left right".split())
 SPACES = re.compile(r"\s+")
 LINK = re.compile(r"(?:[a-zA-Z][\w+.\-]*:)?//([^/?#]*)([^?#]*)")
 
 
-def left_out(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds another part of the page than its text."""
+def left_out(name: str, attrs: str, inside: bool) -> int:
+    """2 for an element that holds another part of the page than its text, 1 if it may, 0 if not."""
     if name in SKIP or (name == "header" and not inside):
-        return True
+        return 2
     if not attrs or name in ("body", "html", "main"):
-        return False
+        return 0
+    unsure = 0
     for key, *values in ATTR.findall(attrs):
-        value = max(values, key=len).lower()
         key = key.lower()
+        if key not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        value = max(values, key=len).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return 2
         if key == "role" and value in ROLES:
-            return True
+            return 2
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & PARTS or (not inside and words & HEADS):
-                return True
-    return False
+            for token in value.split():
+                words = set(re.split(r"[^a-z0-9]+", token))
+                if words & PARTS or (not inside and words & HEADS):
+                    if not words & STATES:
+                        return 2
+                    unsure = 1
+    return unsure
 
 
 def marks_text(name: str, attrs: str) -> int:
@@ -93,12 +103,15 @@ def marks_text(name: str, attrs: str) -> int:
     return int(name == "main" or bool(attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs, re.I)))
 
 
-def all_blocks(page: str) -> list[tuple[int, str]]:
-    """Text blocks in page order, each with how it is marked."""
-    found: list[tuple[int, str]] = []  # (how the block is marked, text)
+def all_blocks(page: str) -> list[tuple[int, bool, str]]:
+    """Text blocks in page order, each after how it is marked and whether that is unsure."""
+    found: list[tuple[int, bool, str]] = []
     line: list[str] = []
-    marked: list[tuple[str, int, int]] = []  # open marked elements: tag, level, depth of the tag
+    # Open elements that are marked or unsure, and those of the same tags inside them: tag, best
+    # level so far, whether unsure, depth of the tag.
+    marked: list[tuple[str, int, bool, int]] = []
     skip, depth = "", 0
+    within: dict[str, int] = {}  # open elements in the one that is left out
     at, n = 0, len(page)
 
     def close() -> None:
@@ -106,7 +119,7 @@ def all_blocks(page: str) -> list[tuple[int, str]]:
             text = SPACES.sub(" ", "".join(line)).strip()
             line.clear()
             if text:
-                found.append((max((m[1] for m in marked), default=0), text))
+                found.append((*(marked[-1][1:3] if marked else (0, False)), text))
 
     def say(text: str) -> None:
         if text and not skip:
@@ -128,7 +141,9 @@ def all_blocks(page: str) -> list[tuple[int, str]]:
             if skip:
                 if name == skip:
                     depth -= 1
-                elif any(name == x[0] and x[2] == 1 for x in marked) or name in ("body", "html"):
+                elif within.get(name):
+                    within[name] -= 1
+                elif any(name == x[0] and x[3] == 1 for x in marked) or name in ("body", "html"):
                     depth = 0  # the enclosing element ends
                 if depth:
                     continue
@@ -137,8 +152,8 @@ def all_blocks(page: str) -> list[tuple[int, str]]:
                 close()
             for i in range(len(marked) - 1, -1, -1):
                 if marked[i][0] == name:
-                    tag, level, open_ = marked[i]
-                    marked[i:] = [(tag, level, open_ - 1)] if open_ > 1 else []
+                    *state, open_ = marked[i]
+                    marked[i:] = [(*state, open_ - 1)] if open_ > 1 else []
                     break
             continue
         if name in RAW:
@@ -152,28 +167,35 @@ def all_blocks(page: str) -> list[tuple[int, str]]:
                 skip = ""  # its end tag was left out
             else:
                 depth += name == skip
+                within[name] = within.get(name, 0) + 1
                 continue
         if name in BLOCK:
             close()
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        if left_out(name, attrs, bool(marked)):
-            skip, depth = name, 1
+        if marked and marked[-1][0] == "p" and name in BLOCK:
+            marked.pop()  # its end tag was left out
+        best, unsure = marked[-1][1:3] if marked else (0, False)
+        out = left_out(name, attrs, best > 0)
+        if out == 2:
+            skip, depth, within = name, 1, {}
             continue
         level = marks_text(name, attrs)
-        if level:
-            marked.append((name, level, 1))
+        if level or out:
+            marked.append((name, max(best, level), not level, 1))
         elif marked and marked[-1][0] == name:
-            tag, level, open_ = marked[-1]
-            marked[-1] = (tag, level, open_ + 1)
+            *state, open_ = marked[-1]
+            marked[-1] = (*state, open_ + 1)
+        elif any(name == x[0] for x in marked):
+            marked.append((name, best, unsure, 1))
     close()
     return found
 
 
-def main_blocks(found: list[tuple[int, str]]) -> tuple[list[str], bool]:
+def main_blocks(found: list[tuple[int, bool, str]]) -> tuple[list[str], bool]:
     """The blocks that are marked best, and whether they are marked at all."""
-    best = max((k for k, _ in found), default=0)
-    return [t for k, t in found if k == best], best > 0
+    best = max((k for k, *_ in found), default=0)
+    return [t for k, _, t in found if k == best], best > 0
 
 
 def blocks_of(page: str) -> tuple[list[str], bool]:
@@ -181,6 +203,17 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     return main_blocks(all_blocks(page))
 
 
+#: What is known of a block before it is differenced.
+OTHER, ASKED, SURE = range(3)
+
+
+def kinds_of(found: list[tuple[int, bool, str]]) -> bytes:
+    """For each block: not of the text, of the text if no other page has it, or of the text."""
+    best = max((k for k, *_ in found), default=0)
+    return bytes(
+        OTHER if k < best else SURE if best and not unsure else ASKED for k, unsure, _ in found)
+
+
 def address(url: str | None) -> tuple[str, str]:
     """Host and path of a url, without its query, fragment and ending."""
     m = LINK.match(url or "")
@@ -222,31 +255,36 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return out
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, marked, lines, hashes) of (page_id, url, html).
+def read_pages(pages: DataFrame, texts: bool) -> DataFrame:
+    """(host, path, hashes) of (page_id, url, html), the hashes of all blocks of the page.
 
-    ``hashes`` are those of all blocks, ``lines`` of a marked page those of its article.
+    With ``texts`` also page_id, url, the kinds of the blocks and the lines of those that are not
+    OTHER.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, marked, lines, hashes = [], [], [], []
+            where, kinds, lines, hashes = [], [], [], []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                whole = all_blocks(page.as_py() or "")
-                found, has = main_blocks(whole)
+                found = all_blocks(page.as_py() or "")
                 where.append(address(url))
-                marked.append(has)
-                lines.append(found)
-                hashes.append([line_hash(x) for _, x in whole])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 *[pa.array([w[i] for w in where], pa.string()) for i in range(2)],
-                 pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.string())),
-                 pa.array(hashes, pa.list_(pa.int64()))],
-                ["page_id", "url", "host", "path", "marked", "lines", "hashes"])
-
+                hashes.append([line_hash(x) for *_, x in found])
+                if texts:
+                    kinds.append(kinds_of(found))
+                    lines.append([x for k, (*_, x) in zip(kinds[-1], found, strict=True) if k])
+            columns = [*[pa.array([w[i] for w in where], pa.string()) for i in range(2)],
+                       pa.array(hashes, pa.list_(pa.int64()))]
+            names = ["host", "path", "hashes"]
+            columns += [batch.column(0)]
+            names += ["page_id"]
+            if texts:
+                columns += [batch.column(1), pa.array(kinds, pa.binary()),
+                            pa.array(lines, pa.list_(pa.string()))]
+                names += ["url", "kinds", "lines"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = ", url string, kinds binary, lines array<string>" if texts else ""
     return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(
-        run, "page_id bigint, url string, host string, path string, "
-             "marked boolean, lines array<string>, hashes array<bigint>")
+        run, "host string, path string, hashes array<bigint>, page_id bigint" + more)
 
 
 def nearest(read: DataFrame) -> DataFrame:
@@ -283,30 +321,33 @@ def nearest(read: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars, peer_path, n_shared) of (page_id, url, html)."""
-    read = keep(read_pages(pages))
-    own = read.where("marked").select(
-        "page_id", "url", F.array_join("lines", "\n").alias("text"),
-        F.lit(None).cast("string").alias("peer_path"), F.lit(0).alias("n_shared"))
-    bare = read.where("NOT marked").join(nearest(read), ["host", "path"], "left")
+    """(page_id, url, text, n_chars, peer_path, n_shared) of (page_id, url, html).
+
+    ``n_shared`` counts the blocks, of the text or not, that the nearest page has too. Pages are
+    read twice, since their hashes alone are a small part of what their texts would take to store.
+    """
+    peers = nearest(read_pages(pages, texts=False))
+    rows = read_pages(pages, texts=True).join(peers, ["host", "path"], "left")
 
     def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for lines, hashes, peer in zip(
-                *[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True
+            for lines, kinds, hashes, peer in zip(
+                *[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True
             ):
                 gone = shared_lines(hashes, peer) if peer else set()
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+                own = [i for i, k in enumerate(kinds) if k]
+                texts.append("\n".join(
+                    x for i, x in zip(own, lines, strict=True) if kinds[i] == SURE or i not in gone))
                 counts.append(len(gone))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(5),
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(6),
                  pa.array(np.array(counts, np.int32))],
                 ["page_id", "url", "text", "peer_path", "n_shared"])
 
-    differenced = bare.select("page_id", "url", "lines", "hashes", "peer", "peer_path").mapInArrow(
-        subtract, "page_id bigint, url string, text string, peer_path string, n_shared int")
-    return own.union(differenced).select(
+    return rows.select(
+        "page_id", "url", "lines", "kinds", "hashes", "peer", "peer_path").mapInArrow(
+        subtract, "page_id bigint, url string, text string, peer_path string, n_shared int").select(
         "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"),
         "peer_path", "n_shared")
 

@@ -212,6 +212,33 @@ def check_nearest_paths(spark):
             assert common(paths[i], x["peer_path"]) == max(common(paths[i], p) for p in host)
 
 
+def test_html_differencing_decides_unsure_blocks(spark):
+    def page(*own, cls="post comments-open"):
+        return (f"<body><div class='layout with-sidebar'><div>x</div><article class='{cls}'><p>Copied</p>"
+                + "".join(f"<p>{x}</p>" for x in own) + "<div class='has-ads'><div>Buy now</div><p>"
+                f"Deal {own[0]}</div><p title='hidden gems'>Kept <a href='/q?id=search'>link</a>"
+                "</article></div>")
+    rows = [(1, "http://h.x/1", page("alpha")), (2, "http://h.x/2", page("beta")),
+            (3, "http://alone.x/", page("gamma")), (4, "http://h.x/3", page("delta", cls="comments"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in html.main_text(df).collect()}
+    assert got[1]["text"] == "Copied\nalpha\nDeal alpha\nKept link"
+    assert got[2]["text"] == "Copied\nbeta\nDeal beta\nKept link"
+    assert got[3]["text"] == "Copied\ngamma\nBuy now\nDeal gamma\nKept link"
+    assert got[4]["text"] == ""  # all that is left, x, stands on its neighbour too
+    assert [got[i]["n_shared"] for i in (1, 2, 3, 4)] == [4, 4, 0, 1]
+    assert got[1]["peer_path"] == "/2"
+
+
+def test_html_state_ends_with_its_element():
+    kinds = lambda page: list(html.kinds_of(html.all_blocks(page)))
+    page = ("<article><p>a<section class='no-ads'><article><p>b</article>c<div>d</div></section>"
+            "<p class='no-ads'>e<p>f</article>g")
+    assert kinds(page) == [html.SURE, html.SURE, html.ASKED, html.ASKED, html.ASKED, html.SURE, html.OTHER]
+    assert kinds("<div itemprop=articleBody><section class='ad-free'><div>a</div>b</section>c</div>d") == [
+        html.ASKED, html.ASKED, html.SURE, html.OTHER]
+
+
 # --- 2 token counts
 
 def test_counts_follow_edits():
