@@ -103,6 +103,35 @@ def test_leak_sweep_searches_values_only(spark):
     assert L.leak_sweep({"t": df}, lits.limit(0)).count() == 0
 
 
+def test_leak_sweep_by_runs_of_words(spark, monkeypatch):
+    import random
+
+    from tarnhelm.operators import literals as I
+
+    r = random.Random(5)
+    blanks = [" ", "  ", "\n", "\t ", "\u00a0"]
+    def prose(n):
+        return "".join(r.choice("abé") + r.choice("cd") + r.choice(blanks) for _ in range(n))
+    texts = [prose(r.randrange(60)) for _ in range(60)] + ["", None]
+    texts += texts[:5]
+    lits = sorted({t[i:i + r.randrange(1, 40)] for t in texts if t for i in (0, r.randrange(len(t)))}
+                  | {prose(6) for _ in range(20)} - {""})
+    want = {(x, n) for x in lits if (n := sum(x in (t or "") for t in texts))}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    table = spark.createDataFrame([(x,) for x in lits], "literal string")
+    index = I.LiteralIndex(table)
+    # Words are hashed and not every character; the few literals without words are tried.
+    assert set(index.sizes) == {-4, -2} and index.short
+    for tried, led, at_once in ((64, I.LED, I.ENTRIES), (0, I.LED, 50), (0, 30, I.ENTRIES)):
+        monkeypatch.setattr(I, "TRIED", tried)
+        monkeypatch.setattr(I.LiteralIndex.lookup, "__defaults__", (False, led))
+        got = [tuple(x) for x in L.leak_sweep({"t": df}, table, at_once).select("literal", "rows").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    every = I.LiteralIndex(table).lookup(
+        df, F.array(F.coalesce("t", F.lit(""))), lambda pairs: pairs.select("t", "literal"))
+    assert every.count() == sum(n for _, n in want)
+
+
 def test_files_of_a_ledger_do_not_follow_its_tenants(spark, tmp_path):
     import os
 
