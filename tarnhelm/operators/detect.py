@@ -73,6 +73,8 @@ class CredentialShape:
     full_length: int | None = None
     body_entropy: float | None = None
     confidence: float = 0.97
+    #: Least length of a match if it holds no blank and the regex is dear: long words are enough.
+    shortest: int | None = None
 
 
 # Lines of a key are parted by any white space or by its escape in a JSON string. PEM headers
@@ -99,9 +101,11 @@ CREDENTIAL_SHAPES = (
     CredentialShape(
         "GITHUB_TOKEN", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
         r"gh[pousr]_[A-Za-z0-9]{12,}", r"^gh[pousr]_", full_length=36, body_entropy=2.5,
+        shortest=16,
     ),
     CredentialShape(
         "AWS_ACCESS_KEY", ("AKIA", "ASIA"), r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"^A[KS]IA",
+        shortest=20,
     ),
     CredentialShape("GOOGLE_API_KEY", ("AIza",), r"AIza[A-Za-z0-9_-]{35}", r"^AIza"),
     CredentialShape(
@@ -111,7 +115,7 @@ CREDENTIAL_SHAPES = (
     CredentialShape(
         "STRIPE_KEY", ("sk_live_", "sk_test_", "rk_live_", "rk_test_"),
         r"[sr]k_(?:live|test)_[A-Za-z0-9]{8,}", r"^[sr]k_(?:live|test)_",
-        full_length=20, body_entropy=2.5,
+        full_length=20, body_entropy=2.5, shortest=16,
     ),
     CredentialShape(
         "RAZORPAY_KEY", ("rzp_live_", "rzp_test_"),
@@ -129,7 +133,7 @@ CREDENTIAL_SHAPES = (
     CredentialShape(
         "DB_URI", ("://",),
         r"(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|amqp)://"
-        r"[^\s:/@]+:[^\s@/]+@[^\s\"'<>]+", r"^",
+        r"[^\s:/@]+:[^\s@/]+@[^\s\"'<>]+", r"^", shortest=12,
     ),
 )
 
@@ -174,7 +178,8 @@ def credential_hits(
         *[
             F.when(
                 _mentions(text, s.anchors),
-                _collect(find_all(text, s.pattern), _bound(confirm, s)),
+                _collect(find_all(text, s.pattern, shortest=s.shortest or 1,
+                                  words=s.shortest is not None), _bound(confirm, s)),
             ).otherwise(no_hits())
             for s in shapes
         ]
@@ -434,7 +439,7 @@ def context_gate(text: Column) -> Column:
 
 def table_hits(text: Column, max_rows: int | None = None) -> Column:
     """Cells of pipe tables whose column header names a secret."""
-    line = r"(?md)^[^\n]*\|[^\n]*$"
+    line = r"(?md)^[^\n|]*+\|[^\n]*+$"
     return bind(find_all(text, line), lambda lines: _table_cells(text, lines, max_rows))
 
 
@@ -590,11 +595,12 @@ CODECS = (
     Codec("unicode_escape", r"(?:\\u[0-9a-fA-F]{4}){10,}", _from_escapes, None),
 )
 MIN_DECODED = 20
-ENCODED_GATE = r"[A-Za-z0-9+/_-]{32}"
+#: Least length of an encoded run; no run holds a blank.
+SHORTEST_RUN = 32
 
 
 def encoded_gate(text: Column) -> Column:
-    return text.rlike(ENCODED_GATE) | F.contains(text, F.lit("\\u"))
+    return F.exists(F.split(text, " ", -1), lambda w: F.length(w) >= SHORTEST_RUN)
 
 
 def _decodings(text: Column, max_candidates: int | None) -> Column:
@@ -622,7 +628,8 @@ def _decodings(text: Column, max_candidates: int | None) -> Column:
 
     good = F.filter(
         F.concat(
-            *[F.transform(find_all(text, c.pattern), _bound(decode, c)) for c in CODECS]
+            *[F.transform(find_all(text, c.pattern, shortest=SHORTEST_RUN, words=True),
+                          _bound(decode, c)) for c in CODECS]
         ),
         lambda d: d["text"].isNotNull()
         & (F.length(d["text"]) >= MIN_DECODED)

@@ -303,3 +303,31 @@ def test_planted_texts_are_spread_by_the_size_of_their_keys(spark):
     keys = spark.read.parquet(f"{sf}/orders.parquet")
     assert spread(keys, task_bytes=40_000).rdd.getNumPartitions() >= 60
     assert "text" in plant(spark, sf, "encoded_text").columns
+
+
+def test_long_words_hold_what_a_regex_over_the_whole_text_finds(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tarnhelm.functions.text import find_all
+    from tarnhelm.operators import detect as D
+
+    r = random.Random(9)
+    made = ["sk_live_" + "aB3" * 3, "ghp_" + "x7" * 9, "AKIA" + "Q1" * 8, "xAKIA" + "Q1" * 8 + "_",
+            "redis://a:b@c", "amqp://u:p@h/v", "A1b+" * 9 + "==", "a-_9" * 9 + "=", "0aF" * 20, "\\u00e9" * 12,
+            "Z9/" * 30, "prose", "é", "", "", "a,b"]
+    texts = ["".join(r.choice(made) + r.choice([" ", " ", "\n", "\t", " ", "|", ""])
+                     for _ in range(r.randrange(14))) for _ in range(150)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    cases = [(s.pattern, s.shortest) for s in D.CREDENTIAL_SHAPES if s.shortest] + [
+        (c.pattern, D.SHORTEST_RUN) for c in D.CODECS]
+    assert len(cases) == 8
+    got = df.select(*[find_all(F.col("t"), p) for p, _ in cases],
+                    *[find_all(F.col("t"), p, shortest=n, words=True) for p, n in cases]).collect()
+    for i in range(len(cases)):
+        assert [x[i] for x in got] == [x[i + len(cases)] for x in got]
+        assert any(x[i] for x in got)
+    # The marked text is split once, and the gate of encoded runs needs no regex pass.
+    assert str(find_all(F.col("t"), "x")).count("split(") == 1
+    assert "rlike" not in str(D.encoded_gate(F.col("t"))).lower()
