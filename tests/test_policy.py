@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnhelm.functions.lattice import LATTICE, action_of
@@ -236,6 +237,25 @@ def test_rules_meet_combinations_and_findings_meet_folded_rules(spark, monkeypat
     assert max(met) <= 2 * 5 * 2 * 3  # no findings
 
 
+@pytest.mark.parametrize("name", ["match_rules"])
+def test_shuffles_of_rule_matches_carry_keys_of_lines(spark, name):
+    import re
+
+    from tarnhelm.plans import governance as Q
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = re.findall(r"\(\d+\) Exchange\n((?:.+\n)+)", plan)
+    assert any("l_orderkey" in x for x in shuffles)
+    assert not any(re.search("entity_class|destination|rule_indexes", x) for x in shuffles)
+    assert any("rule_indexes" in x for x in re.findall(r"\(\d+\) BroadcastExchange\n((?:.+\n)+)", plan))
+
+
 def test_situations_are_decided_once(spark, monkeypatch):
     rows = [RD.policy_row(ORG, "agency"), RD.policy_row(BU, "unit")]
     tenants = spark.createDataFrame([("agency", None), ("unit", "agency")], "id string, parent_id string")
