@@ -237,7 +237,7 @@ def test_rules_meet_combinations_and_findings_meet_folded_rules(spark, monkeypat
     assert max(met) <= 2 * 5 * 2 * 3  # no findings
 
 
-@pytest.mark.parametrize("name", ["match_rules"])
+@pytest.mark.parametrize("name", ["match_rules", "cleared_matches"])
 def test_shuffles_of_rule_matches_carry_keys_of_lines(spark, name):
     import re
 
