@@ -251,6 +251,26 @@ def test_rule_table_equals_rules_in_the_scan(spark, entries):
     assert L.apply_rule_table(docs, table.limit(0)).count() == 0
 
 
+def test_texts_are_read_as_often_for_any_number_of_rules(spark, tmp_path):
+    import re
+
+    path = str(tmp_path / "texts_of_rules")
+    spark.range(500).selectExpr(
+        "id", "concat('pay acct', id % 150, '#', id, ' of alt.', id % 7, ', ref C', lpad(id, 4, '0'), '-1') as text"
+    ).write.parquet(path)
+    docs = spark.read.parquet(path)
+    anchors = [f"acct{i}#" for i in range(120)] + [f"alt.{i}" for i in range(9)] + ["C0007-", "C0008-9"]
+    table = spark.createDataFrame(
+        [("BANK_ACCOUNT", "", [a], None, 2, 8, None, [], None, 0.5, 1) for a in anchors], L.RULE_SCHEMA)
+    found = {n: L.apply_rule_table(docs, table, entries=n) for n in (1000, 50, 10)}
+    scans = {n: len(re.findall(r"FileScan parquet \[[^\]]*text#", x._jdf.queryExecution().executedPlan().toString()))
+             for n, x in found.items()}
+    assert scans[10] == scans[50] <= 3  # and not one for each block of the index
+    want = sorted((r.id, r.text.index(a)) for r in docs.collect() for a in anchors if a in r.text)
+    for x in found.values():
+        assert sorted(map(tuple, x.select("id", "start").collect())) == want
+
+
 def test_learned_anchor_rules(spark):
     rule = L.LearnedRule("BANK_ACCOUNT", None, ("acct:",), 6, 14, ("bank",))
     df = spark.createDataFrame([(1, "bank acct:123456789 x"), (2, "acct:123456789 x")], "id int, text string")
