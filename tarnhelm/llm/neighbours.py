@@ -52,8 +52,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors in double precision, of components that are stored in four or eight bytes."""
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), "<f8").reshape(len(parts), dim)
+    return numbers(b"".join(parts), len(parts) * dim).reshape(len(parts), dim)
+
+
+def numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if len(data) == 4 * n else "<f8").astype("<f8", copy=False)
 
 
 def fit_codebooks(x: np.ndarray, k: int, rounds: int = 12) -> list[np.ndarray]:
@@ -245,20 +250,25 @@ def near_duplicates(
     sample: int = SAMPLE, queries: int = QUERIES,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label)."""
+    # Floats stay floats wherever vectors are stored or shuffled: as doubles they say no more.
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kept, width = ("<f4", 4) if single else ("<f8", 8)
     rows = vectors.select(
-        F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("e"), "label")
+        F.col("vec_id").cast("bigint"), "label",
+        F.col("embedding").cast("array<float>" if single else "array<double>").alias("e"))
     fine = F.coalesce(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0)
         & F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         & F.exists("e", lambda c: c != 0), F.lit(False))
     # Of numbers alone only the sign matters.
-    e = F.when(F.size("e") == 1, F.transform("e", lambda c: F.signum(c))).otherwise(F.col("e"))
+    e = F.when(F.size("e") == 1, F.transform("e", lambda c: F.signum(c)).cast(
+        rows.schema["e"].dataType)).otherwise(F.col("e"))
     kind = rows.schema["label"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
-            flat = np.asarray(lists.flatten(), "<f8")
+            flat = np.asarray(lists.flatten(), kept)
             ends = np.cumsum([0, *np.asarray(lists.value_lengths())])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1),
@@ -269,13 +279,13 @@ def near_duplicates(
         packed, f"vec_id bigint, label {kind}, emb binary"))
     classes = keep(valid.groupBy("label", "emb").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
-    size = F.floor(F.length("emb") / 8)
+    size = F.floor(F.length("emb") / width)
     # Vectors of different lengths link with nothing: each frequent length is a search of its own.
     large = [r["dim"] for r in classes.groupBy(size.alias("dim")).count().where(
         F.col("count") > FEW).orderBy("dim").collect()]
     found = classes.where(~size.isin(large) if large else F.lit(True)).groupBy(
         "label", size.alias("dim")).applyInArrow(
-        lambda t: compare_all(t, cosine), "vec_id bigint, low bigint, n bigint")
+        lambda t: compare_all(t, cosine, width), "vec_id bigint, low bigint, n bigint")
     for dim in large:
         found = found.union(search(
             keep(classes.where(size == dim)), dim, cosine, recall, sample, queries))
@@ -297,10 +307,10 @@ def near_duplicates(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def compare_all(t: pa.Table, cosine: float) -> pa.Table:
+def compare_all(t: pa.Table, cosine: float, width: int = 8) -> pa.Table:
     """As ``compare`` for all pairs of a small group of vectors of one length."""
     ids, w = t["vec_id"].to_numpy(), t["n"].to_numpy()
-    x = unit(matrix(t["emb"], len(t["emb"][0].as_py()) // 8))
+    x = unit(matrix(t["emb"], len(t["emb"][0].as_py()) // width))
     pairs = [np.zeros((2, 0), np.int64)]
     for i in range(0, len(x), BLOCK):
         a, b = np.nonzero(x[i:i + BLOCK] @ x.T >= cosine)
@@ -329,7 +339,8 @@ def search(classes: DataFrame, dim: int, cosine: float, recall: float, sample: i
         return part.collect() or [classes.first()]
 
     def units(drawn_rows: list) -> np.ndarray:
-        return unit(np.frombuffer(b"".join(r["emb"] for r in drawn_rows), "<f8").reshape(-1, dim))
+        return unit(numbers(
+            b"".join(r["emb"] for r in drawn_rows), len(drawn_rows) * dim).reshape(-1, dim))
 
     x = units(drawn(sample, "sample"))
     k = int(np.clip(round((distinct / 200) ** 0.5), 4, max(4, sample // 8)))

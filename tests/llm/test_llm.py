@@ -579,6 +579,29 @@ def test_language_on_held_out(spark):
 
 # --- 10 neighbours
 
+
+def test_float_vectors_are_kept_as_floats(spark, monkeypatch):
+    df = spark.range(400).selectExpr(
+        "id as vec_id", "id % 2 as label",
+        "transform(sequence(1, 8), i -> cast(sin(id * i / 40) + 0.01 * (id % 3) as float)) as embedding")
+    want = sorted(map(tuple, neighbours.near_duplicates(
+        df.withColumn("embedding", F.col("embedding").cast("array<double>"))).collect()))
+    lengths, kept = [], neighbours.keep
+
+    def keep(table):
+        out = kept(table)
+        if "emb" in out.columns:
+            lengths.append(out.selectExpr("max(length(emb))").first()[0])
+        return out
+
+    monkeypatch.setattr(neighbours, "keep", keep)
+    for few in (neighbours.FEW, 100):  # all pairs, and by cells
+        monkeypatch.setattr(neighbours, "FEW", few)
+        got = sorted(map(tuple, neighbours.near_duplicates(df, recall=1.0).collect()))
+        assert got == want and any(r[1] for r in got)
+    assert lengths and set(lengths) == {4 * 8}
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
